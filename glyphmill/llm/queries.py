@@ -7,11 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .chat import OP3_SQL, op3_chat_format
+from .rules import op9_quality
+from .substrings import OP2_SQL, op2_substrings
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_substrings": op2_substrings,
     "op3_chat_format": op3_chat_format,
+    "op9_quality": op9_quality,
 }
 
 ORACLES: dict[str, str] = {
+    "op2_substrings": OP2_SQL,
     "op3_chat_format": OP3_SQL,
 }
