@@ -7,16 +7,21 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .chat import OP3_SQL, op3_chat_format
+from .neardup import OP4_SQL, op4_neardup
+from .privacy import op5_pii
 from .rules import op9_quality
 from .substrings import OP2_SQL, op2_substrings
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_substrings": op2_substrings,
     "op3_chat_format": op3_chat_format,
+    "op4_neardup": op4_neardup,
+    "op5_pii": op5_pii,
     "op9_quality": op9_quality,
 }
 
 ORACLES: dict[str, str] = {
     "op2_substrings": OP2_SQL,
     "op3_chat_format": OP3_SQL,
+    "op4_neardup": OP4_SQL,
 }
