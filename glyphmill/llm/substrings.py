@@ -171,7 +171,7 @@ def intervals(w: Words, gone: np.ndarray) -> pa.Array:
 def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, blocks: int | None = None, buckets: int | None = None) -> DataFrame:
     """id, n_words, n_removed, kept_text and removed (maximal intervals of word numbers) of every text."""
     n = partitions(docs.sparkSession)
-    blocks, buckets = blocks or 4 * n, buckets or 2 * n
+    blocks, buckets = blocks or 2 * n, buckets or 2 * n
     # the id and the text both count: copies of an id spread too
     own = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text")).withColumn("_block", spread(blocks, "_id", "_text"))
 
