@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .decontaminate import op1_decontaminate
 from .chat import OP3_SQL, op3_chat_format
 from .neardup import OP4_SQL, op4_neardup
 from .privacy import op5_pii
@@ -13,6 +14,7 @@ from .rules import op9_quality
 from .substrings import OP2_SQL, op2_substrings
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_decontaminate": op1_decontaminate,
     "op2_substrings": op2_substrings,
     "op3_chat_format": op3_chat_format,
     "op4_neardup": op4_neardup,
