@@ -1,0 +1,30 @@
+"""Questions from blocks of texts to a distributed table keyed by 64-bit hashes, and the answers.
+
+Texts are dealt into blocks; a block asks once for each distinct hash in it. Hashes are cut into buckets
+by their leading 24 bits; a bucket holds its part of the table and answers each block in the order of its
+question. So the texts are moved once, a hash that is in every text is asked for once per block, and
+neither a block nor a bucket needs the whole table.
+"""
+
+from __future__ import annotations
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+from .substrings import pack_hashes
+
+
+def bucket_of(hash_col: str, buckets: int) -> Column:
+    """The bucket of a hash kept as a bigint."""
+    return F.shiftright(F.shiftrightunsigned(hash_col, 40) * F.lit(buckets).cast("long"), 24).cast("int")
+
+
+def questions(h: np.ndarray, block: int, buckets: int) -> pa.Table:
+    """A block's sorted distinct hashes, a row per bucket that they touch."""
+    _, packed = pack_hashes(h, buckets)
+    some = [k for k in range(buckets) if packed[k]]
+    return pa.table(
+        {"_bucket": pa.array(some, pa.int32()), "_block": pa.array([block] * len(some), pa.int32()), "hashes": pa.array([packed[k] for k in some], pa.binary())}
+    )

@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .brown import op7_brown_lm
 from .decontaminate import op1_decontaminate
 from .chat import OP3_SQL, op3_chat_format
 from .neardup import OP4_SQL, op4_neardup
@@ -19,6 +20,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_chat_format": op3_chat_format,
     "op4_neardup": op4_neardup,
     "op5_pii": op5_pii,
+    "op7_brown_lm": op7_brown_lm,
     "op9_quality": op9_quality,
 }
 

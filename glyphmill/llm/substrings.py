@@ -65,7 +65,8 @@ def unpack_hashes(blob: bytes) -> np.ndarray:
 
 
 def bucket_starts(h: np.ndarray, buckets: int) -> np.ndarray:
-    edges = (np.arange(1, buckets, dtype=object) * 2**64 // buckets).astype(np.uint64)
+    # by the leading 24 bits, so that SQL can tell a hash's bucket too
+    edges = (-(-np.arange(1, buckets, dtype=np.int64) * 2**24 // buckets)).astype(np.uint64) << np.uint64(40)
     return np.concatenate([[0], np.searchsorted(h, edges), [len(h)]])
 
 
