@@ -188,7 +188,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     )
     bins = 16 * n
     texts = docs.select(F.col(id_col).cast("long").alias("node"), F.col(text_col).alias("text"))
-    placed = texts.join(tiles, "node").withColumn("_bin", spread(bins, "component", "i", "j"))
+    # the same join at every size: a small table of tiles would else be broadcast, a large one not
+    placed = texts.join(tiles.hint("merge"), "node").withColumn("_bin", spread(bins, "component", "i", "j"))
 
     def verify(table: pa.Table) -> pa.Table:
         links: list[tuple[int, int]] = []
