@@ -10,6 +10,7 @@ from .brown import op7_brown_lm
 from .decontaminate import op1_decontaminate
 from .chat import OP3_SQL, op3_chat_format
 from .neardup import OP4_SQL, op4_neardup
+from .pieces import op8_sentencepiece
 from .privacy import op5_pii
 from .rules import op9_quality
 from .substrings import OP2_SQL, op2_substrings
@@ -21,6 +22,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_neardup": op4_neardup,
     "op5_pii": op5_pii,
     "op7_brown_lm": op7_brown_lm,
+    "op8_sentencepiece": op8_sentencepiece,
     "op9_quality": op9_quality,
 }
 
