@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .brown import op7_brown_lm
 from .decontaminate import op1_decontaminate
 from .chat import OP3_SQL, op3_chat_format
+from .licences import op6_licences
 from .neardup import OP4_SQL, op4_neardup
 from .pieces import op8_sentencepiece
 from .privacy import op5_pii
@@ -21,6 +22,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_chat_format": op3_chat_format,
     "op4_neardup": op4_neardup,
     "op5_pii": op5_pii,
+    "op6_licences": op6_licences,
     "op7_brown_lm": op7_brown_lm,
     "op8_sentencepiece": op8_sentencepiece,
     "op9_quality": op9_quality,
