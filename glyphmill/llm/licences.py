@@ -18,6 +18,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
+from itertools import takewhile
 
 import numpy as np
 import pyarrow as pa
@@ -135,7 +136,7 @@ class Templates:
         out: list[tuple[int, int, float, int]] = []
         for (t, i), (c, at) in sorted(best.items(), key=lambda x: (x[0][0], -x[1][0], -int(self.sizes[x[0][1]]), x[0][1])):
             end = at + int(self.sizes[i] + self.width[i]) - 1
-            if not any(t == u and at < b + int(self.sizes[j] + self.width[j]) - 1 and b < end and self.names[i] != self.names[j] for u, j, _, b in reversed(out)):
+            if not any(at < b + int(self.sizes[j] + self.width[j]) - 1 and b < end and self.names[i] != self.names[j] for _, j, _, b in takewhile(lambda x: x[0] == t, reversed(out))):
                 out.append((t, i, c, at))
         return sorted(out)
 
