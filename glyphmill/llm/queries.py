@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .brown import op7_brown_lm
 from .decontaminate import op1_decontaminate
 from .chat import OP3_SQL, op3_chat_format
+from .idfiles import op10_ids
 from .licences import op6_licences
 from .neardup import OP4_SQL, op4_neardup
 from .pieces import op8_sentencepiece
@@ -26,6 +27,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_brown_lm": op7_brown_lm,
     "op8_sentencepiece": op8_sentencepiece,
     "op9_quality": op9_quality,
+    "op10_ids": op10_ids,
 }
 
 ORACLES: dict[str, str] = {
