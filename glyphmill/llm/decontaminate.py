@@ -38,7 +38,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Words, batches, inside_doc, mix, read_table, text_bytes, window_hashes, word_hashes, words
+from .common import Words, batches, inside_doc, keep_rows, mix, read_table, text_bytes, window_hashes, word_hashes, words
 
 EDITS = 0.2
 #: Words in the runs that the screen counts, for items long enough.
@@ -253,5 +253,23 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     return out.withColumnRenamed("_id", id_col)
 
 
+def drop_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
+    """The rows whose text leaks no item, with all their columns."""
+    for ids, texts in item_groups(benchmark, item_col, item_text):
+
+        def make(ids: list = ids, texts: list = texts):
+            items = Items.of(ids, texts)
+
+            def keep(own: pa.Array, data: np.ndarray, off: np.ndarray) -> np.ndarray:
+                out = np.ones(len(own), bool)
+                out[[f[0] for f in items.find(*normal_words(own))]] = False
+                return out
+
+            return keep
+
+        docs = keep_rows(docs, text_col, make)
+    return docs
+
+
 def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_leaks(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
