@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+import corpus_pipeline
+
 from .brown import op7_brown_lm
 from .decontaminate import op1_decontaminate
 from .chat import OP3_SQL, op3_chat_format
@@ -18,6 +20,7 @@ from .rules import op9_quality
 from .substrings import OP2_SQL, op2_substrings
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "pipeline": corpus_pipeline.run,
     "op1_decontaminate": op1_decontaminate,
     "op2_substrings": op2_substrings,
     "op3_chat_format": op3_chat_format,
