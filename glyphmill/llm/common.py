@@ -192,13 +192,13 @@ def inside_doc(w: Words, n: int) -> np.ndarray:
     return doc[: max(0, len(doc) - n + 1)] == doc[n - 1 :]
 
 
-def batches(it: Iterator[pa.RecordBatch], column: str = "text") -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
-    """Parts of the batches of at most PIECE_BYTES of text, with their bytes and offsets."""
+def batches(it: Iterator[pa.RecordBatch], column: str = "text", limit: int = PIECE_BYTES) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+    """Parts of the batches of at most `limit` bytes of text, with their bytes and offsets."""
     for batch in it:
         if not batch.num_rows:
             continue
         data, off = text_bytes(batch.column(batch.schema.get_field_index(column)))
-        for lo, hi in pieces(off):
+        for lo, hi in pieces(off, limit):
             yield batch.slice(lo, hi - lo), data[off[lo] : off[hi]], off[lo : hi + 1] - off[lo]
 
 

@@ -38,7 +38,9 @@ SAMPLES = 2
 SEED = 0x51ED2701
 _K = np.uint64(0x9E3779B97F4A7C15)
 #: A task's store of word lattices is emptied when it has more nodes.
-STORE_NODES = 1 << 22
+STORE_NODES = 1 << 20
+#: Bytes of text sampled at once: a path has a number for each of them.
+RUN_BYTES = 1 << 19
 
 
 def default_model() -> str:
@@ -110,7 +112,7 @@ class Lattices:
         self.total = np.zeros(0)
         self.used = 0
         self.logp, self.rest, self.upto = np.zeros(0), np.zeros(0), np.zeros(0)
-        self.length, self.piece, self.source = np.zeros(0, np.int32), np.zeros(0, np.int32), np.zeros(0, np.int64)
+        self.length, self.piece, self.source = np.zeros(0, np.int32), np.zeros(0, np.int32), np.zeros(0, np.int32)
 
     def find(self, data: np.ndarray, s: np.ndarray, e: np.ndarray) -> np.ndarray:
         """The first node of each word data[s:e]; words not seen yet are added."""
@@ -195,7 +197,7 @@ class Lattices:
         self.logp, self.rest = np.concatenate([self.logp, np.minimum(logp, 0.0)]), np.concatenate([self.rest, np.minimum(rest, 0.0)])
         self.upto = np.concatenate([self.upto, upto + (a + shift)])
         self.length, self.piece = np.concatenate([self.length, length.astype(np.int32)]), np.concatenate([self.piece, piece.astype(np.int32)])
-        self.source = np.concatenate([self.source, a + shift])
+        self.source = np.concatenate([self.source, (a + shift).astype(np.int32)])
         self.used += n
         return base[:-1] + shift
 
@@ -266,7 +268,7 @@ def sample_texts(store: Lattices, data: np.ndarray, off: np.ndarray, seed: np.nd
         doc = doc_of[at]
         return at, doc, run[:-1] - base[doc], run[lo[1:]] - base
 
-    edge = np.full(len(byte), -1, np.int64)
+    edge = np.full(len(byte), -1, np.int32)
     walk(edge, 0, s[order], node0[order], e[order])
     at, doc, before, log_prob = along(edge)
     with np.errstate(divide="ignore"):
@@ -295,7 +297,7 @@ def sample_texts(store: Lattices, data: np.ndarray, off: np.ndarray, seed: np.nd
             return samples, best, byte, first
         there = where >= 0
         docs = np.flatnonzero(there)
-        edge = np.full(len(byte), -1, np.int64)
+        edge = np.full(len(byte), -1, np.int32)
         spot = np.full(n, -1)
         used = [np.full(n, -1) for _ in range(j)]
         for p in range(j):
@@ -318,8 +320,8 @@ def sample_texts(store: Lattices, data: np.ndarray, off: np.ndarray, seed: np.nd
         # another edge of the node, by the probabilities of those not taken
         if len(docs):
             old = np.stack([x[docs] for x in used], 1)
-            node = store.source[old[:, 0]]
-            lo, hi = np.searchsorted(store.source, node), np.searchsorted(store.source, node, "right")
+            node = store.source[old[:, 0]].astype(np.int64)
+            lo, hi = (np.searchsorted(store.source, node.astype(np.int32), side) for side in ("left", "right"))
             wide = int((hi - lo).max())
             grid = lo[:, None] + np.arange(wide)
             ok = grid < hi[:, None]
@@ -387,7 +389,7 @@ def sample_segmentations(docs: DataFrame, id_col: str = "doc_id", text_col: str
         v = Vocabulary.load(model)
         store = Lattices(v)
         table = np.frombuffer(b"".join(v.text), np.uint8), np.concatenate([[0], np.cumsum([len(t) for t in v.text])])
-        for batch, data, off in batches(it, "_text"):
+        for batch, data, off in batches(it, "_text", RUN_BYTES):
             seeds = mix(np.asarray(batch.column(1)).view(np.uint64) ^ np.uint64(seed))
             samples, left, byte, first = sample_texts(store, data, off, seeds, k)
             for j, x in enumerate(samples):
