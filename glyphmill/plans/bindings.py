@@ -1,10 +1,472 @@
-"""The engine's queries on the driver's tables, each with its oracle SQL."""
+"""The engine's queries on the driver's tables and on small inline tables, each with its oracle SQL."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import exprs as X
+from ..operators import derived as D
+from ..operators import documents as docs
+from ..operators import graph
+from ..operators import structures as S
+from ..operators.properties import Field, Registry, listed, page, union_keys
+from ..sources import files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None):
+    """Registers a query under its function's name, with its oracle."""
+
+    def add(f: Callable[[SparkSession, str], DataFrame]):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A driver table with its 32-bit keys made 64-bit, so that keys of all tables join as they are."""
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return df.withColumns({c: F.col(c).cast("long") for c, t in df.dtypes if t == "int" and c.endswith("key")})
+
+
+def tables(spark: SparkSession, sf_dir: str, *names: str) -> dict[str, DataFrame]:
+    return {n: table(spark, sf_dir, n) for n in names}
+
+
+# ------------------------------------------------------------- property search
+
+PARTS = Registry(
+    [
+        Field("brand", "part", "p_brand", "variant", "p_partkey", ops=("glob", "has")),
+        Field("name", "part", "p_name", "token", "p_partkey", ops=("glob", "prefix", "has")),
+        Field("type", "part", "p_type", "text", "p_partkey", ops=("glob", "has")),
+        Field("size", "part", "p_size", "number", "p_partkey", ops=("lt", "le", "gt", "ge", "has")),
+    ],
+    ("part", "p_partkey"),
+)
+DOCS = Registry(
+    [
+        Field("quality", "labels", "quality", "number", "doc_id"),
+        Field("toxic", "labels", "toxic", "number", "doc_id"),
+        Field("chars", "documents", "n_chars", "number", "doc_id", ops=("ge", "has")),
+    ],
+    ("documents", "doc_id"),
+    unions=union_keys("long_or_toxic", "chars", "toxic", ("has",)) | {"long_or_toxic.sel": ("chars.ge", "toxic")},
+)
+
+
+def parts(key: str, q: str):
+    return lambda spark, sf_dir: PARTS.find(tables(spark, sf_dir, "part"), key, q)
+
+
+def documents_with(key: str, q: str):
+    return lambda spark, sf_dir: DOCS.find(tables(spark, sf_dir, "documents", "labels"), key, q)
+
+
+_PART = "SELECT DISTINCT p_partkey AS r FROM part WHERE "
+_SIMPLE = {
+    "prop_eq": (parts("brand.eq", "Brand#2"), _PART + "p_brand = 'Brand#2'"),
+    "prop_token_eq": (parts("name", "ring"), _PART + "list_contains(string_split(p_name, ' '), 'ring')"),
+    "prop_token_pattern": (parts("name", "r?n*"), _PART + "p_name = 'r?n*' OR regexp_matches(p_name, '^r.n.* .*$') OR regexp_matches(p_name, '^.* r.n.* .*$') OR regexp_matches(p_name, '^.* r.n.*$')"),
+    "prop_prefix": (parts("name.prefix", "small"), _PART + "starts_with(p_name, 'small')"),
+    "prop_glob": (parts("brand.glob", "Brand#[12]?"), _PART + "regexp_matches(p_brand, '^Brand#[12].$')"),
+    "prop_glob_negated_class": (parts("brand.glob", "Brand#[^1]*"), _PART + "regexp_matches(p_brand, '^Brand#[^1]')"),
+    "prop_notglob": (parts("type.notGlob", "S*"), _PART + "NOT starts_with(p_type, 'S')"),
+    "prop_ne_text": (parts("type.ne", "SMALL"), _PART + "p_type <> 'SMALL'"),
+    "prop_num_eq": (parts("size", "25"), _PART + "p_size = 25"),
+    "prop_lt": (parts("size.lt", "10"), _PART + "p_size < 10"),
+    "prop_le": (parts("size.le", "10 and more"), _PART + "p_size <= 10"),
+    "prop_gt": (parts("size.gt", "40"), _PART + "p_size > 40"),
+    "prop_range": (parts("size.ge", "25"), _PART + "p_size >= 25"),
+    "prop_range_ne": (parts("size.lt.ne", "25"), _PART + "NOT p_size < 25"),
+    "prop_has": (documents_with("quality.has", ""), "SELECT DISTINCT doc_id AS r FROM labels WHERE quality IS NOT NULL"),
+    "prop_nothas": (documents_with("quality.notHas", ""), "SELECT doc_id AS r FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)"),
+    "prop_ne": (documents_with("quality.ne", "1"), "SELECT doc_id AS r FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE quality = 1)"),
+    "total_union_has": (documents_with("long_or_toxic.has", ""), "SELECT doc_id AS r FROM documents WHERE n_chars IS NOT NULL UNION SELECT doc_id FROM labels WHERE toxic IS NOT NULL"),
+}
+for _name, (_f, _sql) in _SIMPLE.items():
+    QUERIES[_name], ORACLES[_name] = _f, _sql
+
+
+@query("SELECT DISTINCT event_id AS r FROM events WHERE CAST(regexp_extract(props, '[0-9]+') AS BIGINT) >= 60")
+def prop_leading_int(spark, sf_dir):
+    events = table(spark, sf_dir, "events").withColumn("k", F.regexp_extract("props", r"([0-9].*)", 1))
+    return Registry([Field("k", "events", "k", "textnumber", "event_id", ops=("ge",))], ("events", "event_id")).find({"events": events}, "k.ge", "60")
+
+
+@query("SELECT doc_id AS r FROM documents WHERE n_chars >= 8000 UNION SELECT doc_id FROM labels WHERE toxic = 1")
+def total_union(spark, sf_dir):
+    t = tables(spark, sf_dir, "documents", "labels")
+    return DOCS.find(t, "chars.ge", "8000").union(DOCS.find(t, "toxic", "1")).distinct()
+
+
+@query("SELECT p_partkey AS r FROM part WHERE p_size >= 25 INTERSECT SELECT p_partkey FROM part WHERE p_type = 'SMALL'")
+def search_intersect(spark, sf_dir):
+    return PARTS.search(tables(spark, sf_dir, "part"), ["size.ge", "type"], ["25", "SMALL"])
+
+
+@query("SELECT p_partkey AS r FROM part WHERE p_size >= 25 AND p_type <> 'SMALL' AND list_contains(string_split(p_name, ' '), 'ring')")
+def search_mixed(spark, sf_dir):
+    return PARTS.search(tables(spark, sf_dir, "part"), ["size.ge", "type.ne", "name"], ["25", "SMALL", "ring"])
+
+
+@query(
+    "SELECT pos, r FROM (VALUES (0, 'Brand#1'), (1, 'Brand#99'), (2, 'Brand#2'), (3, 'Brand#1'), (4, 'x'), (5, 'Brand#3')) AS v(pos, r) "
+    "WHERE r IN (SELECT p_brand FROM part WHERE p_size > 40)"
+)
+def filter_chars(spark, sf_dir):
+    own = Registry([Field("size", "part", "p_size", "number", "p_brand", ops=("gt",))], ("part", "p_brand"))
+    chars = listed(spark, ["Brand#1", "Brand#99", "Brand#2", "Brand#1", "x", "Brand#3"])
+    return own.filter_chars(chars, tables(spark, sf_dir, "part"), ["size.gt"], ["40"]).select(F.col("pos").cast("int").alias("pos"), "r")
+
+
+@query("SELECT p_partkey AS r FROM part WHERE p_size >= 25 ORDER BY 1 LIMIT 25 OFFSET 10")
+def page_limit_offset(spark, sf_dir):
+    return page(PARTS.find(tables(spark, sf_dir, "part"), "size.ge", "25"), "25 rows", 10)[0]
+
+
+@query("SELECT item_id FROM benchmark WHERE text >= 'T' AND text < 'U'")
+def first_char_range(spark, sf_dir):
+    return table(spark, sf_dir, "benchmark").where(X.starts_with_char("text", "T")).select("item_id")
+
+
+# ------------------------------------------------------------- derived tables
+
+
+@query("SELECT p_partkey, CAST(i AS INTEGER) AS i, word FROM (SELECT p_partkey, unnest(string_split(p_name, ' ')) AS word, unnest(range(1, len(string_split(p_name, ' ')) + 1)) AS i FROM part)")
+def explode_tokens(spark, sf_dir):
+    return D.split_rows(table(spark, sf_dir, "part").select("p_partkey", "p_name"), "p_name", " ", "word", "i")
+
+
+@query("SELECT p_partkey, p_name AS value FROM part")
+def split_rejoin(spark, sf_dir):
+    return D.join_rows(D.split_rows(table(spark, sf_dir, "part").select("p_partkey", "p_name"), "p_name", " ", "value", "i"), "p_partkey")
+
+
+@query("SELECT CAST(i AS INTEGER) AS i, value FROM (SELECT unnest(['a', '漢', '𠮷', 'é']) AS value, unnest(range(1, 5)) AS i)")
+def split_characters(spark, sf_dir):
+    return D.split_rows(spark.range(1).select(F.lit("a漢𠮷é").alias("t")), "t", "", "value", "i")
+
+
+@query(
+    "SELECT l_orderkey, l_linenumber, l_returnflag AS flag, l_linestatus AS status FROM lineitem UNION ALL "
+    "SELECT l_orderkey, l_linenumber, l_linestatus, l_returnflag FROM lineitem WHERE l_quantity > 25"
+)
+def unpivot_groups(spark, sf_dir):
+    li = table(spark, sf_dir, "lineitem").withColumn("second", F.when(F.col("l_quantity") > 25, F.col("l_linestatus")))
+    return D.unpivot_groups(li, ["l_orderkey", "l_linenumber"], [("l_returnflag", "l_linestatus"), ("second", "l_returnflag")], ["flag", "status"])
+
+
+@query("SELECT p_partkey, n FROM (SELECT p_partkey, unnest(range(p_size, p_size + 3)) AS n FROM part)")
+def range_expand(spark, sf_dir):
+    p = table(spark, sf_dir, "part").select("p_partkey", F.col("p_size").cast("long").alias("a")).withColumn("b", F.col("a") + 2)
+    return D.expand_range(p, "a", "b", "n").select("p_partkey", "n")
+
+
+@query(
+    "SELECT o_custkey, o_orderkey, 'new' AS source FROM orders WHERE o_orderpriority LIKE '1%' UNION ALL SELECT o_custkey, o_orderkey, 'old' FROM orders "
+    "WHERE o_orderpriority NOT LIKE '1%' AND o_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderpriority LIKE '1%')"
+)
+def overlay_by_key(spark, sf_dir):
+    o = table(spark, sf_dir, "orders")
+    pick = lambda d, name: d.select("o_custkey", "o_orderkey", F.lit(name).alias("source"))
+    urgent = F.col("o_orderpriority").startswith("1")
+    return D.overlay([pick(o.where(~urgent), "old"), pick(o.where(urgent), "new")], "o_custkey")
+
+
+@query("SELECT 'customer' AS source, c_name AS name, c_mktsegment AS segment FROM customer UNION ALL SELECT 'supplier', s_name, NULL FROM supplier")
+def tagged_union(spark, sf_dir):
+    c = table(spark, sf_dir, "customer").select(F.col("c_name").alias("name"), F.col("c_mktsegment").alias("segment"))
+    return D.tagged_union({"customer": c, "supplier": table(spark, sf_dir, "supplier").select(F.col("s_name").alias("name"))}, "source")
+
+
+_EVENTS = ("view", "signup", "error", "click")
+
+
+@query("SELECT user_id, " + ", ".join(f"CAST(sum(CASE WHEN event_type = '{e}' THEN 1 ELSE 0 END) AS BIGINT) AS {e}" for e in _EVENTS) + " FROM events GROUP BY user_id")
+def bitmap_merge(spark, sf_dir):
+    ev = table(spark, sf_dir, "events")
+    return D.merge_flags({e: ev.where(F.col("event_type") == e) for e in _EVENTS}, ["user_id"])
+
+
+@query("SELECT user_id, event_id FROM (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events WHERE event_type = 'click') WHERE k = 1")
+def first_match(spark, sf_dir):
+    ev = table(spark, sf_dir, "events").groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("ts", "event_id", "event_type"))).alias("e"))
+    got = D.first_match(F.col("e"), F.transform("e", lambda x: x["event_type"] == "click"))
+    return ev.select("user_id", got["event_id"].alias("event_id")).where("event_id is not null")
+
+
+@query(
+    "SELECT n_nationkey, CAST(n_nationkey AS VARCHAR) || repeat('''', CAST(n_regionkey % 4 AS INTEGER)) AS radical, CASE WHEN n_regionkey % 4 = 0 THEN n_nationkey END AS plain FROM nation"
+)
+def generated_columns(spark, sf_dir):
+    n = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("radical_number"), (F.col("n_regionkey") % 4).cast("int").alias("radical_simplified"), F.lit("x").alias("radical_character"), F.col("n_name").alias("radical_CJKUI"))
+    return files.with_radical_names(n).select(F.col("radical_number").alias("n_nationkey"), "radical", F.col("部首").alias("plain"))
+
+
+@query("SELECT DISTINCT item_id, word FROM (SELECT item_id, unnest(regexp_extract_all(text, '[a-z]{4,}')) AS word FROM benchmark)")
+def value_ref(spark, sf_dir):
+    """The reverse index over benchmark words."""
+    b = table(spark, sf_dir, "benchmark")
+    return b.select("item_id", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit("([a-z]{4,})"), F.lit(1)))).alias("word"))
+
+
+@query("SELECT DISTINCT doc_id, ref FROM (SELECT doc_id, unnest(string_split(text, '')) AS ref FROM documents) WHERE ref <> '' AND unicode(ref) > 255")
+def value_ref_characters(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").select("doc_id", F.explode(D.value_references("text")).alias("ref"))
+    return d.distinct()
+
+
+_HAN = [
+    ("漢", "kRSAdobe_Japan1_6", "C+1533+85.3.10"), ("漢", "kRSUnicode", "85.11"), ("线", "kTraditionalVariant", "U+7DDA"), ("说", "kSemanticVariant", "U+8AAA<kMatthews U+8AAC<kFenn:T"),
+    ("亜", "kJoyoKanji", "2010"), ("乗", "kJoyoKanji", "U+4E57"), ("亘", "kJinmeiyoKanji", "2010:U+4E99"), ("丂", "kStrange", "A B:U+4E00:U+20000 I"), ("一", "kDefinition", "one; 壱 U+58F1 U+00E9 é"),
+    ("丁", "kJapanese", "チョウ"), ("一", "kIRG_GSource", "G0-523B"), ("一", "kTotalStrokes", "1"), ("漢", "kTotalStrokes", "14 13"), ("漢", "kMorohashi", "18068"),
+]
+
+
+def han(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(_HAN, "UCS string, property string, value string")
+
+
+@query(
+    "SELECT * FROM (VALUES ('线', 'kTraditionalVariant', '線', NULL), ('说', 'kSemanticVariant', '說', 'kMatthews'), ('说', 'kSemanticVariant', '説', 'kFenn:T'), "
+    "('乗', 'kJoyoKanji', '乗', NULL), ('亘', 'kJinmeiyoKanji', '亙', NULL)) AS v(UCS, property, value, additional_data)"
+)
+def variant_view(spark, sf_dir):
+    return D.unihan_variant(han(spark))
+
+
+@query("SELECT * FROM (VALUES ('丂', 'A', NULL), ('丂', 'B', '一'), ('丂', 'B', '𠀀'), ('丂', 'I', NULL)) AS v(UCS, category, value)")
+def strange_view(spark, sf_dir):
+    return D.unihan_strange(han(spark))
+
+
+@query("SELECT '一' AS UCS, 'G' AS source, 'G0-523B' AS value")
+def source_view(spark, sf_dir):
+    return D.unihan_source(han(spark))
+
+
+@query(
+    "SELECT * FROM (VALUES ('線', '线', 'kTraditionalVariant'), ('說', '说', 'kSemanticVariant'), ('説', '说', 'kSemanticVariant'), ('乗', '乗', 'kJoyoKanji'), ('亙', '亘', 'kJinmeiyoKanji'), "
+    "('一', '丂', 'kStrange'), ('𠀀', '丂', 'kStrange'), ('壱', '一', 'kDefinition')) AS v(ref, UCS, property)"
+)
+def reverse_references(spark, sf_dir):
+    return D.unihan_value_ref(han(spark)).select("ref", "UCS", "property")
+
+
+@query("SELECT u, CAST(n AS BIGINT) AS n, CAST(p AS BIGINT) AS p FROM (VALUES ('12 11', 12, 12), ('', 0, NULL), ('abc', 0, NULL), ('-2x', -2, -2), (' 5', 5, 5), ('0x1F', 0, 0)) AS v(u, n, p)")
+def integer_prefix(spark, sf_dir):
+    t = spark.createDataFrame([(x,) for x in ("12 11", "", "abc", "-2x", " 5", "0x1F")], "u string")
+    return t.select("u", X.leading_int("u").alias("n"), X.parse_int("u").alias("p"))
+
+
+@query("SELECT * FROM (VALUES ('4E00_E0100', '一󠄀', 'U+4E00', '4E00 E0100')) AS v(code, chars, first, name)")
+def code_points(spark, sf_dir):
+    t = spark.range(1).select(F.lit("4E00_E0100").alias("code")).withColumn("chars", X.sequence_char("code"))
+    return t.select("code", "chars", X.u_plus("chars").alias("first"), X.sequence_name("chars", " ").alias("name"))
+
+
+@query("SELECT p_partkey, a || '/' || b AS parts FROM (SELECT p_partkey, regexp_extract(p_brand, '([A-Z])([a-z]+)', 1) AS a, regexp_extract(p_brand, '([A-Z])([a-z]+)', 2) AS b FROM part)")
+def regexp_groups(spark, sf_dir):
+    m = F.get(X.regexp_all("p_brand", "([A-Z])([a-z]+)", 2), F.lit(0))
+    return table(spark, sf_dir, "part").select("p_partkey", F.concat(m["g1"], F.lit("/"), m["g2"]).alias("parts"))
+
+
+# ------------------------------------------------------------- sequences and structures
+
+
+def sequences(spark, sf_dir) -> DataFrame:
+    """(UCS, IDS_tokens): each user's event types in order, as a tree of leaves."""
+    ev = table(spark, sf_dir, "events").groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("ts", "event_id", "event_type"))).alias("e"))
+    return ev.select(F.col("user_id").cast("string").alias("UCS"), F.array_join(F.transform("e", lambda x: x["event_type"]), " ").alias("IDS_tokens"))
+
+
+_DOC = "SELECT CAST(user_id AS VARCHAR) AS u, ' § ' || string_agg(event_type, ' ' ORDER BY ts, event_id) || ' § ' AS doc FROM events GROUP BY user_id"
+
+
+@query(f'SELECT u AS "UCS", trim(doc) AS doc FROM ({_DOC})')
+def seq_doc(spark, sf_dir):
+    return S.documents(sequences(spark, sf_dir)).select("UCS", F.trim("doc").alias("doc"))
+
+
+@query(f"SELECT u AS \"UCS\" FROM ({_DOC}) WHERE contains(doc, ' click view error ')")
+def phrase_match(spark, sf_dir):
+    return S.search(sequences(spark, sf_dir), [S.Pattern(("click", "view", "error"))])
+
+
+@query(f"SELECT u AS \"UCS\" FROM ({_DOC}) WHERE contains(doc, ' § click ')")
+def anchored_match(spark, sf_dir):
+    return S.search(sequences(spark, sf_dir), [S.Pattern(("§", "click"))])
+
+
+@query("SELECT CAST(user_id AS VARCHAR) AS \"UCS\" FROM (SELECT user_id, event_type, lead(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS after FROM events) WHERE event_type = 'click' AND after = 'view' GROUP BY user_id HAVING count(*) >= 3")
+def multiplicity(spark, sf_dir):
+    return S.search(sequences(spark, sf_dir), [S.Pattern(("click", "view"), 3)])
+
+
+@query("SELECT CAST(user_id AS VARCHAR) AS \"UCS\" FROM (SELECT user_id, event_type, lead(event_type) OVER w AS after, row_number() OVER w AS k FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)) WHERE k = 1 AND event_type = after")
+def anchored_var_xx(spark, sf_dir):
+    return S.search(sequences(spark, sf_dir), [S.Pattern(("§", "x", "x"))])
+
+
+@query(f"SELECT u AS \"UCS\" FROM ({_DOC}) WHERE regexp_matches(doc, ' § click [a-z]+ error ') AND contains(doc, ' signup signup ')")
+def wildcard_and_second(spark, sf_dir):
+    return S.search(sequences(spark, sf_dir), [S.Pattern(("§", "click", "？", "error")), S.Pattern(("signup", "signup"))])
+
+
+@query(f"SELECT token, CAST(count(*) AS BIGINT) AS n FROM (SELECT unnest(string_split(trim(doc), ' ')) AS token FROM ({_DOC})) GROUP BY token")
+def posting_counts(spark, sf_dir):
+    return files.postings(sequences(spark, sf_dir)).groupBy("token").agg(F.count("*").alias("n"))
+
+
+_TREES = [
+    ("灶", "G", "⿰火土"), ("江", "GTJ", "⿰氵工"), ("工", "G", "⿱一⿱丨一"), ("信", "G", "⿰亻言"), ("囚", "G", "⿴囗人"), ("申", "G", "⿻日丨"), ("林", "GJ", "⿰木木"),
+    ("森", "G", "⿱木林"), ("蒜", "T", "⿱艹⿰示示"), ("X", "G", "⿰？火"), ("㱐", "G", "㇯武㇂"), ("明", "G", "⿰日月"), ("萌", "G", "⿱艹明"), ("&U1;", "G", "⿰木火"),
+]
+
+
+def trees(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(_TREES, "UCS string, source string, IDS string")
+
+
+_FULL = {
+    "灶": "⿰ 火 土", "江": "⿰ 氵 ⿱ 一 ⿱ 丨 一", "工": "⿱ 一 ⿱ 丨 一", "信": "⿰ 亻 言", "囚": "⿴ 囗 人", "申": "&OL3; &ol-申-1; 日 丨", "林": "⿰ 木 木", "森": "⿱ 木 ⿰ 木 木",
+    "蒜": "⿱ 艹 ⿰ 示 示", "X": "⿰ &c-X-1; 火", "武": "&OL3; &ol-武-1; 㱐 ㇂", "明": "⿰ 日 月", "萌": "⿱ 艹 ⿰ 日 月", "&U1;": "&U1;",
+}
+
+
+@query("SELECT * FROM (VALUES " + ", ".join(f"('{c}', '{t}')" for c, t in _FULL.items()) + ') AS v("UCS", "IDS_tokens")')
+def full_decomposition(spark, sf_dir):
+    return S.decompose_table(trees(spark))
+
+
+#: Patterns and what they find.
+_CASES = {
+    "⿰火土": "灶", "§？§": "XU信囚工明林森武江灶申萌蒜", "§⿰？土§": "灶", "？": "", "⿻丨日": "申", "⿻日丨": "申", "§⿱x⿰xx§": "森", "木*2": "林森", "木*3": "森", "§⿱艹⿰日月§": "萌", "日": "明申萌", "工": "工江", "火": "X灶",
+}
+
+
+@query("SELECT * FROM (VALUES " + ", ".join(f"('{p}', '{c if c != 'U' else '&U1;'}')" for p, cs in _CASES.items() for c in cs) + ') AS v(pattern, "UCS")')
+def structure_search(spark, sf_dir):
+    structures = S.decompose_table(trees(spark)).persist()
+    found = [S.search(structures, [p]).select(F.lit(p).alias("pattern"), "UCS") for p in _CASES]
+    out = found[0]
+    for f in found[1:]:
+        out = out.unionByName(f)
+    return out
+
+
+# ------------------------------------------------------------- graph
+
+_RELS = "SELECT p_partkey AS c1, (p_partkey * 7 + p_size) % 2000 AS c2, p_type AS r FROM part WHERE p_partkey < 400"
+
+
+@query(
+    f"WITH RECURSIVE e AS ({_RELS}), s AS (SELECT c1 AS a, c2 AS b FROM e WHERE r <> 'ECONOMY' UNION SELECT c2, c1 FROM e WHERE r <> 'ECONOMY'), "
+    "g(n) AS (SELECT i FROM range(1, 21) AS t(i) UNION SELECT s.b FROM g JOIN s ON s.a = g.n) "
+    "SELECT c1, c2, r, CAST(max(CASE WHEN r <> 'ECONOMY' THEN 1 ELSE 0 END) OVER (PARTITION BY c1, c2) AS INTEGER) AS f FROM e WHERE c1 IN (SELECT n FROM g) OR c2 IN (SELECT n FROM g)"
+)
+def variants_bfs(spark, sf_dir):
+    p = table(spark, sf_dir, "part").where("p_partkey < 400")
+    rels = p.select(F.col("p_partkey").alias("c1"), ((F.col("p_partkey") * 7 + F.col("p_size")) % 2000).alias("c2"), F.col("p_type").alias("r"))
+    return graph.variants(rels, spark.range(1, 21), weak=F.col("r") == "ECONOMY")
+
+
+@query("SELECT * FROM (VALUES ('A', 'B', 'strong-ab', 1), ('A', 'X', 'cjkvi/non-cognate', 0), ('B', 'C', 'strong-bc', 1), ('C', 'Y', 'kStrange_I', 0)) AS v(c1, c2, r, f)")
+def variants_labels(spark, sf_dir):
+    e = spark.createDataFrame([("A", "B", "strong-ab"), ("A", "X", "cjkvi/non-cognate"), ("B", "C", "strong-bc"), ("C", "Y", "kStrange_I"), ("Y", "Z", "strong"), ("A", None, "dropped")], "c1 string, c2 string, r string")
+    return graph.variants(e.dropna(), ["A"])
+
+
+# ------------------------------------------------------------- joins, aggregates, documents
+
+
+@query("SELECT o_custkey, o_orderkey FROM (SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice, o_orderkey) AS k FROM orders) WHERE k = 1")
+def argmin_first(spark, sf_dir):
+    return table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.min_by("o_orderkey", F.struct("o_totalprice", "o_orderkey")).alias("o_orderkey"))
+
+
+@query("SELECT r_regionkey, r_name, string_agg(n_name, ',' ORDER BY n_name) AS nations FROM region JOIN nation ON n_regionkey = r_regionkey GROUP BY r_regionkey, r_name")
+def doc_nested(spark, sf_dir):
+    n = table(spark, sf_dir, "nation").groupBy(F.col("n_regionkey").alias("r_regionkey")).agg(F.array_join(F.array_sort(F.collect_list("n_name")), ",").alias("nations"))
+    return table(spark, sf_dir, "region").join(n, "r_regionkey").select(F.col("r_regionkey").cast("int").alias("r_regionkey"), "r_name", "nations")
+
+
+@query("SELECT a.n_name AS a, b.n_name AS b FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey AND a.n_name <> b.n_name")
+def dup_pairs(spark, sf_dir):
+    n = table(spark, sf_dir, "nation")
+    return n.select("n_regionkey", F.col("n_name").alias("a")).join(n.select("n_regionkey", F.col("n_name").alias("b")), "n_regionkey").where("a <> b").select("a", "b")
+
+
+@query("SELECT n_name, s_suppkey FROM nation JOIN supplier ON s_nationkey = n_nationkey OR s_suppkey = n_nationkey")
+def or_join_union(spark, sf_dir):
+    n = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("char"), "n_name")
+    rows = docs.either(table(spark, sf_dir, "supplier"), ["s_nationkey", "s_suppkey"], n.select("char"))
+    return rows.join(n, "char").select("n_name", "s_suppkey")
+
+
+@query("SELECT c_custkey, coalesce(n, 0) AS n_orders FROM customer LEFT JOIN (SELECT o_custkey, count(*) AS n FROM orders WHERE o_totalprice > 250000 GROUP BY o_custkey) ON o_custkey = c_custkey")
+def left_join_default(spark, sf_dir):
+    o = table(spark, sf_dir, "orders").where("o_totalprice > 250000").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.count("*").alias("n"))
+    return table(spark, sf_dir, "customer").join(o, "c_custkey", "left").select("c_custkey", F.coalesce("n", F.lit(0)).alias("n_orders"))
+
+
+@query("SELECT o_custkey, o_orderkey FROM (SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS k FROM orders) WHERE k <= 3")
+def first_n_per_key(spark, sf_dir):
+    o = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.slice(F.array_sort(F.collect_list("o_orderkey")), 1, 3).alias("k"))
+    return o.select("o_custkey", F.explode("k").alias("o_orderkey"))
+
+
+@query("SELECT event_type, CAST(v[CAST(ceil(0.5 * len(v)) AS INTEGER)] * 100 AS BIGINT) AS p50, CAST(v[CAST(ceil(0.95 * len(v)) AS INTEGER)] * 100 AS BIGINT) AS p95, CAST(len(v) AS BIGINT) AS n FROM (SELECT event_type, list(value ORDER BY value) AS v FROM events GROUP BY event_type)")
+def nearest_rank(spark, sf_dir):
+    """Summary percentiles by nearest rank: the discrete percentiles, from counts of values."""
+    ev = table(spark, sf_dir, "events").groupBy("event_type")
+    p = lambda x: F.expr(f"percentile_disc({x}) WITHIN GROUP (ORDER BY value)")
+    return ev.agg((p(0.5) * 100).cast("long").alias("p50"), (p(0.95) * 100).cast("long").alias("p95"), F.count("value").alias("n"))
+
+
+def catalog(spark: SparkSession) -> dict[str, DataFrame]:
+    """Small inline tables of the character catalog."""
+    make = spark.createDataFrame
+    return D.with_views(
+        {
+            "unihan": han(spark),
+            "ids": make([("卐", "GT", "⿾卍"), ("𠄏", "GTP", "⿿了"), ("漢", "G", "⿰氵𦰩")], "UCS string, source string, IDS string"),
+            "ids_comment": make([("漢", "x")], "UCS string, comment string"),
+            "ivs": make([("一\U000e0100", "ExampleCollection", "CID+1200"), ("一\U000e0101", "ExampleCollection", "CID+1200")], "IVS string, collection string, code string"),
+            "radicals": files.with_radical_names(make([(85, 0, "⽔", "水")], "radical_number int, radical_simplified int, radical_character string, radical_CJKUI string")),
+            "kdpv": make([("一", "cjkvi/duplicate", "壱", None), ("弌", "jp/old-style", "一", None)], "subject string, rel string, object string, comment string"),
+            "kdpv_rels": make([("jp/old-style", "旧字体", "jp/new-style", "新字体"), ("cjkvi/duplicate", None, None, None)], "rel string, name string, rev string, rev_name string"),
+            "joyo_kangxi": make([("乗", "乘")], "`漢字` string, `康熙字典体` string"),
+        }
+    )
+
+
+_DOCUMENTS = {
+    "漢": '{"char":"漢","UCS":"U+6F22","ids":[{"IDS":"⿰氵𦰩","source":"G"}],"ids_comment":["x"],"ivs":[],"joyo_kangxi":[],"kdpv":{},"unihan_rs":{"kRSAdobe_Japan1_6":[[85,10,"水",3,"CID+1533"]],"kRSUnicode":[[85,11,"水","85"]]}}',
+    "一": '{"char":"一","UCS":"U+4E00","ids":[],"ids_comment":[],"ivs":[{"char":"一󠄀","IVS":"4E00_E0100","collection":"ExampleCollection","code":"CID+1200"},{"char":"一󠄁","IVS":"4E00_E0101","collection":"ExampleCollection","code":"CID+1200"}],"joyo_kangxi":[],"kdpv":{"cjkvi/duplicate":["壱"],"jp/new-style":["弌"]},"unihan_rs":{"kRSAdobe_Japan1_6":null,"kRSUnicode":null}}',
+}
+
+
+@query("SELECT * FROM (VALUES " + ", ".join(f"('{c}', '{d}')" for c, d in _DOCUMENTS.items()) + ") AS v(char, document)")
+def character_document(spark, sf_dir):
+    chars = spark.createDataFrame([(c,) for c in _DOCUMENTS], "char string")
+    return docs.character_documents(catalog(spark), chars, ["UCS", "char", "ids", "ids_comment", "ivs", "kdpv", "joyo_kangxi", "unihan_rs"])
+
+
+@query("SELECT '卍' AS char, '{\"ids_similar\":[{\"UCS\":\"卐\",\"IDS\":\"⿾卍\",\"source\":\"GT\"}]}' AS document")
+def similar_characters(spark, sf_dir):
+    return docs.character_documents(catalog(spark), spark.createDataFrame([("卍",)], "char string"), ["ids_similar"])
+
+
+@query("SELECT * FROM (VALUES ('一󠄀', '4E00 E0100', 'ExampleCollection', 'CID+1200'), ('一󠄁', '4E00 E0101', 'ExampleCollection', 'CID+1200')) AS v(\"IVS\", unicode, collection, code)")
+def sequence_list(spark, sf_dir):
+    return docs.sequence_list(catalog(spark)["ivs"], "一")
