@@ -1,0 +1,471 @@
+"""Each operator against a brute-force version, and its stated results for odd input."""
+
+import hashlib
+import math
+import random
+import re
+import zlib
+from collections import Counter, defaultdict
+
+import numpy as np
+import pyarrow as pa
+import pytest
+from pyspark.sql import functions as F
+
+from glyphmill.llm import brown, chat, decontaminate, idfiles, licences, neardup, pieces, privacy, rules, substrings
+from glyphmill.llm.common import mix, text_bytes
+
+WORDS = re.compile(r"[^\x20\x09-\x0D]+")
+LOWER = str.maketrans({chr(65 + k): chr(97 + k) for k in range(26)})
+
+
+def prose(rng, n, vocabulary=600):
+    return " ".join(f"w{rng.randrange(vocabulary)}{'é' * rng.randrange(2)}" for _ in range(n))
+
+
+def odd_texts():
+    rng = random.Random(5)
+    base = prose(rng, 60)
+    edited = base.split(" ")
+    edited[30] = "other"
+    long = prose(rng, 30_000, 5000)
+    return [
+        None, "", "   \n\t ", "one", "one two", "one two three", base, base, " ".join(edited), base + " " + prose(rng, 40), long, long + " end", "x" * 100_000,
+        "漢字 𠮷 ▁ é́ \x00 tail", prose(rng, 80), "A B C a b c " * 30, "  　 wide", "line\nline\nline again\r\n",
+    ]
+
+
+def table(spark, texts, ids=None, extra=True):
+    ids = list(range(len(texts))) if ids is None else ids
+    df = spark.createDataFrame(list(zip(ids, texts, strict=True)), "doc_id long, text string").repartition(3)
+    if extra:  # names that the operators use themselves
+        for c in ("_id", "_text", "_block", "kept", "ids", "n_words", "node", "pii_found"):
+            df = df.withColumn(c, F.lit("clash"))
+    return df
+
+
+def empty(spark):
+    return spark.createDataFrame([], "doc_id long, text string")
+
+
+# ------------------------------------------------------------- 1
+
+
+def test_decontamination_finds_edited_items(spark):
+    rng = random.Random(1)
+    items = [prose(rng, n) for n in (3, 8, 15, 20, 37, 59)] + [None, "", "!!"]
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    texts, truth = [], set()
+    for share in (0, 0.1, 0.2):
+        for _ in range(8):
+            for i, item in enumerate(items[:6]):
+                ws = item.split(" ")
+                for _ in range(int(share * len(ws) + 1e-9)):
+                    p, how = rng.randrange(len(ws)), rng.randrange(3)
+                    ws[p : p + (how > 0)] = [f"z{rng.randrange(99)}"] * (how < 2)
+                truth.add((len(texts), i))
+                texts.append(prose(rng, rng.randrange(50)) + "\n" + " ".join(ws).upper() + ". " + prose(rng, rng.randrange(50)))
+    clean = [prose(rng, 100, 10**6) for _ in range(30)] + odd_texts()[:6]
+    found = decontaminate.find_leaks(table(spark, texts + clean), bench).collect()
+    got = {(r.doc_id, r.item_id) for r in found}
+    assert len(truth & got) >= 0.99 * len(truth)
+    assert all(r.doc_id < len(texts) for r in found)
+    w = lambda t: re.findall(r"[0-9a-z\x80-\U0010ffff]+", t.lower())
+    for r in found:  # every find is within its edits
+        a, b = w(items[r.item_id]), w(texts[r.doc_id])[r.first_word : r.end_word]
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            row = _step(row, i, x, b)
+        assert row[-1] == r.edits <= decontaminate.EDITS * len(a)
+
+
+def _step(row, i, x, b):
+    new = [i]
+    for j, y in enumerate(b, 1):
+        new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (x != y)))
+    return new
+
+
+def test_decontamination_keeps_rows_and_takes_empty_tables(spark):
+    bench = spark.createDataFrame([(0, "alpha beta gamma delta epsilon zeta eta theta")], "item_id long, text string")
+    docs = table(spark, ["x alpha beta gamma delta epsilon zeta eta theta y", None, "", "alpha beta"])
+    kept = decontaminate.drop_leaks(docs, bench)
+    assert sorted(r.doc_id for r in kept.collect()) == [1, 2, 3] and kept.columns == docs.columns
+    assert decontaminate.find_leaks(empty(spark), bench).count() == 0
+    assert decontaminate.find_leaks(docs, bench.limit(0)).count() == 0
+
+
+# ------------------------------------------------------------- 2
+
+
+def brute_substrings(rows, n=13):
+    first = {}
+    for d, t in rows:
+        if d is not None:
+            w = WORDS.findall(t or "")
+            for k in range(len(w) - n + 1):
+                first[tuple(w[k : k + n])] = min(first.get(tuple(w[k : k + n]), d), d)
+    out = []
+    for d, t in rows:
+        w = WORDS.findall(t or "")
+        gone = [False] * len(w)
+        for k in range(len(w) - n + 1):
+            if d is not None and first.get(tuple(w[k : k + n]), d) < d:
+                gone[k : k + n] = [True] * n
+        out.append((d, len(w), sum(gone), " ".join(x for x, g in zip(w, gone, strict=True) if not g)))
+    return sorted(out, key=str)
+
+
+def test_substrings_against_brute_force(spark):
+    texts = odd_texts()
+    rng = random.Random(2)
+    shared = prose(rng, 55)
+    texts += [f"{prose(rng, 9)} {shared} {prose(rng, k)}" for k in (0, 1, 30)] + [shared]
+    ids = [*range(len(texts) - 3), None, 7, 7]
+    got = substrings.dedup_substrings(table(spark, texts, ids), blocks=3, buckets=5).collect()
+    assert sorted(((r.doc_id, r.n_words, r.n_removed, r.kept_text) for r in got), key=str) == brute_substrings(list(zip(ids, texts, strict=True)))
+    for r in got:
+        assert sum(x.end - x.first for x in r.removed) == r.n_removed
+        assert all(a.end < b.first for a, b in zip(r.removed, r.removed[1:], strict=False))
+    assert substrings.dedup_substrings(empty(spark)).count() == 0
+
+
+# ------------------------------------------------------------- 3
+
+
+def test_chat_read_back(spark):
+    rows = [
+        (1, 0, "system", "be [INST] good"), (1, 1, "user", "a &lt; b"), (1, 2, "assistant", chat.TRICK), (1, 3, "user", None), (1, 4, "assistant", "two\n"), (1, 5, "user", "tail"),
+        (2, 0, "user", ""), (3, None, None, "x"), (3, 0, "assistant", ""), (None, 0, "assistant", "null conversation"), (4, 0, "user", "same"), (4, 0, "user", "same"), (4, 1, "assistant", "y" * 50_000),
+    ]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("turns", F.lit("clash")).withColumn("formatted", F.lit(1))
+    examples = chat.format_examples(df)
+    got = {r.conv_id: r for r in chat.digest(examples).collect()}
+    by = defaultdict(list)
+    for c, t, r, x in rows:
+        by[c].append((-1 if t is None else t, r or "", x or ""))
+    assert set(got) == set(by)
+    for c, turns in by.items():
+        turns.sort()
+        said = "".join(f"{r}\n{x}\n" for _, r, x in turns)
+        loss = "".join(x for _, r, x in turns if r == "assistant")
+        assert got[c].n_turns == len(turns) and got[c].turns_sha256 == hashlib.sha256(said.encode()).hexdigest()
+        assert got[c].loss_chars == len(loss) and got[c].loss_sha256 == hashlib.sha256(loss.encode()).hexdigest()
+    for e in examples.where("conv_id = 1").orderBy("example").collect():
+        assert e.formatted.count(chat.END) == e.n_turns
+        assert (e.loss_start is None) == (e.example == 2)
+    assert examples.where("conv_id = 1").count() == 3
+    assert chat.digest(chat.format_examples(df.limit(0))).count() == 0
+
+
+# ------------------------------------------------------------- 4
+
+
+def brute_components(rows, n, percent):
+    sets = {}
+    for d, t in rows:
+        w = WORDS.findall((t or "").translate(LOWER))
+        sets[d] = {tuple(w[k : k + n]) for k in range(len(w) - n + 1)} or ({tuple(w)} if w else set())
+    up = {d: d for d in sets}
+
+    def root(d):
+        while up[d] != d:
+            d = up[d]
+        return d
+
+    for a in sets:
+        for b in sets:
+            if a < b and sets[a] and sets[b]:
+                both = len(sets[a] & sets[b])
+                if 100 * both >= percent * (len(sets[a]) + len(sets[b]) - both):
+                    x, y = sorted((root(a), root(b)))
+                    up[y] = x
+    return sorted((d, len(sets[d]), root(d), root(d) == d) for d in sets)
+
+
+@pytest.mark.parametrize("shingle,percent,part", [(3, 85, 128), (5, 80, 3)])
+def test_near_duplicates_against_brute_force(spark, monkeypatch, shingle, percent, part):
+    monkeypatch.setattr(neardup, "PART", part)  # many small tiles too
+    rng = random.Random(3)
+    texts = odd_texts()
+    for _ in range(12):
+        own = prose(rng, rng.randrange(5, 200)).split(" ")
+        for _ in range(rng.randrange(1, 9)):
+            w = list(own)
+            for _ in range(rng.randrange(0, 1 + len(w) // 12)):
+                w[rng.randrange(len(w))] = f"e{rng.randrange(999)}"
+            texts.append(" ".join(w) if rng.random() < 0.7 else " ".join(w).upper())
+    rows = list(enumerate(texts))
+    got = neardup.near_duplicates(table(spark, texts), shingle=shingle, percent=percent).collect()
+    assert sorted((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in got) == brute_components(rows, shingle, percent)
+
+
+def test_near_duplicates_odd_tables(spark):
+    assert neardup.near_duplicates(empty(spark)).count() == 0
+    t = prose(random.Random(4), 50)
+    got = neardup.near_duplicates(table(spark, [t, t, t, None], [None, 5, 5, None])).collect()
+    assert sorted(((r.doc_id, r.component_id, r.kept) for r in got), key=str) == [(5, 5, True), (5, 5, True), (None, None, True), (None, None, True)]
+
+
+# ------------------------------------------------------------- 5
+
+
+def test_pseudonyms_keep_formats_and_links(spark):
+    p = privacy.Permuter(b"k")
+    finds = {
+        "email": "jane.doe7@mail.example.com", "card": "4316522678525456", "phone": "+1 (663) 555-6869", "ip": "233.233.171.252", "date": "2024-02-29",
+        "secret": "11acdfb36bb72224148e6160f674b4be45601bff", "ssn": "123-45-6789", "iban": "GB82 WEST 1234 5698 7654 32",
+    }
+    for kind, value in finds.items():
+        new, found = privacy.replace_all(f"<{value}>", p)
+        assert found == {kind: 1} and value not in new and len(new) >= len(value) - 8
+        assert privacy.replace_all(new, p, back=True)[0] == f"<{value}>"
+        assert privacy.replace_all(f"again {value}, and", p)[0] == f"again {new[1:-1]}, and"
+    card = re.sub(r"\D", "", privacy.replace_all(finds["card"], p)[0])
+    assert privacy.luhn(card) and len(card) == 16
+    assert privacy.iban_ok(privacy.replace_all(finds["iban"], p)[0])
+    for clean in ("version 2.0. of 3.", "1.2.3.4.5", "300.1.1.1", "13/25/2000", "call 555", "no data here", "a = b"):
+        assert privacy.replace_all(clean, p) == (clean, {})
+    docs = table(spark, [*(f"x {v} y" for v in finds.values()), None, "", "clean", "a" * 200_000])
+    rows = {r.doc_id: r for r in privacy.pseudonymise(docs).collect()}
+    assert rows[8].text is None and rows[9].text == "" and rows[10].text == "clean" and len(rows[11].text) == 200_000
+    assert all(v not in rows[i].text for i, v in enumerate(finds.values())) and rows[0]._id == "clash"
+    assert privacy.pseudonymise(empty(spark)).count() == 0
+
+
+def test_permutations_are_permutations():
+    p = privacy.Permuter()
+    for size in (1, 2, 7, 10, 97, 1000):
+        assert sorted(p.permute(v, size, "t") for v in range(size)) == list(range(size))
+        assert all(p.invert(p.permute(v, size, "t"), size, "t") == v for v in range(size))
+
+
+# ------------------------------------------------------------- 6
+
+
+def test_licences_against_brute_force(spark):
+    rng = random.Random(6)
+    texts = []
+    for _, t in licences.TEMPLATES:
+        ws = t.split(" ")
+        texts += [t, f"{prose(rng, 30)}\n{t.upper()} {prose(rng, 20)}", " ".join(ws[: len(ws) // 2])]
+        if len(ws) > 20:
+            ws[3] = "changed"
+            texts.append(f"{prose(rng, 5)} {' '.join(ws)}")
+    texts += odd_texts()
+    got = {(r.doc_id, r.licence) for r in licences.find_licences(table(spark, texts)).collect()}
+    word = lambda t: re.findall(r"[0-9a-z\x80-\U0010ffff]+", (t or "").lower())
+    may, must = set(), set()
+    for d, t in enumerate(texts):
+        best = 0
+        for name, tt in licences.TEMPLATES:
+            own, ws = word(tt), word(t)
+            q = min(5, len(own))
+            s = [tuple(own[k : k + q]) for k in range(len(own) - q + 1)]
+            at = [(k, x) for k in range(len(ws) - q + 1) if (x := tuple(ws[k : k + q])) in set(s)]
+            share = max((len({x for j, x in at if k <= j < k + len(s)}) / len(set(s)) for k, _ in at), default=0)
+            if share >= 0.8:
+                may.add((d, name))
+                best = max(best, share)
+                if share == 1:
+                    must.add((d, name, len(s)))
+    assert got <= may
+    for d, name, n in must:  # what is held whole is found, unless a longer notice covers it
+        assert (d, name) in got or any(x == d and m > n for x, _, m in must)
+    assert {d for d, _ in got} == {d for d, _ in may}
+    assert licences.find_licences(empty(spark)).count() == 0
+
+
+# ------------------------------------------------------------- 7
+
+
+def test_brown_scores(spark):
+    rng = random.Random(7)
+    left, right = [f"l{k}" for k in range(30)], [f"r{k}" for k in range(30)]
+    texts = [" ".join(w for _ in range(rng.randrange(5, 40)) for w in (rng.choice(left), rng.choice(right))) for _ in range(300)] + [None, "", "unseen words only", "L1 r1"]
+    ids = [*range(len(texts) - 1), None]
+    got = brown.score_texts(table(spark, texts, ids)).collect()
+    held = {d: zlib.crc32(str("" if d is None else d).encode()) % 5 == 1 for d in ids}
+    toks = {d: [*WORDS.findall((t or "").translate(LOWER)), None] for d, t in zip(ids, texts, strict=True)}
+    c = Counter(w for d, ws in toks.items() if not held[d] for w in ws)
+    n, v = sum(c.values()), len(c)
+    for r in got:
+        ws = toks[r.doc_id]
+        assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (held[r.doc_id], len(ws), sum(c[w] > 0 for w in ws), n)
+        assert math.isclose(r.base_score, sum(math.log10((c[w] + 0.5) / (n + 0.5 * (v + 1))) for w in ws), rel_tol=1e-9)
+        assert math.isfinite(r.score) and r.score < 0
+    out = [r for r in got if r.held_out]
+    assert sum(r.score for r in out) > 0.95 * sum(r.base_score for r in out) and sum(r.score for r in out) > sum(r.base_score for r in out) * 0.9
+    assert brown.score_texts(empty(spark)).count() == 0
+
+
+def test_exchange_separates_classes():
+    rng = np.random.default_rng(0)
+    grams = np.zeros((20, 20))
+    a = rng.integers(0, 10, 5000)
+    b = rng.integers(10, 20, 5000)
+    np.add.at(grams, (a, b), 1)
+    np.add.at(grams, (b[:-1], a[1:]), 1)
+    of = brown.exchange(grams, {}, classes=2)
+    assert len(set(of[:10].tolist())) == 1 and len(set(of[10:].tolist())) == 1 and of[0] != of[10]
+
+
+# ------------------------------------------------------------- 8
+
+
+def all_segmentations(v, text):
+    by = defaultdict(list)
+    for i, t in enumerate(v.text):
+        if t and i not in set(v.byte_id.tolist()):
+            by[t[0]].append((i, t))
+    b, out = (" " + text).encode(), {}
+
+    def go(p, acc, w):
+        if p == len(b):
+            out[tuple(acc)] = w
+            return
+        c = 1
+        while p + c < len(b) and b[p + c] & 0xC0 == 0x80:
+            c += 1
+        single = False
+        for i, t in by[b[p]]:
+            if b.startswith(t, p):
+                single |= len(t) == c
+                go(p + len(t), [*acc, i], w + v.weight[i])
+        if not single:
+            go(p + c, [*acc, *(int(v.byte_id[x]) for x in b[p : p + c])], w + c * v.byte_weight)
+
+    go(0, [], 0.0)
+    total = math.log(sum(map(math.exp, out.values())))
+    return {k: w - total for k, w in out.items()}
+
+
+@pytest.mark.parametrize("text", ["the", "a b", "é漢x", "  in\n"])
+def test_segmentations_against_enumeration(text):
+    v = pieces.Vocabulary.load(pieces.default_model())
+    truth, n = all_segmentations(v, text), 8000
+    data, off = text_bytes(pa.array([text] * n))
+    drawn = []
+    store = pieces.Lattices(v)
+    samples, left, byte, first = pieces.sample_texts(store, data, off, mix(np.arange(n, dtype=np.uint64)), 3)
+    for s in samples:
+        ids, begin = pieces.ids_of(store, byte, first, s.edge)
+        drawn.append([tuple(ids[begin[i] : begin[i + 1]].tolist()) for i in range(n)])
+    for i in range(n):
+        own = [d[i] for d, s in zip(drawn, samples, strict=True) if s.there[i]]
+        assert len(set(own)) == len(own) == min(3, len(truth))
+        assert all(abs(truth[x] - s.log_prob[i]) < 1e-9 for x, s in zip(own, samples, strict=False))
+    first_one, pairs = Counter(drawn[0]), Counter(zip(drawn[0], drawn[1], strict=True))
+    top = sorted(truth, key=truth.get)[-2:]
+    for x in top:
+        assert abs(first_one[x] / n - math.exp(truth[x])) < 0.03
+    if len(truth) > 1:
+        a, b = top
+        assert abs(pairs[a, b] / n - math.exp(truth[a] + truth[b]) / (1 - math.exp(truth[a]))) < 0.03
+
+
+def test_segmentations_of_odd_texts(spark):
+    texts = odd_texts()
+    df = table(spark, texts)
+    got = pieces.sample_segmentations(df, k=2).collect()
+    v = pieces.Vocabulary.load(pieces.default_model())
+    by = defaultdict(list)
+    for r in got:
+        assert r.round_trip and r.n_pieces == len(r.ids)
+        assert v.decode(r.ids) == (texts[r.doc_id] or "") if r.ids else not texts[r.doc_id]
+        by[r.doc_id].append(r)
+    for rows in by.values():
+        rows.sort(key=lambda r: r.sample)
+        assert len({tuple(r.ids) for r in rows}) == len(rows)
+        assert all(a.perturbed >= b.perturbed for a, b in zip(rows, rows[1:], strict=False))
+        assert all(r.log_inclusion <= 0 for r in rows)
+    again = {(r.doc_id, r.sample): r.ids for r in pieces.sample_segmentations(df.repartition(7), k=2).collect()}
+    assert again == {(r.doc_id, r.sample): r.ids for r in got}
+    assert len(by[0]) == 1 and by[0][0].log_inclusion == 0
+    assert pieces.sample_segmentations(empty(spark)).count() == 0
+
+
+# ------------------------------------------------------------- 9
+
+
+def brute_rules(t):
+    t = t or ""
+    w, seen, dup = WORDS.findall(t), set(), 0
+    for line in t.split("\n"):
+        if WORDS.search(line):
+            dup += line in seen
+            seen.add(line)
+    at = defaultdict(list)
+    for k in range(len(w) - 4):
+        at[tuple(w[k : k + 5])].append(k)
+    hit = {j for v in at.values() if len(v) > 1 for k in v for j in range(k, k + 5)}
+    return len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", t)), dup, len(hit)
+
+
+def test_rules_against_brute_force_and_forest(spark):
+    rng = random.Random(9)
+    good = [prose(rng, rng.randrange(20, 300)) + "." for _ in range(150)]
+    bad = [" ".join(w.upper() + "!!" * 3 for w in prose(rng, 100).split(" ")) for _ in range(40)]
+    texts = odd_texts() + good + bad
+    docs = table(spark, texts)
+    n = len(odd_texts())
+    rows = [(n + k, 1, 0) for k in range(100)] + [(n + 150 + k, 0, 0) for k in range(25)] + [(None, 1, 0), (n, None, 0), (10**9, 1, 1)]
+    labels = spark.createDataFrame(rows, "doc_id long, quality int, toxic int")
+    got = {r.doc_id: r for r in rules.judge(docs, rules.fit(docs, labels)).collect()}
+    for d, t in enumerate(texts):
+        r = got[d]
+        assert tuple(r[c] for c in rules.BASE) == brute_rules(t)
+        assert r.base_failed == (r.n_words < 10 or 100 * r.n_repeat_words > 20 * r.n_words)
+        assert not (r.base_failed and r.kept)
+    assert sum(got[n + k].kept for k in range(100, 150)) >= 47
+    assert not any(got[n + 175 + k].kept for k in range(15))
+    kept = rules.keep_good(docs, rules.fit(docs, labels))
+    assert sorted(r.doc_id for r in kept.collect()) == sorted(d for d, r in got.items() if r.kept) and kept.columns == docs.columns
+    assert rules.fit(docs, labels.limit(0)) is None
+    assert rules.judge(empty(spark), None).count() == 0
+
+
+# ------------------------------------------------------------- 10
+
+
+def test_id_files_round_trip(spark, tmp_path):
+    texts = odd_texts() + ["<|endoftext|> it's we'll  \n\n x", "a\x85b c", "1 2 3½ ²"]
+    ids = [None, *range(1, len(texts) - 1), 3]
+    folder = f"file://{tmp_path}/ids"
+    names = idfiles.write_ids(table(spark, texts, ids), folder, files=3)
+    rows = idfiles.read_ids(spark, folder, names).collect()
+    tokens = idfiles.Tokens(idfiles.default_tokenizer()).tokenizer
+    want = sorted(((-1 if d is None else d, tokens.encode(t or "", add_special_tokens=False).ids + [0]) for d, t in zip(ids, texts, strict=True)))
+    got = sorted((-1 if r.doc_id is None else r.doc_id, r.ids) for r in rows)
+    assert got == want
+    at = 0
+    for r in sorted(rows, key=lambda r: r.start):
+        assert r.start == at and r.n_tokens == len(r.ids)
+        at += r.n_tokens
+    order = [-1 if r.doc_id is None else r.doc_id for r in sorted(rows, key=lambda r: r.start)]
+    assert order == sorted(order)
+    crc = {(r.doc_id, r.start): r.ids_crc32 for r in idfiles.read_ids(spark, folder, names, digest=True).collect()}
+    assert all(crc[r.doc_id, r.start] == zlib.crc32(np.array(r.ids, "<u4").tobytes()) for r in rows)
+    assert idfiles.read_ids(spark, folder, idfiles.write_ids(empty(spark), folder + "0")).count() == 0
+
+
+@pytest.mark.parametrize("n", [0, 1, 2, idfiles.BLOCK - 1, idfiles.BLOCK, idfiles.BLOCK + 1, 3 * idfiles.BLOCK + 7])
+@pytest.mark.parametrize("kinds", [1, 3, 50_000])
+def test_blocks(n, kinds):
+    rng = np.random.default_rng(n + kinds)
+    ids = rng.integers(0, kinds, n) if kinds < 10 else (rng.zipf(1.3, n) % kinds)
+    raw = idfiles.dump(np.arange(1), np.zeros(1, bool), np.array([n]), ids)
+    f = idfiles.IdFile(raw)
+    assert np.array_equal(f.read(), ids)
+    for k in range(len(f.blocks)):  # each alone
+        assert np.array_equal(f.read(k, k + 1), ids[k * idfiles.BLOCK : (k + 1) * idfiles.BLOCK])
+
+
+def test_damage_is_found():
+    ids = np.random.default_rng(1).zipf(1.2, 9000) % 40_000
+    raw = idfiles.dump(np.arange(1), np.zeros(1, bool), np.array([9000]), ids)
+    for at in (3, 40, len(raw) // 2, len(raw) - 60):
+        bad = bytearray(raw)
+        bad[at] ^= 0x10
+        with pytest.raises(ValueError):
+            idfiles.IdFile(bytes(bad)).read()
