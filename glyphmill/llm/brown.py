@@ -34,7 +34,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER, Scratch, Words, batches, partitions, pieces, read_table, spread, text_bytes, word_hashes, words
+from .common import LOWER, Scratch, Words, batches, giving_back, partitions, pieces, read_table, spread, text_bytes, word_hashes, words
 from .lookup import bucket_of, questions
 from .substrings import bucket_starts, pack_hashes, unpack_hashes
 
@@ -153,7 +153,8 @@ def exchange(grams: np.ndarray, fixed: dict[int, int], classes: int = CLASSES, r
             m[a] -= right
             m[:, a] -= left
             m[a, a] -= s
-            rows, cols, diag = m.sum(1), m.sum(0), np.diag(m)
+            # class totals with the bigrams that the word has with them: the same wherever it goes
+            rows, cols, diag = m.sum(1) + left, m.sum(0) + right, np.diag(m)
             gain = (_f(m + right) - _f(m)).sum(1) + (_f(m + left[:, None]) - _f(m)).sum(0)
             gain -= _f(diag + right) + _f(diag + left) - 2 * _f(diag)
             gain += _f(diag + right + left + s) - _f(diag)
@@ -182,7 +183,7 @@ def place_rest(train: DataFrame, core: np.ndarray, of: np.ndarray, m: np.ndarray
     sort = np.argsort(core)
     core_sorted = core[sort]
     classes = np.append(of[: len(core)], REST).astype(np.uint8)
-    p = m + SMOOTH * (m.sum(0) / m.sum())
+    p = m + SMOOTH * (m.sum(0) + 1) / (m.sum() + CLASSES)
     p /= p.sum(1, keepdims=True)
     into, out_of = np.log(p).astype(np.float32), np.log(p.T).astype(np.float32)
     into[:, END_CLASS] = -1e9  # the end token's class is its own
@@ -210,6 +211,7 @@ def place_rest(train: DataFrame, core: np.ndarray, of: np.ndarray, m: np.ndarray
                 around.append(press.compress(n.tobytes() + before[at[lo:hi]].tobytes() + after[at[lo:hi]].tobytes()))
             yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([packed[k] for k in some], pa.binary()), pa.array(around, pa.binary())], ["_bucket", "hashes", "around"])
 
+    @giving_back
     def settle(table: pa.Table) -> pa.Table:
         hs, ls, rs, total = [], [], [], []
         for a, b in zip(table.column("hashes"), table.column("around"), strict=True):
@@ -249,12 +251,14 @@ def encode(docs: DataFrame, lexicon: DataFrame, emission: np.ndarray, n: int, v:
     words) and codes (compressed: a byte a token, its class or UNKNOWN, with ONCE added if seen once)."""
     own = docs.withColumn("_block", spread(blocks, "_id", "_text"))
 
+    @giving_back
     def ask(table: pa.Table) -> pa.Table:
         h = np.zeros(0, np.uint64)
         for _, seq, _ in block_tokens(table):
             h = np.union1d(h, seq)
         return questions(h, table.column("_block")[0].as_py(), buckets)
 
+    @giving_back
     def answer(asked: pa.Table, lex: pa.Table) -> pa.Table:
         w = np.asarray(lex.column("w").combine_chunks()).view(np.uint64) if len(lex) else np.zeros(0, np.uint64)
         order = np.argsort(w)
@@ -273,6 +277,7 @@ def encode(docs: DataFrame, lexicon: DataFrame, emission: np.ndarray, n: int, v:
             out.append(press.compress(np.ascontiguousarray(a.astype("<i8").view(np.uint8).reshape(-1, 8).T).tobytes() + b.astype(np.uint8).tobytes()))
         return pa.table({"_block": asked.column("_block").cast(pa.int32()), "_bucket": asked.column("_bucket").cast(pa.int32()), "facts": pa.array(out, pa.binary())})
 
+    @giving_back
     def settle(table: pa.Table, replies: pa.Table) -> pa.Table:
         h = np.zeros(0, np.uint64)
         for _, seq, _ in block_tokens(table):
