@@ -6,9 +6,12 @@ splitting UTF-8 bytes gives the same words as splitting code points.
 
 from __future__ import annotations
 
+import ctypes
+import functools
+import inspect
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -192,6 +195,31 @@ def inside_doc(w: Words, n: int) -> np.ndarray:
     return doc[: max(0, len(doc) - n + 1)] == doc[n - 1 :]
 
 
+_trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+
+
+def give_back() -> None:
+    """Return freed memory to the system: Python workers live on from task to task, and many of them would
+    each keep the most that any task took."""
+    pa.default_memory_pool().release_unused()
+    if _trim:
+        _trim(0)
+
+
+def giving_back(f: Callable) -> Callable:
+    """For functions of groups: memory is given back after each."""
+
+    @functools.wraps(f)
+    def run(*args):
+        try:
+            return f(*args)
+        finally:
+            give_back()
+
+    run.__signature__ = inspect.signature(f)  # Spark looks at the number of arguments
+    return run
+
+
 def batches(it: Iterator[pa.RecordBatch], column: str = "text", limit: int = PIECE_BYTES) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     """Parts of the batches of at most `limit` bytes of text, with their bytes and offsets."""
     for batch in it:
@@ -200,6 +228,7 @@ def batches(it: Iterator[pa.RecordBatch], column: str = "text", limit: int = PIE
         data, off = text_bytes(batch.column(batch.schema.get_field_index(column)))
         for lo, hi in pieces(off, limit):
             yield batch.slice(lo, hi - lo), data[off[lo] : off[hi]], off[lo : hi + 1] - off[lo]
+    give_back()
 
 
 def keep_rows(docs: DataFrame, text_col: str, make) -> DataFrame:

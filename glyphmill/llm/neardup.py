@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER, Scratch, batches, inside_doc, mix, partitions, pieces, read_table, spread, text_bytes, window_hashes, word_hashes, words
+from .common import LOWER, Scratch, batches, giving_back, inside_doc, mix, partitions, pieces, read_table, spread, text_bytes, window_hashes, word_hashes, words
 from .graph import components
 
 LANES, CHUNKS, BITS = 32, 8, 16
@@ -191,6 +191,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # the same join at every size: a small table of tiles would else be broadcast, a large one not
     placed = texts.join(tiles.hint("merge"), "node").withColumn("_bin", spread(bins, "component", "i", "j"))
 
+    @giving_back
     def verify(table: pa.Table) -> pa.Table:
         links: list[tuple[int, int]] = []
         keys = [np.asarray(table.column(c).cast(pa.int64()).combine_chunks()) for c in ("component", "i", "j")]

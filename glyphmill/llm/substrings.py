@@ -29,7 +29,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Words, inside_doc, partitions, pieces, read_table, spread, text_bytes, window_hashes, word_hashes, words
+from .common import Words, giving_back, inside_doc, partitions, pieces, read_table, spread, text_bytes, window_hashes, word_hashes, words
 
 WINDOW = 13
 _NONE = np.iinfo(np.int64).max
@@ -176,6 +176,7 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     # the id and the text both count: copies of an id spread too
     own = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text")).withColumn("_block", spread(blocks, "_id", "_text"))
 
+    @giving_back
     def ask(table: pa.Table) -> pa.Table:
         h, ids = block_hashes(table, window)
         block = table.column("_block")[0].as_py()
@@ -190,6 +191,7 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
             }
         )
 
+    @giving_back
     def answer(table: pa.Table) -> pa.Table:
         each = [(unpack_hashes(a.as_py()), unpack_ids(b.as_py())) for a, b in zip(table.column("hashes"), table.column("ids"), strict=True)]
         h, least = smallest(*(np.concatenate(x) for x in zip(*each, strict=True)))
@@ -202,6 +204,7 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
             }
         )
 
+    @giving_back
     def settle(table: pa.Table, replies: pa.Table) -> pa.Table:
         h, least = block_hashes(table, window)
         at = bucket_starts(h, buckets)
