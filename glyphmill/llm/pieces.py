@@ -38,7 +38,7 @@ SAMPLES = 2
 SEED = 0x51ED2701
 _K = np.uint64(0x9E3779B97F4A7C15)
 #: A task's store of word lattices is emptied when it has more nodes.
-STORE_NODES = 1 << 20
+STORE_NODES = 3 << 19
 #: Bytes of text sampled at once: a path has a number for each of them.
 RUN_BYTES = 1 << 19
 
@@ -51,15 +51,16 @@ def default_model() -> str:
 
 @dataclass
 class Vocabulary:
-    """Pieces as bytes (a space for the mark), their log weights, and a trie over them: `keys` has
-    node * 256 + byte in order, `nodes` where that leads, `piece` the piece that ends at a node or -1."""
+    """Pieces as bytes (a space for the mark), their log weights, and a trie over them: `step` has, by the
+    number of a node's row * 256 + byte, the node that this leads to or -1; `row` the row of a node that
+    leads on, or that of none; `piece` the piece that ends at a node or -1."""
 
     text: list[bytes]
     weight: np.ndarray
     byte_id: np.ndarray
     byte_weight: float
-    keys: np.ndarray
-    nodes: np.ndarray
+    step: np.ndarray
+    row: np.ndarray
     piece: np.ndarray
 
     @classmethod
@@ -89,15 +90,35 @@ class Vocabulary:
                     piece[at] = i
         if (byte_id < 0).any():
             raise ValueError("the vocabulary has no byte pieces")
-        keys = np.array([a * 256 + b for a, b in trie], np.int64)
-        order = np.argsort(keys)
-        return cls(text, weight, byte_id, float(-np.log(n + 1.0)), keys[order], np.array(list(trie.values()), np.int64)[order], np.array(piece, np.int64))
+        inner = sorted({a for a, _ in trie})
+        row = np.full(len(piece), len(inner), np.int32)
+        row[inner] = np.arange(len(inner))
+        step = np.full((len(inner) + 1) * 256, -1, np.int32)
+        for (a, b), to in trie.items():
+            step[row[a] * 256 + b] = to
+        return cls(text, weight, byte_id, float(-np.log(n + 1.0)), step, row, np.array(piece, np.int32))
 
     def decode(self, ids) -> str:
         """The text of ids: the pieces' bytes without the space in front."""
         return b"".join(self.text[i] for i in ids)[1:].decode()
 
 
+class Row:
+    """An array that grows at its end without being copied each time."""
+
+    def __init__(self, kind):
+        self.held, self.n = np.zeros(1 << 12, kind), 0
+
+    def add(self, x: np.ndarray) -> np.ndarray:
+        if self.n + len(x) > len(self.held):
+            held = np.empty(max(self.n + len(x), len(self.held) * 3 // 2), self.held.dtype)
+            held[: self.n] = self.held[: self.n]
+            self.held = held
+        self.held[self.n : self.n + len(x)] = x
+        self.n += len(x)
+        return self.held[: self.n]
+
+
 class Lattices:
     """The lattices of distinct words (a run of spaces and what follows it). Node = number of a byte of
     a stored word; edges in order of their first node: log probability given the node, log of what is
@@ -109,28 +130,25 @@ class Lattices:
 
     def clear(self) -> None:
         self.hash, self.base = np.zeros(0, np.uint64), np.zeros(0, np.int64)
-        self.total = np.zeros(0)
         self.used = 0
-        self.logp, self.rest, self.upto = np.zeros(0), np.zeros(0), np.zeros(0)
-        self.length, self.piece, self.source = np.zeros(0, np.int32), np.zeros(0, np.int32), np.zeros(0, np.int32)
+        self.rows = {"logp": Row(float), "rest": Row(float), "upto": Row(float), "length": Row(np.int32), "piece": Row(np.int32), "source": Row(np.int32)}
+        for name, row in self.rows.items():
+            setattr(self, name, row.held[:0])
 
     def find(self, data: np.ndarray, s: np.ndarray, e: np.ndarray) -> np.ndarray:
         """The first node of each word data[s:e]; words not seen yet are added."""
         if self.used > STORE_NODES:
             self.clear()
         h = span_hashes(data, s, e)
-        own, first, place = np.unique(h, return_index=True, return_inverse=True)
-        at = np.searchsorted(self.hash, own)
-        known = np.zeros(len(own), bool)
-        known[at < len(self.hash)] = self.hash[at[at < len(self.hash)]] == own[at < len(self.hash)]
-        new = np.flatnonzero(~known)
+        at = np.minimum(np.searchsorted(self.hash, h), max(len(self.hash) - 1, 0))
+        new = np.flatnonzero(self.hash[at] != h) if len(self.hash) else np.arange(len(h))
         if len(new):
-            base = self._add(data, s[first[new]], e[first[new]])
-            self.hash = np.concatenate([self.hash, own[new]])
-            self.base = np.concatenate([self.base, base])
-            order = np.argsort(self.hash, kind="stable")
-            self.hash, self.base = self.hash[order], self.base[order]
-        return self.base[np.searchsorted(self.hash, own)][place]
+            own, first = np.unique(h[new], return_index=True)
+            base = self._add(data, s[new[first]], e[new[first]])
+            place = np.searchsorted(self.hash, own)
+            self.hash, self.base = np.insert(self.hash, place, own), np.insert(self.base, place, base)
+            at = np.searchsorted(self.hash, h)
+        return self.base[at]
 
     def _add(self, data: np.ndarray, s: np.ndarray, e: np.ndarray) -> np.ndarray:
         size = e - s
@@ -141,46 +159,54 @@ class Lattices:
         end = np.repeat(base[1:], size)
         head = np.flatnonzero((byte & 0xC0) != 0x80)
         edges = []
-        node, at, length = np.zeros(len(head), np.int64), head, 0
+        node, at, length = np.zeros(len(head), np.int32), head, 0
         spelt = np.zeros(n, bool)
         char = np.ones(n, np.int64)
         char[head] = np.append(head[1:], n)[: len(head)] - head
         char = np.minimum(char, end - np.arange(n))
+        byte_end = np.append(byte, 0).astype(np.int32)
+        stop = end[head]
         while len(at):
-            ok = at + length < end[at]
-            at, node = at[ok], node[ok]
-            key = node * 256 + byte[at + length]
-            k = np.minimum(np.searchsorted(self.v.keys, key), len(self.v.keys) - 1)
-            ok = self.v.keys[k] == key
-            at, node = at[ok], self.v.nodes[k[ok]]
+            node = self.v.step[self.v.row[node] * 256 + byte_end[at + length]]
+            # within the word, and along the trie
+            ok = np.flatnonzero((node >= 0) & (at + length < stop))
+            at, node, stop = at[ok], node[ok], stop[ok]
             length += 1
             piece = self.v.piece[node]
             some = np.flatnonzero(piece >= 0)
-            edges.append((at[some], np.full(len(some), length), piece[some]))
-            spelt[at[some[char[at[some]] == length]]] = True
+            where = at[some]
+            edges.append((where, np.full(len(some), length, np.int32), piece[some]))
+            spelt[where[char[where] == length]] = True
         odd = head[~spelt[head]]
-        edges.append((odd, char[odd], np.full(len(odd), -1)))
+        edges.append((odd, char[odd].astype(np.int32), np.full(len(odd), -1, np.int32)))
         a, length, piece = (np.concatenate(x) for x in zip(*edges, strict=True))
-        order = np.lexsort((length, a))
+        order = np.argsort(a, kind="stable")
         a, length, piece = a[order], length[order], piece[order]
         weight = np.where(piece >= 0, self.v.weight[piece], length * self.v.byte_weight)
         # log of the summed weights from each node to its word's end, by the bytes left, fewest first
-        left = (end[a] - a).astype(np.int64)
+        left = end[a] - a
+        left = left.astype(np.uint16) if len(left) and left.max() < 1 << 16 else left
         beta = np.full(n + 1, -np.inf)
         done = a + length == end[a]
         by = np.argsort(left, kind="stable")
         cut = np.flatnonzero(np.append(True, left[by][1:] != left[by][:-1]))
-        for lo, hi in zip(cut, np.append(cut[1:], len(by)), strict=True):
-            k = by[lo:hi]
-            x = weight[k] + np.where(done[k], 0.0, beta[np.minimum(a[k] + length[k], n)])
-            start = np.flatnonzero(np.append(True, a[k][1:] != a[k][:-1]))
-            most = np.maximum.reduceat(x, start)
-            lift = np.where(np.isfinite(most), most, 0.0)
-            with np.errstate(divide="ignore"):
-                beta[a[k][start]] = lift + np.log(np.add.reduceat(np.exp(x - np.repeat(lift, np.diff(np.append(start, len(k))))), start))
-        logp = weight + np.where(done, 0.0, beta[np.minimum(a + length, n)]) - beta[a]
+        # an edge that ends its word leads to the place after all others, where nothing is left
+        to = np.where(done, n, a + length)
+        beta[n] = 0.0
+        from_, to_, weight_ = a[by], to[by], weight[by]
+        new_node = np.append(True, from_[1:] != from_[:-1])
+        with np.errstate(divide="ignore", invalid="ignore"):
+            for lo, hi in zip(cut, np.append(cut[1:], len(by)), strict=True):
+                x = weight_[lo:hi] + beta[to_[lo:hi]]
+                start = np.flatnonzero(new_node[lo:hi])
+                most = np.maximum.reduceat(x, start)
+                most[most == -np.inf] = 0.0
+                total = np.add.reduceat(np.exp(x - np.repeat(most, np.diff(np.append(start, hi - lo)))), start)
+                beta[from_[lo:hi][start]] = most + np.log(total)
+        logp = weight + beta[to] - beta[a]
         live = np.isfinite(logp)
-        a, length, piece, logp = a[live], length[live], piece[live], logp[live]
+        if not live.all():
+            a, length, piece, logp = a[live], length[live], piece[live], logp[live]
         start = np.flatnonzero(np.append(True, a[1:] != a[:-1]))
         times = np.diff(np.append(start, len(a)))
         p = np.exp(logp)
@@ -194,10 +220,9 @@ class Lattices:
         with np.errstate(divide="ignore"):
             rest = np.log(others)
         shift = self.used
-        self.logp, self.rest = np.concatenate([self.logp, np.minimum(logp, 0.0)]), np.concatenate([self.rest, np.minimum(rest, 0.0)])
-        self.upto = np.concatenate([self.upto, upto + (a + shift)])
-        self.length, self.piece = np.concatenate([self.length, length.astype(np.int32)]), np.concatenate([self.piece, piece.astype(np.int32)])
-        self.source = np.concatenate([self.source, (a + shift).astype(np.int32)])
+        new = {"logp": np.minimum(logp, 0.0), "rest": np.minimum(rest, 0.0), "upto": upto + (a + shift), "length": length, "piece": piece, "source": a + shift}
+        for name, x in new.items():
+            setattr(self, name, self.rows[name].add(x))
         self.used += n
         return base[:-1] + shift
 
@@ -235,7 +260,7 @@ def sample_texts(store: Lattices, data: np.ndarray, off: np.ndarray, seed: np.nd
     start = off[:-1][some]
     byte = np.insert(data, start, 0x20)
     first = np.concatenate([[0], np.cumsum(size + some)])
-    doc_of = np.repeat(np.arange(n), size + some)
+    doc_of = np.repeat(np.arange(n, dtype=np.int32), size + some)
     space = byte == 0x20
     begin = space.copy()
     begin[1:] &= ~space[:-1]
@@ -243,7 +268,6 @@ def sample_texts(store: Lattices, data: np.ndarray, off: np.ndarray, seed: np.nd
     s = np.flatnonzero(begin)
     e = np.append(s[1:], len(byte))
     node0 = store.find(byte, s, e) if len(s) else np.zeros(0, np.int64)
-    word_of = np.cumsum(begin) - 1  # of each byte
     order = np.argsort(node0, kind="stable")
 
     def walk(edge: np.ndarray, sample: int, pos: np.ndarray, node: np.ndarray, end: np.ndarray) -> None:
@@ -331,11 +355,11 @@ def sample_texts(store: Lattices, data: np.ndarray, off: np.ndarray, seed: np.nd
             u = uniform(seed[docs][:, None], j, 3, (spot[docs] - first[docs])[:, None] * 64 + np.arange(wide))
             new = grid[np.arange(len(docs)), np.argmax(lp - np.log(-np.log(u)), 1)]
             edge[spot[docs]] = new
-            word = word_of[spot[docs]]
+            word = np.searchsorted(s, spot[docs], "right") - 1
             pos = spot[docs] + store.length[new]
             on = pos < e[word]
-            later = np.flatnonzero(there[doc_of[s]] & (s > spot[doc_of[s]]))
-            later = later[np.argsort(node0[later], kind="stable")]
+            own = doc_of[s]
+            later = order[(there[own] & (s > spot[own]))[order]]
             walk(edge, j, np.concatenate([pos[on], s[later]]), np.concatenate([(node + store.length[new])[on], node0[later]]), np.concatenate([e[word][on], e[later]]))
         at, doc, before, log_prob = along(edge)
         value = truncated(before + store.rest[edge[at]], best[doc], uniform(seed[doc], j, 1, at - first[doc]))
