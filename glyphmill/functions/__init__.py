@@ -1,0 +1 @@
+"""Column expressions and small helpers that the operators share."""

@@ -1,0 +1 @@
+"""Readers of character-data files, and table sinks."""

@@ -1,0 +1 @@
+"""Nothing yet: the data are files and the queries batches, so there are no stream operators to express."""
