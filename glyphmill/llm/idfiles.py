@@ -70,11 +70,17 @@ class Order0:
             if len(k):
                 self.size[k] = self._quantised(counts[k])
                 self.begin[k] = np.cumsum(self.size[k]) - self.size[k]
-        self.first = np.searchsorted(self.bin, np.arange(BINS))  # falling counts: bins stand in order
-        self.key = self.bin * _TOTAL + self.begin
         self.number = np.zeros(int(ids.max()) + 1 if len(ids) else 1, np.int64)
         self.number[ids] = np.arange(len(ids))
 
+    def by_value(self) -> np.ndarray:
+        """The number at each bin * _TOTAL + value."""
+        out = np.zeros(BINS * _TOTAL, np.uint16 if len(self.ids) <= 1 << 16 else np.uint32)
+        for b in np.unique(self.bin):
+            k = np.flatnonzero(self.bin == b)
+            out[b * _TOTAL : (b + 1) * _TOTAL] = np.repeat(k, self.size[k])
+        return out
+
     @staticmethod
     def _quantised(c: np.ndarray) -> np.ndarray:
         f = np.maximum(1, c * _TOTAL // c.sum())
@@ -102,87 +108,107 @@ class Order0:
 
 
 class Model:
-    """What `lanes` blocks have learnt so far. Ids are numbers of Order0."""
+    """What `lanes` blocks have learnt so far. Ids are numbers of Order0. A slot of order 1 or 2 holds four
+    times the predicted number (-1: none) and how often it was right in a row, capped; `right` the
+    probability, of 2**16, that a prediction is right, by order and that count."""
 
     def __init__(self, lanes: int):
-        self.lane = np.arange(lanes)
-        self.one, self.two = np.full(lanes * SLOTS1, -1, np.int32), np.full(lanes * SLOTS2, -1, np.int32)
-        self.sure1, self.sure2 = np.zeros(lanes * SLOTS1, np.int8), np.zeros(lanes * SLOTS2, np.int8)
-        # right and all predictions by state, of order 1 and 2
-        self.right = np.tile(np.array([1, 8, 12, 14], np.int64), (2, lanes, 1))
-        self.all = np.full((2, lanes, _STATES), 16, np.int64)
-        self.right, self.all = self.right.reshape(2, -1), self.all.reshape(2, -1)
-        self.bins = np.full((lanes, BINS), 4, np.int64)
-        self.upto = np.zeros((lanes, BINS + 1), np.int64)
-        self.a, self.b = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
+        self.tables = [np.full(lanes * n, -_STATES, np.int32) for n in (SLOTS1, SLOTS2)]
+        self.right = [np.tile(np.array([4096, 32768, 49152, 57344], np.int32), lanes) for _ in range(2)]
+        self.bins = np.full(lanes * BINS, 4, np.int32)
+        self.upto = np.zeros((lanes, BINS + 1), np.int32)
+        self.a, self.b = np.zeros(lanes, np.uint32), np.zeros(lanes, np.uint32)
         self.steps = 0
+        self._lanes(lanes)
+
+    def _lanes(self, n: int) -> None:
+        lane = np.arange(n)
+        self.lane1, self.lane2, self.lane_state, self.lane_bin, self.lane_upto = lane * SLOTS1, lane * SLOTS2, lane * _STATES, lane * BINS, lane * (BINS + 1)
 
-    def shrink(self, lanes: int) -> None:
-        """Only the first blocks go on."""
-        n = lanes
-        self.lane = self.lane[:n]
-        self.one, self.two, self.sure1, self.sure2 = self.one[: n * SLOTS1], self.two[: n * SLOTS2], self.sure1[: n * SLOTS1], self.sure2[: n * SLOTS2]
-        self.right, self.all = self.right[:, : n * _STATES].copy(), self.all[:, : n * _STATES].copy()
-        self.bins, self.upto = self.bins[:n].copy(), self.upto[:n].copy()
+    def shrink(self, n: int) -> None:
+        """Only the first n blocks go on."""
+        self.upto = self.upto[:n].copy()
         self.a, self.b = self.a[:n], self.b[:n]
+        self._lanes(n)
 
     def predict(self) -> None:
         """Sets the predicted numbers (p1, p2), and the widths of order 2, order 1 and order 0 (w2, w1, w0)."""
+        n = len(self.a)
         if self.steps % RENEW == 0:
-            part = self.bins * (_FINE - BINS) // self.bins.sum(1, keepdims=True) + 1
-            np.cumsum(part, 1, out=self.upto[:, 1:])
+            count = self.bins[: n * BINS].reshape(n, BINS)
+            np.cumsum(count * (_FINE - BINS) // count.sum(1, keepdims=True) + 1, 1, out=self.upto[:, 1:])
             self.upto[:, BINS] = _FINE
-        self.at1 = self.lane * SLOTS1 + ((self.b * 40503) >> 4) % SLOTS1
-        self.at2 = self.lane * SLOTS2 + ((self.a * 2654435761 + self.b * 40503) >> 7) % SLOTS2
-        self.p1, self.p2 = self.one[self.at1], self.two[self.at2]
-        self.s1 = self.lane * _STATES + self.sure1[self.at1]
-        self.s2 = self.lane * _STATES + self.sure2[self.at2]
-        w2 = self.right[1][self.s2] * (_TOTAL - 2 * _FLOOR) // self.all[1][self.s2]
-        w2[self.p2 < 0] = 0
-        w1 = self.right[0][self.s1] * (_TOTAL - _FLOOR - w2) // self.all[0][self.s1]
-        w1[(self.p1 < 0) | (self.p1 == self.p2)] = 0
+            self.flat = self.upto.ravel()
+        self.at1 = self.lane1 + ((self.b * np.uint32(40503)) >> np.uint32(4)) % np.uint32(SLOTS1)
+        self.at2 = self.lane2 + ((self.a * np.uint32(2654435761) + self.b * np.uint32(40503)) >> np.uint32(7)) % np.uint32(SLOTS2)
+        self.v1, self.v2 = self.tables[0].take(self.at1), self.tables[1].take(self.at2)
+        self.p1, self.p2 = self.v1 >> 2, self.v2 >> 2
+        self.s1, self.s2 = self.lane_state + (self.v1 & 3), self.lane_state + (self.v2 & 3)
+        self.r1, self.r2 = self.right[0].take(self.s1), self.right[1].take(self.s2)
+        w2 = (self.r2 * (_TOTAL // 8 - 2 * _FLOOR // 8)) >> 13
+        w2 *= self.p2 >= 0
+        w1 = (self.r1 * ((_TOTAL - _FLOOR - w2) >> 3)) >> 13
+        w1 *= (self.p1 >= 0) & (self.p1 != self.p2)
         self.w2, self.w1, self.w0 = w2, w1, _TOTAL - w2 - w1
 
     def learn(self, x: np.ndarray, bin_of: np.ndarray) -> None:
-        for order, table, sure, at, p, s in ((0, self.one, self.sure1, self.at1, self.p1, self.s1), (1, self.two, self.sure2, self.at2, self.p2, self.s2)):
+        """x: the numbers (int32) that came, and their bins."""
+        for k, at, v, p, s, r in ((0, self.at1, self.v1, self.p1, self.s1, self.r1), (1, self.at2, self.v2, self.p2, self.s2, self.r2)):
             hit = p == x
-            self.all[order][s] += 1
-            self.right[order][s] += hit
-            now = sure[at]
-            # wrong: a prediction that was right before is kept once more
-            sure[at] = np.where(hit, np.minimum(now + 1, _STATES - 1), np.maximum(now - 1, 0))
-            table[at] = np.where((now == 0) | hit, x, p)
-        self.bins[self.lane, bin_of] += 8
-        self.a, self.b = self.b, x
+            r += ((hit * np.int32(65535)) - r) >> 4
+            self.right[k][s] = r
+            # right: surer by one. Wrong: less sure by one, or the new number where it was not sure at all.
+            sure = v & 3
+            v += np.where(hit, sure < _STATES - 1, -1)
+            fresh = np.flatnonzero(~hit & (sure == 0))
+            v[fresh] = x[fresh] << 2
+            self.tables[k][at] = v
+        self.bins[self.lane_bin + bin_of] += 8
+        self.a, self.b = self.b, x.astype(np.uint32)
         self.steps += 1
 
 
-class Encoder:
-    """A carry-free range coder per lane: 64 bits, 32 of them written at a time."""
+class Coder:
+    """The interval of a carry-free range coder per lane: 64 bits, 32 of them passed at a time."""
 
     def __init__(self, lanes: int):
         self.low, self.range = np.zeros(lanes, np.uint64), np.full(lanes, 2**64 - 1, np.uint64)
-        self.out: list[tuple[np.ndarray, np.ndarray]] = []
 
-    def put(self, begin: np.ndarray, size: np.ndarray, only: np.ndarray | None = None) -> None:
-        """Narrow to [begin, begin + size) of _TOTAL, in the lanes `only`."""
-        k = slice(None) if only is None else only
-        r = self.range[k] >> np.uint64(16)
-        low = self.low[k] + r * begin.astype(np.uint64)
-        r *= size.astype(np.uint64)
+    def narrow(self, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """To [begin, begin + size) of _TOTAL; the lanes that pass 32 bits, whose interval is moved on by
+        `move` after that."""
+        n = len(begin)
+        r = self.range[:n]
+        r >>= np.uint64(16)
+        self.low[:n] += r * begin.view(np.uint64)
+        r *= size.view(np.uint64)
         small = np.flatnonzero(r < np.uint64(1 << 32))
         if len(small):
-            lo, ra = low[small], r[small]
+            lo, ra = self.low[small], r[small]
+            # an interval across a multiple of 2**32 is cut there
             open_ = (lo ^ (lo + ra - np.uint64(1))) >> np.uint64(32) != 0
             ra[open_] = np.uint64(1 << 32) - (lo[open_] & _LOW)
-            lane = small if only is None else only[small]
-            self.out.append((lane, (lo >> np.uint64(32)).astype("<u4")))
-            low[small], r[small] = lo << np.uint64(32), ra << np.uint64(32)
-        self.low[k], self.range[k] = low, r
+            r[small] = ra << np.uint64(32)
+        return small
+
+    def move(self, small: np.ndarray) -> None:
+        self.low[small] <<= np.uint64(32)
+
+
+class Encoder(Coder):
+    def __init__(self, lanes: int):
+        super().__init__(lanes)
+        self.out: list[tuple[np.ndarray, np.ndarray]] = []
 
-    def finish(self, lanes: int) -> list[bytes]:
+    def put(self, begin: np.ndarray, size: np.ndarray) -> None:
+        small = self.narrow(begin, size)
+        if len(small):
+            self.out.append((small, (self.low[small] >> np.uint64(32)).astype("<u4")))
+            self.move(small)
+
+    def finish(self) -> list[bytes]:
+        lanes = len(self.low)
         every = np.arange(lanes)
-        # the top of low + 2**32 - 1 lies in the range whatever follows, or low itself does
         tail = [(every, (self.low >> np.uint64(32)).astype("<u4")), (every, (self.low & _LOW).astype("<u4"))]
         lane = np.concatenate([x for x, _ in [*self.out, *tail]])
         word = np.concatenate([x for _, x in [*self.out, *tail]])
@@ -192,41 +218,27 @@ class Encoder:
         return [raw[4 * a : 4 * b] for a, b in zip(cut[:-1], cut[1:], strict=True)]
 
 
-class Decoder:
+class Decoder(Coder):
     def __init__(self, blocks: list[bytes]):
-        lanes = len(blocks)
+        super().__init__(len(blocks))
         size = np.array([len(b) // 4 for b in blocks])
         self.word = np.concatenate([np.frombuffer(b"".join(blocks), "<u4").astype(np.uint64), np.zeros(4, np.uint64)])
-        self.at = np.cumsum(size) - size
-        self.low, self.range = np.zeros(lanes, np.uint64), np.full(lanes, 2**64 - 1, np.uint64)
-        self.code = (self.word[self.at] << np.uint64(32)) | self.word[self.at + 1]
-        self.at = self.at + 2
+        at = np.cumsum(size) - size
+        self.code = (self.word[at] << np.uint64(32)) | self.word[at + 1]
+        self.at = at + 2
 
-    def shrink(self, n: int) -> None:
-        self.low, self.range, self.code, self.at = self.low[:n], self.range[:n], self.code[:n], self.at[:n]
-
-    def value(self, only: np.ndarray | None = None) -> np.ndarray:
-        """Where in _TOTAL the code stands."""
-        k = slice(None) if only is None else only
-        v = (self.code[k] - self.low[k]) // (self.range[k] >> np.uint64(16))
-        return np.minimum(v, np.uint64(_TOTAL - 1)).astype(np.int64)
-
-    def take(self, begin: np.ndarray, size: np.ndarray, only: np.ndarray | None = None) -> None:
-        k = slice(None) if only is None else only
-        r = self.range[k] >> np.uint64(16)
-        low = self.low[k] + r * begin.astype(np.uint64)
-        r *= size.astype(np.uint64)
-        small = np.flatnonzero(r < np.uint64(1 << 32))
+    def value(self, n: int) -> np.ndarray:
+        """Where in _TOTAL the codes of the first n lanes stand."""
+        v = (self.code[:n] - self.low[:n]) // (self.range[:n] >> np.uint64(16))
+        return np.minimum(v, np.uint64(_TOTAL - 1)).view(np.int64)
+
+    def take(self, begin: np.ndarray, size: np.ndarray) -> None:
+        small = self.narrow(begin, size)
         if len(small):
-            lo, ra = low[small], r[small]
-            open_ = (lo ^ (lo + ra - np.uint64(1))) >> np.uint64(32) != 0
-            ra[open_] = np.uint64(1 << 32) - (lo[open_] & _LOW)
-            lane = small if only is None else only[small]
-            at = np.minimum(self.at[lane], len(self.word) - 1)
-            self.code[lane] = (self.code[lane] << np.uint64(32)) | self.word[at]
-            self.at[lane] += 1
-            low[small], r[small] = lo << np.uint64(32), ra << np.uint64(32)
-        self.low[k], self.range[k] = low, r
+            at = np.minimum(self.at[small], len(self.word) - 1)
+            self.code[small] = (self.code[small] << np.uint64(32)) | self.word[at]
+            self.at[small] += 1
+            self.move(small)
 
 
 def encode_blocks(numbers: np.ndarray, o: Order0) -> list[bytes]:
@@ -235,33 +247,31 @@ def encode_blocks(numbers: np.ndarray, o: Order0) -> list[bytes]:
     lanes = -(-n // BLOCK)
     if not lanes:
         return []
-    grid = np.zeros(lanes * BLOCK, np.int64)
+    grid = np.zeros(lanes * BLOCK, np.int32)
     grid[:n] = numbers
     # a step's ids side by side; the last block may be shorter
     grid = np.ascontiguousarray(grid.reshape(lanes, BLOCK).T)
     last = n - (lanes - 1) * BLOCK
     m, coder = Model(lanes), Encoder(lanes)
-    everywhere = np.arange(lanes)
     for t in range(min(BLOCK, n)):
         if t == last:
             lanes -= 1
             m.shrink(lanes)
-            everywhere = everywhere[:lanes]
         x = grid[t, :lanes]
-        whole = lanes == len(coder.low)
         m.predict()
-        b = o.bin[x]
-        two, one = x == m.p2, x == m.p1
-        lo, hi = m.upto[m.lane, b], m.upto[m.lane, b + 1]
-        start = m.w0 * lo >> 12
-        begin = np.where(two & (m.w2 > 0), 0, np.where(one & (m.w1 > 0), m.w2, m.w2 + m.w1 + start))
-        size = np.where(two & (m.w2 > 0), m.w2, np.where(one & (m.w1 > 0), m.w1, (m.w0 * hi >> 12) - start))
-        coder.put(begin, size, None if whole else everywhere)
-        rest = np.flatnonzero(~((two & (m.w2 > 0)) | (one & (m.w1 > 0))))
-        if len(rest):
-            coder.put(o.begin[x[rest]], o.size[x[rest]], rest)
+        b = o.bin.take(x)
+        at = m.lane_upto + b
+        lo = (m.w0 * m.flat.take(at)) >> 12
+        begin, size = m.w2 + m.w1 + lo, ((m.w0 * m.flat.take(at + 1)) >> 12) - lo
+        begin, size = begin.astype(np.int64), size.astype(np.int64)
+        inner, wide = o.begin.take(x), o.size.take(x)
+        for hit, at_, w in ((np.flatnonzero((x == m.p1) & (m.w1 > 0)), m.w2, m.w1), (np.flatnonzero((x == m.p2) & (m.w2 > 0)), None, m.w2)):
+            begin[hit] = 0 if at_ is None else at_[hit]
+            size[hit], inner[hit], wide[hit] = w[hit], 0, _TOTAL
+        coder.put(begin, size)
+        coder.put(inner, wide)
         m.learn(x, b)
-    return coder.finish(-(-n // BLOCK))
+    return coder.finish()
 
 
 def decode_blocks(blocks: list[bytes], lengths: np.ndarray, o: Order0) -> np.ndarray:
@@ -269,36 +279,38 @@ def decode_blocks(blocks: list[bytes], lengths: np.ndarray, o: Order0) -> np.nda
     lanes = len(blocks)
     if not lanes:
         return np.zeros(0, np.int64)
-    grid = np.zeros((BLOCK, lanes), np.int64)
+    grid = np.zeros((BLOCK, lanes), np.int32)
     total, last = lanes, int(lengths[-1])
-    m, coder = Model(lanes), Decoder(blocks)
+    m, coder, by_value = Model(lanes), Decoder(blocks), o.by_value()
     for t in range(int(lengths.max())):
         if t == last:
             lanes -= 1
             m.shrink(lanes)
-            coder.shrink(lanes)
         m.predict()
-        v = coder.value()
-        two = v < m.w2
-        one = ~two & (v < m.w2 + m.w1)
+        if m.steps % RENEW == 0 or t == last:
+            edges = m.upto[:, 1:BINS].astype(np.uint16)
+        v = coder.value(lanes)
         y = v - m.w2 - m.w1
-        edges = m.w0[:, None] * m.upto[:, 1:BINS] >> 12
-        b = (edges <= y[:, None]).sum(1)
-        start = m.w0 * m.upto[m.lane, b] >> 12
-        begin = np.where(two, 0, np.where(one, m.w2, m.w2 + m.w1 + start))
-        size = np.where(two, m.w2, np.where(one, m.w1, (m.w0 * m.upto[m.lane, b + 1] >> 12) - start))
+        # w0 * edge >> 12 <= y as a test of the edge
+        most = np.clip(((y + 1) * _FINE - 1) // m.w0, -1, _FINE)
+        b = (edges <= np.maximum(most, 0).astype(np.uint16)[:, None]).sum(1)
+        at = m.lane_upto + b
+        lo = (m.w0 * m.flat.take(at)) >> 12
+        begin, size = (m.w2 + m.w1 + lo).astype(np.int64), (((m.w0 * m.flat.take(at + 1)) >> 12) - lo).astype(np.int64)
+        one, two = np.flatnonzero(y < 0), np.flatnonzero(v < m.w2)
+        begin[one], size[one] = m.w2[one], m.w1[one]
+        begin[two], size[two] = 0, m.w2[two]
         coder.take(begin, size)
-        x = np.where(two, m.p2, m.p1).astype(np.int64)
-        rest = np.flatnonzero(~(two | one))
-        if len(rest):
-            u = coder.value(rest)
-            k = np.searchsorted(o.key, b[rest] * _TOTAL + u, "right") - 1
-            x[rest] = k
-            coder.take(o.begin[k], o.size[k], rest)
-        grid[t, :lanes] = x
-        m.learn(x, o.bin[x])
+        u = coder.value(lanes)
+        k = by_value.take(b * _TOTAL + u).astype(np.int32)
+        inner, wide = o.begin.take(k, mode="clip"), o.size.take(k, mode="clip")
+        k[one], k[two] = m.p1[one], m.p2[two]
+        inner[one], wide[one] = 0, _TOTAL
+        coder.take(inner, wide)
+        grid[t, :lanes] = k
+        m.learn(k, o.bin.take(k, mode="clip"))
     out = grid.T.reshape(-1)
-    return out[: (total - 1) * BLOCK + last]
+    return out[: (total - 1) * BLOCK + last].astype(np.int64)
 
 
 # ---------------------------------------------------------------- files
@@ -388,6 +400,11 @@ class Tokens:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        # a byte-level piece has a character for each of its bytes
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=False)
+        self.length = np.zeros(max(vocabulary.values(), default=0) + 1, np.int64)
+        for text, i in vocabulary.items():
+            self.length[i] = len(text)
         self.clear()
 
     def clear(self) -> None:
@@ -427,17 +444,39 @@ class Tokens:
         out[np.repeat(place, times) + inside] = self.ids[np.repeat(self.begin[slot], times) + inside]
         return out, count
 
+    def _encode(self, data: np.ndarray, s: np.ndarray, e: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of distinct parts, and how many each has. Parts that begin with their space are encoded
+        many at once, one after the other - the tokenizer parts them - and their ids told apart by bytes."""
+        raw = data.tobytes()
+        own = e - s
+        led = (data[s] == 0x20) & (own > 1)
+        led[led] &= _SEEN[data[s[led] + 1]] & (data[e[led] - 1] > 32) & (data[e[led] - 1] != 0x7F)
+        led[led] &= (data[e[led] - 1] < 0x80) | (data[np.maximum(e[led] - 2, 0)] == 0xC3)
+        order = np.concatenate([np.flatnonzero(led), np.flatnonzero(~led)])
+        n = int(led.sum())
+        texts = []
+        for lo in range(0, n, 4096):
+            texts.append(b"".join([raw[a:b] for a, b in zip(s[order[lo : min(lo + 4096, n)]].tolist(), e[order[lo : min(lo + 4096, n)]].tolist(), strict=True)]).decode())
+        texts += [raw[a:b].decode() for a, b in zip(s[order[n:]].tolist(), e[order[n:]].tolist(), strict=True)]
+        got = [np.array(x.ids, np.int32) for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        flat = np.concatenate(got) if got else np.zeros(0, np.int32)
+        # ids' bytes add up to the parts' bytes, in order
+        upto = np.concatenate([[0], np.cumsum(self.length[flat])])
+        cut = np.searchsorted(upto, np.concatenate([[0], np.cumsum(own[order])]))
+        if upto[-1] != own.sum() or (upto[cut[1:]] != np.cumsum(own[order])).any():
+            raise ValueError("the tokenizer's ids don't spell the texts")
+        begin, count = np.empty(len(s), np.int64), np.empty(len(s), np.int64)
+        begin[order], count[order] = cut[:-1], np.diff(cut)
+        at = np.repeat(begin - (np.cumsum(count) - count), count) + np.arange(int(count.sum()))
+        return flat[at], count
+
     def _slots(self, data: np.ndarray, s: np.ndarray, e: np.ndarray) -> np.ndarray:
         own, first, place = np.unique(span_hashes(data, s, e), return_index=True, return_inverse=True)
         at = np.minimum(np.searchsorted(self.hash, own), max(len(self.hash) - 1, 0))
         known = self.hash[at] == own if len(self.hash) else np.zeros(len(own), bool)
         new = np.flatnonzero(~known)
         if len(new):
-            raw = data.tobytes()
-            texts = [raw[a:b].decode() for a, b in zip(s[first[new]].tolist(), e[first[new]].tolist(), strict=True)]
-            ids = [x.ids for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-            size = np.array([len(x) for x in ids], np.int64)
-            flat = np.fromiter((i for x in ids for i in x), np.int32, int(size.sum()))
+            flat, size = self._encode(data, s[first[new]], e[first[new]])
             slots = np.arange(len(new)) + len(self.begin) - 1
             self.ids = np.concatenate([self.ids, flat])
             self.begin = np.concatenate([self.begin, self.begin[-1] + np.cumsum(size)])
