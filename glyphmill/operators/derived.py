@@ -92,6 +92,11 @@ def unihan_source(unihan: DataFrame) -> DataFrame:
     return unihan.where(s != "").select("UCS", s.alias("source"), "value")
 
 
+def unihan_each(unihan: DataFrame, properties: Sequence[str]) -> DataFrame:
+    """(UCS, property, i, value): the parts of space-delimited properties, numbered from 1."""
+    return split_rows(unihan.where(F.col("property").isin(*properties)), "value", " ", "value", "i").select("UCS", "property", "i", "value")
+
+
 def value_references(c: Column | str) -> Column:
     """The characters that a text refers to, distinct: those over U+00FF in it and those it names U+XXXX."""
     c = F.col(c) if isinstance(c, str) else c

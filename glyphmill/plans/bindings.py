@@ -450,6 +450,115 @@ def catalog(spark: SparkSession) -> dict[str, DataFrame]:
     )
 
 
+def text_table(spark: SparkSession, names, rows) -> DataFrame:
+    return spark.createDataFrame(rows, files.text_schema(names))
+
+
+def full_catalog(spark: SparkSession) -> dict[str, DataFrame]:
+    """A few rows of every relation of the catalog."""
+    make, t = spark.createDataFrame, dict(catalog(spark))
+    plain = [c for c in files.MJI if c not in files.MJI_NUMBERS]
+    one = {"MJ文字図形名": "MJ1", "対応するUCS": "漢", "実装したUCS": "漢"}
+    t["mji"] = text_table(spark, plain, [tuple(one.get(c) for c in plain)]).withColumns({c: F.lit(13 if c == "総画数" else None).cast("long") for c in files.MJI_NUMBERS}).select(*files.MJI)
+    t["mji_reading"] = text_table(spark, ("MJ文字図形名", "読み"), [("MJ1", "カン"), ("MJ1", "から")])
+    t["mji_by_reading"] = t["mji"].select("MJ文字図形名", "対応するUCS").join(t["mji_reading"], "MJ文字図形名")
+    t["mji_rsindex"] = make([("MJ1", 85, 10)], "`MJ文字図形名` string, `部首` long, `内画数` long")
+    t["mji_changelog"] = text_table(spark, ("MJ文字図形名", "更新履歴"), [("MJ1", "2010")])
+    t["mjsm"] = make([("MJ1", "汉", "辞書類等による関連字", None, None), ("MJ1", "灘", "戸籍統一文字情報_親字正字", None, 2), ("MJ1", "英", "法務省告示582号別表第四_一", 1, None)], "`MJ文字図形名` string, `縮退UCS` string, `表` string, `順位` int, `ホップ数` int")
+    t["aj1"] = make([(1533, "漢", 0, 1, 1, 1, 1), (9999, "漢", 1, 1, 0, 0, 0)], "CID int, UCS string, vertical int, UniJIS int, UniJIS2004 int, UniJISX0213 int, UniJISX02132004 int")
+    t["svs_cjkci"] = make([("漢\ufe00", "\ufa47")], "SVS string, CJKCI string")
+    t["joyo"] = text_table(spark, ("漢字", "音訓", "例", "備考"), [("漢", "カン", '["漢字","漢語"]', None)])
+    t["joyo_kangxi"] = text_table(spark, ("漢字", "康熙字典体"), [("乗", "乘"), ("漢", "\ufa47")])
+    t["doon"] = text_table(spark, files.DOON, [("漢", "汗", "a", "b", "c"), ("漢", "汗", "d", "e", "f")])
+    t["nyukan"] = make([("類字", "6F22", "漢", "6C49", "汉", 1)], "`正字の種類` string, `簡体字等の文字コード等` string, `簡体字等のUCS` string, `正字の文字コード等` string, `正字のUCS` string, `順位` int")
+    t["tghb"] = make([("0001", "汉", 1, 5, None)], "`序号` string, `规范字` string, `级` int, `笔画` int, `註解` string")
+    t["tghb_variants"] = text_table(spark, files.TGHB_VARIANTS, [("0001", "汉", "漢", "漢", None), ("0001", "汉", "漢", "熯", None)])
+    t["mjih"] = text_table(spark, "MJ文字図形名 文字 CharacterName UCS符号位置 字母 字母のUCS符号位置 戸籍統一文字番号 学術用変体仮名番号 国語研URL 備考".split(), [("MJ9", "𛀂", "n", None, "漢", None, None, None, None, None)])
+    t["mjih_phonetic"] = text_table(spark, ("MJ文字図形名", "文字", "音価"), [("MJ9", "𛀂", "か")])
+    return t
+
+
+# The character's other fields, as the catalog's rows say.
+_FIELDS = {
+    "aj1": '{"CID":1533,"jp90":1533,"jp90_V":9999,"jp04":1533,"jp04_V":null,"mac_jp90":1533,"mac_jp90_V":null,"mac_jp04":1533,"mac_jp04_V":null}',
+    "svs_cjkci": '[{"SVS_char":"漢\ufe00","SVS":"6F22_FE00","CJKCI_char":"\ufa47","CJKCI":"U+FA47"}]',
+    "joyo": '[{"音訓":"カン","例":["漢字","漢語"],"備考":null}]',
+    "joyo_kangxi": '["\ufa47"]',
+    "joyo_kangxi_inverse": "[]",
+    "doon": '[{"書きかえる漢語":"a","書きかえた漢語":"b","採用した文書":"c"},{"書きかえる漢語":"d","書きかえた漢語":"e","採用した文書":"f"}]',
+    "nyukan": '[{"正字の種類":"類字","簡体字等の文字コード等":"6F22","簡体字等のUCS":"漢","正字の文字コード等":"6C49","正字のUCS":"汉","順位":1}]',
+    "tghb": '[{"序号":"0001","规范字":"汉","级":1,"笔画":5,"註解":null,"异体字":[{"繁体字":"漢","异体字":"漢","註解":null},{"繁体字":"漢","异体字":"熯","註解":null}]}]',
+    "mjih": '[{"MJ文字図形名":"MJ9","文字":"𛀂","CharacterName":"n","UCS符号位置":null,"字母":"漢","字母のUCS符号位置":null,"音価":["か"],"戸籍統一文字番号":null,"学術用変体仮名番号":null,"国語研URL":null,"備考":null}]',
+    "unihan": '{"kMorohashi":"18068","kRSAdobe_Japan1_6":"C+1533+85.3.10","kRSUnicode":"85.11","kTotalStrokes":"14 13"}',
+    "unihan_variant_inverse": "[]",
+    "unihan_fts": "[]",
+}
+
+
+@query("SELECT * FROM (VALUES " + ", ".join(f"('{f}', '{v}')" for f, v in _FIELDS.items()) + ") AS v(field, value)")
+def document_fields(spark, sf_dir):
+    """One field of the document a row."""
+    t, chars = full_catalog(spark), spark.createDataFrame([("漢",)], "char string")
+    out = None
+    for name in _FIELDS:
+        d = docs.character_documents(t, chars, [name])
+        row = d.select(F.lit(name).alias("field"), F.regexp_replace("document", rf'^\{{"{name}":(.*)\}}$', "$1").alias("value"))
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
+_INVERSE = '[{"表":"辞書類等による関連字","文字":"漢","MJ文字図形名":"MJ1","対応するUCS":"U+6F22","実装したUCS":"U+6F22","実装したMoji_JohoコレクションIVS":null,"実装したSVS":null}]'
+
+
+@query(f"SELECT '汉' AS char, '{{\"mjsm_inverse\":{_INVERSE}}}' AS document")
+def document_inverse(spark, sf_dir):
+    return docs.character_documents(full_catalog(spark), spark.createDataFrame([("汉",)], "char string"), ["mjsm_inverse"])
+
+
+@query("SELECT '総画数' AS k, '13' AS v UNION ALL SELECT '部首・内画数', '[[85,10,\"水\"]]' UNION ALL SELECT '読み', '[\"から\",\"カン\"]' UNION ALL SELECT '文字', '漢' UNION ALL SELECT '更新履歴', '[\"2010\"]'")
+def document_mji(spark, sf_dir):
+    """Some keys of the 29 of the character list's entry."""
+    d = docs.character_documents(full_catalog(spark), spark.createDataFrame([("漢",)], "char string"), ["mji"])
+    keys = ["総画数", "部首・内画数", "読み", "文字", "更新履歴"]
+    pairs = F.explode(F.array(*(F.struct(F.lit(k).alias("k"), F.get_json_object("document", f"$.mji[0]['{k}']").alias("v")) for k in keys))).alias("p")
+    return d.select(pairs).select("p.k", "p.v")
+
+
+_EDGES = [
+    ("线", "線", "kTraditionalVariant"), ("说", "說", "kSemanticVariant"), ("说", "説", "kSemanticVariant"), ("乗", "乗", "kJoyoKanji"), ("亘", "亙", "kJinmeiyoKanji"), ("漢", "汉", "辞書類等による関連字"),
+    ("漢", "汉", "入管正字_類字_第1順位"), ("漢", "汗", "同音の漢字による書きかえ"), ("乘", "乗", "常用漢字表_新字体"), ("\ufa47", "漢", "常用漢字表_新字体"), ("一", "壱", "cjkvi/duplicate"),
+    ("熯", "漢", "tghb_异体字"), ("漢", "汉", "tghb_规范字"), ("漢", "汉", "tghb_规范字"),
+]
+
+
+@query("SELECT * FROM (VALUES " + ", ".join(f"('{a}', '{b}', '{r}')" for a, b, r in _EDGES) + ") AS v(c1, c2, r) UNION ALL SELECT '丂', 'x', 'kStrange_I' WHERE false")
+def variant_edges(spark, sf_dir):
+    return graph.edges(full_catalog(spark))
+
+
+@query("SELECT * FROM (VALUES ('汉', '漢', 'tghb_规范字')) AS v(c2, c1, r) WHERE false UNION ALL SELECT '汉', '漢', 'kept'")
+def variant_map_rows(spark, sf_dir):
+    """The decomposition's map of radical forms and z-variants, as rows."""
+    unihan = spark.createDataFrame([("漢", "kZVariant", "U+6C49")], "UCS string, property string, value string")
+    kdpv = spark.createDataFrame([("王", "cjkvi/radical-variant", "王", None), ("水", "cjkvi/radical-variant", "氵", "partial")], "subject string, rel string, object string, comment string")
+    rows = [(v, k, "kept") for k, vs in S.variant_map(unihan, kdpv).items() for v in vs if v != k]
+    return spark.createDataFrame(rows, "c2 string, c1 string, r string")
+
+
+@query("SELECT * FROM (VALUES ('漢', 'kTotalStrokes', 1, '14'), ('漢', 'kTotalStrokes', 2, '13'), ('一', 'kTotalStrokes', 1, '1')) AS v(\"UCS\", property, i, value)")
+def property_parts(spark, sf_dir):
+    return D.unihan_each(han(spark), ["kTotalStrokes"])
+
+
+@query("SELECT * FROM (VALUES ('漢', 13), ('漢', 14)) AS v(r, n) WHERE n = 13")
+def character_search(spark, sf_dir):
+    """A search of the character registry: strokes of either source, and a dictionary entry."""
+    from ..operators.properties import character_registry
+
+    t = full_catalog(spark)
+    return character_registry().search(t, ["totalStrokes.ge", "unihan.kMorohashi.has", "mji.読み.prefix"], ["13", "", "カ"]).withColumn("n", F.lit(13))
+
+
 _DOCUMENTS = {
     "漢": '{"char":"漢","UCS":"U+6F22","ids":[{"IDS":"⿰氵𦰩","source":"G"}],"ids_comment":["x"],"ivs":[],"joyo_kangxi":[],"kdpv":{},"unihan_rs":{"kRSAdobe_Japan1_6":[[85,10,"水",3,"CID+1533"]],"kRSUnicode":[[85,11,"水","85"]]}}',
     "一": '{"char":"一","UCS":"U+4E00","ids":[],"ids_comment":[],"ivs":[{"char":"一󠄀","IVS":"4E00_E0100","collection":"ExampleCollection","code":"CID+1200"},{"char":"一󠄁","IVS":"4E00_E0101","collection":"ExampleCollection","code":"CID+1200"}],"joyo_kangxi":[],"kdpv":{"cjkvi/duplicate":["壱"],"jp/new-style":["弌"]},"unihan_rs":{"kRSAdobe_Japan1_6":null,"kRSUnicode":null}}',

@@ -186,6 +186,11 @@ def unihan(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     return lines(spark, paths).select(*fields("\t", ("c", "property", "value"))).select(X.u_char("c").alias("UCS"), "property", "value").dropna()
 
 
+def space_delimited(metadata: str) -> list[str]:
+    """Names of the properties whose values are lists, of the property metadata's JSON text."""
+    return [p["Property"] for p in json.loads(metadata) if p.get("Delimiter") == "space"]
+
+
 # ------------------------------------------------------------- trees, with files laid over each other
 
 
