@@ -38,7 +38,7 @@ SAMPLES = 2
 SEED = 0x51ED2701
 _K = np.uint64(0x9E3779B97F4A7C15)
 #: A task's store of word lattices is emptied when it has more nodes.
-STORE_NODES = 3 << 19
+STORE_NODES = 5 << 18
 #: Bytes of text sampled at once: a path has a number for each of them.
 RUN_BYTES = 1 << 19
 
@@ -111,7 +111,7 @@ class Row:
 
     def add(self, x: np.ndarray) -> np.ndarray:
         if self.n + len(x) > len(self.held):
-            held = np.empty(max(self.n + len(x), len(self.held) * 3 // 2), self.held.dtype)
+            held = np.empty(max(self.n + len(x), len(self.held) * 9 // 8), self.held.dtype)
             held[: self.n] = self.held[: self.n]
             self.held = held
         self.held[self.n : self.n + len(x)] = x
@@ -131,7 +131,7 @@ class Lattices:
     def clear(self) -> None:
         self.hash, self.base = np.zeros(0, np.uint64), np.zeros(0, np.int64)
         self.used = 0
-        self.rows = {"logp": Row(float), "rest": Row(float), "upto": Row(float), "length": Row(np.int32), "piece": Row(np.int32), "source": Row(np.int32)}
+        self.rows = {"logp": Row(float), "rest": Row(np.float32), "upto": Row(float), "length": Row(np.int16), "piece": Row(np.int32), "source": Row(np.int32)}
         for name, row in self.rows.items():
             setattr(self, name, row.held[:0])
 
@@ -356,7 +356,7 @@ def sample_texts(store: Lattices, data: np.ndarray, off: np.ndarray, seed: np.nd
             new = grid[np.arange(len(docs)), np.argmax(lp - np.log(-np.log(u)), 1)]
             edge[spot[docs]] = new
             word = np.searchsorted(s, spot[docs], "right") - 1
-            pos = spot[docs] + store.length[new]
+            pos = spot[docs] + store.length[new].astype(np.int64)
             on = pos < e[word]
             own = doc_of[s]
             later = order[(there[own] & (s > spot[own]))[order]]
