@@ -45,20 +45,34 @@ def shared_dir(spark: SparkSession) -> str:
     return path
 
 
+_roots: list[str] = []
+
+
 class Scratch:
-    """Tables written once to the shared folder, so that losing an executor costs no lineage."""
+    """Tables written once to the shared folder, so that losing an executor costs no lineage. They stay
+    there, since results read them, until clear_scratch is called."""
 
     def __init__(self, spark: SparkSession):
         self.spark, self.root = spark, f"{shared_dir(spark).rstrip('/')}/glyphmill-{uuid.uuid4().hex}"
+        _roots.append(self.root)
 
     def put(self, df: DataFrame, name: str) -> DataFrame:
         df.write.mode("overwrite").option("compression", "zstd").parquet(f"{self.root}/{name}")
         return self.spark.read.schema(df.schema).parquet(f"{self.root}/{name}")
 
     def drop(self, name: str) -> None:
-        jvm = self.spark.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
-        path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        _delete(self.spark, f"{self.root}/{name}")
+
+
+def _delete(spark: SparkSession, uri: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(uri)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Delete all that operators have written for themselves, once their results are saved."""
+    while _roots:
+        _delete(spark, _roots.pop())
 
 
 def partitions(spark: SparkSession) -> int:
