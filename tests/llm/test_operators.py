@@ -469,3 +469,24 @@ def test_damage_is_found():
         bad[at] ^= 0x10
         with pytest.raises(ValueError):
             idfiles.IdFile(bytes(bad)).read()
+
+
+# ------------------------------------------------------------- tasks without a word
+
+
+@pytest.mark.parametrize("texts", [[None], [""], [None, "", None], [" \n"], ["", "one"], ["\n\n", "é"]])
+def test_tasks_without_words(spark, tmp_path, texts):
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    n = len(texts)
+    bench = spark.createDataFrame([(0, "alpha beta gamma delta"), (1, None)], "item_id long, text string")
+    assert decontaminate.find_leaks(df, bench).count() == 0 and decontaminate.drop_leaks(df, bench).count() == n
+    assert [r.kept_text for r in substrings.dedup_substrings(df).orderBy("doc_id").collect()] == [" ".join(WORDS.findall(t or "")) for t in texts]
+    assert [r.kept for r in neardup.near_duplicates(df).collect()] == [True] * n
+    assert [r.text for r in privacy.pseudonymise(df).orderBy("doc_id").collect()] == texts
+    assert licences.find_licences(df).count() == 0
+    assert [r.n_tokens for r in brown.score_texts(df).orderBy("doc_id").collect()] == [len(WORDS.findall(t or "")) + 1 for t in texts]
+    assert {r.doc_id for r in pieces.sample_segmentations(df).collect()} == set(range(n))
+    got = rules.judge(df, None).orderBy("doc_id").collect()
+    assert [tuple(r[c] for c in rules.BASE) for r in got] == [brute_rules(t) for t in texts] and not any(r.kept for r in got)
+    folder = f"file://{tmp_path}/ids"
+    assert sorted(r.doc_id for r in idfiles.read_ids(spark, folder, idfiles.write_ids(df, folder, files=1)).collect()) == list(range(n))
