@@ -24,6 +24,7 @@ are not read. A damaged block or head is reported by number, never decoded.
 
 from __future__ import annotations
 
+import functools
 import json
 import os
 import struct
@@ -119,6 +120,8 @@ class Model:
         self.upto = np.zeros((lanes, BINS + 1), np.int32)
         self.a, self.b = np.zeros(lanes, np.uint32), np.zeros(lanes, np.uint32)
         self.steps = 0
+        # bins of the ids since they were last counted; nothing of blocks that have ended is left in it
+        self.came = np.zeros((RENEW, lanes), np.int64)
         self._lanes(lanes)
 
     def _lanes(self, n: int) -> None:
@@ -135,12 +138,14 @@ class Model:
         """Sets the predicted numbers (p1, p2), and the widths of order 2, order 1 and order 0 (w2, w1, w0)."""
         n = len(self.a)
         if self.steps % RENEW == 0:
+            if self.steps:
+                self.bins[: n * BINS] += (8 * np.bincount(self.came[:, :n].ravel(), minlength=n * BINS)[: n * BINS]).astype(np.int32)
             count = self.bins[: n * BINS].reshape(n, BINS)
             np.cumsum(count * (_FINE - BINS) // count.sum(1, keepdims=True) + 1, 1, out=self.upto[:, 1:])
             self.upto[:, BINS] = _FINE
             self.flat = self.upto.ravel()
-        self.at1 = self.lane1 + ((self.b * np.uint32(40503)) >> np.uint32(4)) % np.uint32(SLOTS1)
-        self.at2 = self.lane2 + ((self.a * np.uint32(2654435761) + self.b * np.uint32(40503)) >> np.uint32(7)) % np.uint32(SLOTS2)
+        self.at1 = self.lane1 + (((self.b * np.uint32(40503)) >> np.uint32(4)) & np.uint32(SLOTS1 - 1))
+        self.at2 = self.lane2 + (((self.a * np.uint32(2654435761) + self.b * np.uint32(40503)) >> np.uint32(7)) & np.uint32(SLOTS2 - 1))
         self.v1, self.v2 = self.tables[0].take(self.at1), self.tables[1].take(self.at2)
         self.p1, self.p2 = self.v1 >> 2, self.v2 >> 2
         self.s1, self.s2 = self.lane_state + (self.v1 & 3), self.lane_state + (self.v2 & 3)
@@ -163,7 +168,7 @@ class Model:
             fresh = np.flatnonzero(~hit & (sure == 0))
             v[fresh] = x[fresh] << 2
             self.tables[k][at] = v
-        self.bins[self.lane_bin + bin_of] += 8
+        np.add(self.lane_bin, bin_of, out=self.came[self.steps % RENEW, : len(x)])
         self.a, self.b = self.b, x.astype(np.uint32)
         self.steps += 1
 
@@ -392,7 +397,7 @@ class Tokens:
     """Ids of whole texts. The tokenizer's pattern always parts a text before a single space between two
     other characters, so the parts between are encoded on their own, each distinct one once, and remembered."""
 
-    HELD = 1 << 20
+    HELD = 1 << 21
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -486,6 +491,12 @@ class Tokens:
         return self.slot[np.searchsorted(self.hash, own)][place]
 
 
+@functools.lru_cache(1)
+def tokens_of(path: str) -> Tokens:
+    """One for each Python worker: what a task's texts had is known to the next task."""
+    return Tokens(path)
+
+
 # ---------------------------------------------------------------- over tables
 
 
@@ -507,7 +518,7 @@ def write_ids(docs: DataFrame, folder: str, id_col: str = "doc_id", text_col: st
     _place(folder)[0].create_dir(_place(folder)[1], recursive=True)
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens = Tokens(path)
+        tokens = tokens_of(path)
         doc_ids, null, lengths, ids = [], [], [], []
         for batch, data, off in batches(it, "_text"):
             got, count = tokens.encode(data, off, end_id)
