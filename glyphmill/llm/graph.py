@@ -1,8 +1,10 @@
 """Connected components of an edge table, by alternating large and small stars.
 
-Every node keeps only links to smaller nodes; a round joins each node's neighbours to the smallest of
-them. All tables stay distributed, each round is written to the shared folder, and a node with very
-many links is only ever the smaller end of rows that are joined by their larger end.
+Every node keeps only links to smaller nodes. A round first joins each node's larger neighbours to its
+smallest neighbour (large star), then all its smaller neighbours to the smallest of them (small star),
+until each node's one link is to the smallest of its component. All tables stay distributed and each round
+is written to the shared folder. Rows are grouped by their larger end only; by the smaller end, which may
+have very many, they are joined with a stored table, so that adaptive execution can split them.
 """
 
 from __future__ import annotations
@@ -23,12 +25,12 @@ def components(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
     )
     seen = None
     for k in range(1, MAX_ROUNDS):
-        both = now.union(now.select("b", "a"))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
-        new = scratch.put(small.union(least.select("a", F.col("m").alias("b"))).distinct(), f"{name}-{k}")
+        least = scratch.put(now.groupBy("a").agg(F.min("b").alias("m")), f"{name}-least-{k}")
+        large = now.join(least.toDF("b", "m").hint("merge"), "b", "left").select("a", F.coalesce("m", "b").alias("b")).distinct()
+        near = large.groupBy("a").agg(F.min("b").alias("m"))
+        small = large.join(near, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        new = scratch.put(small.union(near.select("a", F.col("m").alias("b"))).distinct(), f"{name}-{k}")
+        scratch.drop(f"{name}-least-{k}")
         sums = new.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         scratch.drop(f"{name}-{k - 1}")
         if sums == seen:

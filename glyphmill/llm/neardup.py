@@ -177,8 +177,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     shared = keyed.groupBy("key").agg(F.min("rep").alias("least"), F.max("rep").alias("most")).where("least <> most").select("key", "least")
     stars = keyed.join(shared, "key").where("rep <> least").select(F.col("rep").alias("a"), F.col("least").alias("b"))
     cluster = components(stars, scratch, "candidates")
-    sized = cluster.groupBy("component").agg(F.count("*").alias("n")).withColumn("size", F.least(F.greatest(F.lit(PART), F.ceil(F.col("n") / MAX_PARTS)), F.lit(MAX_PART)))
-    parts = cluster.join(sized.withColumn("parts", F.ceil(F.col("n") / F.col("size")).cast("int")).select("component", "parts"), "component")
+    size = F.least(F.greatest(F.lit(PART), F.ceil(F.col("n") / MAX_PARTS)), F.lit(MAX_PART))
+    # stored, so that adaptive execution can split the rows of a large component
+    sized = scratch.put(cluster.groupBy("component").agg(F.count("*").alias("n")).select("component", F.ceil(F.col("n") / size).cast("int").alias("parts")), "sizes")
+    parts = cluster.join(sized.hint("merge"), "component")
     parts = parts.withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
     tiles = scratch.put(
         parts.select("node", "component", "part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other")).select(
