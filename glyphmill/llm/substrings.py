@@ -5,14 +5,14 @@ text with a smaller id; what goes is returned as maximal intervals of word numbe
 
 How it runs. Texts are dealt into blocks by a hash. A block makes the Rabin-Karp hashes of all its
 windows and keeps, per distinct hash, the smallest id that has it; it sends them, sorted and packed to
-six bytes a hash, to the bucket of the hash's leading bits. A bucket finds each hash's smallest id over
+eight bytes a hash, to the bucket of the hash's leading bits. A bucket finds each hash's smallest id over
 all blocks and answers every block with one bit per hash: is there a smaller id elsewhere? The block
 hashes its texts again and merges the windows that go. So a passage that a third of all texts share
 arrives at its bucket once per block, not once per text, the text is moved once, and neither step
 holds more than a block or a bucket. Both counts follow `spark.sql.shuffle.partitions`.
 
-Hashes have 64 bits. `verify_bits` is not needed up to some 10**9 windows (10**-1 expected false
-matches); see the README for the figure at larger sizes.
+A hash has 80 bits: 64 of one polynomial and 16 of another. Of n windows some n**2 / 2**81 pairs are
+expected to be equal by chance: 10**-8 pairs at 10**8 windows, 400 at the 3 * 10**13 of 100 TB.
 
 Cases: a null or empty text has no words, no intervals and an empty kept text; a text with a null id
 is returned whole and takes nothing from others; rows of one id don't take from each other; shorter
@@ -29,10 +29,11 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Words, giving_back, inside_doc, partitions, pieces, read_table, spread, text_bytes, window_hashes, word_hashes, words
+from .common import Words, giving_back, inside_doc, mix, partitions, pieces, read_table, spread, text_bytes, window_hashes, word_hashes, words
 
 WINDOW = 13
 _NONE = np.iinfo(np.int64).max
+_OTHER = np.uint64(0xA0761D6478BD642F)
 
 
 def pack_hashes(h: np.ndarray, buckets: int) -> tuple[np.ndarray, list[bytes]]:
@@ -99,32 +100,36 @@ def unpack_ids(blob: bytes) -> np.ndarray:
     return (np.cumsum(steps.astype(np.uint64)).view(np.int64) + first)[place]
 
 
-def block_windows(table: pa.Table, window: int) -> Iterator[tuple[Words, int, np.ndarray, np.ndarray, np.ndarray]]:
-    """Per piece of a block: its words, its first row, the starts of its windows, their hashes and ids
-    (the largest number for a null id)."""
+def block_windows(table: pa.Table, window: int) -> Iterator[tuple[Words, int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Per piece of a block: its words, its first row, the starts of its windows, their hashes (64 and 16
+    bits) and ids (the largest number for a null id)."""
     ids = np.asarray(table.column("_id").cast(pa.int64()).fill_null(_NONE).combine_chunks())
     data, off = text_bytes(table.column("_text"))
     for lo, hi in pieces(off):
         w = words(data[off[lo] : off[hi]], off[lo : hi + 1] - off[lo])
-        at = np.flatnonzero(inside_doc(w, window))
-        yield w, lo, at, window_hashes(word_hashes(w), window)[at], ids[lo + w.doc[at]]
+        at, h = np.flatnonzero(inside_doc(w, window)), word_hashes(w)
+        check = (window_hashes(mix(h ^ _OTHER), window)[at] >> np.uint64(48)).astype(np.uint16)
+        yield w, lo, at, window_hashes(h, window)[at], check, ids[lo + w.doc[at]]
 
 
-def smallest(h: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct hashes in order, and the smallest id of each."""
-    if not len(h):
-        return h, ids
-    order = np.argsort(h, kind="stable")
-    h, ids = h[order], ids[order]
-    first = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
-    return h[first], np.minimum.reduceat(ids, first)
+def distinct(h: np.ndarray, check: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct hashes in order, with the smallest id of each, and the number of each row's."""
+    order = np.lexsort((check, h))
+    h, check, ids = h[order], check[order], ids[order]
+    new = np.ones(len(h), bool)
+    new[1:] = (h[1:] != h[:-1]) | (check[1:] != check[:-1])
+    first = np.flatnonzero(new)
+    number = np.empty(len(h), np.int64)
+    number[order] = np.cumsum(new) - 1
+    return h[first], check[first], np.minimum.reduceat(ids, first) if len(first) else ids, number
 
 
-def block_hashes(table: pa.Table, window: int) -> tuple[np.ndarray, np.ndarray]:
-    parts = [(h, i) for _, _, _, h, i in block_windows(table, window)]
-    h, ids = (np.concatenate(x) for x in zip(*parts, strict=True)) if parts else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
-    real = ids != _NONE
-    return smallest(h[real], ids[real])
+def block_hashes(parts: list) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """`distinct` over all windows of texts with an id, in the order of the pieces."""
+    if not parts:
+        return np.zeros(0, np.uint64), np.zeros(0, np.uint16), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    h, check, ids = (np.concatenate([p[k][p[5] != _NONE] for p in parts]) for k in (3, 4, 5))
+    return distinct(h, check, ids)
 
 
 def rid(w: Words, gone: np.ndarray) -> pa.Array:
@@ -178,7 +183,7 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
     @giving_back
     def ask(table: pa.Table) -> pa.Table:
-        h, ids = block_hashes(table, window)
+        h, check, ids, _ = block_hashes(list(block_windows(table, window)))
         block = table.column("_block")[0].as_py()
         at, packed = pack_hashes(h, buckets)
         some = [k for k in range(buckets) if packed[k]]
@@ -187,38 +192,42 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
                 "_bucket": pa.array(some, pa.int32()),
                 "_block": pa.array([block] * len(some), pa.int32()),
                 "hashes": pa.array([packed[k] for k in some], pa.binary()),
+                "checks": pa.array([check[at[k] : at[k + 1]].tobytes() for k in some], pa.binary()),
                 "ids": pa.array([pack_ids(ids[at[k] : at[k + 1]]) for k in some], pa.binary()),
             }
         )
 
     @giving_back
     def answer(table: pa.Table) -> pa.Table:
-        each = [(unpack_hashes(a.as_py()), unpack_ids(b.as_py())) for a, b in zip(table.column("hashes"), table.column("ids"), strict=True)]
-        h, least = smallest(*(np.concatenate(x) for x in zip(*each, strict=True)))
-        bits = [np.packbits(least[np.searchsorted(h, own_h)] < own_ids).tobytes() for own_h, own_ids in each]
+        each = [[f(x.as_py()) for x in table.column(c)] for c, f in (("hashes", unpack_hashes), ("checks", lambda b: np.frombuffer(b, np.uint16)), ("ids", unpack_ids))]
+        h, check, ids = (np.concatenate(x) for x in each)
+        _, _, least, number = distinct(h, check, ids)
+        earlier, cut = least[number] < ids, np.concatenate([[0], np.cumsum([len(x) for x in each[0]])])
+        press = zstandard.ZstdCompressor(level=1)
         return pa.table(
             {
                 "_block": table.column("_block").cast(pa.int32()),
                 "_bucket": table.column("_bucket").cast(pa.int32()),
-                "bits": pa.array([zstandard.ZstdCompressor(level=1).compress(b) for b in bits], pa.binary()),
+                "bits": pa.array([press.compress(np.packbits(earlier[a:b]).tobytes()) for a, b in zip(cut[:-1], cut[1:], strict=True)], pa.binary()),
             }
         )
 
     @giving_back
     def settle(table: pa.Table, replies: pa.Table) -> pa.Table:
-        h, least = block_hashes(table, window)
+        parts = list(block_windows(table, window))
+        h, _, least, number = block_hashes(parts)
         at = bucket_starts(h, buckets)
         earlier = np.zeros(len(h), bool)
         for k, bits in zip(replies.column("_bucket").to_pylist(), replies.column("bits"), strict=True):
             size = at[k + 1] - at[k]
             earlier[at[k] : at[k + 1]] = np.unpackbits(np.frombuffer(zstandard.ZstdDecompressor().decompress(bits.as_py()), np.uint8), count=int(size)).astype(bool)
-        out = []
-        for w, lo, starts, wh, ids in block_windows(table, window):
-            if len(h):
-                k = np.minimum(np.searchsorted(h, wh), len(h) - 1)
-                goes = (ids != _NONE) & (earlier[k] | (least[k] < ids))
-            else:
-                goes = np.zeros(len(wh), bool)
+        out, done = [], 0
+        for w, lo, starts, _, _, ids in parts:
+            real = ids != _NONE
+            k = number[done : done + int(real.sum())]
+            done += len(k)
+            goes = np.zeros(len(ids), bool)
+            goes[real] = earlier[k] | (least[k] < ids[real])
             edge = np.zeros(len(w.s) + 1, np.int64)
             edge[starts[goes]] += 1
             edge[starts[goes] + window] -= 1
@@ -238,7 +247,7 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
             )
         return pa.concat_tables(out) if out else pa.table({"_id": pa.array([], pa.int64()), "n_words": pa.array([], pa.int64()), "n_removed": pa.array([], pa.int64()), "kept_text": pa.array([], pa.string()), "removed": pa.array([], pa.list_(pa.struct([("first", pa.int64()), ("end", pa.int64())])))})
 
-    asked = own.groupBy("_block").applyInArrow(ask, "_bucket int, _block int, hashes binary, ids binary")
+    asked = own.groupBy("_block").applyInArrow(ask, "_bucket int, _block int, hashes binary, checks binary, ids binary")
     answered = asked.groupBy("_bucket").applyInArrow(answer, "_block int, _bucket int, bits binary")
     done = own.groupBy("_block").cogroup(answered.groupBy("_block")).applyInArrow(
         settle, "_id bigint, n_words bigint, n_removed bigint, kept_text string, removed array<struct<first:bigint,end:bigint>>"
