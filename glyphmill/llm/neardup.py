@@ -174,8 +174,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     known = each.where("n_shingles > 0 and _id is not null")
     classes = scratch.put(known.groupBy("d1", "d2").agg(F.min("_id").alias("rep"), F.min("sig").alias("sig")), "classes")
     keyed = classes.select("rep", F.explode(index_keys()).alias("key"))
-    shared = keyed.groupBy("key").agg(F.min("rep").alias("least"), F.max("rep").alias("most")).where("least <> most").select("key", "least")
-    stars = keyed.join(shared, "key").where("rep <> least").select(F.col("rep").alias("a"), F.col("least").alias("b"))
+    # stored, so that adaptive execution can split the rows of a key that very many share
+    shared = scratch.put(keyed.groupBy("key").agg(F.min("rep").alias("least"), F.max("rep").alias("most")).where("least <> most").select("key", "least"), "shared")
+    stars = keyed.join(shared.hint("merge"), "key").where("rep <> least").select(F.col("rep").alias("a"), F.col("least").alias("b"))
     cluster = components(stars, scratch, "candidates")
     size = F.least(F.greatest(F.lit(PART), F.ceil(F.col("n") / MAX_PARTS)), F.lit(MAX_PART))
     # stored, so that adaptive execution can split the rows of a large component
