@@ -425,12 +425,12 @@ def first_n_per_key(spark, sf_dir):
     return o.select("o_custkey", F.explode("k").alias("o_orderkey"))
 
 
-@query("SELECT event_type, CAST(v[CAST(ceil(0.5 * len(v)) AS INTEGER)] * 100 AS BIGINT) AS p50, CAST(v[CAST(ceil(0.95 * len(v)) AS INTEGER)] * 100 AS BIGINT) AS p95, CAST(len(v) AS BIGINT) AS n FROM (SELECT event_type, list(value ORDER BY value) AS v FROM events GROUP BY event_type)")
+@query("SELECT event_type, CAST(floor(v[CAST(ceil(0.5 * len(v)) AS INTEGER)] * 100) AS BIGINT) AS p50, CAST(floor(v[CAST(ceil(0.95 * len(v)) AS INTEGER)] * 100) AS BIGINT) AS p95, CAST(len(v) AS BIGINT) AS n FROM (SELECT event_type, list(value ORDER BY value) AS v FROM events GROUP BY event_type)")
 def nearest_rank(spark, sf_dir):
     """Summary percentiles by nearest rank: the discrete percentiles, from counts of values."""
     ev = table(spark, sf_dir, "events").groupBy("event_type")
     p = lambda x: F.expr(f"percentile_disc({x}) WITHIN GROUP (ORDER BY value)")
-    return ev.agg((p(0.5) * 100).cast("long").alias("p50"), (p(0.95) * 100).cast("long").alias("p95"), F.count("value").alias("n"))
+    return ev.agg(F.floor(p(0.5) * 100).alias("p50"), F.floor(p(0.95) * 100).alias("p95"), F.count("value").alias("n"))
 
 
 def catalog(spark: SparkSession) -> dict[str, DataFrame]:
