@@ -24,6 +24,7 @@ named columns are read. A text's own U+2581 is written as bytes, so that decodin
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -37,10 +38,12 @@ from .common import batches, mix, read_table, span_hashes
 SAMPLES = 2
 SEED = 0x51ED2701
 _K = np.uint64(0x9E3779B97F4A7C15)
-#: A task's store of word lattices is emptied when it has more nodes.
-STORE_NODES = 5 << 18
+#: Sums of probabilities are multiples of 1 / _GRID: exact beside node numbers below 2**22.
+_GRID = 2.0**29
+#: A worker's store of word lattices is emptied when it has more nodes.
+STORE_NODES = 1 << 19
 #: Bytes of text sampled at once: a path has a number for each of them.
-RUN_BYTES = 1 << 19
+RUN_BYTES = 1 << 18
 
 
 def default_model() -> str:
@@ -210,9 +213,13 @@ class Lattices:
         start = np.flatnonzero(np.append(True, a[1:] != a[:-1]))
         times = np.diff(np.append(start, len(a)))
         p = np.exp(logp)
-        run = np.cumsum(p)
-        before = np.repeat(run[start] - p[start], times)
-        upto = np.minimum(run - before, 1.0)
+        # sums within a node, one edge of each node at a time, on a grid: the same whatever else is stored
+        upto, at, level = p.copy(), start[times > 1], 1
+        while len(at):
+            upto[at + level] += upto[at + level - 1]
+            level += 1
+            at = at[times[np.searchsorted(start, at)] > level]
+        upto = np.minimum(np.round(upto * _GRID) / _GRID, 1.0)
         upto[start + times - 1] = 1.0
         # what is left beside an edge: for one over a half the sum of the others, as 1 - p would lose what is near 0
         large = p > 0.5
@@ -233,6 +240,11 @@ def uniform(seed: np.ndarray, sample: int, stream: int, place: np.ndarray) -> np
     return ((x >> np.uint64(12)).astype(np.float64) + 0.5) * 2.0**-52
 
 
+def between(u: np.ndarray) -> np.ndarray:
+    """The same numbers in the middles of the grid of the stored sums."""
+    return (np.floor(u * _GRID) + 0.5) / _GRID
+
+
 def truncated(location: np.ndarray, top: np.ndarray, u: np.ndarray) -> np.ndarray:
     """Gumbel numbers at `location`, given that they are below `top`."""
     with np.errstate(divide="ignore", over="ignore", invalid="ignore"):
@@ -275,7 +287,7 @@ def sample_texts(store: Lattices, data: np.ndarray, off: np.ndarray, seed: np.nd
         while len(pos):
             doc = doc_of[pos]
             u = uniform(seed[doc], sample, 0, pos - first[doc])
-            pick = np.searchsorted(store.upto, node + u, "right")
+            pick = np.searchsorted(store.upto, node + between(u), "right")
             edge[pos] = pick
             step = store.length[pick]
             pos, node = pos + step, node + step
@@ -403,6 +415,13 @@ def round_trip(v: Vocabulary, byte: np.ndarray, first: np.ndarray, ids: np.ndarr
     return np.array([np.array_equal(out[upto[begin[i]] : upto[begin[i + 1]]], byte[first[i] : first[i + 1]]) for i in range(len(first) - 1)])
 
 
+@functools.lru_cache(1)
+def lattices_of(model: str) -> tuple[Lattices, tuple[np.ndarray, np.ndarray]]:
+    """One store for each Python worker, and the pieces' bytes in a row with where each begins."""
+    v = Vocabulary.load(model)
+    return Lattices(v), (np.frombuffer(b"".join(v.text), np.uint8), np.concatenate([[0], np.cumsum([len(t) for t in v.text])]))
+
+
 def sample_segmentations(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = SAMPLES, model: str | None = None, seed: int = SEED) -> DataFrame:
     """A row per text and sample: id, sample (from 0), ids, n_pieces, log_prob, perturbed, log_inclusion,
     round_trip (whether the ids decode to the text)."""
@@ -410,9 +429,8 @@ def sample_segmentations(docs: DataFrame, id_col: str = "doc_id", text_col: str
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v = Vocabulary.load(model)
-        store = Lattices(v)
-        table = np.frombuffer(b"".join(v.text), np.uint8), np.concatenate([[0], np.cumsum([len(t) for t in v.text])])
+        store, table = lattices_of(model)
+        v = store.v
         for batch, data, off in batches(it, "_text", RUN_BYTES):
             seeds = mix(np.asarray(batch.column(1)).view(np.uint64) ^ np.uint64(seed))
             samples, left, byte, first = sample_texts(store, data, off, seeds, k)
