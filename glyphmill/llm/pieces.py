@@ -38,12 +38,13 @@ from .common import batches, mix, read_table, span_hashes
 SAMPLES = 2
 SEED = 0x51ED2701
 _K = np.uint64(0x9E3779B97F4A7C15)
-#: Sums of probabilities are multiples of 1 / _GRID: exact beside node numbers below 2**22.
-_GRID = 2.0**29
+#: Sums of probabilities are multiples of 2**-_GRID_BITS: exact beside node numbers below 2**22.
+_GRID_BITS = 29
+_GRID = 2.0**_GRID_BITS
 #: A worker's store of word lattices is emptied when it has more nodes.
-STORE_NODES = 1 << 19
+STORE_NODES = 3 << 19
 #: Bytes of text sampled at once: a path has a number for each of them.
-RUN_BYTES = 1 << 18
+RUN_BYTES = 1 << 19
 
 
 def default_model() -> str:
@@ -127,8 +128,8 @@ class Lattices:
     a stored word; edges in order of their first node: log probability given the node, log of what is
     left beside it, the sum of probabilities up to it (plus the node), bytes, and piece (-1: byte pieces)."""
 
-    def __init__(self, vocabulary: Vocabulary):
-        self.v = vocabulary
+    def __init__(self, vocabulary: Vocabulary, most: int = STORE_NODES):
+        self.v, self.most = vocabulary, most
         self.clear()
 
     def clear(self) -> None:
@@ -140,7 +141,7 @@ class Lattices:
 
     def find(self, data: np.ndarray, s: np.ndarray, e: np.ndarray) -> np.ndarray:
         """The first node of each word data[s:e]; words not seen yet are added."""
-        if self.used > STORE_NODES:
+        if self.used > self.most:
             self.clear()
         h = span_hashes(data, s, e)
         at = np.minimum(np.searchsorted(self.hash, h), max(len(self.hash) - 1, 0))
@@ -214,11 +215,12 @@ class Lattices:
         times = np.diff(np.append(start, len(a)))
         p = np.exp(logp)
         # sums within a node, one edge of each node at a time, on a grid: the same whatever else is stored
-        upto, at, level = p.copy(), start[times > 1], 1
+        upto, at, size, level = p.copy(), start[times > 1], times[times > 1], 1
         while len(at):
             upto[at + level] += upto[at + level - 1]
             level += 1
-            at = at[times[np.searchsorted(start, at)] > level]
+            more = size > level
+            at, size = at[more], size[more]
         upto = np.minimum(np.round(upto * _GRID) / _GRID, 1.0)
         upto[start + times - 1] = 1.0
         # what is left beside an edge: for one over a half the sum of the others, as 1 - p would lose what is near 0
@@ -234,15 +236,10 @@ class Lattices:
         return base[:-1] + shift
 
 
-def uniform(seed: np.ndarray, sample: int, stream: int, place: np.ndarray) -> np.ndarray:
-    """Numbers in (0, 1) from hashes."""
+def uniform(seed: np.ndarray, sample: int, stream: int, place: np.ndarray, bits: int = 52) -> np.ndarray:
+    """Numbers in (0, 1) from hashes: middles of a grid of 2**bits."""
     x = mix(seed + (place.astype(np.uint64) * np.uint64(8) + np.uint64(stream)) * _K + np.uint64((sample + 1) << 48))
-    return ((x >> np.uint64(12)).astype(np.float64) + 0.5) * 2.0**-52
-
-
-def between(u: np.ndarray) -> np.ndarray:
-    """The same numbers in the middles of the grid of the stored sums."""
-    return (np.floor(u * _GRID) + 0.5) / _GRID
+    return ((x >> np.uint64(64 - bits)).astype(np.float64) + 0.5) * 2.0**-bits
 
 
 def truncated(location: np.ndarray, top: np.ndarray, u: np.ndarray) -> np.ndarray:
@@ -286,8 +283,8 @@ def sample_texts(store: Lattices, data: np.ndarray, off: np.ndarray, seed: np.nd
         """Draw paths from each pos (at node) to each end."""
         while len(pos):
             doc = doc_of[pos]
-            u = uniform(seed[doc], sample, 0, pos - first[doc])
-            pick = np.searchsorted(store.upto, node + between(u), "right")
+            u = uniform(seed[doc], sample, 0, pos - first[doc], _GRID_BITS)
+            pick = np.searchsorted(store.upto, node + u, "right")
             edge[pos] = pick
             step = store.length[pick]
             pos, node = pos + step, node + step
@@ -416,20 +413,20 @@ def round_trip(v: Vocabulary, byte: np.ndarray, first: np.ndarray, ids: np.ndarr
 
 
 @functools.lru_cache(1)
-def lattices_of(model: str) -> tuple[Lattices, tuple[np.ndarray, np.ndarray]]:
+def lattices_of(model: str, most: int = STORE_NODES) -> tuple[Lattices, tuple[np.ndarray, np.ndarray]]:
     """One store for each Python worker, and the pieces' bytes in a row with where each begins."""
     v = Vocabulary.load(model)
-    return Lattices(v), (np.frombuffer(b"".join(v.text), np.uint8), np.concatenate([[0], np.cumsum([len(t) for t in v.text])]))
+    return Lattices(v, most), (np.frombuffer(b"".join(v.text), np.uint8), np.concatenate([[0], np.cumsum([len(t) for t in v.text])]))
 
 
-def sample_segmentations(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = SAMPLES, model: str | None = None, seed: int = SEED) -> DataFrame:
+def sample_segmentations(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = SAMPLES, model: str | None = None, seed: int = SEED, store_nodes: int = STORE_NODES) -> DataFrame:
     """A row per text and sample: id, sample (from 0), ids, n_pieces, log_prob, perturbed, log_inclusion,
     round_trip (whether the ids decode to the text)."""
     model = model or default_model()
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        store, table = lattices_of(model)
+        store, table = lattices_of(model, store_nodes)
         v = store.v
         for batch, data, off in batches(it, "_text", RUN_BYTES):
             seeds = mix(np.asarray(batch.column(1)).view(np.uint64) ^ np.uint64(seed))
