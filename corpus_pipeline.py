@@ -41,7 +41,8 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def sentencepiece_segmentations(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Two distinct segmentations of each text, drawn without replacement."""
-    return sample_segmentations(docs)
+    # a smaller store of words: executors hold what other stages left, too
+    return sample_segmentations(docs, store_nodes=1 << 19)
 
 
 STAGES = [
