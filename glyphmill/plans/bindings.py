@@ -380,6 +380,13 @@ def variants_bfs(spark, sf_dir):
     return graph.variants(rels, spark.range(1, 21), weak=F.col("r") == "ECONOMY")
 
 
+@query(None)
+def variants_bfs_whole(spark, sf_dir):
+    """variants_bfs over all of `part`: the oracle of that one is of the first 400 ids only."""
+    rels = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("c1"), ((F.col("p_partkey") * 7 + F.col("p_size")) % 2000).alias("c2"), F.col("p_type").alias("r"))
+    return graph.variants(rels, spark.range(1, 21), weak=F.col("r") == "ECONOMY")
+
+
 @query("SELECT * FROM (VALUES ('A', 'B', 'strong-ab', 1), ('A', 'X', 'cjkvi/non-cognate', 0), ('B', 'C', 'strong-bc', 1), ('C', 'Y', 'kStrange_I', 0)) AS v(c1, c2, r, f)")
 def variants_labels(spark, sf_dir):
     e = spark.createDataFrame([("A", "B", "strong-ab"), ("A", "X", "cjkvi/non-cognate"), ("B", "C", "strong-bc"), ("C", "Y", "kStrange_I"), ("Y", "Z", "strong"), ("A", None, "dropped")], "c1 string, c2 string, r string")

@@ -269,3 +269,19 @@ def test_sql_functions(spark):
     X.register(spark)
     r = spark.sql(r"select regexp_all('a1 b2', '(?<l>[a-z])(?<d>[0-9])') as a, parse_int('0x1Fz', 16) as b, parse_int('x', 10) as c").first()
     assert json.loads(r.a) == [{"substr": "a1", "groups": {"l": "a", "d": "1"}}, {"substr": "b2", "groups": {"l": "b", "d": "2"}}] and (r.b, r.c) == (31, None)
+
+
+def test_variants_of_a_whole_table(spark, tmp_path):
+    kinds = ("ECONOMY", "PROMO", "SMALL")
+    rows = [(k, k % 50 + 1, kinds[k * k % 7 % 3]) for k in range(1, 1201)]
+    spark.createDataFrame(rows, "p_partkey int, p_size int, p_type string").write.parquet(f"{tmp_path}/part.parquet")
+    edges = [(k, (k * 7 + size) % 2000, kind) for k, size, kind in rows]
+    strong = {(a, b) for a, b, r in edges if r != "ECONOMY"}
+    seen, last = set(range(1, 21)), None
+    while seen != last:
+        last = set(seen)
+        seen |= {b for a, b in strong if a in last} | {a for a, b in strong if b in last}
+    want = sorted((a, b, r, int((a, b) in strong)) for a, b, r in edges if a in seen or b in seen)
+    assert any(a >= 400 for a, *_ in want)
+    got = bindings.QUERIES["variants_bfs_whole"](spark, str(tmp_path)).collect()
+    assert sorted((r.c1, r.c2, r.r, r.f) for r in got) == want
