@@ -77,10 +77,10 @@ class Permuter:
     def invert(self, value: int, size: int, tweak: str) -> int:
         return self._run(value, size, f"{tweak}|{size}", True) if size > 1 else value
 
-    def string(self, text: str, tweak: str, back: bool = False) -> str:
+    def string(self, text: str, tweak: str, back: bool = False, hexadecimal: bool = True) -> str:
         """Letters and digits permuted, each place within its own class (hexadecimal strings within
-        hexadecimal digits); other characters stay."""
-        hexes = [k for k in (_HEX, _HEX.upper()) if len(text) >= 16 and set(text) <= set(k)]
+        hexadecimal digits, unless told otherwise); other characters stay."""
+        hexes = [k for k in (_HEX, _HEX.upper()) if hexadecimal and len(text) >= 16 and set(text) <= set(k)]
         kinds = [next((k for k in hexes[:1] or (_DIGITS, _LOWER, _UPPER) if c in k), "") for c in text]
         tweak += "|hex" * bool(hexes)
         size, value = 1, 0
@@ -123,6 +123,26 @@ def iban_ok(text: str) -> bool:
     return 15 <= len(plain) <= 34 and int("".join(str(int(c, 36)) for c in plain[4:] + plain[:4])) % 97 == 1
 
 
+#: Characters of a country's IBANs.
+_IBAN_LONG = {
+    country: n
+    for n, countries in {
+        15: "NO", 16: "BE", 18: "DK FI FO GL NL SD FK", 19: "MK SI", 20: "AT BA EE KZ LT LU XK MN", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA",
+        23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HU LB NI PL SV",
+        29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+    }.items()
+    for country in countries.split()
+}
+
+
+def iban_end(text: str) -> int:
+    """Where the IBAN ends that `text` begins with, which may have more words behind it; 0 without one. The
+    country's length comes first, then the others from the longest on."""
+    ends = [k for k in range(len(text), 14, -1) if k == len(text) or text[k] == " "]
+    ends.sort(key=lambda k: len(text[:k].replace(" ", "")) != _IBAN_LONG.get(text[:2]))
+    return next((k for k in ends if iban_ok(text[:k])), 0)
+
+
 _DAY0, _DAY1 = datetime.date(1900, 1, 1), datetime.date(2100, 1, 1)
 
 
@@ -148,6 +168,7 @@ PATTERNS: Sequence[tuple[str, str]] = (
 _ANY = re.compile("|".join(f"(?P<{name}>{re.sub(r'\\([12])', lambda m: f'(?P={name}{m[1]})', re.sub(r'\(\[\\-/\.\]\)', lambda m, n=iter('12'), name=name: f'(?P<{name}{next(n)}>[\\-/.])', p)) if name == 'date' else p.replace('([^', '(?P<value>[^') if name == 'quoted' else p})" for name, p in PATTERNS))
 #: No find is without one of these: a text without any is passed on unsearched.
 _HINT = re.compile(r"[0-9@]|[:=]\s*[\"']?[^\"'\s,;]{8}")
+_EACH = {name: re.compile(p) for name, p in PATTERNS}
 #: These stay, so that a reader can tell what kind of secret stood there.
 _PREFIX = re.compile(r"AKIA|ASIA|gh[pousr]_|sk-|xox[abprs]-|AIza")
 KINDS = tuple(name for name, _ in PATTERNS)
@@ -199,7 +220,7 @@ def replace_iban(text: str, permuter: Permuter, back: bool = False) -> str:
     plain = text.replace(" ", "")
     if not iban_ok(plain):
         return text
-    body = permuter.string(plain[4:], f"iban|{plain[:2]}", back)
+    body = permuter.string(plain[4:], f"iban|{plain[:2]}", back, hexadecimal=False)
     check = 98 - int("".join(str(int(c, 36)) for c in body + plain[:2] + "00")) % 97
     new = iter(f"{plain[:2]}{check:02d}{body}")
     return "".join(c if c == " " else next(new) for c in text)
@@ -230,21 +251,46 @@ def pseudonym(kind: str, text: str, permuter: Permuter, back: bool = False) -> s
     return fixed + permuter.string(text[len(fixed) :], kind + fixed, back)
 
 
+def valid_end(kind: str, text: str) -> int:
+    """Where the find ends in a candidate of this kind; 0 if it fails validation."""
+    if kind == "iban":
+        return iban_end(text)
+    if kind == "ip":
+        return len(text) * all(int(x) <= 255 for x in text.split("."))
+    if kind == "date":
+        a, b, c = re.split(r"[\-/.]", text)
+        return len(text) * any(_as_date(*ymd) is not None for ymd in ([(a, b, c)] if len(a) == 4 else [(c, b, a), (c, a, b)]))
+    return len(text)
+
+
+def finds(text: str) -> Iterator[tuple[str, int, int]]:
+    """(kind, beginning, end) of all finds. Where a candidate is not valid the later kinds are tried at the
+    same place, and then the search goes on from just behind its beginning."""
+    at = 0
+    while m := _ANY.search(text, at):
+        kind = m.lastgroup
+        if kind in ("date1", "date2"):
+            kind = "date"
+        kind = next(k for k in KINDS if m.group(k) is not None) if kind not in KINDS else kind
+        s, e = m.span("value") if kind == "quoted" else m.span()
+        own = valid_end(kind, text[s:e])
+        if not own:
+            for kind in KINDS[KINDS.index(kind) + 1 :]:
+                if (c := _EACH[kind].match(text, m.start())) and (own := valid_end(kind, c[0])):
+                    break
+        if own:
+            yield kind, s, s + own
+        at = s + own if own else m.start() + 1
+
+
 def replace_all(text: str, permuter: Permuter, back: bool = False) -> tuple[str, dict[str, int]]:
     """The text with pseudonyms, and how many finds of each kind it had."""
     if not _HINT.search(text):
         return text, {}
     found: dict[str, int] = {}
     out, at = [], 0
-    for m in _ANY.finditer(text):
-        kind = m.lastgroup
-        if kind in ("date1", "date2"):
-            kind = "date"
-        kind = next(k for k in KINDS if m.group(k) is not None) if kind not in KINDS else kind
-        s, e = m.span("value") if kind == "quoted" else m.span()
+    for kind, s, e in finds(text):
         new = pseudonym(kind, text[s:e], permuter, back)
-        if new == text[s:e] and kind in ("date", "ip", "iban"):
-            continue  # not valid
         found[kind] = found.get(kind, 0) + 1
         out += [text[at:s], new]
         at = e

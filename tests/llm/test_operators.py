@@ -233,6 +233,22 @@ def test_pseudonyms_keep_formats_and_links(spark):
     assert privacy.pseudonymise(empty(spark)).count() == 0
 
 
+@pytest.mark.parametrize("iban, tail", [("BE68 5390 0754 7034", " BIC GEBABEBB"), ("ES91 2100 0418 4502 0005 1332", " BIC"), ("BE68 5390 0754 7034", " GEBABEBB"), ("DE89370400440532013000", " AND 12"), ("BE68 5390 0754 7034", ", BIC")])
+def test_ibans_before_other_words(iban, tail):
+    p = privacy.Permuter(b"k")
+    new, found = privacy.replace_all(f"to {iban}{tail}", p)
+    assert found == {"iban": 1} and iban not in new and new.endswith(tail)
+    assert privacy.iban_ok(new[3 : 3 + len(iban)])
+    assert privacy.replace_all(new, p, back=True)[0] == f"to {iban}{tail}"
+
+
+def test_finds_inside_failed_candidates():
+    p = privacy.Permuter(b"k")
+    for text, value, kind in (("FY24 4111111111111111", "4111111111111111", "card"), ("AB12 CD34 EF56 BE68 5390 0754 7034", "BE68 5390 0754 7034", "iban"), ("QR12 4000 1234 5678 9010", "4000 1234 5678 9010", "card")):
+        new, found = privacy.replace_all(text, p)
+        assert found == {kind: 1} and value not in new and new.startswith(text.split(value)[0]), text
+
+
 def test_permutations_are_permutations():
     p = privacy.Permuter()
     for size in (1, 2, 7, 10, 97, 1000):
