@@ -167,7 +167,7 @@ PATTERNS: Sequence[tuple[str, str]] = (
 )
 _ANY = re.compile("|".join(f"(?P<{name}>{re.sub(r'\\([12])', lambda m: f'(?P={name}{m[1]})', re.sub(r'\(\[\\-/\.\]\)', lambda m, n=iter('12'), name=name: f'(?P<{name}{next(n)}>[\\-/.])', p)) if name == 'date' else p.replace('([^', '(?P<value>[^') if name == 'quoted' else p})" for name, p in PATTERNS))
 #: No find is without one of these: a text without any is passed on unsearched.
-_HINT = re.compile(r"[0-9@]|[:=]\s*[\"']?[^\"'\s,;]{8}")
+_HINT = re.compile(r"[\d@]|AKIA|ASIA|gh[pousr]_|sk-|xox[abprs]-|AIza|[:=]\s*[\"']?[^\"'\s,;]{8}")
 _EACH = {name: re.compile(p) for name, p in PATTERNS}
 #: These stay, so that a reader can tell what kind of secret stood there.
 _PREFIX = re.compile(r"AKIA|ASIA|gh[pousr]_|sk-|xox[abprs]-|AIza")
@@ -228,6 +228,10 @@ def replace_iban(text: str, permuter: Permuter, back: bool = False) -> str:
 
 def pseudonym(kind: str, text: str, permuter: Permuter, back: bool = False) -> str:
     """The pseudonym of a find (or, with `back`, what it stands for); the text itself if it isn't valid."""
+    if not text.isascii() and kind in ("date", "ip", "ssn", "card", "phone"):
+        # digits of other scripts: permuted as ASCII ones, and in their own script again place by place
+        new = pseudonym(kind, "".join(str(int(c)) if c.isdecimal() else c for c in text), permuter, back)
+        return "".join(chr(ord(c) - int(c) + int(d)) if c.isdecimal() and d.isdecimal() else d for c, d in zip(text, new, strict=True)) if len(new) == len(text) else new
     if kind == "email":
         name, _, host = text.partition("@")
         return f"{permuter.string(name, 'email|' + host.lower(), back)}@{host}"

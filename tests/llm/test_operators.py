@@ -249,6 +249,24 @@ def test_finds_inside_failed_candidates():
         assert found == {kind: 1} and value not in new and new.startswith(text.split(value)[0]), text
 
 
+@pytest.mark.parametrize("value", ["xoxb-abcdefghijklmnop", "sk-" + "abcdefghij" * 2, "ghp_" + "abcdef" * 6, "AIza" + "abcde" * 7, "AKIA" + "ABCD" * 4, "ASIA" + "ABCD" * 4])
+def test_secrets_without_digits(value):
+    p = privacy.Permuter(b"k")
+    new, found = privacy.replace_all(f"use {value} now", p)
+    assert found == {"secret": 1} and value not in new
+    assert privacy.replace_all(new, p, back=True)[0] == f"use {value} now"
+
+
+@pytest.mark.parametrize("kind, value", [("card", "4316522678525456"), ("card", "4316522678525457"), ("ssn", "123-45-6789"), ("phone", "555-123-4567"), ("date", "29/02/2024")])
+def test_digits_of_other_scripts(kind, value):
+    p = privacy.Permuter(b"k")
+    # a date's year begins with ASCII digits
+    value = "".join(chr(0x660 + int(c)) if c.isdigit() and (kind != "date" or i < 5) else c for i, c in enumerate(value))
+    new, found = privacy.replace_all(f"use {value} now", p)
+    assert found == {kind: 1} and value not in new
+    assert privacy.replace_all(new, p, back=True)[0] == f"use {value} now"
+
+
 def test_permutations_are_permutations():
     p = privacy.Permuter()
     for size in (1, 2, 7, 10, 97, 1000):
