@@ -10,8 +10,10 @@ probability, Hamming distance of order k*k at worst and near k mostly, since two
 edit meet again. Each of REPEATS independent embeddings is sampled at SAMPLE of its first steps; items
 and windows with equal samples are candidates. The sampled steps of an embedding lie in one short stretch
 from the window's start, and an item is entered for STARTS of its word positions, so that an edit spoils
-the samples near it only; REPEATS and STARTS are set such that an item with the full number of allowed
-edits is still retrieved with probability over 0.99 (`recall_at` measures it, a test holds it to that).
+the samples near it only; REPEATS and STARTS are set such that an item of over SHORT words with the
+full number of allowed edits is still retrieved with probability over 0.99 (a test holds it to that, by length).
+Walks over shorter items mostly end in padding, so these are retrieved without loss, by the runs of words that
+the edits must leave untouched.
 Candidates are confirmed exactly, by the least edit distance of the item to any run around the place.
 
 Windows are taken at every word, but a window is embedded only if it can matter: k edits change at most
@@ -44,6 +46,10 @@ EDITS = 0.2
 #: Words in the runs that the screen counts, for items long enough.
 RUN = 3
 REPEATS, STEPS, SAMPLE, STARTS = 12, 12, 5, 8
+#: Items of up to so many words are retrieved by their untouched runs.
+SHORT = SAMPLE + 2
+#: Places of short items' runs looked at together.
+PLACES = 1 << 20
 MAX_ITEM_BYTES = 32 << 20
 
 APART = np.ones(256, bool)
@@ -108,6 +114,7 @@ class Items:
     runs: list[tuple[int, np.ndarray, np.ndarray, int, int]]
     tables: list[tuple[np.ndarray, np.ndarray, np.ndarray]]
     longest: int
+    pieces: list[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]
 
     @classmethod
     def of(cls, ids: list, texts: list[str | None]) -> Items:
@@ -117,9 +124,20 @@ class Items:
         # k edits leave a run of ceil((n - k) / (k + 1)) words at least: shorter items are screened by shorter runs
         need = np.minimum(RUN, -(-(n - most) // (most + 1)))
         doc, runs = w.doc, []
-        for q in sorted(set(need[n > 0].tolist())):
-            own = np.flatnonzero((n > 0) & (need == q))
-            ok = np.flatnonzero(inside_doc(w, q) & (need[doc[: max(0, len(doc) - q + 1)]] == q))
+        pieces = []
+        for q in sorted(set(need[(n > 0) & (n <= SHORT)].tolist())):
+            of = doc[: max(0, len(doc) - q + 1)]
+            at = np.flatnonzero(inside_doc(w, q) & (need[of] == q) & (n[of] <= SHORT))
+            key = window_hashes(h, q)[at]
+            order = np.argsort(key, kind="stable")
+            at, key = at[order], key[order]
+            known = np.zeros(1 << 20, bool)
+            known[(key >> np.uint64(44)).astype(np.int64)] = True
+            pieces.append((q, key, known, doc[at], at - w.first[doc[at]]))
+        for q in sorted(set(need[n > SHORT].tolist())):
+            own = np.flatnonzero((n > SHORT) & (need == q))
+            of = doc[: max(0, len(doc) - q + 1)]
+            ok = np.flatnonzero(inside_doc(w, q) & (need[of] == q) & (n[of] > SHORT))
             keys = np.unique(window_hashes(h, q)[ok])
             known = np.zeros(1 << 20, bool)
             known[(keys >> np.uint64(44)).astype(np.int64)] = True
@@ -130,7 +148,7 @@ class Items:
             runs.append((q, keys, known, short, int((-(-left // -(-span // short))).min())))
         tables = []
         for r in range(REPEATS):
-            some = np.flatnonzero(n > 0)
+            some = np.flatnonzero(n > SHORT)
             # word positions where an item is entered: evenly over it, as far as a walk has words left
             room = np.maximum(n[some] - SAMPLE, 0)
             starts = [np.unique(np.round(np.linspace(0, x, STARTS)).astype(np.int64)) for x in room]
@@ -139,7 +157,7 @@ class Items:
             key = sketch(h, w.first[item] + offset, w.first[item + 1], r) if len(item) else np.zeros(0, np.uint64)
             order = np.argsort(key, kind="stable")
             tables.append((key[order], item[order], offset[order]))
-        return cls(ids, h, w.first, most, runs, tables, int((n + most).max(initial=0)))
+        return cls(ids, h, w.first, most, runs, tables, int((n + most).max(initial=0)), pieces)
 
     def candidates(self, w: Words, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(text, item, about where the item begins) of windows whose samples equal an item's."""
@@ -182,16 +200,35 @@ class Items:
         return np.cumsum(edge[:-1]) > 0
 
     def _short(self, w: Words, h: np.ndarray, doc: np.ndarray) -> np.ndarray:
-        """Items of fewer words than a sample has: their walks end in padding, so their windows have the
-        item's own lengths."""
-        out = []
-        n = np.diff(self.first)
-        for item in np.flatnonzero((n > 0) & (n <= SAMPLE + 2)):
-            own = self.h[self.first[item] : self.first[item + 1]]
-            ok = np.flatnonzero(inside_doc(w, len(own)))
-            hit = ok[window_hashes(h, len(own))[ok] == window_hashes(own, len(own))[0]]
-            out.append(np.stack([doc[hit], np.full(len(hit), item), hit], 1))
-        return np.concatenate(out) if out else np.zeros((0, 3), np.int64)
+        """Places of short items: where an untouched run of theirs stands, and all but the edited words stand
+        around it, each moved by no more words than there may be edits."""
+        out = [np.zeros((0, 3), np.int64)]
+        for q, key, known, item, offset in self.pieces:
+            win = window_hashes(h, q)
+            at = np.flatnonzero(known[(win >> np.uint64(44)).astype(np.int64)] & inside_doc(w, q))
+            lo, hi = np.searchsorted(key, win[at]), np.searchsorted(key, win[at], "right")
+            at, lo, times = at[hi > lo], lo[hi > lo], (hi - lo)[hi > lo]
+            upto = np.concatenate([[0], np.cumsum(times)])
+            for first in range(0, int(upto[-1]), PLACES):
+                pair = np.arange(first, min(first + PLACES, int(upto[-1])))
+                who = np.searchsorted(upto, pair, "right") - 1
+                piece = lo[who] + pair - upto[who]
+                mine, start = item[piece], at[who] - offset[piece]
+                text = doc[at[who]]
+                begin, end = w.first[text], w.first[text + 1]
+                n, most = self.first[mine + 1] - self.first[mine], self.most[mine]
+                same = np.zeros(len(mine), np.int64)
+                for j in range(int(n.max())):
+                    word = self.h[np.minimum(self.first[mine] + j, len(self.h) - 1)]
+                    met = np.zeros(len(mine), bool)
+                    for d in range(-int(most.max()), int(most.max()) + 1):
+                        place = start + j + d
+                        inside = (place >= begin) & (place < end) & (j < n) & (abs(d) <= most)
+                        met |= inside & (h[np.clip(place, 0, len(h) - 1)] == word)
+                    same += met
+                ok = same >= n - most
+                out.append(np.stack([text[ok], mine[ok], start[ok]], 1))
+        return np.concatenate(out)
 
     def find(self, w: Words, h: np.ndarray) -> list[tuple[int, int, int, int, int]]:
         """(text, item, first word, end, edits): each item once per text, at its best place."""

@@ -86,6 +86,38 @@ def _step(row, i, x, b):
     return new
 
 
+@pytest.mark.parametrize("n", [5, 6, 7, 8, 9, 10, 12, 15, 20])
+def test_decontamination_recall_by_length_at_full_edits(n):
+    rng = random.Random(n)
+    items = [prose(rng, n, 10**5) for _ in range(300)]
+    texts = []
+    for item in items:
+        ws = item.split(" ")
+        for p in rng.sample(range(n), int(0.2 * n + 1e-9)):
+            how = rng.randrange(3)
+            ws[p] = ["", f"z{p} {ws[p]}", f"z{p}"][how]
+        texts.append(prose(rng, rng.randrange(20)) + " " + " ".join(ws) + " " + prose(rng, rng.randrange(20)))
+    found = decontaminate.Items.of(list(range(len(items))), items).find(*decontaminate.normal_words(pa.array(texts, pa.large_string())))
+    got = sum((t, t) in {(f[0], f[1]) for f in found} for t in range(len(texts)))
+    assert got == len(texts) if n <= 7 else got >= 0.99 * len(texts)
+
+
+def test_decontamination_of_short_items_against_brute_force(monkeypatch):
+    monkeypatch.setattr(decontaminate, "PLACES", 50)
+    rng = random.Random(4)
+    items = [" ".join(rng.choice("abcdef") for _ in range(n)) for n in (1, 2, 3, 4, 5, 5, 5, 6, 6, 7, 7)] + ["", None]
+    texts = [" ".join(rng.choice("abcdef") for _ in range(rng.randrange(30))) for _ in range(150)]
+    found = decontaminate.Items.of(list(range(len(items))), items).find(*decontaminate.normal_words(pa.array(texts, pa.large_string())))
+    want = set()
+    for i, item in enumerate(items):
+        a = np.array([hash(x) for x in (item or "").split()])
+        for t, text in enumerate(texts):
+            most = int(0.2 * len(a) + 1e-9)
+            if len(a) and decontaminate.edit_distance(a, np.array([hash(x) for x in text.split()]), most)[0] <= most:
+                want.add((t, i))
+    assert {(f[0], f[1]) for f in found} == want
+
+
 def test_decontamination_keeps_rows_and_takes_empty_tables(spark):
     bench = spark.createDataFrame([(0, "alpha beta gamma delta epsilon zeta eta theta")], "item_id long, text string")
     docs = table(spark, ["x alpha beta gamma delta epsilon zeta eta theta y", None, "", "alpha beta"])
