@@ -395,7 +395,8 @@ _SEEN[[*range(33, 127), 0xC3]] = True
 
 class Tokens:
     """Ids of whole texts. The tokenizer's pattern always parts a text before a single space between two
-    other characters, so the parts between are encoded on their own, each distinct one once, and remembered."""
+    other characters, so the parts between are encoded on their own, each distinct one once, and remembered. A text
+    that holds an added token is encoded as a whole: the tokenizer cuts at these first."""
 
     HELD = 1 << 21
 
@@ -404,7 +405,7 @@ class Tokens:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.added = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values() if t.content]
         # a byte-level piece has a character for each of its bytes
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=False)
         self.length = np.zeros(max(vocabulary.values(), default=0) + 1, np.int64)
@@ -416,6 +417,16 @@ class Tokens:
         self.hash, self.slot = np.zeros(0, np.uint64), np.zeros(0, np.int64)
         self.ids, self.begin = np.zeros(0, np.int32), np.zeros(1, np.int64)
 
+    def _added_at(self, data: np.ndarray) -> np.ndarray:
+        """Where added tokens begin, in order."""
+        raw, out = data.tobytes(), []
+        for token in self.added:
+            at = raw.find(token)
+            while at >= 0:
+                out.append(at)
+                at = raw.find(token, at + 1)
+        return np.sort(np.array(out, np.int64))
+
     def encode(self, data: np.ndarray, off: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
         """All texts' ids, each text followed by `end`; how many each has."""
         n = len(off) - 1
@@ -432,10 +443,13 @@ class Tokens:
             mid &= (((before > 32) & (before < 127)) | tail[:-2]) & first_ok[2:]
             if len(begin) > 1:
                 begin[-1] = False
+            added = self._added_at(data)
+            for t in np.unique(np.searchsorted(off, added, "right") - 1).tolist():
+                begin[off[t] : off[t + 1]] = False
             begin[off[:-1][np.diff(off) > 0]] = True
             s = np.flatnonzero(begin)
             e = np.append(s[1:], len(data))
-            slot = self._slots(data, s, e)
+            slot = self._slots(data, s, e, added)
             times = (self.begin[1:] - self.begin[:-1])[slot]
         else:
             s, slot, times = (np.zeros(0, np.int64),) * 3
@@ -449,15 +463,18 @@ class Tokens:
         out[np.repeat(place, times) + inside] = self.ids[np.repeat(self.begin[slot], times) + inside]
         return out, count
 
-    def _encode(self, data: np.ndarray, s: np.ndarray, e: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def _encode(self, data: np.ndarray, s: np.ndarray, e: np.ndarray, added: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The ids of distinct parts, and how many each has. Parts that begin with their space are encoded
-        many at once, one after the other - the tokenizer parts them - and their ids told apart by bytes."""
+        many at once, one after the other - the tokenizer parts them - and their ids told apart by bytes. Parts
+        that hold an added token are encoded each alone, since such a token may not have the bytes it stands for."""
         raw = data.tobytes()
         own = e - s
         led = (data[s] == 0x20) & (own > 1)
         led[led] &= _SEEN[data[s[led] + 1]] & (data[e[led] - 1] > 32) & (data[e[led] - 1] != 0x7F)
         led[led] &= (data[e[led] - 1] < 0x80) | (data[np.maximum(e[led] - 2, 0)] == 0xC3)
-        order = np.concatenate([np.flatnonzero(led), np.flatnonzero(~led)])
+        alone = np.searchsorted(added, e) > np.searchsorted(added, s)
+        led &= ~alone
+        order = np.concatenate([np.flatnonzero(led), np.flatnonzero(~led & ~alone), np.flatnonzero(alone)])
         n = int(led.sum())
         texts = []
         for lo in range(0, n, 4096):
@@ -466,22 +483,26 @@ class Tokens:
         got = [np.array(x.ids, np.int32) for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
         flat = np.concatenate(got) if got else np.zeros(0, np.int32)
         # ids' bytes add up to the parts' bytes, in order
-        upto = np.concatenate([[0], np.cumsum(self.length[flat])])
-        cut = np.searchsorted(upto, np.concatenate([[0], np.cumsum(own[order])]))
-        if upto[-1] != own.sum() or (upto[cut[1:]] != np.cumsum(own[order])).any():
+        spelt = len(s) - int(alone.sum())
+        single = np.array([len(x) for x in got[len(got) - len(s) + spelt :]], np.int64)
+        upto = np.concatenate([[0], np.cumsum(self.length[flat[: len(flat) - int(single.sum())]])])
+        size = np.cumsum(own[order[:spelt]])
+        cut = np.searchsorted(upto, np.concatenate([[0], size]))
+        if upto[-1] != own[order[:spelt]].sum() or (upto[cut[1:]] != size).any():
             raise ValueError("the tokenizer's ids don't spell the texts")
+        cut = np.concatenate([cut, cut[-1] + np.cumsum(single)])
         begin, count = np.empty(len(s), np.int64), np.empty(len(s), np.int64)
         begin[order], count[order] = cut[:-1], np.diff(cut)
         at = np.repeat(begin - (np.cumsum(count) - count), count) + np.arange(int(count.sum()))
         return flat[at], count
 
-    def _slots(self, data: np.ndarray, s: np.ndarray, e: np.ndarray) -> np.ndarray:
+    def _slots(self, data: np.ndarray, s: np.ndarray, e: np.ndarray, added: np.ndarray) -> np.ndarray:
         own, first, place = np.unique(span_hashes(data, s, e), return_index=True, return_inverse=True)
         at = np.minimum(np.searchsorted(self.hash, own), max(len(self.hash) - 1, 0))
         known = self.hash[at] == own if len(self.hash) else np.zeros(len(own), bool)
         new = np.flatnonzero(~known)
         if len(new):
-            flat, size = self._encode(data, s[first[new]], e[first[new]])
+            flat, size = self._encode(data, s[first[new]], e[first[new]], added)
             slots = np.arange(len(new)) + len(self.begin) - 1
             self.ids = np.concatenate([self.ids, flat])
             self.begin = np.concatenate([self.begin, self.begin[-1] + np.cumsum(size)])

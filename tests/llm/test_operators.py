@@ -515,6 +515,21 @@ def test_id_files_round_trip(spark, tmp_path):
     assert idfiles.read_ids(spark, folder, idfiles.write_ids(empty(spark), folder + "0")).count() == 0
 
 
+def test_ids_are_the_library_s_with_added_tokens():
+    from tokenizers import Tokenizer
+
+    path = idfiles.default_tokenizer()
+    fresh = Tokenizer.from_file(path)
+    end = "<|endoftext|>"
+    texts = [f"a {end} b", end, f" {end}{end} ", "plain words here", f"plain {end}", "", f"é {end[:-1]} x", "<|endof", "text|> a", f" words {end} here\n\n {end} ", f"a {end} b", " words here"]
+    tokens = idfiles.Tokens(path)
+    for batch in (texts, texts[::-1], [end], texts[3:4]):  # some parts are remembered
+        ids, count = tokens.encode(*text_bytes(pa.array(batch, pa.large_string())), 0)
+        want = [fresh.encode(t, add_special_tokens=False).ids + [0] for t in batch]
+        assert count.tolist() == [len(x) for x in want] and ids.tolist() == sum(want, [])
+    assert 50256 in fresh.encode(texts[0], add_special_tokens=False).ids
+
+
 @pytest.mark.parametrize("n", [0, 1, 2, idfiles.BLOCK - 1, idfiles.BLOCK, idfiles.BLOCK + 1, 3 * idfiles.BLOCK + 7])
 @pytest.mark.parametrize("kinds", [1, 3, 50_000])
 def test_blocks(n, kinds):
