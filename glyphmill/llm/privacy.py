@@ -4,9 +4,16 @@ Numbers and dates that pass validation are replaced by a keyed Feistel permutati
 the same value becomes the same pseudonym in every document, two values never become one, and the
 result passes the same validation (a card number keeps its length and gets a right check digit, a date
 stays a date). E-mail names are permuted as strings of their letters and digits; secrets are permuted
-within their alphabet. The network is an unbalanced Feistel cipher over mixed-radix strings with keyed
-BLAKE2b rounds and cycle walking where only some of a format's strings are valid; `Permuter.invert`
-undoes it for whoever has the key.
+within their alphabet. Two Feistel networks do it. Numbers of up to NUMBER_BITS bits, and strings with no more
+readings than that, run through an unbalanced one with keyed BLAKE2b rounds, and cycle walking where only some of
+a format's strings are valid. Longer strings are cut into two halves of places; a round adds to each place of one half a
+number from SHAKE-256 over the key and the whole other half, within the place's own alphabet, so every place
+depends on all others at any length and the work is linear. `back` undoes both for whoever has the key.
+
+The same value written differently keeps its link: card numbers, social security numbers and IBANs with or without
+separators; phone numbers with a calling code, whatever stands between the digits; dates in any order and padding,
+since a date's pseudonym keeps the class of its day (to 9, to 12, beyond) and month (to 9, beyond). A phone
+number without a calling code is not linked with the one that has it.
 
 Found: e-mail addresses; card numbers of 13-19 digits that pass the Luhn check, and any other run of
 13-19 digits; phone numbers with + or with an area code in brackets or separators; IPv4 addresses with
@@ -27,6 +34,7 @@ import hashlib
 import re
 from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -36,6 +44,8 @@ from .common import read_table
 #: Public example key; a deployment passes its own.
 KEY = b"example key, to be replaced"
 ROUNDS = 10
+#: Twice what a round of the network over numbers may have to cover; a BLAKE2b digest has as many.
+NUMBER_BITS = 256
 
 _LOWER, _UPPER, _DIGITS, _HEX = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789", "0123456789abcdef"
 
@@ -81,8 +91,10 @@ class Permuter:
         """Letters and digits permuted, each place within its own class (hexadecimal strings within
         hexadecimal digits, unless told otherwise); other characters stay."""
         hexes = [k for k in (_HEX, _HEX.upper()) if hexadecimal and len(text) >= 16 and set(text) <= set(k)]
-        kinds = [next((k for k in hexes[:1] or (_DIGITS, _LOWER, _UPPER) if c in k), "") for c in text]
         tweak += "|hex" * bool(hexes)
+        if len(text) > NUMBER_BITS // 5:  # a place has under five bits
+            return self._places(text, hexes[0] if hexes else "", tweak, back)
+        kinds = [next((k for k in hexes[:1] or (_DIGITS, _LOWER, _UPPER) if c in k), "") for c in text]
         size, value = 1, 0
         for c, k in zip(text, kinds, strict=True):
             if k:
@@ -96,6 +108,31 @@ class Permuter:
             out.append(c)
         return "".join(reversed(out))
 
+    def _places(self, text: str, alphabet: str, tweak: str, back: bool) -> str:
+        """A long string: two halves of places, each place a number within its class."""
+        code = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4").copy()
+        digit, radix, kind = (np.zeros(len(code), np.uint64) for _ in range(3))
+        kinds = [alphabet] if alphabet else [_DIGITS, _LOWER, _UPPER]
+        letters = [np.array([ord(c) for c in k], np.uint32) for k in kinds]
+        for n, k in enumerate(letters):
+            order = np.argsort(k)
+            at = np.minimum(np.searchsorted(k[order], code), len(k) - 1)
+            own = k[order][at] == code
+            digit[own], radix[own], kind[own] = order[at[own]], len(k), n
+        some = np.flatnonzero(radix)
+        halves, places = np.array_split(digit[some], 2), np.array_split(radix[some], 2)
+        shape = hashlib.blake2b(radix[some].astype(np.uint8).tobytes(), digest_size=16).digest()
+        for i in reversed(range(ROUNDS)) if back else range(ROUNDS):
+            own, other = i % 2, 1 - i % 2
+            said = b"|".join([self.key, tweak.encode(), str(i).encode(), shape, halves[other].astype(np.uint8).tobytes()])
+            add = np.frombuffer(hashlib.shake_256(said).digest(4 * len(halves[own])), "<u4").astype(np.uint64) % places[own]
+            halves[own] = (halves[own] + (places[own] - add if back else add)) % places[own]
+        new = np.concatenate(halves)
+        for n, k in enumerate(letters):
+            own = kind[some] == n
+            code[some[own]] = k[new[own].astype(np.int64)]
+        return code.tobytes().decode("utf-32-le", "surrogatepass")
+
     def digits(self, text: str, tweak: str, valid: Callable[[str], bool] = lambda _: True, back: bool = False, keep: int = 0) -> str:
         """The digits after the first `keep` permuted among those strings that are valid; the rest stays."""
         plain = [c for c in text if c.isdigit() and c.isascii()]
@@ -177,31 +214,25 @@ KINDS = tuple(name for name, _ in PATTERNS)
 def replace_date(text: str, permuter: Permuter, back: bool = False) -> str:
     parts = re.split(r"[\-/.]", text)
     marks = re.findall(r"[\-/.]", text)
-    iso = len(parts[0]) == 4
-    orders = [(0, 1, 2)] if iso else [(2, 1, 0), (2, 0, 1)]
+    orders = [(0, 1, 2)] if len(parts[0]) == 4 else [(2, 1, 0), (2, 0, 1)]
     for y, m, d in orders:
         at = _as_date(parts[y], parts[m], parts[d])
         if at:
             break
     else:
         return text
-    # Day-first and month-first readings keep apart: a day over 12 stays one, so that a reader can tell the order.
-    clear = not iso and int(parts[d]) > 12
     wide = [len(p) for p in parts]
 
-    def fits(t: datetime.date) -> bool:
-        return iso or (t.day > 12) == clear
-
-    def widths(t: datetime.date) -> bool:
-        return all(wide[k] == 2 or len(str(v)) == wide[k] for k, v in ((m, t.month), (d, t.day)))
+    # A date keeps the class of its day and month: a day over 12 stays one, so that a reader can tell the order,
+    # and one-digit days and months fit their place. So all ways to write a date share one permutation.
+    def kind(t: datetime.date) -> tuple[int, bool]:
+        return (t.day > 9) + (t.day > 12), t.month > 9
 
-    span = (_DAY1 - _DAY0).days
-    value = (at - _DAY0).days
-    tweak = f"date|{iso}|{y}{m}{d}|{wide}|{clear}"
+    own, value = kind(at), (at - _DAY0).days
     while True:
-        value = (permuter.invert if back else permuter.permute)(value, span, tweak)
+        value = (permuter.invert if back else permuter.permute)(value, (_DAY1 - _DAY0).days, "date")
         t = _DAY0 + datetime.timedelta(value)
-        if fits(t) and widths(t):
+        if kind(t) == own:
             break
     new = list(parts)
     new[y], new[m], new[d] = f"{t.year:04d}", str(t.month).zfill(wide[m]), str(t.day).zfill(wide[d])
@@ -226,6 +257,15 @@ def replace_iban(text: str, permuter: Permuter, back: bool = False) -> str:
     return "".join(c if c == " " else next(new) for c in text)
 
 
+#: The two-digit calling codes of E.164; 1 and 7 have one digit, all others three.
+_TWO_DIGITS = frozenset("20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98".split())
+
+
+def calling_code(digits: str) -> int:
+    """How many digits of an international number are its calling code."""
+    return 1 if digits[0] in "17" else 2 if digits[:2] in _TWO_DIGITS else 3
+
+
 def pseudonym(kind: str, text: str, permuter: Permuter, back: bool = False) -> str:
     """The pseudonym of a find (or, with `back`, what it stands for); the text itself if it isn't valid."""
     if not text.isascii() and kind in ("date", "ip", "ssn", "card", "phone"):
@@ -248,8 +288,7 @@ def pseudonym(kind: str, text: str, permuter: Permuter, back: bool = False) -> s
     if kind == "ssn":
         return permuter.digits(text, "ssn", lambda d: d[:3] not in ("000", "666") and d[0] != "9" and d[3:5] != "00" and d[5:] != "0000", back) if text[:3] not in ("000", "666") and text[0] != "9" and text[4:6] != "00" and text[7:] != "0000" else permuter.digits(text, "ssn0", lambda d: d[:3] in ("000", "666") or d[0] == "9" or d[3:5] == "00" or d[5:] == "0000", back)
     if kind == "phone":
-        lead = re.match(r"\+(\d{1,3})(?=[ .\-(])", text)
-        return permuter.digits(text, "phone", back=back, keep=len(lead[1]) if lead else 0)
+        return permuter.digits(text, "phone", back=back, keep=calling_code(re.sub(r"\D", "", text)) if text[0] == "+" else 0)
     fixed = _PREFIX.match(text)
     fixed = fixed[0] if fixed else ""
     return fixed + permuter.string(text[len(fixed) :], kind + fixed, back)

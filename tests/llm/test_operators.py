@@ -258,7 +258,7 @@ def test_pseudonyms_keep_formats_and_links(spark):
     assert privacy.iban_ok(privacy.replace_all(finds["iban"], p)[0])
     for clean in ("version 2.0. of 3.", "1.2.3.4.5", "300.1.1.1", "13/25/2000", "call 555", "no data here", "a = b"):
         assert privacy.replace_all(clean, p) == (clean, {})
-    docs = table(spark, [*(f"x {v} y" for v in finds.values()), None, "", "clean", "a" * 200_000])
+    docs = table(spark, [*(f"x {v} y" for v in finds.values()), None, "", "clean", "a" * 200_000, "0a1B" * 50_000 + " token=" + "x7" * 90_000])
     rows = {r.doc_id: r for r in privacy.pseudonymise(docs).collect()}
     assert rows[8].text is None and rows[9].text == "" and rows[10].text == "clean" and len(rows[11].text) == 200_000
     assert all(v not in rows[i].text for i, v in enumerate(finds.values())) and rows[0]._id == "clash"
@@ -299,6 +299,53 @@ def test_digits_of_other_scripts(kind, value):
     assert privacy.replace_all(new, p, back=True)[0] == f"use {value} now"
 
 
+@pytest.mark.parametrize("n", [32, 51, 52, 64, 200, 1000, 4000, 5000, 100_000])
+@pytest.mark.parametrize("kind", ["secret", "quoted"])
+def test_long_secrets(n, kind):
+    rng, p = random.Random(n), privacy.Permuter(b"k")
+    value = "".join(rng.choice("0123456789abcdef" if kind == "secret" else "abcXYZ019-+é") for _ in range(n))
+    lead = "" if kind == "secret" else "token="
+    new, found = privacy.replace_all(f"{lead}{value} end", p)
+    assert found == {kind: 1} and len(new) == len(lead) + n + 4
+    own = new[len(lead) : len(lead) + n]
+    places = [c.isascii() and c.isalnum() for c in value]
+    same = [a == b for a, b, free in zip(value, own, places, strict=True) if free]
+    assert all(a == b for a, b, free in zip(value, own, places, strict=True) if not free)
+    assert sum(same) <= 0.09 * len(same) + 4 * math.sqrt(0.09 * len(same))  # by chance: 1 of 10 to 1 of 26
+    assert "1" * 8 not in "".join("1" if x else "0" for x in same)
+    assert privacy.replace_all(new, p, back=True)[0] == f"{lead}{value} end"
+    # one changed place changes all of it
+    other = p.string("ff" + value[2:], kind), p.string("0f" + value[2:], kind)
+    assert sum(a == b for a, b, free in zip(*other, places, strict=True) if free) < 0.5 * sum(places) + 4
+
+
+def test_long_strings_are_permuted_one_to_one():
+    p = privacy.Permuter(b"k")
+    for text in ("ab" + "-" * 60, "a1B" + "_" * 60, "-" * 70):
+        seen = {}
+        for a in "abcdefghijklmnopqrstuvwxyz":
+            for b in "0123456789":
+                t = text.replace("a", a).replace("1", b)
+                seen.setdefault(p.string(t, "t"), set()).add(t)
+        assert all(len(v) == 1 for v in seen.values()) and all(p.string(k, "t", back=True) in v for k, v in seen.items())
+
+
+def test_values_written_differently_keep_their_link():
+    p = privacy.Permuter(b"k")
+    digits = lambda t: re.sub(r"\D", "", t)
+    for group in (("+1 (663) 555-6869", "+16635556869", "+1 663 555 6869"), ("+49 30 1234567", "+49301234567"), ("+358 40 1234567", "+358401234567")):
+        new = {digits(privacy.replace_all(x, p)[0]) for x in group}
+        assert len(new) == 1 and new.pop()[:1] == digits(group[0])[:1]
+    for group in (("2024-04-03", "3/4/2024", "03.04.2024", "2024/4/3"), ("2024-04-13", "13-04-2024", "4/13/2024", "04/13/2024"), ("1999-12-31", "31/12/1999", "12/31/1999"), ("2001-11-11", "11.11.2001")):
+        new = set()
+        for x in group:
+            y = privacy.replace_all(x, p)[0]
+            a, b, c = (int(v) for v in re.split(r"[-/.]", y))
+            assert len(y) == len(x) and y != x and privacy.replace_all(y, p, back=True)[0] == x
+            new.add((a, b, c) if a > 31 else (c, a, b) if b > 12 else (c, b, a))
+        assert len(new) == 1
+
+
 def test_permutations_are_permutations():
     p = privacy.Permuter()
     for size in (1, 2, 7, 10, 97, 1000):
