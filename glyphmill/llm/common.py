@@ -26,6 +26,8 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 #: Bytes of text worked on at once in a Python task; one longer text makes a piece of its own.
 PIECE_BYTES = 4 << 20
+#: So many tasks can work on small tables, too.
+LEAST_SHARES = 16
 
 _K1, _K2, _K3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
 _MASKS = np.array([(1 << (8 * k)) - 1 for k in range(9)], np.uint64)
@@ -46,6 +48,7 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 _roots: list[str] = []
+_tables: list[str] = []
 
 
 class Scratch:
@@ -60,6 +63,14 @@ class Scratch:
         df.write.mode("overwrite").option("compression", "zstd").parquet(f"{self.root}/{name}")
         return self.spark.read.schema(df.schema).parquet(f"{self.root}/{name}")
 
+    def put_bucketed(self, df: DataFrame, name: str, key: str, parts: int) -> DataFrame:
+        """As put; what is grouped by the key afterwards needs no exchange of this table."""
+        table = f"glyphmill_{uuid.uuid4().hex}"
+        _tables.append(table)
+        written = df.repartition(parts, key).write.bucketBy(parts, key).option("compression", "zstd").option("path", f"{self.root}/{name}")
+        written.format("parquet").mode("overwrite").saveAsTable(table)
+        return self.spark.table(table)
+
     def drop(self, name: str) -> None:
         _delete(self.spark, f"{self.root}/{name}")
 
@@ -71,6 +82,8 @@ def _delete(spark: SparkSession, uri: str) -> None:
 
 def clear_scratch(spark: SparkSession) -> None:
     """Delete all that operators have written for themselves, once their results are saved."""
+    while _tables:
+        spark.sql(f"DROP TABLE IF EXISTS {_tables.pop()}")
     while _roots:
         _delete(spark, _roots.pop())
 
@@ -79,6 +92,13 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def shares(docs: DataFrame, text_col: str, size: int) -> int:
+    """In how many shares of `size` bytes the texts come, LEAST_SHARES at least: groups so counted stay as large
+    as they are, however much text there is."""
+    total = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
+    return max(LEAST_SHARES, -(-total // size))
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -36,23 +36,20 @@ _NONE = np.iinfo(np.int64).max
 _OTHER = np.uint64(0xA0761D6478BD642F)
 
 
-def pack_hashes(h: np.ndarray, buckets: int) -> tuple[np.ndarray, list[bytes]]:
-    """Sorted distinct hashes cut into buckets: where each begins, and per bucket the low 48 bits as
-    six bytes each, after a compressed count for each value of the top 16 bits."""
+def pack_hashes(h: np.ndarray, buckets: int) -> tuple[np.ndarray, list[int], list[bytes]]:
+    """Sorted distinct hashes cut into buckets: where each begins, which have any, and for each of these the low 48
+    bits as six bytes each, after a compressed count for each value of the top 16 bits."""
     at = bucket_starts(h, buckets)
-    out = []
+    some, out = np.flatnonzero(np.diff(at)).tolist(), []
     press = zstandard.ZstdCompressor(level=1)
-    for k in range(buckets):
+    for k in some:
         part = h[at[k] : at[k + 1]]
-        if not len(part):
-            out.append(b"")
-            continue
         top = (part >> np.uint64(48)).astype(np.int64)
         counts = np.bincount(top - top[0]).astype("<u4")
         head = press.compress(np.concatenate([[top[0]], counts]).astype("<u4").tobytes())
         low = np.ascontiguousarray(part).view(np.uint8).reshape(-1, 8)[:, :6]
         out.append(len(head).to_bytes(4, "little") + head + low.tobytes())
-    return at, out
+    return at, some, out
 
 
 def unpack_hashes(blob: bytes) -> np.ndarray:
@@ -87,16 +84,17 @@ def bytes_apart(x: np.ndarray) -> bytes:
     return x.view(np.uint8).reshape(-1, x.itemsize).T.tobytes()
 
 
+def bytes_together(raw: np.ndarray, kind: str) -> np.ndarray:
+    """What bytes_apart took apart."""
+    return np.ascontiguousarray(raw.reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
+
+
 def unpack_ids(blob: bytes) -> np.ndarray:
     raw = zstandard.ZstdDecompressor().decompress(blob)
     nv, n, wide, small = np.frombuffer(raw, "<i8", 4)
     first = np.frombuffer(raw, "<i8", 1, 32)[0]
-
-    def together(at: int, count: int, size: int) -> np.ndarray:
-        return np.ascontiguousarray(np.frombuffer(raw, np.uint8, count * size, at).reshape(size, count).T).view(f"<u{size}").ravel()
-
-    steps = together(40, nv, wide)
-    place = together(40 + nv * wide, n, small)
+    steps = bytes_together(np.frombuffer(raw, np.uint8, nv * wide, 40), f"<u{wide}")
+    place = bytes_together(np.frombuffer(raw, np.uint8, n * small, 40 + nv * wide), f"<u{small}")
     return (np.cumsum(steps.astype(np.uint64)).view(np.int64) + first)[place]
 
 
@@ -185,13 +183,12 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     def ask(table: pa.Table) -> pa.Table:
         h, check, ids, _ = block_hashes(list(block_windows(table, window)))
         block = table.column("_block")[0].as_py()
-        at, packed = pack_hashes(h, buckets)
-        some = [k for k in range(buckets) if packed[k]]
+        at, some, packed = pack_hashes(h, buckets)
         return pa.table(
             {
                 "_bucket": pa.array(some, pa.int32()),
                 "_block": pa.array([block] * len(some), pa.int32()),
-                "hashes": pa.array([packed[k] for k in some], pa.binary()),
+                "hashes": pa.array(packed, pa.binary()),
                 "checks": pa.array([check[at[k] : at[k + 1]].tobytes() for k in some], pa.binary()),
                 "ids": pa.array([pack_ids(ids[at[k] : at[k + 1]]) for k in some], pa.binary()),
             }

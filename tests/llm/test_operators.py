@@ -412,6 +412,119 @@ def test_brown_scores(spark):
     assert brown.score_texts(empty(spark)).count() == 0
 
 
+def naive_likelihood(grams, of):
+    m = np.zeros((brown.CLASSES, brown.CLASSES))
+    for (a, b), n in grams.items():
+        m[of[a], of[b]] += n
+    return brown.likelihood(m)
+
+
+def naive_classes(words, grams):
+    """Exchange by trying every move on the whole likelihood. words: by falling count, the end token None."""
+    free = sorted((w for w in words if w is not None), key=lambda w: -sum(n * ((a == w) + (b == w)) for (a, b), n in grams.items()))
+    of = {None: brown.END_CLASS} | {w: 2 + k for k, w in enumerate(free)}
+    moved = True
+    while moved:
+        moved = False
+        for w in free:
+            now, own, best = naive_likelihood(grams, of), of[w], of[w]
+            for c in range(2, brown.CLASSES):
+                of[w] = c
+                if (x := naive_likelihood(grams, of)) > now + 1e-7:
+                    now, best = x, c
+            of[w] = best
+            moved |= best != own
+    return of
+
+
+def test_brown_scores_against_brute_force(spark):
+    rng = random.Random(17)
+    groups = [[f"{g}{k}" for k in range(4)] for g in "abc"]
+    texts = [" ".join(rng.choice(groups[j % 3]) for j in range(rng.randrange(4, 30))) for _ in range(60)] + ["a0 once", "new a1 b1", None, ""]
+    ids = list(range(len(texts)))
+    held = {d: zlib.crc32(str(d).encode()) % 5 == 1 for d in ids}
+    toks = {d: [*WORDS.findall(t or ""), None] for d, t in zip(ids, texts, strict=True)}
+    grams, count = Counter(), Counter()
+    for d, ws in toks.items():
+        if not held[d]:
+            grams.update(zip([None, *ws], ws, strict=False))
+            count.update(ws)
+    of = naive_classes(list(count), grams)
+    size, types, past = Counter(), Counter(), defaultdict(Counter)
+    for w, n in count.items():
+        size[of[w]] += n
+        types[of[w]] += 1
+    kind = lambda w: of[w] if count[w] > 1 else "once"
+    for (a, b), n in grams.items():
+        past[kind(a)][of[b]] += n
+    total = sum(count.values())
+
+    def step(a, b):
+        row = past[kind(a)]
+        p = lambda c: (row[c] + brown.SMOOTH * size[c] / total) / (sum(row.values()) + brown.SMOOTH)
+        if count[b]:
+            return p(of[b]) * (count[b] - brown.DISCOUNT) / size[of[b]]
+        return sum(p(c) * brown.DISCOUNT * types[c] / size[c] for c in size)
+
+    for a in [*count, "unheard"]:  # known words and one unknown word: all there is
+        assert math.isclose(sum(step(a, b) for b in [*count, "unheard"]), 1)
+    got = brown.score_texts(table(spark, texts, ids)).collect()
+    assert len(got) == len(ids)
+    for r in got:
+        ws = toks[r.doc_id]
+        assert math.isclose(r.score, sum(math.log10(step(a, b)) for a, b in zip([None, *ws], ws, strict=False)), rel_tol=1e-9), r.doc_id
+    out = [r for r in got if r.held_out]
+    assert sum(r.score for r in out) > sum(r.base_score for r in out)
+
+
+def test_brown_probabilities_sum_to_one():
+    rng = np.random.default_rng(3)
+    n = [rng.integers(1, 50, k) for k in (1, 7, 300, *[5] * (brown.CLASSES - 4))] + [np.zeros(0)]  # the last class is empty
+    size, types = np.array([x.sum() for x in n], float), np.array([len(x) for x in n], float)
+    p, unknown = brown.smoothed(rng.integers(0, 40, (brown.CLASSES + 1, brown.CLASSES)) * (size > 0), size, types)
+    known = sum(p[:, c] * (n[c] - brown.DISCOUNT).sum() / size[c] for c in range(brown.CLASSES) if size[c])
+    assert np.allclose(known + unknown, 1)
+
+
+@pytest.mark.parametrize("head_words", [20, 60])
+def test_brown_words_outside_the_head_are_exchanged(spark, head_words):
+    rng = random.Random(18)
+    groups = [[f"{g}{k}" for k in range(40)] for g in "abcd"]
+    texts = [" ".join(rng.choice(groups[j % 4]) for j in range(rng.randrange(8, 60))) for _ in range(500)]
+    docs = table(spark, texts)
+    some, all_ = (brown.score_texts(docs, head_words=k).where("held_out").agg(F.sum("score"), F.sum("n_tokens"), F.max("moving_tokens"), F.max("train_tokens")).first() for k in (head_words, brown.HEAD))
+    # four groups of 40: log10 40 a word but the start and end of a text; 160 words without groups: log10 160 = 2.2
+    assert some[0] / some[1] > all_[0] / all_[1] - 0.05 > -1.8
+    assert 0 <= some[2] <= some[3]
+
+
+def test_brown_without_training_texts(spark):
+    ids = [d for d in range(40) if zlib.crc32(str(d).encode()) % 5 == 1]
+    got = brown.score_texts(table(spark, ["one two"] * len(ids), ids)).collect()
+    assert len(got) == len(ids) and all(r.score == r.base_score and r.train_tokens == 0 and r.n_known == 0 for r in got)
+
+
+def test_first_order_gains_find_the_best_class():
+    rng = np.random.default_rng(5)
+    m = rng.integers(500, 20_000, (brown.CLASSES, brown.CLASSES)).astype(float)
+    times = np.array([1, 2, 3, 6, 7, 20, 40])
+    word = np.repeat(np.arange(len(times)), times)
+    left, right = rng.integers(1, brown.CLASSES, (2, len(word)))
+    cls = rng.integers(1, brown.CLASSES, len(times))
+    thick = {3: np.stack([np.bincount(rng.integers(1, brown.CLASSES, 90), minlength=brown.CLASSES) for _ in range(2)]).astype(np.float32)}
+    got = brown.better_class(m, times, cls, left, right, word, thick)
+    for k in range(len(times)):
+        l, r = (np.bincount(x[word == k], minlength=brown.CLASSES).astype(float) for x in (left, right))
+        if k in thick:
+            l, r = l + thick[k][0], r + thick[k][1]
+        rest = m.copy()
+        rest[cls[k]] -= r
+        rest[:, cls[k]] -= l
+        gain = brown.gains(rest, r, l, 0.0)
+        gain[0] = -np.inf
+        assert gain[got[k]] > gain.max() - 0.05 * l.sum() and gain[got[k]] >= gain[cls[k]]
+
+
 def test_exchange_separates_classes():
     rng = np.random.default_rng(0)
     grams = np.zeros((20, 20))
@@ -419,8 +532,10 @@ def test_exchange_separates_classes():
     b = rng.integers(10, 20, 5000)
     np.add.at(grams, (a, b), 1)
     np.add.at(grams, (b[:-1], a[1:]), 1)
-    of = brown.exchange(grams, {}, classes=2)
+    start = brown.spread_out(20, grams.sum(0), {}, 2)
+    of, m = brown.exchange(grams, start, set(), *brown.by_class(grams, start, 2))
     assert len(set(of[:10].tolist())) == 1 and len(set(of[10:].tolist())) == 1 and of[0] != of[10]
+    assert np.array_equal(m, brown.by_class(grams, of, 2)[0])
 
 
 # ------------------------------------------------------------- 8
