@@ -9,7 +9,8 @@ eight bytes a hash, to the bucket of the hash's leading bits. A bucket finds eac
 all blocks and answers every block with one bit per hash: is there a smaller id elsewhere? The block
 hashes its texts again and merges the windows that go. So a passage that a third of all texts share
 arrives at its bucket once per block, not once per text, the text is moved once, and neither step
-holds more than a block or a bucket. Both counts follow `spark.sql.shuffle.partitions`.
+holds more than a block or a bucket. Both are counted by bytes of text, one for each BLOCK_BYTES, so neither grows
+with the corpus. A block sends a bucket nothing if it has none of its hashes, so messages are never more than windows.
 
 A hash has 80 bits: 64 of one polynomial and 16 of another. Of n windows some n**2 / 2**81 pairs are
 expected to be equal by chance: 10**-8 pairs at 10**8 windows, 400 at the 3 * 10**13 of 100 TB.
@@ -29,9 +30,11 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Words, giving_back, inside_doc, mix, partitions, pieces, read_table, spread, text_bytes, window_hashes, word_hashes, words
+from .common import Words, giving_back, inside_doc, mix, pieces, read_table, shares, spread, text_bytes, window_hashes, word_hashes, words
 
 WINDOW = 13
+#: Bytes of text in a block, and for each bucket.
+BLOCK_BYTES = 12 << 20
 _NONE = np.iinfo(np.int64).max
 _OTHER = np.uint64(0xA0761D6478BD642F)
 
@@ -174,8 +177,9 @@ def intervals(w: Words, gone: np.ndarray) -> pa.Array:
 
 def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, blocks: int | None = None, buckets: int | None = None) -> DataFrame:
     """id, n_words, n_removed, kept_text and removed (maximal intervals of word numbers) of every text."""
-    n = partitions(docs.sparkSession)
-    blocks, buckets = blocks or 2 * n, buckets or 2 * n
+    if not (blocks and buckets):
+        n = shares(docs, text_col, BLOCK_BYTES)
+        blocks, buckets = blocks or n, buckets or n
     # the id and the text both count: copies of an id spread too
     own = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text")).withColumn("_block", spread(blocks, "_id", "_text"))
 
