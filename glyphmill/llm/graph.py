@@ -2,7 +2,7 @@
 
 Every node keeps only links to smaller nodes. A round first joins each node's larger neighbours to its
 smallest neighbour (large star), then all its smaller neighbours to the smallest of them (small star),
-until each node's one link is to the smallest of its component. All tables stay distributed and each round
+until each node's one link is to a node without a link, the smallest of its component. All tables stay distributed and each round
 is written to the shared folder. Rows are grouped by their larger end only; by the smaller end, which may
 have very many, they are joined with a stored table, so that adaptive execution can split them.
 """
@@ -23,7 +23,6 @@ def components(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
     now = scratch.put(
         edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), f"{name}-0"
     )
-    seen = None
     for k in range(1, MAX_ROUNDS):
         least = scratch.put(now.groupBy("a").agg(F.min("b").alias("m")), f"{name}-least-{k}")
         large = now.join(least.toDF("b", "m").hint("merge"), "b", "left").select("a", F.coalesce("m", "b").alias("b")).distinct()
@@ -31,11 +30,12 @@ def components(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
         small = large.join(near, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         new = scratch.put(small.union(near.select("a", F.col("m").alias("b"))).distinct(), f"{name}-{k}")
         scratch.drop(f"{name}-least-{k}")
-        sums = new.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         scratch.drop(f"{name}-{k - 1}")
-        if sums == seen:
+        now = new
+        # done if each node has one link and none is linked to that has a link
+        links, nodes = new.agg(F.count("*"), F.count_distinct("a")).first()
+        if links == nodes and new.select(F.col("b").alias("a")).distinct().join(new.select("a").hint("merge"), "a", "left_semi").isEmpty():
             break
-        now, seen = new, sums
     else:
         raise RuntimeError("components did not settle")
     roots = new.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()

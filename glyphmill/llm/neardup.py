@@ -1,24 +1,30 @@
 """Near-duplicates by a multi-index Hamming join of MinHash signatures, confirmed on full shingle sets.
 
 A text's signature has LANES minima of its shingle set, BITS bits of each. Two sets of similarity J
-differ in a lane with probability 1 - J. The signature is split into CHUNKS chunks; if two signatures
-differ in at most THRESHOLD = 2 * CHUNKS - 1 lanes, some chunk differs in at most one lane (pigeonhole),
+differ in a lane with probability 1 - J. The first INDEXED lanes are split into CHUNKS chunks; if two signatures
+differ in at most 2 * CHUNKS - 1 = 15 of these, some chunk differs in at most one lane (pigeonhole),
 so enumerating the allowed chunk errors - no lane or any one lane of a chunk left out - gives keys of
-which such a pair shares one at least: all pairs up to the threshold are found. Pairs of similarity
-0.85 are beyond it with probability 3e-6, and share no key with probability 2e-8.
+which such a pair shares one at least. A pair that shares a key is a candidate if it differs in at most THRESHOLD of
+all lanes. At similarity 0.85 a pair shares no key with probability 2e-8, at 0.8 with 1e-6, and is beyond the
+threshold with 3e-8 and 1e-5; at 0.3 it is within it with 8e-6, so texts that share no more than some boilerplate
+don't chain up.
 
 How it runs. Texts of equal sets (128-bit digests) are one class, represented by its smallest id. The
-keys of the representatives give stars (each to the smallest id with the key, so a key of n members
-gives n - 1 rows), whose components hold all candidates of each other. A component's texts come
-together in tiles of bounded size - two parts of the component each, so that every pair meets in a
-tile - where pairs are tried in order of signature distance, confirmed on full sets, and skipped once
-their ends are linked. A tile returns at most a spanning forest. The components of those links are the
-result. No table is collected, no step emits the pairs of a group.
+rows of a key are compared with the key's smallest id; those within the threshold are candidates of it. Only where
+some row is not, and the key has more than two, is that row compared with all others of the key, in tiles of two
+parts of KEY_PART rows; a tile returns a spanning forest of the pairs within the threshold. A component of
+candidates comes together in tiles of bounded size, rows and bytes - two parts of it each, so that every pair meets
+in a tile - where pairs are tried in order of signature distance, confirmed on full sets, and skipped once their ends
+are linked. A tile returns at most a spanning forest. The components of those links are the result. No table is
+collected, no step emits the pairs of a group. Work grows with the square of the number of different texts only
+where these are near each other, or share a key without being near.
 
 Cases: null and empty texts (and texts of blanks) have an empty set and link with nothing; a text of
 fewer words than a shingle has its whole sequence as its one shingle; rows with a null id are kept and
-link with nothing; rows of one id are one node; an empty table gives an empty result; only the named
-columns are read.
+link with nothing; rows of one id are one node, whatever their texts; ids that aren't whole numbers raise an error;
+an empty table gives an empty result; only the named columns are read. Shingles are compared by 64-bit hashes: among n
+shingles some n^2 / 2^65 pairs are expected to be equal by chance, which changes a confirmation only if they are of
+the two texts compared.
 """
 
 from __future__ import annotations
@@ -30,16 +36,21 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER, Scratch, batches, giving_back, inside_doc, mix, partitions, pieces, read_table, spread, text_bytes, window_hashes, word_hashes, words
+from .common import LEAST_SHARES, LOWER, Scratch, batches, giving_back, inside_doc, mix, pieces, read_table, spread, text_bytes, window_hashes, word_hashes, words
 from .graph import components
 
-LANES, CHUNKS, BITS = 32, 8, 16
-WIDE = LANES // CHUNKS
-THRESHOLD = 2 * CHUNKS - 1
-#: Within a tile, pairs that differ in more lanes are not tried: at similarity 0.8 that has probability 1e-9.
-TRY = 22
-#: A tile holds two parts of a component; a part has PART rows, more where there would be over MAX_PARTS.
-PART, MAX_PARTS, MAX_PART = 128, 16, 2048
+LANES, INDEXED, CHUNKS, BITS, THRESHOLD = 64, 32, 8, 16, 28
+WIDE = INDEXED // CHUNKS
+#: Within a tile, pairs that differ in more of the indexed lanes are not tried: at similarity 0.8 that has probability
+#: 1e-9. In tiles of up to SMALL texts all pairs are.
+TRY, SMALL = 22, 8
+#: A tile holds two parts of a component; a part has PART rows, more where there would be over MAX_PARTS, and some
+#: PART_BYTES of text.
+PART, MAX_PARTS, MAX_PART, PART_BYTES = 128, 16, 2048, 8 << 20
+#: Rows of a key in a part of its tiles; bytes of text of the tiles that a task's function takes at once.
+KEY_PART, BIN_BYTES = 2048, 8 << 20
+#: A signature as numbers of 64 bits, a chunk each; the first CHUNKS are indexed.
+SIG = [f"s{c}" for c in range(LANES // WIDE)]
 
 _rng = np.random.default_rng(20240501)
 _LANE_MUL = _rng.integers(1, 2**63, LANES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -66,13 +77,13 @@ def shingle_sets(data: np.ndarray, off: np.ndarray, n: int) -> tuple[np.ndarray,
     return v, np.searchsorted(d, np.arange(docs + 1))
 
 
-def signatures(v: np.ndarray, at: np.ndarray) -> np.ndarray:
+def signatures(v: np.ndarray, at: np.ndarray, lanes: int = LANES) -> np.ndarray:
     """BITS bits of the minimum of each lane, for every set; zeros for empty sets."""
-    out = np.zeros((len(at) - 1, LANES), np.uint16)
+    out = np.zeros((len(at) - 1, lanes), np.uint16)
     some = np.flatnonzero(at[1:] > at[:-1])
     if len(some):
         x = np.empty_like(v)
-        for k in range(LANES):
+        for k in range(lanes):
             np.bitwise_xor(v, _LANE_XOR[k], out=x)
             np.multiply(x, _LANE_MUL[k], out=x)
             out[some, k] = mix(np.minimum.reduceat(x, at[some])) & np.uint64(0xFFFF)
@@ -90,36 +101,89 @@ def digests(v: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def describe(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
-    """_id, n_shingles, digest (two numbers) and signature of every text."""
+    """_id, n_shingles, digest (two numbers), bytes of the text and signature (a number a chunk) of every text."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, data, off in batches(it, "_text"):
             v, at = shingle_sets(data, off, shingle)
-            d1, d2 = digests(v, at)
-            sig = signatures(v, at)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column(0),
-                    pa.array(np.diff(at)),
-                    pa.array(d1),
-                    pa.array(d2),
-                    pa.Array.from_buffers(pa.binary(2 * LANES), len(sig), [None, pa.py_buffer(np.ascontiguousarray(sig))]).cast(pa.binary()),
-                ],
-                ["_id", "n_shingles", "d1", "d2", "sig"],
-            )
+            sig = np.ascontiguousarray(signatures(v, at)).view(np.int64)
+            columns = [batch.column(0), *(pa.array(x) for x in (np.diff(at), *digests(v, at), np.diff(off), *(np.ascontiguousarray(c) for c in sig.T)))]
+            yield pa.RecordBatch.from_arrays(columns, ["_id", "n_shingles", "d1", "d2", "bytes", *SIG])
 
     return docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text")).mapInArrow(
-        run, "_id bigint, n_shingles bigint, d1 bigint, d2 bigint, sig binary"
+        run, ", ".join(f"{c} bigint" for c in ("_id", "n_shingles", "d1", "d2", "bytes", *SIG))
     )
 
 
-def index_keys(sig: str = "sig") -> Column:
+def index_keys() -> Column:
     """The keys of a signature: for each chunk, the chunk without each of its lanes in turn. A chunk with
     no error shares all of these, one with an error in a lane shares that without the lane."""
-    lane = lambda k: F.substring(sig, 2 * k + 1, 2)
-    return F.array(
-        *(F.xxhash64(F.lit(c * WIDE + j), *(lane(c * WIDE + i) for i in range(WIDE) if i != j)) for c in range(CHUNKS) for j in range(WIDE))
-    )
+    # as signed numbers
+    without = [~(0xFFFF << BITS * j) if j < WIDE - 1 else (1 << BITS * j) - 1 for j in range(WIDE)]
+    return F.array(*(F.xxhash64(F.lit(c * WIDE + j), F.col(SIG[c]).bitwiseAND(F.lit(without[j]))) for c in range(CHUNKS) for j in range(WIDE)))
+
+
+def distance(a: str, b: str) -> Column:
+    """In how many lanes two signatures (structs of SIG) differ."""
+    low = sum(1 << BITS * j for j in range(WIDE))
+    total = F.lit(0)
+    for c in SIG:
+        x = F.col(f"{a}.{c}").bitwiseXOR(F.col(f"{b}.{c}"))
+        for k in (8, 4, 2, 1):  # a lane's lowest bit becomes the OR of its bits
+            x = x.bitwiseOR(F.shiftrightunsigned(x, k))
+        total = total + F.bit_count(x.bitwiseAND(F.lit(low)))
+    return total
+
+
+def near_signatures(rows: DataFrame) -> DataFrame:
+    """Of rows (key, i, j, part, rep, sig, ok), the tiles of keys: a spanning forest (a, b) of the pairs within
+    the threshold in each tile, other than pairs that are both `ok`."""
+
+    @giving_back
+    def run(table: pa.Table) -> pa.Table:
+        ids, part = (np.asarray(table.column(c).cast(pa.int64()).combine_chunks()) for c in ("rep", "part"))
+        sig = table.column("sig").combine_chunks()
+        lanes = np.ascontiguousarray(np.stack([np.asarray(sig.field(c)) for c in SIG], 1)).view(np.uint16)
+        ok = np.asarray(table.column("ok").combine_chunks())
+        i, j = table.column("i")[0].as_py(), table.column("j")[0].as_py()
+        sets, links = _Sets(len(ids)), []
+        one = np.flatnonzero(part == i)
+        other = one if i == j else np.flatnonzero(part == j)
+        for n, k in enumerate(one.tolist()):
+            to = other[n + 1 :] if i == j else other
+            to = to[~ok[to]] if ok[k] else to
+            for x in to[(lanes[to] != lanes[k]).sum(1) <= THRESHOLD].tolist():
+                a, b = sets.root(k), sets.root(x)
+                if a != b:
+                    sets.up[max(a, b)] = min(a, b)
+                    links.append((int(ids[k]), int(ids[x])))
+        return pa.table({"a": pa.array([x for x, _ in links], pa.int64()), "b": pa.array([y for _, y in links], pa.int64())})
+
+    return rows.groupBy("key", "i", "j").applyInArrow(run, "a bigint, b bigint")
+
+
+def in_tiles(rows: DataFrame, parts: Column, by: Column) -> DataFrame:
+    """Each row once for each part that its own (by a hash) meets: part, i, j."""
+    own = rows.withColumn("parts", parts.cast("int")).withColumn("part", F.pmod(by, F.col("parts")).cast("int"))
+    met = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    return met.withColumn("i", F.least("part", "other")).withColumn("j", F.greatest("part", "other")).drop("parts", "other")
+
+
+def candidates(classes: DataFrame, scratch: Scratch) -> DataFrame:
+    """Links (a, b) whose components hold all pairs of representatives within the threshold."""
+    sig = F.struct(*SIG).alias("sig")
+    keyed = classes.select("rep", sig, F.explode(index_keys()).alias("key"))
+    # stored, so that adaptive execution can split the rows of a key that very many share
+    shared = keyed.groupBy("key").agg(F.min(F.struct("rep", "sig")).alias("x"), F.max("rep").alias("most"), F.count("*").alias("n"))
+    shared = scratch.put(shared.where("n > 1 and x.rep <> most").select("key", F.col("x.rep").alias("least"), F.col("x.sig").alias("first"), "n"), "shared")
+    met = keyed.join(shared.hint("merge"), "key").where("rep <> least or n > 2")
+    near = (distance("sig", "first") <= THRESHOLD).alias("ok")
+    met = scratch.put(met.select("key", "rep", "least", "n", F.when(F.col("n") > 2, F.col("sig")).alias("sig"), near), "met")
+    stars = met.where("ok and rep <> least").select(F.col("rep").alias("a"), F.col("least").alias("b"))
+    mixed = scratch.put(met.where("n > 2 and not ok").select("key").distinct(), "mixed")
+    rows = met.where("n > 2").join(mixed.hint("merge"), "key")
+    tiles = in_tiles(rows.select("key", "rep", "sig", "ok", "n"), F.ceil(F.col("n") / KEY_PART), F.xxhash64("rep"))
+    return stars.union(near_signatures(tiles.select("key", "i", "j", "part", "rep", "sig", "ok")))
 
 
 class _Sets:
@@ -138,7 +202,7 @@ class _Sets:
 def confirm(ids: np.ndarray, part: np.ndarray, cross: bool, v: np.ndarray, at: np.ndarray, percent: int) -> list[tuple[int, int]]:
     """A spanning forest of the links among a tile's texts (of different parts only, if cross)."""
     n, size = len(ids), np.diff(at)
-    sig = signatures(v, at)
+    sig = signatures(v, at, INDEXED) if n > SMALL else np.zeros((n, 0), np.uint16)
     sets, links = _Sets(n), []
     # distances a row at a time keep memory at n * LANES
     a, b, far = [], [], []
@@ -169,30 +233,25 @@ def confirm(ids: np.ndarray, part: np.ndarray, cross: bool, v: np.ndarray, at: n
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80) -> DataFrame:
     """id, n_shingles, component_id and kept of every text. Linked: 100 * intersection >= percent * union."""
     spark = docs.sparkSession
-    scratch, n = Scratch(spark), partitions(spark)
+    scratch = Scratch(spark)
     each = scratch.put(describe(docs, id_col, text_col, shingle), "each")
     known = each.where("n_shingles > 0 and _id is not null")
-    classes = scratch.put(known.groupBy("d1", "d2").agg(F.min("_id").alias("rep"), F.min("sig").alias("sig")), "classes")
-    keyed = classes.select("rep", F.explode(index_keys()).alias("key"))
-    # stored, so that adaptive execution can split the rows of a key that very many share
-    shared = scratch.put(keyed.groupBy("key").agg(F.min("rep").alias("least"), F.max("rep").alias("most")).where("least <> most").select("key", "least"), "shared")
-    stars = keyed.join(shared.hint("merge"), "key").where("rep <> least").select(F.col("rep").alias("a"), F.col("least").alias("b"))
-    cluster = components(stars, scratch, "candidates")
+    classes = known.groupBy("d1", "d2").agg(F.min("_id").alias("rep"), F.max("bytes").alias("bytes"), *(F.min(c).alias(c) for c in SIG))
+    classes = scratch.put(classes, "classes")
+    cluster = scratch.put(components(candidates(classes, scratch), scratch, "candidates"), "clustered")
+    for name in ("shared", "met", "mixed"):
+        scratch.drop(name)
+    cluster = cluster.join(classes.select(F.col("rep").alias("node"), "bytes").hint("merge"), "node")
     size = F.least(F.greatest(F.lit(PART), F.ceil(F.col("n") / MAX_PARTS)), F.lit(MAX_PART))
     # stored, so that adaptive execution can split the rows of a large component
-    sized = scratch.put(cluster.groupBy("component").agg(F.count("*").alias("n")).select("component", F.ceil(F.col("n") / size).cast("int").alias("parts")), "sizes")
-    parts = cluster.join(sized.hint("merge"), "component")
-    parts = parts.withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
-    tiles = scratch.put(
-        parts.select("node", "component", "part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other")).select(
-            "node", "component", "part", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j")
-        ),
-        "tiles",
-    )
-    bins = 16 * n
+    sized = cluster.groupBy("component").agg(F.count("*").alias("n"), F.sum("bytes").alias("sum"))
+    sized = scratch.put(sized.select("component", F.greatest(F.ceil(F.col("n") / size), F.ceil(F.col("sum") / PART_BYTES)).alias("wanted")), "sizes")
+    own = cluster.join(sized.hint("merge"), "component")
+    tiles = scratch.put(in_tiles(own, F.col("wanted"), F.xxhash64("node")).select("node", "component", "part", "i", "j", "bytes"), "tiles")
+    bins = max(LEAST_SHARES, -(-(tiles.agg(F.sum("bytes")).first()[0] or 0) // BIN_BYTES))
     texts = docs.select(F.col(id_col).cast("long").alias("node"), F.col(text_col).alias("text"))
     # the same join at every size: a small table of tiles would else be broadcast, a large one not
-    placed = texts.join(tiles.hint("merge"), "node").withColumn("_bin", spread(bins, "component", "i", "j"))
+    placed = texts.join(tiles.drop("bytes").hint("merge"), "node").withColumn("_bin", spread(bins, "component", "i", "j"))
 
     @giving_back
     def verify(table: pa.Table) -> pa.Table:
@@ -214,7 +273,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         return pa.table({"a": pa.array([x for x, _ in links], pa.int64()), "b": pa.array([y for _, y in links], pa.int64())})
 
     links = placed.groupBy("_bin").applyInArrow(verify, "a bigint, b bigint")
-    linked = components(links, scratch, "links")
+    # rows of one id are one node: its classes belong together
+    several = known.groupBy("_id").agg(F.min("d1").alias("x"), F.max("d1").alias("y"), F.min("d2").alias("z"), F.max("d2").alias("w")).where("x <> y or z <> w").select("_id")
+    same = known.select("_id", "d1", "d2").join(several, "_id").join(classes.select("d1", "d2", "rep"), ["d1", "d2"]).select(F.col("_id").alias("a"), F.col("rep").alias("b"))
+    linked = components(links.union(same), scratch, "links")
     final = classes.select("d1", "d2", F.col("rep").alias("node")).join(linked, "node", "left").select("d1", "d2", F.coalesce("component", "node").alias("component"))
     out = each.join(final, ["d1", "d2"], "left")
     component = F.when(F.col("n_shingles") > 0, F.coalesce("component", "_id")).otherwise(F.col("_id"))

@@ -13,7 +13,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from glyphmill.llm import brown, chat, decontaminate, idfiles, licences, neardup, pieces, privacy, rules, substrings
-from glyphmill.llm.common import mix, text_bytes
+from glyphmill.llm.common import Scratch, mix, text_bytes
+from glyphmill.llm.graph import components
 
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
 LOWER = str.maketrans({chr(65 + k): chr(97 + k) for k in range(26)})
@@ -232,6 +233,52 @@ def test_near_duplicates_against_brute_force(spark, monkeypatch, shingle, percen
     assert sorted((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in got) == brute_components(rows, shingle, percent)
 
 
+def test_rows_of_an_id_are_one_node(spark):
+    rng = random.Random(14)
+    a, b, c = (prose(rng, 40) for _ in range(3))
+    rows = [(5, a), (5, b), (3, b), (9, a), (7, c), (8, c + " end"), (8, ""), (11, "other"), (11, None)]
+    got = neardup.near_duplicates(table(spark, [t for _, t in rows], [d for d, _ in rows])).collect()
+    by = defaultdict(set)
+    for r in got:
+        by[r.doc_id].add((r.component_id, r.kept))
+    assert by == {5: {(3, False)}, 3: {(3, True)}, 9: {(3, False)}, 7: {(7, True)}, 8: {(7, False), (8, True)}, 11: {(11, True)}}
+
+
+def test_signature_distances(spark):
+    rng = np.random.default_rng(2)
+    sig = rng.integers(0, 2**16, (40, neardup.LANES), dtype=np.uint16)
+    other = sig.copy()
+    for k in range(40):
+        other[k, rng.choice(neardup.LANES, k, replace=False)] ^= rng.choice([1, 128, 256, 0x8000, 0xFFFF], k).astype(np.uint16)
+    longs = lambda x: x.view(np.int64).tolist()
+    df = spark.createDataFrame(list(zip(range(40), map(longs, sig), map(longs, other), strict=True)), "k int, x array<long>, y array<long>")
+    parts = lambda c: F.struct(*(F.col(c)[i].alias(s) for i, s in enumerate(neardup.SIG))).alias(c)
+    got = df.select("k", parts("x"), parts("y")).select("k", neardup.distance("x", "y").alias("d")).collect()
+    assert all(r.k == r.d for r in got)
+    keys = lambda c: {r.k: r.keys for r in df.select("k", *(F.col(c)[i].alias(s) for i, s in enumerate(neardup.SIG))).select("k", neardup.index_keys().alias("keys")).collect()}
+    x, y = keys("x"), keys("y")
+    for k in range(40):
+        errors = (sig[k, : neardup.INDEXED] != other[k, : neardup.INDEXED]).reshape(neardup.CHUNKS, -1).sum(1)
+        assert bool(set(x[k]) & set(y[k])) == (errors.min() <= 1)
+
+
+def test_texts_with_common_boilerplate_stay_apart(spark, monkeypatch):
+    """20,000 texts of similarity 0.3 share keys, but don't become candidates of each other; copies among them do."""
+    rng = np.random.default_rng(6)
+    n, lanes = 20_000, neardup.LANES
+    base = rng.integers(0, 2**16, lanes, dtype=np.uint16)
+    sig = np.where(rng.random((n, lanes)) < 0.3, base, rng.integers(0, 2**16, (n, lanes), dtype=np.uint16))
+    near = np.where(rng.random((n // 100, lanes)) < 0.85, sig[: n // 100], rng.integers(0, 2**16, (n // 100, lanes), dtype=np.uint16))
+    near = near[(near != sig[: n // 100]).sum(1) <= neardup.THRESHOLD]
+    allsig = np.concatenate([sig, near]).view(np.int64)
+    rows = [(k, *x) for k, x in enumerate(allsig.tolist())]
+    classes = spark.createDataFrame(rows, "rep long, " + ", ".join(f"{c} long" for c in neardup.SIG))
+    scratch = Scratch(spark)
+    cluster = {r.node: r.component for r in components(neardup.candidates(classes, scratch), scratch, "t").collect()}
+    assert sum(cluster.get(n + k) == cluster.get(k) is not None for k in range(len(near))) >= len(near) - 1
+    assert max(Counter(cluster.values()).values()) <= 30
+
+
 def test_near_duplicates_odd_tables(spark):
     assert neardup.near_duplicates(empty(spark)).count() == 0
     t = prose(random.Random(4), 50)
