@@ -171,18 +171,22 @@ def in_tiles(rows: DataFrame, parts: Column, by: Column) -> DataFrame:
 
 def candidates(classes: DataFrame, scratch: Scratch) -> DataFrame:
     """Links (a, b) whose components hold all pairs of representatives within the threshold."""
-    sig = F.struct(*SIG).alias("sig")
-    keyed = classes.select("rep", sig, F.explode(index_keys()).alias("key"))
+    keyed = classes.select("rep", F.explode(index_keys()).alias("key"))
     # stored, so that adaptive execution can split the rows of a key that very many share
-    shared = keyed.groupBy("key").agg(F.min(F.struct("rep", "sig")).alias("x"), F.max("rep").alias("most"), F.count("*").alias("n"))
-    shared = scratch.put(shared.where("n > 1 and x.rep <> most").select("key", F.col("x.rep").alias("least"), F.col("x.sig").alias("first"), "n"), "shared")
-    met = keyed.join(shared.hint("merge"), "key").where("rep <> least or n > 2")
-    near = (distance("sig", "first") <= THRESHOLD).alias("ok")
-    met = scratch.put(met.select("key", "rep", "least", "n", F.when(F.col("n") > 2, F.col("sig")).alias("sig"), near), "met")
-    stars = met.where("ok and rep <> least").select(F.col("rep").alias("a"), F.col("least").alias("b"))
-    mixed = scratch.put(met.where("n > 2 and not ok").select("key").distinct(), "mixed")
-    rows = met.where("n > 2").join(mixed.hint("merge"), "key")
-    tiles = in_tiles(rows.select("key", "rep", "sig", "ok", "n"), F.ceil(F.col("n") / KEY_PART), F.xxhash64("rep"))
+    shared = keyed.groupBy("key").agg(F.min("rep").alias("least"), F.max("rep").alias("most"), F.count("*").alias("n"))
+    shared = scratch.put(shared.where("least <> most").select("key", "least", "n"), "shared")
+    met = scratch.put(keyed.join(shared.hint("merge"), "key").where("rep <> least or n > 2").select("key", "rep", "least", "n"), "met")
+    sig = classes.select("rep", F.struct(*SIG).alias("sig"))
+    pairs = met.where("rep <> least").select("rep", "least").distinct()
+    pairs = pairs.join(sig.hint("merge"), "rep").join(sig.toDF("least", "first").hint("merge"), "least")
+    # an id may stand for more than one class
+    pairs = scratch.put(pairs.groupBy("rep", "least").agg(F.bool_or(distance("sig", "first") <= THRESHOLD).alias("ok")), "pairs")
+    stars = pairs.where("ok").select(F.col("rep").alias("a"), F.col("least").alias("b"))
+    far = pairs.where("not ok")
+    several = met.where("n > 2").join(far.hint("merge"), ["rep", "least"], "left").select("key", "rep", "n", F.coalesce("ok", F.lit(True)).alias("ok"))
+    mixed = scratch.put(several.where("not ok").select("key").distinct(), "mixed")
+    rows = several.join(mixed.hint("merge"), "key", "left_semi").join(sig.hint("merge"), "rep")
+    tiles = in_tiles(rows, F.ceil(F.col("n") / KEY_PART), F.xxhash64("rep"))
     return stars.union(near_signatures(tiles.select("key", "i", "j", "part", "rep", "sig", "ok")))
 
 
@@ -239,7 +243,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     classes = known.groupBy("d1", "d2").agg(F.min("_id").alias("rep"), F.max("bytes").alias("bytes"), *(F.min(c).alias(c) for c in SIG))
     classes = scratch.put(classes, "classes")
     cluster = scratch.put(components(candidates(classes, scratch), scratch, "candidates"), "clustered")
-    for name in ("shared", "met", "mixed"):
+    for name in ("shared", "met", "pairs", "mixed"):
         scratch.drop(name)
     cluster = cluster.join(classes.select(F.col("rep").alias("node"), "bytes").hint("merge"), "node")
     size = F.least(F.greatest(F.lit(PART), F.ceil(F.col("n") / MAX_PARTS)), F.lit(MAX_PART))
