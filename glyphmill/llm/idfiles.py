@@ -3,12 +3,16 @@
 Ids of a file are one sequence, cut into blocks of BLOCK ids that reset the model and carry a checksum
 each, so that any block can be read alone. Within a block a range coder codes each id under a mixture of
 
-* order 2: the id that last followed the two ids before, with the share of right predictions that such
-  predictions have had so far in the block (by how often this one was right in a row);
-* order 1: the same for the one id before;
+* order 2: the id that last followed the two ids before;
+* order 1: the id that last followed the one id before;
 * order 0: which of BINS bins the id is in, under frequencies that adapt in the block (renewed every
   RENEW ids), and the id within its bin under the file's frequencies.
 
+The weights of the orders are learnt in the block. A prediction is in one of four states: none yet, not yet seen
+to be right, right once in a row, right more often. For each pair of the two orders' states, and whether both predict
+the same id, the share of ids that order 2 got right, and that only order 1 got right, are kept as moving averages,
+and are the weights of order 2 and order 1 there; order 0 has what is left, an eighth at least.
+
 All arithmetic is on integers. The blocks of a file are coded side by side, a numpy operation handling a
 step of all of them: a block's bytes are the same as if it were coded alone.
 
@@ -38,14 +42,16 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, batches, partitions, read_table, span_hashes
+from .common import Scratch, batches, read_table, shares, span_hashes
 
 MAGIC = b"GMIDS1\n"
 BLOCK, BINS, RENEW = 2048, 32, 16
 SLOTS1, SLOTS2 = 512, 1024
-_STATES = 4  # right predictions in a row, capped
+#: Bytes of text in a file.
+FILE_BYTES = 16 << 20
+_JOINT = 32  # pairs of states of a prediction, twice
+_RATE = 4  # of the moving averages
 _TOTAL = 1 << 16  # of the coder's frequencies
-_FLOOR = 1 << 13  # what is left for order 0 at least
 _FINE = 1 << 12  # of the bins' frequencies
 _LOW = np.uint64(0xFFFFFFFF)
 
@@ -108,14 +114,20 @@ class Order0:
 # ---------------------------------------------------------------- the model, for all blocks at once
 
 
+#: Weights to begin with, of order 2 and order 1, by the states of order 2 and of order 1 and whether they agree.
+_ALONE = np.array([0, 10, 34, 54]) / 64
+_FIRST2 = np.concatenate([np.repeat(_ALONE, 4), np.repeat(_ALONE, 4) ** 0.5])
+_FIRST1 = np.concatenate([((1 - _ALONE)[:, None] * _ALONE).ravel(), np.zeros(16)])
+_FIRST = [np.round(x * 65535).astype(np.int32) for x in (_FIRST2, _FIRST1)]
+
+
 class Model:
     """What `lanes` blocks have learnt so far. Ids are numbers of Order0. A slot of order 1 or 2 holds four
-    times the predicted number (-1: none) and how often it was right in a row, capped; `right` the
-    probability, of 2**16, that a prediction is right, by order and that count."""
+    times the predicted number, and its state; `weight` the weights of order 2 and order 1, of 2**16, by joint state."""
 
     def __init__(self, lanes: int):
-        self.tables = [np.full(lanes * n, -_STATES, np.int32) for n in (SLOTS1, SLOTS2)]
-        self.right = [np.tile(np.array([4096, 32768, 49152, 57344], np.int32), lanes) for _ in range(2)]
+        self.tables = [np.zeros(lanes * n, np.int32) for n in (SLOTS1, SLOTS2)]
+        self.weight = [np.tile(x, lanes) for x in _FIRST]
         self.bins = np.full(lanes * BINS, 4, np.int32)
         self.upto = np.zeros((lanes, BINS + 1), np.int32)
         self.a, self.b = np.zeros(lanes, np.uint32), np.zeros(lanes, np.uint32)
@@ -126,7 +138,7 @@ class Model:
 
     def _lanes(self, n: int) -> None:
         lane = np.arange(n)
-        self.lane1, self.lane2, self.lane_state, self.lane_bin, self.lane_upto = lane * SLOTS1, lane * SLOTS2, lane * _STATES, lane * BINS, lane * (BINS + 1)
+        self.lane1, self.lane2, self.lane_state, self.lane_bin, self.lane_upto = lane * SLOTS1, lane * SLOTS2, lane * _JOINT, lane * BINS, lane * (BINS + 1)
 
     def shrink(self, n: int) -> None:
         """Only the first n blocks go on."""
@@ -134,10 +146,12 @@ class Model:
         self.a, self.b = self.a[:n], self.b[:n]
         self._lanes(n)
 
-    def predict(self) -> None:
-        """Sets the predicted numbers (p1, p2), and the widths of order 2, order 1 and order 0 (w2, w1, w0)."""
+    def predict(self) -> bool:
+        """Sets the predicted numbers (p1, p2), and the widths of order 2, order 1 and order 0 (w2, w1, w0); whether
+        the bins' frequencies are new."""
         n = len(self.a)
-        if self.steps % RENEW == 0:
+        new = self.steps % RENEW == 0
+        if new:
             if self.steps:
                 self.bins[: n * BINS] += (8 * np.bincount(self.came[:, :n].ravel(), minlength=n * BINS)[: n * BINS]).astype(np.int32)
             count = self.bins[: n * BINS].reshape(n, BINS)
@@ -148,25 +162,29 @@ class Model:
         self.at2 = self.lane2 + (((self.a * np.uint32(2654435761) + self.b * np.uint32(40503)) >> np.uint32(7)) & np.uint32(SLOTS2 - 1))
         self.v1, self.v2 = self.tables[0].take(self.at1), self.tables[1].take(self.at2)
         self.p1, self.p2 = self.v1 >> 2, self.v2 >> 2
-        self.s1, self.s2 = self.lane_state + (self.v1 & 3), self.lane_state + (self.v2 & 3)
-        self.r1, self.r2 = self.right[0].take(self.s1), self.right[1].take(self.s2)
-        w2 = (self.r2 * (_TOTAL // 8 - 2 * _FLOOR // 8)) >> 13
-        w2 *= self.p2 >= 0
-        w1 = (self.r1 * ((_TOTAL - _FLOOR - w2) >> 3)) >> 13
-        w1 *= (self.p1 >= 0) & (self.p1 != self.p2)
-        self.w2, self.w1, self.w0 = w2, w1, _TOTAL - w2 - w1
+        joint = (self.v2 & 3) << 2
+        joint |= self.v1 & 3
+        joint += (self.p1 == self.p2) * np.int32(16)
+        self.joint = joint = joint + self.lane_state
+        self.r2, self.r1 = self.weight[0].take(joint), self.weight[1].take(joint)
+        # at most 7/8 both together: the averages of one joint state add up to 2**16 at most
+        self.w2, self.w1 = (self.r2 * 7) >> 3, (self.r1 * 7) >> 3
+        self.w0 = _TOTAL - self.w2 - self.w1
+        return new
 
     def learn(self, x: np.ndarray, bin_of: np.ndarray) -> None:
         """x: the numbers (int32) that came, and their bins."""
-        for k, at, v, p, s, r in ((0, self.at1, self.v1, self.p1, self.s1, self.r1), (1, self.at2, self.v2, self.p2, self.s2, self.r2)):
-            hit = p == x
-            r += ((hit * np.int32(65535)) - r) >> 4
-            self.right[k][s] = r
-            # right: surer by one. Wrong: less sure by one, or the new number where it was not sure at all.
-            sure = v & 3
-            v += np.where(hit, sure < _STATES - 1, -1)
-            fresh = np.flatnonzero(~hit & (sure == 0))
-            v[fresh] = x[fresh] << 2
+        hit2, hit1 = self.p2 == x, self.p1 == x
+        for k, r, hit in ((0, self.r2, hit2), (1, self.r1, hit1 > hit2)):
+            r -= r >> _RATE
+            r += hit * np.int32(65535 >> _RATE)
+            self.weight[k][self.joint] = r
+        for k, at, v, hit in ((0, self.at1, self.v1, hit1), (1, self.at2, self.v2, hit2)):
+            # right: surer by one. Wrong: less sure by one, or the new number where it had not been right.
+            state = v & 3
+            fresh = np.flatnonzero((state < 2) > hit)
+            v += np.where(hit, state < 3, -1)
+            v[fresh] = (x[fresh] << 2) + 1
             self.tables[k][at] = v
         np.add(self.lane_bin, bin_of, out=self.came[self.steps % RENEW, : len(x)])
         self.a, self.b = self.b, x.astype(np.uint32)
@@ -264,12 +282,14 @@ def encode_blocks(numbers: np.ndarray, o: Order0) -> list[bytes]:
             m.shrink(lanes)
         x = grid[t, :lanes]
         m.predict()
-        b = o.bin.take(x)
+        if t % RENEW == 0:
+            bins, begins, sizes = (a.take(grid[t : t + RENEW]) for a in (o.bin, o.begin, o.size))
+        b = bins[t % RENEW, :lanes]
         at = m.lane_upto + b
         lo = (m.w0 * m.flat.take(at)) >> 12
         begin, size = m.w2 + m.w1 + lo, ((m.w0 * m.flat.take(at + 1)) >> 12) - lo
         begin, size = begin.astype(np.int64), size.astype(np.int64)
-        inner, wide = o.begin.take(x), o.size.take(x)
+        inner, wide = begins[t % RENEW, :lanes], sizes[t % RENEW, :lanes]
         for hit, at_, w in ((np.flatnonzero((x == m.p1) & (m.w1 > 0)), m.w2, m.w1), (np.flatnonzero((x == m.p2) & (m.w2 > 0)), None, m.w2)):
             begin[hit] = 0 if at_ is None else at_[hit]
             size[hit], inner[hit], wide[hit] = w[hit], 0, _TOTAL
@@ -291,14 +311,13 @@ def decode_blocks(blocks: list[bytes], lengths: np.ndarray, o: Order0) -> np.nda
         if t == last:
             lanes -= 1
             m.shrink(lanes)
-        m.predict()
-        if m.steps % RENEW == 0 or t == last:
-            edges = m.upto[:, 1:BINS].astype(np.uint16)
+        if m.predict() or t == last:
+            edges = np.ascontiguousarray(m.upto[:, 1:BINS].T.astype(np.uint16))
         v = coder.value(lanes)
         y = v - m.w2 - m.w1
         # w0 * edge >> 12 <= y as a test of the edge
         most = np.clip(((y + 1) * _FINE - 1) // m.w0, -1, _FINE)
-        b = (edges <= np.maximum(most, 0).astype(np.uint16)[:, None]).sum(1)
+        b = (edges <= np.maximum(most, 0).astype(np.uint16)).sum(0, dtype=np.uint8).astype(np.int64)
         at = m.lane_upto + b
         lo = (m.w0 * m.flat.take(at)) >> 12
         begin, size = (m.w2 + m.w1 + lo).astype(np.int64), (((m.w0 * m.flat.take(at + 1)) >> 12) - lo).astype(np.int64)
@@ -533,7 +552,7 @@ def write_ids(docs: DataFrame, folder: str, id_col: str = "doc_id", text_col: st
     from pyarrow import fs
 
     path = tokenizer or default_tokenizer()
-    files = files or partitions(docs.sparkSession)
+    files = files or shares(docs, text_col, FILE_BYTES)
     plain = docs.select(F.col(id_col).cast("long").alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text")).withColumn("_tie", F.xxhash64("_text"))
     parts = plain.repartitionByRange(files, "_id", "_tie").sortWithinPartitions("_id", "_tie")
     _place(folder)[0].create_dir(_place(folder)[1], recursive=True)
@@ -572,6 +591,14 @@ def read_ids(spark: SparkSession, folder: str, files: list[tuple[str, int, int]]
         start += n
     kind = "ids_crc32 bigint" if digest else "ids array<int>"
 
+    def lists(docs: pa.Array, cut: np.ndarray, at: int, lengths: np.ndarray, ids: np.ndarray) -> Iterator[pa.RecordBatch]:
+        lo = 0
+        while lo < len(lengths):  # a list array's offsets have 32 bits
+            hi = max(lo + 1, int(np.searchsorted(cut, cut[lo] + (1 << 24), "right")) - 1)
+            own = pa.ListArray.from_arrays(pa.array((cut[lo : hi + 1] - cut[lo]).astype(np.int32)), pa.array(ids[cut[lo] : cut[hi]].astype(np.int32)))
+            yield pa.RecordBatch.from_arrays([docs[lo:hi], pa.array(cut[lo:hi] + at), pa.array(lengths[lo:hi]), own], ["doc_id", "start", "n_tokens", "ids"])
+            lo = hi
+
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
             for name, at in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
@@ -585,7 +612,8 @@ def read_ids(spark: SparkSession, folder: str, files: list[tuple[str, int, int]]
                     raw = ids.astype("<u4").tobytes()
                     last = pa.array([zlib.crc32(memoryview(raw)[4 * a : 4 * b]) for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)], pa.int64())
                 else:
-                    last = pa.ListArray.from_arrays(pa.array(cut.astype(np.int32)), pa.array(ids.astype(np.int32)))
+                    yield from lists(docs, cut, at, file.lengths, ids)
+                    continue
                 yield pa.RecordBatch.from_arrays([docs, pa.array(cut[:-1] + at), pa.array(file.lengths), last], ["doc_id", "start", "n_tokens", kind.split()[0]])
 
     listed = spark.createDataFrame(rows, "name string, start bigint").repartition(max(len(rows), 1))

@@ -751,6 +751,28 @@ def test_blocks(n, kinds):
         assert np.array_equal(f.read(k, k + 1), ids[k * idfiles.BLOCK : (k + 1) * idfiles.BLOCK])
 
 
+def coded_bits(ids):
+    o = idfiles.Order0.of(ids)
+    p = o.counts / o.counts.sum()
+    return 8 * sum(map(len, idfiles.encode_blocks(o.number[ids], o))) / len(ids), float(-(p * np.log2(p)).sum())
+
+
+def test_orders_are_mixed_by_what_they_get_right():
+    rng = np.random.default_rng(8)
+    n = 8 * idfiles.BLOCK
+    noise = rng.integers(0, 200, n)
+    bits, entropy = coded_bits(noise)
+    assert entropy <= bits < entropy + 0.6  # nothing to learn: what weights, bins and block ends cost
+    one = np.resize(rng.permutation(200), n)  # the id before tells the next
+    two = np.zeros(n, np.int64)  # only the two before do
+    follow = rng.integers(0, 20, (20, 20))
+    for k in range(2, n):
+        two[k] = follow[two[k - 2], two[k - 1]] if rng.random() > 0.02 else rng.integers(0, 20)
+    assert coded_bits(one)[0] < 0.35 * coded_bits(one)[1]
+    mixed = np.where(np.arange(n) % 64 < 48, one, noise)  # stretches of either
+    assert coded_bits(two)[0] < 0.5 * coded_bits(two)[1] and coded_bits(mixed)[0] < coded_bits(mixed)[1]
+
+
 def test_damage_is_found():
     ids = np.random.default_rng(1).zipf(1.2, 9000) % 40_000
     raw = idfiles.dump(np.arange(1), np.zeros(1, bool), np.array([9000]), ids)
