@@ -6,6 +6,7 @@ document CHAR... [--select FIELD,...]              JSON documents
 ivs CHAR                                           variation sequences
 variants CHAR... [--mermaid]                       the variant graph around characters
 decompose CHAR [--show-source] [-q]                full description trees
+build FOLDER                                       views, full decompositions and a search index, with TABLES' tables
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ import sys
 from pyspark.sql import SparkSession
 
 from .operators.graph import mermaid
-from .plans.engine import Engine, decompose_text
+from .plans.engine import Engine, build, decompose_text
 from .sources.files import read_tables
 
 
@@ -29,7 +30,7 @@ def bare(pattern: str) -> str:
 def main(args: list[str]) -> int:
     p = argparse.ArgumentParser(prog="glyphmill", description=__doc__, formatter_class=argparse.RawDescriptionHelpFormatter)
     p.add_argument("tables")
-    p.add_argument("command", choices=["find", "search", "document", "ivs", "variants", "decompose"])
+    p.add_argument("command", choices=["find", "search", "document", "ivs", "variants", "decompose", "build"])
     p.add_argument("values", nargs="+")
     p.add_argument("--whole", action="store_true")
     p.add_argument("--limit", type=int)
@@ -64,6 +65,9 @@ def main(args: list[str]) -> int:
     elif a.command == "variants":
         rows = [tuple(r) for r in engine.variants(a.values).collect()]
         print(mermaid(rows, a.values) if a.mermaid else "\n".join("\t".join(map(str, r)) for r in sorted(rows)))
+    elif a.command == "build":
+        for name, table in build(engine.tables, a.values[0]).items():
+            print(name, table.count(), sep="\t")
     else:
         for r in decompose_text(engine.tables["ids"], a.values[0], a.show_source, a.quote).collect():
             print(*([r.source] if r.source else []), r.ids, sep="\t")

@@ -4,14 +4,23 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir. Only a local master may do without, and has a temporary one."""
+    path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir has to name a folder that all executors share")
+        path = "file://" + tempfile.mkdtemp(prefix="glyphmill-")
+        spark.sparkContext.setCheckpointDir(path)
+    return path.rstrip("/")
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """The table as a checkpoint in spark.checkpoint.dir; where that is unset (tests, one machine), in a
-    temporary folder."""
+    """The table as a checkpoint in the shared folder."""
     spark = df.sparkSession
     if not spark.sparkContext.getCheckpointDir():
-        path = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="glyphmill-")
-        spark.sparkContext.setCheckpointDir(path)
+        spark.sparkContext.setCheckpointDir(shared_folder(spark))
     return df.checkpoint()

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import exprs as X
@@ -64,6 +64,41 @@ def first_match(values: Column, test: Column) -> Column:
     return F.when(at > 0, F.get(values, (at - 1).cast("int")))
 
 
+def first_rows(rows: DataFrame, keys: Sequence[str], order: Sequence[Column | str], n: int) -> DataFrame:
+    """The first n rows of each key. Spark keeps n rows a key in each task before it moves any."""
+    at = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
+    return rows.withColumn("_at", at).where(F.col("_at") <= n).drop("_at")
+
+
+def first_value(rows: DataFrame, keys: Sequence[str], value: str, order: Sequence[str], name: str | None = None) -> DataFrame:
+    """Each key's value in its first row, by aggregation: no group is sorted or gathered."""
+    return rows.groupBy(*keys).agg(F.min_by(value, F.struct(*order)).alias(name or value))
+
+
+def nearest_ranks(rows: DataFrame, key: str, value: str, shares: Mapping[str, float], accuracy: int = 1000) -> DataFrame:
+    """Per key, the exact value of nearest rank for each named share, and n (values that aren't null). An approximate
+    percentile bounds a band around each rank; only the values in a band are sorted, the others are counted."""
+    names = list(shares)
+    rows = rows.where(F.col(value).isNotNull()).select(key, value)
+    ends = [min(max(s + d, 0.0), 1.0) for s in shares.values() for d in (-2.0 / accuracy, 2.0 / accuracy)]
+    about = rows.groupBy(key).agg(F.percentile_approx(value, ends, accuracy * 10).alias("_ends"), F.count("*").alias("n"))
+    bands = F.array(*(F.struct(F.lit(name).alias("name"), F.get("_ends", F.lit(2 * k)).alias("lo"), F.get("_ends", F.lit(2 * k + 1)).alias("hi"), F.greatest(F.ceil(F.lit(s) * F.col("n")), F.lit(1)).alias("rank")) for k, (name, s) in enumerate(shares.items())))
+    about = about.select(key, "n", F.explode(bands).alias("_b")).select(key, "n", "_b.*")
+    met = rows.join(about, key).where(F.col(value) <= F.col("hi"))
+    # values below the band count as one
+    counted = met.groupBy(key, "name", F.when(F.col(value) >= F.col("lo"), F.col(value)).alias("v")).agg(F.count("*").alias("c"), F.first("rank").alias("rank"), F.first("n").alias("n"))
+    upto = F.sum("c").over(Window.partitionBy(key, "name").orderBy(F.col("v").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0))
+    found = counted.withColumn("_upto", upto).where("_upto >= rank and v is not null")
+    out = found.groupBy(key).agg(*(F.min(F.when(F.col("name") == name, F.col("v"))).alias(name) for name in names), F.max("n").alias("n"))
+    return out
+
+
+def pairs_of(rows: DataFrame, keys: Sequence[str], value: str, names: tuple[str, str] = ("a", "b")) -> DataFrame:
+    """Rows of the same key with other values: (key columns, a, b), either way round."""
+    a, b = names
+    return rows.select(*keys, F.col(value).alias(a)).join(rows.select(*keys, F.col(value).alias(b)), list(keys)).where(F.col(a) != F.col(b))
+
+
 # Variant properties of the Unicode Han database.
 VARIANT_PROPERTIES = ("kCompatibilityVariant", "kSemanticVariant", "kSimplifiedVariant", "kSpecializedSemanticVariant", "kSpoofingVariant", "kTraditionalVariant", "kZVariant", "kJoyoKanji", "kJinmeiyoKanji")
 #: Values of these refer to no characters.

@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import exprs as X
+from .derived import first_rows
 
 Catalog = Mapping[str, DataFrame]
 
@@ -61,6 +62,7 @@ def same(*names: str) -> list[tuple[str, str]]:
 
 
 # ------------------------------------------------------------- the fields
+# Names of fields and keys, and the column names they are read from, are fixed values: they are the output's format.
 
 
 def _aj1(t: Catalog, chars: DataFrame) -> DataFrame:
@@ -103,21 +105,26 @@ def _unihan(t: Catalog, chars: DataFrame) -> DataFrame:
     return rows.groupBy("char").agg(_json(F.map_from_entries(F.array_sort(F.collect_list(F.struct("property", "value"))))).alias("value"))
 
 
+# The syntax of kRSAdobe_Japan1_6 and kRSUnicode that the Unicode Han database publishes (UAX #38).
+_ADOBE_RS = r"(?:^| )[CV]\+([0-9]{1,5})\+([1-9][0-9]{0,2})\.([1-9][0-9]?)\.([0-9]{1,2})"
+_UNICODE_RS = r"(?:^| )([1-9][0-9]{0,2}'{0,2})\.(-?[0-9]{1,2})"
+
+
 def adobe_rs(text: Column | str) -> Column:
     """(cid, radical, residual, strokes) of each match in a kRSAdobe_Japan1_6 value."""
-    found = X.regexp_all(text, r"(?:^| )[CV]\+([0-9]{1,5})\+([1-9][0-9]{0,2})\.([1-9][0-9]?)\.([0-9]{1,2})", 4)
+    found = X.regexp_all(text, _ADOBE_RS, 4)
     return F.transform(found, lambda m: F.struct(*(m[f"g{k}"].cast("int").alias(n) for k, n in enumerate(("cid", "radical", "residual", "strokes"), 1))))
 
 
 def unicode_rs(text: Column | str) -> Column:
     """(radical, strokes) of each match in a kRSUnicode value, in order."""
-    found = X.regexp_all(text, r"(?:^| )([1-9][0-9]{0,2}'{0,2})\.(-?[0-9]{1,2})", 2)
+    found = X.regexp_all(text, _UNICODE_RS, 2)
     return F.transform(found, lambda m: F.struct(m["g1"].alias("radical"), m["g2"].cast("int").alias("strokes")))
 
 
 def _unihan_rs(t: Catalog, chars: DataFrame) -> DataFrame:
     rows = keyed(t["unihan"].where(F.col("property").isin("kRSAdobe_Japan1_6", "kRSUnicode")), "UCS", chars)
-    rad = F.broadcast(t["radicals"])  # the radicals' table has some 240 rows
+    rad = t["radicals"]
     a = rows.where("property = 'kRSAdobe_Japan1_6'").select("char", F.inline(adobe_rs("value")))
     a = a.join(rad.where("`部首` is not null").select(_q("部首").alias("radical"), "部首漢字"), "radical")
     # lists of mixed kinds are written as JSON here
@@ -141,8 +148,8 @@ REFERENCES = 100
 def _unihan_fts(t: Catalog, chars: DataFrame) -> DataFrame:
     """The first references of others to a character over U+00FF, by character, property and value."""
     rows = keyed(t["unihan_value_ref"], "ref", chars).where(F.ascii("char") > 0xFF)
-    keys = F.struct("UCS", "property", "value")
-    first = rows.groupBy("char").agg(F.slice(F.array_sort(F.collect_list(keys)), 1, REFERENCES).alias("x"))
+    first = first_rows(rows, ["char"], ["UCS", "property", "value"], REFERENCES)
+    first = first.groupBy("char").agg(F.array_sort(F.collect_list(F.struct("UCS", "property", "value"))).alias("x"))
     return first.select("char", F.transform("x", lambda x: _json(F.array(F.format_string("U+%04X", F.ascii(x["UCS"])), x["UCS"], x["property"], x["value"]))).alias("value"))
 
 
@@ -191,7 +198,7 @@ def _mji(t: Catalog, chars: DataFrame) -> DataFrame:
         return rows.select(F.col("char").alias("MJ文字図形名"), _joined(F.col("value")).alias(alias))
 
     radical = F.format_string('[%s,%s,"%s"]', _q("部首").cast("string"), _q("内画数").cast("string"), _q("部首漢字"))
-    rs = t["mji_rsindex"].join(F.broadcast(t["radicals"].where("`部首` is not null").select(_q("部首").cast("long").alias("部首"), "部首漢字")), "部首")
+    rs = t["mji_rsindex"].join(t["radicals"].where("`部首` is not null").select(_q("部首").cast("long").alias("部首"), "部首漢字"), "部首")
     rs = rs.join(names, "MJ文字図形名", "left_semi").groupBy("MJ文字図形名").agg(F.array_sort(F.collect_list(F.struct(_q("部首"), _q("内画数"), radical.alias("j")))).alias("x")).select("MJ文字図形名", _joined(F.transform("x", lambda x: x["j"])).alias("_rs"))
     out = own
     for part in (
@@ -234,7 +241,7 @@ def _mjih(t: Catalog, chars: DataFrame) -> DataFrame:
 
 def _kdpv(t: Catalog, chars: DataFrame) -> DataFrame:
     out = keyed(t["kdpv"], X.first_char("subject"), chars).select("char", "rel", F.col("object").alias("c"))
-    back = keyed(t["kdpv"], X.first_char("object"), chars).join(F.broadcast(t["kdpv_rels"].select("rel", "rev")), "rel", "left")  # a row per relation
+    back = keyed(t["kdpv"], X.first_char("object"), chars).join(t["kdpv_rels"].select("rel", "rev"), "rel", "left")
     back = back.select("char", F.coalesce("rev", F.concat(F.lit("~"), "rel")).alias("rel"), F.col("subject").alias("c"))
     each = out.union(back).distinct().groupBy("char", "rel").agg(F.array_sort(F.collect_list("c")).alias("cs"))
     return each.groupBy("char").agg(_json(F.map_from_entries(F.array_sort(F.collect_list(F.struct("rel", "cs"))))).alias("value"))
@@ -285,13 +292,17 @@ def character_documents(tables: Catalog, chars: DataFrame, select: Sequence[str]
         raise UnknownField(f"unknown fields {', '.join(wrong)}; there are {', '.join(FIELDS)}")
     chosen = [f for f in FIELDS if not select or f in select]
     batch = chars.select("char").where("char is not null").distinct()
-    out, texts = batch, []
+    every, cells, texts = None, [], []
     for k, name in enumerate(chosen):
         made, none = FIELDS[name]
         value = made(tables, batch)
         text = _joined(F.col("value")) if value.schema["value"].dataType.simpleString() == "array<string>" else F.col("value")
-        out = out.join(value.select("char", text.alias(f"_{k}")), "char", "left")
+        own = value.select("char", F.lit(k).alias("_k"), text.alias("_text"))
+        every = own if every is None else every.unionByName(own)
+        cells.append(F.max(F.when(F.col("_k") == k, F.col("_text"))).alias(f"_{k}"))
         texts.append(F.concat(F.lit(f'"{name}":'), F.coalesce(F.col(f"_{k}"), F.lit(none))))
+    # all fields' values come together in one group, not by a join each
+    out = batch.join(every.groupBy("char").agg(*cells), "char", "left")
     return out.select("char", F.concat(F.lit("{"), F.concat_ws(",", *texts), F.lit("}")).alias("document"))
 
 

@@ -56,7 +56,7 @@ def variants(rels: DataFrame, seeds: DataFrame | Sequence, weak: Column | None =
     relation. f is 1 if any relation of the directed pair is strong. seeds: values or a one-column table.
 
     Each round joins the round's new characters, and written to the checkpoint folder they cut the plan;
-    a character joins once, so the work is that of the edges reached."""
+    a character joins once and is written once, so the work is that of the edges reached."""
     spark = rels.sparkSession
     kind = rels.schema["c1"].dataType.simpleString()
     if not isinstance(seeds, DataFrame):
@@ -65,13 +65,14 @@ def variants(rels: DataFrame, seeds: DataFrame | Sequence, weak: Column | None =
     pairs = rels.groupBy("c1", "c2").agg(F.max(strong.cast("int")).alias("f"))
     ends = pairs.where("f = 1").select(F.col("c1").alias("c"), F.col("c2").alias("to"))
     ends = ends.union(ends.select("to", "c")).where("c <> to").distinct()
-    front = cut(seeds.toDF("c").dropna().distinct())
-    seen = front
+    ends = cut(ends)
+    seen = front = cut(seeds.toDF("c").dropna().distinct())
     while True:
         front = cut(ends.join(front, "c", "left_semi").select(F.col("to").alias("c")).distinct().join(seen, "c", "left_anti"))
         if front.isEmpty():
             break
-        seen = cut(seen.union(front))
+        seen = seen.union(front)  # of checkpoints: none is written again
+    seen = cut(seen)
     # two equi-joins instead of one on either end, which would compare all pairs
     a = rels.join(seen, rels["c1"] == seen["c"], "left_semi")
     b = rels.join(seen, rels["c2"] == seen["c"], "left_semi").join(seen, F.col("c1") == seen["c"], "left_anti")

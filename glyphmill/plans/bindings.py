@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import exprs as X
+from ..functions.shared import cut, shared_folder
 from ..operators import derived as D
 from ..operators import documents as docs
 from ..operators import graph
@@ -197,13 +199,18 @@ def bitmap_merge(spark, sf_dir):
     return D.merge_flags({e: ev.where(F.col("event_type") == e) for e in _EVENTS}, ["user_id"])
 
 
-@query("SELECT user_id, event_id FROM (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events WHERE event_type = 'click') WHERE k = 1")
-def first_match(spark, sf_dir):
+@query("SELECT user_id, list_extract(e, 1) AS event_id FROM (SELECT user_id, list(event_id ORDER BY ts, event_id) FILTER (WHERE event_type = 'click') AS e FROM events GROUP BY user_id) WHERE len(e) > 0")
+def first_match_in_list(spark, sf_dir):
     ev = table(spark, sf_dir, "events").groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("ts", "event_id", "event_type"))).alias("e"))
     got = D.first_match(F.col("e"), F.transform("e", lambda x: x["event_type"] == "click"))
     return ev.select("user_id", got["event_id"].alias("event_id")).where("event_id is not null")
 
 
+@query("SELECT user_id, event_id FROM (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events WHERE event_type = 'click') WHERE k = 1")
+def first_match(spark, sf_dir):
+    return D.first_value(table(spark, sf_dir, "events").where("event_type = 'click'"), ["user_id"], "event_id", ["ts", "event_id"])
+
+
 @query(
     "SELECT n_nationkey, CAST(n_nationkey AS VARCHAR) || repeat('''', CAST(n_regionkey % 4 AS INTEGER)) AS radical, CASE WHEN n_regionkey % 4 = 0 THEN n_nationkey END AS plain FROM nation"
 )
@@ -289,6 +296,20 @@ def sequences(spark, sf_dir) -> DataFrame:
     return ev.select(F.col("user_id").cast("string").alias("UCS"), F.array_join(F.transform("e", lambda x: x["event_type"]), " ").alias("IDS_tokens"))
 
 
+_indexes: dict[tuple[str, str], S.Index] = {}
+
+
+def sequence_index(spark, sf_dir) -> S.Index:
+    """The stored index of the sequences, built at its first use in a session, as a search index is."""
+    key = spark.sparkContext.applicationId, sf_dir
+    if key not in _indexes:
+        folder = f"{shared_folder(spark)}/glyphmill-index-{uuid.uuid4().hex}"
+        made = S.index_tables(sequences(spark, sf_dir))
+        files.write_tables(made, folder, keys={"documents": "UCS", "postings": "token", "tokens": "token"})
+        _indexes[key] = S.Index(**files.read_tables(spark, folder, made))
+    return _indexes[key]
+
+
 _DOC = "SELECT CAST(user_id AS VARCHAR) AS u, ' § ' || string_agg(event_type, ' ' ORDER BY ts, event_id) || ' § ' AS doc FROM events GROUP BY user_id"
 
 
@@ -299,27 +320,32 @@ def seq_doc(spark, sf_dir):
 
 @query(f"SELECT u AS \"UCS\" FROM ({_DOC}) WHERE contains(doc, ' click view error ')")
 def phrase_match(spark, sf_dir):
+    return S.search(None, [S.Pattern(("click", "view", "error"))], index=sequence_index(spark, sf_dir))
+
+
+@query(f"SELECT u AS \"UCS\" FROM ({_DOC}) WHERE contains(doc, ' click view error ')")
+def phrase_match_without_index(spark, sf_dir):
     return S.search(sequences(spark, sf_dir), [S.Pattern(("click", "view", "error"))])
 
 
 @query(f"SELECT u AS \"UCS\" FROM ({_DOC}) WHERE contains(doc, ' § click ')")
 def anchored_match(spark, sf_dir):
-    return S.search(sequences(spark, sf_dir), [S.Pattern(("§", "click"))])
+    return S.search(None, [S.Pattern(("§", "click"))], index=sequence_index(spark, sf_dir))
 
 
 @query("SELECT CAST(user_id AS VARCHAR) AS \"UCS\" FROM (SELECT user_id, event_type, lead(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS after FROM events) WHERE event_type = 'click' AND after = 'view' GROUP BY user_id HAVING count(*) >= 3")
 def multiplicity(spark, sf_dir):
-    return S.search(sequences(spark, sf_dir), [S.Pattern(("click", "view"), 3)])
+    return S.search(None, [S.Pattern(("click", "view"), 3)], index=sequence_index(spark, sf_dir))
 
 
 @query("SELECT CAST(user_id AS VARCHAR) AS \"UCS\" FROM (SELECT user_id, event_type, lead(event_type) OVER w AS after, row_number() OVER w AS k FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)) WHERE k = 1 AND event_type = after")
 def anchored_var_xx(spark, sf_dir):
-    return S.search(sequences(spark, sf_dir), [S.Pattern(("§", "x", "x"))])
+    return S.search(None, [S.Pattern(("§", "x", "x"))], index=sequence_index(spark, sf_dir))
 
 
 @query(f"SELECT u AS \"UCS\" FROM ({_DOC}) WHERE regexp_matches(doc, ' § click [a-z]+ error ') AND contains(doc, ' signup signup ')")
 def wildcard_and_second(spark, sf_dir):
-    return S.search(sequences(spark, sf_dir), [S.Pattern(("§", "click", "？", "error")), S.Pattern(("signup", "signup"))])
+    return S.search(None, [S.Pattern(("§", "click", "？", "error")), S.Pattern(("signup", "signup"))], index=sequence_index(spark, sf_dir))
 
 
 @query(f"SELECT token, CAST(count(*) AS BIGINT) AS n FROM (SELECT unnest(string_split(trim(doc), ' ')) AS token FROM ({_DOC})) GROUP BY token")
@@ -366,7 +392,7 @@ def structure_search(spark, sf_dir):
 
 # ------------------------------------------------------------- graph
 
-_RELS = "SELECT p_partkey AS c1, (p_partkey * 7 + p_size) % 2000 AS c2, p_type AS r FROM part WHERE p_partkey < 400"
+_RELS = "SELECT p_partkey AS c1, (p_partkey * 7 + p_size) % 2000 AS c2, p_type AS r FROM part"
 
 
 @query(
@@ -375,14 +401,6 @@ _RELS = "SELECT p_partkey AS c1, (p_partkey * 7 + p_size) % 2000 AS c2, p_type A
     "SELECT c1, c2, r, CAST(max(CASE WHEN r <> 'ECONOMY' THEN 1 ELSE 0 END) OVER (PARTITION BY c1, c2) AS INTEGER) AS f FROM e WHERE c1 IN (SELECT n FROM g) OR c2 IN (SELECT n FROM g)"
 )
 def variants_bfs(spark, sf_dir):
-    p = table(spark, sf_dir, "part").where("p_partkey < 400")
-    rels = p.select(F.col("p_partkey").alias("c1"), ((F.col("p_partkey") * 7 + F.col("p_size")) % 2000).alias("c2"), F.col("p_type").alias("r"))
-    return graph.variants(rels, spark.range(1, 21), weak=F.col("r") == "ECONOMY")
-
-
-@query(None)
-def variants_bfs_whole(spark, sf_dir):
-    """variants_bfs over all of `part`: the oracle of that one is of the first 400 ids only."""
     rels = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("c1"), ((F.col("p_partkey") * 7 + F.col("p_size")) % 2000).alias("c2"), F.col("p_type").alias("r"))
     return graph.variants(rels, spark.range(1, 21), weak=F.col("r") == "ECONOMY")
 
@@ -398,7 +416,7 @@ def variants_labels(spark, sf_dir):
 
 @query("SELECT o_custkey, o_orderkey FROM (SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice, o_orderkey) AS k FROM orders) WHERE k = 1")
 def argmin_first(spark, sf_dir):
-    return table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.min_by("o_orderkey", F.struct("o_totalprice", "o_orderkey")).alias("o_orderkey"))
+    return D.first_value(table(spark, sf_dir, "orders"), ["o_custkey"], "o_orderkey", ["o_totalprice", "o_orderkey"])
 
 
 @query("SELECT r_regionkey, r_name, string_agg(n_name, ',' ORDER BY n_name) AS nations FROM region JOIN nation ON n_regionkey = r_regionkey GROUP BY r_regionkey, r_name")
@@ -409,8 +427,7 @@ def doc_nested(spark, sf_dir):
 
 @query("SELECT a.n_name AS a, b.n_name AS b FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey AND a.n_name <> b.n_name")
 def dup_pairs(spark, sf_dir):
-    n = table(spark, sf_dir, "nation")
-    return n.select("n_regionkey", F.col("n_name").alias("a")).join(n.select("n_regionkey", F.col("n_name").alias("b")), "n_regionkey").where("a <> b").select("a", "b")
+    return D.pairs_of(table(spark, sf_dir, "nation"), ["n_regionkey"], "n_name").select("a", "b")
 
 
 @query("SELECT n_name, s_suppkey FROM nation JOIN supplier ON s_nationkey = n_nationkey OR s_suppkey = n_nationkey")
@@ -428,16 +445,14 @@ def left_join_default(spark, sf_dir):
 
 @query("SELECT o_custkey, o_orderkey FROM (SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS k FROM orders) WHERE k <= 3")
 def first_n_per_key(spark, sf_dir):
-    o = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.slice(F.array_sort(F.collect_list("o_orderkey")), 1, 3).alias("k"))
-    return o.select("o_custkey", F.explode("k").alias("o_orderkey"))
+    return D.first_rows(table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey"), ["o_custkey"], ["o_orderkey"], 3)
 
 
 @query("SELECT event_type, CAST(floor(v[CAST(ceil(0.5 * len(v)) AS INTEGER)] * 100) AS BIGINT) AS p50, CAST(floor(v[CAST(ceil(0.95 * len(v)) AS INTEGER)] * 100) AS BIGINT) AS p95, CAST(len(v) AS BIGINT) AS n FROM (SELECT event_type, list(value ORDER BY value) AS v FROM events GROUP BY event_type)")
 def nearest_rank(spark, sf_dir):
-    """Summary percentiles by nearest rank: the discrete percentiles, from counts of values."""
-    ev = table(spark, sf_dir, "events").groupBy("event_type")
-    p = lambda x: F.expr(f"percentile_disc({x}) WITHIN GROUP (ORDER BY value)")
-    return ev.agg(F.floor(p(0.5) * 100).alias("p50"), F.floor(p(0.95) * 100).alias("p95"), F.count("value").alias("n"))
+    """Summary percentiles by nearest rank."""
+    found = D.nearest_ranks(table(spark, sf_dir, "events"), "event_type", "value", {"p50": 0.5, "p95": 0.95})
+    return found.select("event_type", F.floor(F.col("p50") * 100).alias("p50"), F.floor(F.col("p95") * 100).alias("p95"), "n")
 
 
 def catalog(spark: SparkSession) -> dict[str, DataFrame]:
@@ -543,11 +558,11 @@ def variant_edges(spark, sf_dir):
     return graph.edges(full_catalog(spark))
 
 
-@query("SELECT * FROM (VALUES ('汉', '漢', 'tghb_规范字')) AS v(c2, c1, r) WHERE false UNION ALL SELECT '汉', '漢', 'kept'")
+@query("SELECT '汉' AS c2, '漢' AS c1, 'kept' AS r UNION ALL SELECT '水', '氵', 'kept'")
 def variant_map_rows(spark, sf_dir):
     """The decomposition's map of radical forms and z-variants, as rows."""
     unihan = spark.createDataFrame([("漢", "kZVariant", "U+6C49")], "UCS string, property string, value string")
-    kdpv = spark.createDataFrame([("王", "cjkvi/radical-variant", "王", None), ("水", "cjkvi/radical-variant", "氵", "partial")], "subject string, rel string, object string, comment string")
+    kdpv = spark.createDataFrame([("王", "cjkvi/radical-variant", "王", None), ("水", "cjkvi/radical-variant", "氵", None), ("火", "cjkvi/radical-variant", "灬", "partial")], "subject string, rel string, object string, comment string")
     rows = [(v, k, "kept") for k, vs in S.variant_map(unihan, kdpv).items() for v in vs if v != k]
     return spark.createDataFrame(rows, "c2 string, c1 string, r string")
 
@@ -557,13 +572,123 @@ def property_parts(spark, sf_dir):
     return D.unihan_each(han(spark), ["kTotalStrokes"])
 
 
-@query("SELECT * FROM (VALUES ('漢', 13), ('漢', 14)) AS v(r, n) WHERE n = 13")
+@query("SELECT '漢' AS r")
 def character_search(spark, sf_dir):
     """A search of the character registry: strokes of either source, and a dictionary entry."""
     from ..operators.properties import character_registry
 
     t = full_catalog(spark)
-    return character_registry().search(t, ["totalStrokes.ge", "unihan.kMorohashi.has", "mji.読み.prefix"], ["13", "", "カ"]).withColumn("n", F.lit(13))
+    return character_registry().search(t, ["totalStrokes.ge", "unihan.kMorohashi.has", "mji.読み.prefix"], ["13", "", "カ"])
+
+
+@query("SELECT * FROM (VALUES ('UCS', 'U+6F22', '漢'), ('totalStrokes', '14', '漢'), ('totalStrokes.lt', '2', '一'), ('unihan.kAccountingNumeric.ge', '2', '弐'), ('unihan.kPrimaryNumeric', '5', '五'), ('unihan.kTraditionalVariant', '線', '线'), ('unihan.kTraditionalVariant', 'U+7DDA', '线'), ('unihan.kStrange', '一', '丂'), ('unihan.kStrange.B', '一', '丂'), ('unihan.kStrange.A.has', '', '丂')) AS v(key, q, r)")
+def character_keys(spark, sf_dir):
+    """Keys of each kind of the character registry, over real values."""
+    from ..operators.properties import character_registry
+
+    more = [("弐", "kAccountingNumeric", "2"), ("五", "kPrimaryNumeric", "5"), ("一", "kPrimaryNumeric", "1")]
+    t = full_catalog(spark)
+    t = D.with_views({n: x for n, x in t.items() if not n.startswith("unihan")} | {"unihan": t["unihan"].union(spark.createDataFrame(more, "UCS string, property string, value string"))})
+    out = None
+    asked = [("UCS", "U+6F22"), ("totalStrokes", "14"), ("totalStrokes.lt", "2"), ("unihan.kAccountingNumeric.ge", "2"), ("unihan.kPrimaryNumeric", "5"), ("unihan.kTraditionalVariant", "線"), ("unihan.kTraditionalVariant", "U+7DDA"), ("unihan.kStrange", "一"), ("unihan.kStrange.B", "一"), ("unihan.kStrange.A.has", "")]
+    for k, v in asked:
+        own = character_registry().find(t, k, v).select(F.lit(k).alias("key"), F.lit(v).alias("q"), "r").distinct()
+        out = own if out is None else out.unionByName(own)
+    return out
+
+
+def searchable(spark: SparkSession) -> dict[str, DataFrame]:
+    """The inline catalog with its trees, and a character of theirs with a property."""
+    t = dict(full_catalog(spark))
+    t["unihan"] = t["unihan"].union(spark.createDataFrame([("明", "kTotalStrokes", "8"), ("萌", "kTotalStrokes", "11")], "UCS string, property string, value string"))
+    return t | {"ids": trees(spark), "structures": S.decompose_table(trees(spark))}
+
+
+_PAGES = [("日", {"ids": ["日"]}, "明申萌"), ("日 2 1", {"ids": ["日"], "limit": "2", "offset": 1}, "申萌"), ("⿰日月", {"whole": ["⿰日月"]}, "明"), ("日 strokes", {"ids": ["日"], "p": ["unihan.kTotalStrokes.ge"], "q": ["9"]}, "萌"), ("strokes", {"p": ["unihan.kTotalStrokes"], "q": ["8"]}, "明"), ("any 2", {"ids": ["§？§"], "limit": 2}, "X信"), ("any 2, all", {"ids": ["§？§"], "limit": 2, "all_results": True}, "UX"), ("overlay", {"ids": ["⿻丨日"]}, "申"), ("two", {"ids": ["日", "月"]}, "明萌")]
+
+
+@query("SELECT * FROM (VALUES " + ", ".join(f"('{n}', '{c if c != 'U' else '&U1;'}')" for n, _, cs in _PAGES for c in cs) + ") AS v(page, r)")
+def idsfind_page(spark, sf_dir):
+    """Searches by structure, property and both, whole and paged, with and without characters that have no code point."""
+    from .engine import Engine
+
+    engine, out = Engine(spark, {n: cut(t) if n == "structures" else t for n, t in searchable(spark).items()}), None
+    for name, args, _ in _PAGES:
+        own = engine.find(**args)["results"].select(F.lit(name).alias("page"), "r")
+        out = own if out is None else out.unionByName(own)
+    return out
+
+
+@query("SELECT * FROM (VALUES " + ", ".join(f"('{n}', '{c if c != 'U' else '&U1;'}')" for n, _, cs in _PAGES for c in cs) + ") AS v(page, r)")
+def build_catalog(spark, sf_dir):
+    """The same searches over a catalog that was built and stored, by its index."""
+    from .engine import Engine, build
+
+    folder = f"{shared_folder(spark)}/glyphmill-catalog-{uuid.uuid4().hex}"
+    engine, out = Engine(spark, build({n: t for n, t in searchable(spark).items() if n in ("ids", "unihan")}, folder)), None
+    for name, args, _ in _PAGES:
+        own = engine.find(**args)["results"].select(F.lit(name).alias("page"), "r")
+        out = own if out is None else out.unionByName(own)
+    return out
+
+
+_REFERRED = {
+    ("一", "unihan_fts"): '[["U+4E02","丂","kStrange","A B:U+4E00:U+20000 I"]]',
+    ("一", "ivs_duplicate"): '[["4E00_E0100","一\U000e0100","4E00_E0101","一\U000e0101","ExampleCollection","CID+1200"],["4E00_E0101","一\U000e0101","4E00_E0100","一\U000e0100","ExampleCollection","CID+1200"]]',
+    ("线", "unihan_variant"): '[["kTraditionalVariant","U+7DDA","線"]]',
+    ("说", "unihan_variant"): '[["kSemanticVariant","U+8AAA","說","kMatthews"],["kSemanticVariant","U+8AAC","説","kFenn:T"]]',
+    ("線", "unihan_variant_inverse"): '[["kTraditionalVariant","U+7EBF","线"]]',
+    ("說", "unihan_variant_inverse"): '[["kSemanticVariant","U+8BF4","说","kMatthews"]]',
+    ("乘", "joyo_kangxi_inverse"): '["乗"]',
+}
+
+
+@query("SELECT * FROM (VALUES " + ", ".join(f"('{c}', '{f}', '{v}')" for (c, f), v in _REFERRED.items()) + ") AS v(char, field, value)")
+def referred_fields(spark, sf_dir):
+    """Fields that other characters' rows, or other rows of the same code, make up."""
+    t, out = full_catalog(spark), None
+    for c, name in _REFERRED:
+        d = docs.character_documents(t, spark.createDataFrame([(c,)], "char string"), [name])
+        row = d.select("char", F.lit(name).alias("field"), F.regexp_replace("document", rf'^\{{"{name}":(.*)\}}$', "$1").alias("value"))
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
+# The keys of the character list's entry, in order.
+_MJI_KEYS = (
+    "文字 MJ文字図形名 対応するUCS 実装したUCS 実装したMoji_JohoコレクションIVS 実装したSVS 戸籍統一文字番号 住基ネット統一文字コード 入管正字コード 入管外字コード 漢字施策 対応する互換漢字 "
+    "X0213 X0213_包摂連番 X0213_包摂区分 X0212 MJ文字図形バージョン 登記統一文字番号 部首・内画数 総画数 読み 大漢和 日本語漢字辞典 新大字典 大字源 大漢語林 更新履歴 備考 mjsm"
+).split()
+
+
+@query("SELECT * FROM (VALUES " + ", ".join(f"({k}, '{n}')" for k, n in enumerate(_MJI_KEYS)) + ") AS v(place, key)")
+def document_mji_keys(spark, sf_dir):
+    d = docs.character_documents(full_catalog(spark), spark.createDataFrame([("漢",)], "char string"), ["mji"])
+    keys = F.json_object_keys(F.get_json_object("document", "$.mji[0]"))
+    return d.select(F.posexplode(keys).alias("place", "key"))
+
+
+@query("SELECT * FROM (VALUES ('@R ⿲ a b c', 'c'), ('@T ⿱ ⿰ x y z', '⿰ x y'), ('@I ⿴ 囗 人', '人'), ('@L @R ⿰ a ⿲ b c d', 'b')) AS v(tree, projected)")
+def projections(spark, sf_dir):
+    done = F.udf(lambda t: " ".join(S.project(t.split(" "))))
+    t = spark.createDataFrame([("@R ⿲ a b c",), ("@T ⿱ ⿰ x y z",), ("@I ⿴ 囗 人",), ("@L @R ⿰ a ⿲ b c d",)], "tree string")
+    return t.select("tree", done("tree").alias("projected"))
+
+
+@query("SELECT * FROM (VALUES (NULL, '⿰氵⿱一⿱丨一')) AS v(source, ids)")
+def decompose_one(spark, sf_dir):
+    from .engine import decompose_text
+
+    return decompose_text(trees(spark), "江")
+
+
+@query("SELECT lines, CAST(lines AS BIGINT) AS statements, true AS summed FROM (SELECT count(*) AS lines FROM nation)")
+def sql_export(spark, sf_dir):
+    """A table as INSERT statements with the checksums of its files."""
+    folder = f"{shared_folder(spark)}/glyphmill-export-{uuid.uuid4().hex}"
+    sums = files.export_sql({"nation": table(spark, sf_dir, "nation")}, folder)
+    lines = spark.read.text(f"{folder}/nation").agg(F.count("*").alias("lines"), F.count_if(F.col("value").rlike(r"^INSERT INTO \"nation\" \(.*\) VALUES \(\d+, '[^']*', \d+\);$")).alias("statements"))
+    return lines.join(sums.agg((F.min(F.length("sha256")) == 64).alias("summed")))
 
 
 _DOCUMENTS = {

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..operators import documents, graph, structures
 from ..operators.derived import with_views
 from ..operators.properties import Registry, character_registry, page
+from ..sources.files import read_tables, write_tables
 
 
 class BadRequest(ValueError):
@@ -34,6 +35,8 @@ class Engine:
         self.spark, self.tables = spark, with_views(tables)
         self.registry = registry or character_registry()
         self._rels: DataFrame | None = None
+        stored = [self.tables.get(n) for n in ("documents", "tokens", "postings")]
+        self.index = structures.Index(*stored) if all(t is not None for t in stored) else None
 
     def document(self, chars: Sequence[str] | DataFrame, select: Sequence[str] | None = None) -> DataFrame:
         batch = chars if isinstance(chars, DataFrame) else self.spark.createDataFrame([(parse_char(c),) for c in chars], "char string")
@@ -55,7 +58,7 @@ class Engine:
         if not (ids or whole or p):
             raise BadRequest("No parameters")
         if ids or whole:
-            found = structures.search(self.tables["structures"], ids, whole).select(F.col("UCS").alias("r"))
+            found = structures.search(self.tables.get("structures"), ids, whole, self.index).select(F.col("UCS").alias("r"))
             if not all_results:
                 found = found.where(~F.col("r").startswith("&"))
             for k, v in zip(p, q, strict=True):
@@ -86,6 +89,23 @@ class Engine:
         return out
 
 
+def build(tables: Mapping[str, DataFrame], folder: str) -> dict[str, DataFrame]:
+    """From loaded tables to a searchable catalog in a folder: the tables and the views that follow from them,
+    `structures` (full decompositions of `ids` with the map of variants of `unihan` and `kdpv`, and of `usource`'s
+    characters without a code point), and the index of its documents."""
+    made = with_views(tables)
+    if "ids" in made:
+        expand = structures.variant_map(made.get("unihan"), made.get("kdpv"))
+        extra = structures.entities(made["usource"]) if "usource" in made else None
+        spark = made["ids"].sparkSession
+        write_tables({"structures": structures.decompose_table(made["ids"], extra, expand)}, folder)
+        made["structures"] = read_tables(spark, folder, ["structures"])["structures"]
+        made |= structures.index_tables(made["structures"])
+    rest = {n: t for n, t in made.items() if n != "structures"}
+    write_tables(rest, folder, keys={"documents": "UCS", "postings": "token", "tokens": "token", "unihan_value_ref": "ref", "ids": "UCS", "unihan": "UCS"})
+    return read_tables(next(iter(made.values())).sparkSession, folder, made)
+
+
 def joined_trees(ids: DataFrame, char: str) -> str:
     """A character's distinct trees, comma-joined, in order."""
     return ",".join(r.IDS for r in ids.where(F.col("UCS") == char).select("IDS").distinct().orderBy("IDS").collect())
@@ -93,11 +113,12 @@ def joined_trees(ids: DataFrame, char: str) -> str:
 
 def decompose_text(ids: DataFrame, char: str, show_source: bool = False, quote: bool = False) -> DataFrame:
     """(source, ids) of a character's full trees for every source letter, projections carried out; trees
-    that can't be are skipped; without sources each tree once."""
+    that can't be are skipped; without sources each tree once. Only the rows that the character can reach are read."""
     full = structures.trees_of(ids).where("source is not null")
     letters = "B G H J K M P S T U V X Z UCS2003".split()
     table: dict[str, dict[str, list[str]]] = {}
-    for r in full.orderBy("UCS", "source", "tokens").toLocalIterator():
+    begin = ids.sparkSession.createDataFrame([(char, char)], "root string, at string")
+    for r in structures.reachable(begin, full).orderBy("UCS", "source", "tokens").collect():
         table.setdefault(r.UCS, {}).setdefault(r.source, []).append(r.tokens)
     d, rows, seen = structures.Decomposer(table), [], set()
     for s in letters:

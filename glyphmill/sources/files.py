@@ -314,11 +314,42 @@ def read_tables(spark: SparkSession, folder: str, names: Iterable[str]) -> dict[
     return {n: spark.read.parquet(f"{folder}/{n}") for n in names}
 
 
+def checksums(spark: SparkSession, folder: str, names: Iterable[str]) -> DataFrame:
+    """(name, file, bytes, sha256) of the files of stored tables, read where they lie."""
+    out = None
+    for n in names:
+        files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "part-*").load(f"{folder}/{n}")
+        own = files.select(F.lit(n).alias("name"), F.substring_index("path", "/", -1).alias("file"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
+        out = own if out is None else out.unionByName(own)
+    return out
+
+
+def quoted(c: str, kind: str) -> Column:
+    """A column's values as SQL literals; control characters and such stand as they are."""
+    value = F.col(f"`{c}`")
+    text = value.cast("string") if kind in ("tinyint", "smallint", "int", "bigint", "double", "float", "boolean") or kind.startswith("decimal") else F.concat(F.lit("'"), F.replace(value.cast("string"), F.lit("'"), F.lit("''")), F.lit("'"))
+    return F.coalesce(text, F.lit("NULL"))
+
+
+def export_sql(tables: dict[str, DataFrame], folder: str) -> DataFrame:
+    """Each table as a folder of text files with an INSERT statement a line, views as the rows that they give, and
+    checksums of all files. Arrays and such are written as JSON; line ends in texts as char(10) and char(13)."""
+    for name, df in tables.items():
+        flat = df.select(*(F.to_json(f"`{f.name}`").alias(f.name) if f.dataType.typeName() in ("array", "map", "struct") else F.col(f"`{f.name}`") for f in df.schema))
+        values = F.concat_ws(", ", *(quoted(c, t) for c, t in flat.dtypes))
+        for char, code in (("\n", 10), ("\r", 13)):
+            values = F.replace(values, F.lit(char), F.lit(f"' || char({code}) || '"))
+        columns = ", ".join('"' + c.replace('"', '""') + '"' for c in df.columns)
+        flat.select(F.concat(F.lit(f'INSERT INTO "{name}" ({columns}) VALUES ('), values, F.lit(");")).alias("value")).write.mode("overwrite").text(f"{folder}/{name}")
+    spark = next(iter(tables.values())).sparkSession
+    return checksums(spark, folder, tables)
+
+
 def postings(structures: DataFrame) -> DataFrame:
     """(token, docid, pos): where each token of each character's document stands; docid is the character."""
-    from ..operators.structures import documents
+    from ..operators.structures import index_tables
 
-    return documents(structures).select(F.col("UCS").alias("docid"), F.posexplode(F.split(F.trim("doc"), " ")).alias("pos", "token")).select("token", "docid", "pos")
+    return index_tables(structures)["postings"]
 
 
 def needs_rebuild(inputs: dict[str, bytes], stamp: str | None) -> tuple[bool, str]:

@@ -1,6 +1,9 @@
 """The engine: expressions against SQLite, files, search keys, structures, documents, paging."""
 
+import hashlib
 import json
+import math
+import random
 import sqlite3
 
 import pytest
@@ -283,5 +286,59 @@ def test_variants_of_a_whole_table(spark, tmp_path):
         seen |= {b for a, b in strong if a in last} | {a for a, b in strong if b in last}
     want = sorted((a, b, r, int((a, b) in strong)) for a, b, r in edges if a in seen or b in seen)
     assert any(a >= 400 for a, *_ in want)
-    got = bindings.QUERIES["variants_bfs_whole"](spark, str(tmp_path)).collect()
+    got = bindings.QUERIES["variants_bfs"](spark, str(tmp_path)).collect()
     assert sorted((r.c1, r.c2, r.r, r.f) for r in got) == want
+
+
+def test_plain_patterns_match_as_trees_do(spark):
+    rng = random.Random(3)
+    texts = [[" ".join(rng.choice("abcd") for _ in range(rng.randrange(1, 9))) for _ in range(rng.randrange(1, 4))] for _ in range(200)]
+    t = spark.createDataFrame([(f"U{k}", x) for k, xs in enumerate(texts) for x in set(xs)], "UCS string, IDS_tokens string").persist()
+    patterns = [(("a", "b"), 1), (("a", "a"), 2), (("§", "a"), 1), (("b", "§"), 1), (("§", "a", "b", "§"), 1), (("c",), 3), (("a",), 0), (("§", "d"), 2), (("d", "d", "d"), 2)]
+    upper = t.select("UCS", F.upper("IDS_tokens").alias("IDS_tokens"))  # small letters are variables
+    folder = f"{bindings.shared_folder(spark)}/plain-index"
+    made = S.index_tables(upper)
+    files.write_tables(made, folder, keys={"documents": "UCS", "postings": "token", "tokens": "token"})
+    index = S.Index(**files.read_tables(spark, folder, made))
+    for ps in [[p] for p in patterns] + [[patterns[0], patterns[5]], [patterns[3], patterns[1]]]:
+        asked = [S.Pattern(tuple(x.upper() for x in tokens), n) for tokens, n in ps]
+        assert all(S.is_plain(p, {}) for p in asked)
+        want = sorted(f"U{k}" for k, xs in enumerate(texts) if any(all(S.matches(x.upper().split(" "), p, {}) >= p.times for p in asked) for x in xs))
+        assert [r.UCS for r in S.search(upper, asked).collect()] == want == [r.UCS for r in S.search(None, asked, index=index).collect()]
+    assert not S.is_plain(S.Pattern(("A", "？")), {}) and not S.is_plain(S.Pattern(("A", "§", "B")), {}) and not S.is_plain(S.Pattern(("§",)), {}) and not S.is_plain(S.Pattern(("A",)), {"A": ["B"]})
+
+
+def test_rare_tokens_are_found_by_their_postings(spark):
+    t = spark.createDataFrame([(f"U{k}", "⿰ 木 火" if k == 7 else "⿰ 木 水" if k % 2 else "⿱ 木 土") for k in range(200)], "UCS string, IDS_tokens string")
+    made = {n: x.persist() for n, x in S.index_tables(t).items()}
+    found = S.search(None, ["⿰？火"], index=S.Index(**made))
+    assert [r.UCS for r in found.collect()] == ["U7"] == [r.UCS for r in S.search(t, ["⿰？火"]).collect()]
+    assert "postings" not in str(found) and found._jdf.queryExecution().logical().toString().count("LeftSemi") == 1
+    assert S.search(None, ["金"], index=S.Index(**made)).count() == 0
+
+
+def test_sql_export(spark, tmp_path):
+    rows_ = [(1, "it's", None, [1, 2]), (2, "two\nlines\r", 1.5, None), (3, "", -0.25, [])]
+    t = {"x": spark.createDataFrame(rows_, "a int, `b c` string, d double, e array<int>"), "none": spark.createDataFrame([], "a int")}
+    sums = files.export_sql(t, f"file://{tmp_path}/sql").collect()
+    assert {r.name for r in sums} >= {"x"}
+    for r in sums:
+        raw = (tmp_path / "sql" / r.name / r.file).read_bytes()
+        assert (len(raw), hashlib.sha256(raw).hexdigest()) == (r.bytes, r.sha256)
+    import duckdb
+
+    c = duckdb.connect()
+    c.execute('create table x (a int, "b c" varchar, d double, e varchar)')
+    for r in spark.read.text(f"file://{tmp_path}/sql/x").collect():
+        c.execute(r.value.replace("char(", "chr("))
+    assert sorted(c.execute("select * from x").fetchall()) == [(1, "it's", None, "[1,2]"), (2, "two\nlines\r", 1.5, None), (3, "", -0.25, "[]")]
+
+
+def test_nearest_ranks_against_sorting(spark):
+    rng = random.Random(4)
+    data = [(k, None if rng.random() < 0.05 else float(rng.choice([rng.randrange(5), rng.random()]))) for k in range(3) for _ in range(700)] + [(3, 1.0), (4, None)]
+    got = {r.k: (r.p0, r.p50, r.p99, r.n) for r in D.nearest_ranks(spark.createDataFrame(data, "k int, v double"), "k", "v", {"p0": 0.0, "p50": 0.5, "p99": 0.99}).collect()}
+    for k in range(4):
+        v = sorted(x for j, x in data if j == k and x is not None)
+        assert got[k] == (*(v[max(math.ceil(s * len(v)), 1) - 1] for s in (0, 0.5, 0.99)), len(v))
+    assert set(got) == {0, 1, 2, 3}
