@@ -8,9 +8,12 @@ of at least LEAST; with ROWS minima a band, BANDS bands retrieve it with probabi
 
 Windows without any template's shingle have similarity 0 and are not hashed.
 
-Cases: null and empty texts hold nothing; a notice cut by a text's end counts by what is there; repeated
-notices of a text give one row at the best place; of different licences' notices that overlap the one held
-best is given; templates with equal words are found under each name;
+Templates are a parameter, as a list or as a table (name, text): whole licence texts, too. A table is read to the
+driver and may hold MAX_TEMPLATE_BYTES, which is checked.
+
+Cases: null and empty texts hold nothing; templates without words are never found; a notice cut by a text's end counts by what is there; repeated
+notices of a text give one row at the best place; of different licences' notices that overlap the one of which most
+shingles are held is given; templates with equal words are found under each name;
 null ids pass; an empty table gives an empty result; only the named columns are read.
 """
 
@@ -31,24 +34,47 @@ from .decontaminate import normal_words
 SHINGLE, CONTAINED = 5, 0.8
 ROWS, BANDS, LEAST = 2, 32, 0.5
 
-#: Public licence notices.
+_MIT = (
+    "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, "
+    "including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software"
+)
+_BSD = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"
+_BSD_TWO = (
+    "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. "
+    "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."
+)
+_BSD_THIRD = "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."
+
+#: Public licence notices and short licence texts, by SPDX identifier.
 TEMPLATES: Sequence[tuple[str, str]] = (
+    ("AGPL-3.0", "This work is licensed under the GNU Affero General Public License, version 3."),
+    ("AGPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0"),
-    ("BSD-2-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
+    ("BSD-2-Clause", _BSD),
+    ("BSD-2-Clause", f"{_BSD}: 1. {_BSD_TWO.replace('. R', '. 2. R')}"),
+    ("BSD-3-Clause", _BSD_THIRD),
+    ("BSD-3-Clause", f"{_BSD}: 1. {_BSD_TWO.replace('. R', '. 2. R')} 3. {_BSD_THIRD}"),
+    ("BSL-1.0", "Distributed under the Boost Software License, Version 1.0."),
     ("CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
     ("CC-BY-NC-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
     ("CC-BY-SA-4.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
+    ("CC0-1.0", "To the extent possible under law, the author(s) have dedicated all copyright and related and neighboring rights to this software to the public domain worldwide."),
+    ("EPL-2.0", "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0"),
     ("GPL-2.0", "This work is licensed under the GNU General Public License, version 2."),
     ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
     ("GPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+    ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."),
     ("LGPL-3.0", "This work is licensed under the GNU Lesser General Public License, version 3."),
     ("MIT", "Released under the MIT License."),
-    ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software"),
+    ("MIT", _MIT),
+    ("MIT", f"{_MIT}, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software."),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
     ("Unlicense", "This is free and unencumbered software released into the public domain."),
+    ("Zlib", "Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions"),
 )
+MAX_TEMPLATE_BYTES = 16 << 20
 
 _LANES = np.random.default_rng(31).integers(1, 2**63, (2, ROWS * BANDS), dtype=np.uint64) | np.uint64(1)
 
@@ -82,7 +108,7 @@ class Templates:
     def of(cls, templates: Sequence[tuple[str, str]]) -> Templates:
         w, h = normal_words(pa.array([t for _, t in templates], pa.large_string()))
         names, width, shingles, sizes = [], [], [], []
-        raw = []
+        raw: list[np.ndarray] = []
         for i, (name, _) in enumerate(templates):
             own = h[w.first[i] : w.first[i + 1]]
             if not len(own):
@@ -128,13 +154,13 @@ class Templates:
                 key = bands(minima(win[at]))
                 flat, who = self.keys[m]
                 lo, hi = np.searchsorted(flat, key), np.searchsorted(flat, key, "right")
-                for r, b in zip(*np.nonzero(hi > lo), strict=True):
-                    for i in set(who[lo[r, b] : hi[r, b]].tolist()):
-                        if self.width[i] == q:
-                            self._confirm(best, w, win, int(doc[start[r]]), i, int(start[r]), m, q)
-        # of notices that overlap, the one held best: versions of a licence share most of their words
+                retrieved = {(int(r), i) for r, b in zip(*np.nonzero(hi > lo), strict=True) for i in who[lo[r, b] : hi[r, b]].tolist() if self.width[i] == q}
+                for r, i in sorted(retrieved):
+                    self._confirm(best, w, win, int(doc[start[r]]), i, int(start[r]), m, q)
+        # of notices that overlap, the one held most: versions of a licence share most of their words, and some
+        # licences begin with another's words
         out: list[tuple[int, int, float, int]] = []
-        for (t, i), (c, at) in sorted(best.items(), key=lambda x: (x[0][0], -x[1][0], -int(self.sizes[x[0][1]]), x[0][1])):
+        for (t, i), (c, at) in sorted(best.items(), key=lambda x: (x[0][0], -x[1][0] * int(self.sizes[x[0][1]]), -x[1][0], x[0][1])):
             end = at + int(self.sizes[i] + self.width[i]) - 1
             if not any(at < b + int(self.sizes[j] + self.width[j]) - 1 and b < end and self.names[i] != self.names[j] for _, j, _, b in takewhile(lambda x: x[0] == t, reversed(out))):
                 out.append((t, i, c, at))
@@ -159,8 +185,13 @@ class Templates:
                 best[t, i] = found
 
 
-def find_licences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates: Sequence[tuple[str, str]] = TEMPLATES) -> DataFrame:
+def find_licences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates: Sequence[tuple[str, str]] | DataFrame = TEMPLATES) -> DataFrame:
     """One row per text and template held: id, licence, template (its number), containment, first_word."""
+    if isinstance(templates, DataFrame):
+        size = templates.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+        if size > MAX_TEMPLATE_BYTES:
+            raise ValueError(f"templates of {size} bytes; {MAX_TEMPLATE_BYTES} are taken")
+        templates = [(r["name"], r["text"] or "") for r in templates.select("name", "text").orderBy("name", "text").collect()]
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

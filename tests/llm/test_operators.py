@@ -436,6 +436,32 @@ def test_licences_against_brute_force(spark):
     assert licences.find_licences(empty(spark)).count() == 0
 
 
+def test_licences_that_begin_with_another_s_words(spark):
+    rng = random.Random(16)
+    whole = {(n, max((t for m, t in licences.TEMPLATES if m == n), key=len)) for n, _ in licences.TEMPLATES}
+    texts = [(n, f"{prose(rng, 40)}\n{t.upper()}\n{prose(rng, 40)}") for n, t in sorted(whole)]
+    found = defaultdict(set)
+    for r in licences.find_licences(table(spark, [t for _, t in texts])).collect():
+        found[r.doc_id].add(r.licence)
+    assert [found[k] for k in range(len(texts))] == [{n} for n, _ in texts]
+    edited = [(n, " ".join("changed" if k % 50 == 25 else w for k, w in enumerate(t.split(" ")))) for n, t in texts if len(t.split(" ")) > 150]
+    again = defaultdict(set)
+    for r in licences.find_licences(table(spark, [t for _, t in edited])).collect():
+        again[r.doc_id].add(r.licence)
+    assert edited and all(n in again[k] for k, (n, _) in enumerate(edited))
+
+
+def test_licence_templates_as_a_table(spark, monkeypatch):
+    own = spark.createDataFrame([("A", "alpha beta gamma delta epsilon zeta eta theta"), ("B", "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda"), ("C", None), ("D", "")], "name string, text string")
+    docs = table(spark, ["x alpha beta gamma delta epsilon zeta eta theta y", "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda", "none", None])
+    got = {(r.doc_id, r.licence) for r in licences.find_licences(docs, templates=own).collect()}
+    assert got == {(0, "A"), (1, "B")}
+    assert licences.find_licences(docs, templates=own.limit(0)).count() == 0
+    monkeypatch.setattr(licences, "MAX_TEMPLATE_BYTES", 10)
+    with pytest.raises(ValueError, match="bytes"):
+        licences.find_licences(docs, templates=own)
+
+
 # ------------------------------------------------------------- 7
 
 
