@@ -5,13 +5,14 @@ bytes count, everything else separates. A text leaks an item of n words if a run
 floor(EDITS * n) word edits (insertion, deletion, replacement) of the item.
 
 The CGK embedding walks along a sequence with shared random bits: at step j it writes the word it stands
-on and moves on by one if bit j of the word's hash says so. Edit distance k becomes, with constant
-probability, Hamming distance of order k*k at worst and near k mostly, since two walks that part over an
-edit meet again. Each of REPEATS independent embeddings is sampled at SAMPLE of its first steps; items
-and windows with equal samples are candidates. The sampled steps of an embedding lie in one short stretch
-from the window's start, and an item is entered for STARTS of its word positions, so that an edit spoils
-the samples near it only; REPEATS and STARTS are set such that an item of over SHORT words with the
-full number of allowed edits is still retrieved with probability over 0.99 (a test holds it to that, by length).
+on and moves on by one if bit j of the word's hash says so. Two walks that part over an edit meet again only by
+chance, and with one word in five edited they would mostly be apart from the first edits on. So an item-sized window is
+embedded as STARTS walks, begun at words spread evenly over it, one behind the other; an edit spoils the walks that
+cross it only. Each of REPEATS independent embeddings is sampled at SAMPLE steps of one of its walks; items and
+windows with equal samples of the same walk are candidates. A walk is the same in all windows that it is part of,
+so the documents' are made once for each word, and what an item is entered under says where its window begins.
+REPEATS and STARTS are set such that an item of over SHORT words with the
+full number of allowed edits is still retrieved with probability over 0.99 (tests hold it to that, by length and share).
 Walks over shorter items mostly end in padding, so these are retrieved without loss, by the runs of words that
 the edits must leave untouched.
 Candidates are confirmed exactly, by the least edit distance of the item to any run around the place.
@@ -82,25 +83,40 @@ def sketch(h: np.ndarray, start: np.ndarray, end: np.ndarray, repeat: int) -> np
     return key
 
 
+def _scores(item: list, run: list, anchored: bool) -> Iterator[int]:
+    """After each word of `run`, the least edit distance of the item to what ends there and begins anywhere (or, if
+    anchored, at the beginning). A column of the table is kept as two numbers whose bits are its steps up and down."""
+    n = len(item)
+    same: dict = {}
+    for k, x in enumerate(item):
+        same[x] = same.get(x, 0) | 1 << k
+    full, last = (1 << n) - 1, 1 << (n - 1)
+    up, down, score = full, 0, n
+    for x in run:
+        eq = same.get(x, 0)
+        diagonal = (((eq & up) + up) ^ up) | eq | down
+        more, less = down | ~(diagonal | up) & full, up & diagonal
+        score += bool(more & last) - bool(less & last)
+        more, less = more << 1 | anchored, less << 1
+        eq |= down
+        up, down = (less | ~(eq | more)) & full, more & eq & full
+        yield score
+
+
 def edit_distance(item: np.ndarray, run: np.ndarray, most: int) -> tuple[int, int, int]:
     """The least edit distance of the item to any run of consecutive words of `run` (most + 1 if it is
-    over `most`), and where the first such run begins and ends."""
-    n, m = len(item), len(run)
-    # Sellers' algorithm, a row an item word; insertions along the row by a running minimum.
-    row, begin = np.zeros(m + 1, np.int64), np.arange(m + 1)
-    for i in range(1, n + 1):
-        new, where = np.empty(m + 1, np.int64), np.empty(m + 1, np.int64)
-        new[0], where[0] = i, 0
-        swap, drop = row[:-1] + (run != item[i - 1]), row[1:] + 1
-        new[1:] = np.minimum(swap, drop)
-        where[1:] = np.where(swap <= drop, begin[:-1], begin[1:])
-        slope = new - np.arange(m + 1)
-        low = np.minimum.accumulate(slope)
-        came = np.maximum.accumulate(np.where(slope == low, np.arange(m + 1), 0))
-        row, begin = low + np.arange(m + 1), where[came]
-    best = int(row.min())
-    end = int(np.argmin(row))
-    return (best, int(begin[end]), end) if best <= most else (most + 1, 0, 0)
+    over `most`), and where the first such run ends and the shortest one that ends there begins."""
+    item, run = item.tolist(), run.tolist()
+    best, end = len(item), 0
+    for j, score in enumerate(_scores(item, run, False), 1):
+        if score < best:
+            best, end = score, j
+    if best > most:
+        return most + 1, 0, 0
+    if best == len(item):
+        return best, end, end
+    back = run[:end][::-1]
+    return best, end - next(j for j, score in enumerate(_scores(item[::-1], back, True), 1) if score == best), end
 
 
 @dataclass

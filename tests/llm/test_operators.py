@@ -103,6 +103,39 @@ def test_decontamination_recall_by_length_at_full_edits(n):
     assert got == len(texts) if n <= 7 else got >= 0.99 * len(texts)
 
 
+@pytest.mark.parametrize("share", [0.0, 0.05, 0.1, 0.15, 0.2])
+def test_decontamination_recall_by_share_of_edits(share):
+    rng = random.Random(int(100 * share))
+    items = [prose(rng, rng.randrange(8, 60), 10**5) for _ in range(400)]
+    texts = []
+    for item in items:
+        ws = item.split(" ")
+        for p in rng.sample(range(len(ws)), int(share * len(ws) + 1e-9)):
+            ws[p] = ["", f"z{p} {ws[p]}", f"z{p}"][rng.randrange(3)]
+        texts.append(prose(rng, rng.randrange(60), 10**5) + " " + " ".join(ws) + " " + prose(rng, rng.randrange(60), 10**5))
+    found = decontaminate.Items.of(list(range(len(items))), items).find(*decontaminate.normal_words(pa.array(texts, pa.large_string())))
+    pairs = {(f[0], f[1]) for f in found}
+    assert sum((t, t) in pairs for t in range(len(texts))) >= 0.99 * len(texts) and all(t == i for t, i in pairs)
+
+
+def test_edit_distances_against_the_whole_table():
+    rng = random.Random(12)
+    for _ in range(400):
+        a = [rng.randrange(4) for _ in range(rng.randrange(1, 90 if rng.random() < 0.2 else 9))]
+        b = [rng.randrange(4) for _ in range(rng.randrange(0, 40))]
+        rows = [[0] * (len(b) + 1)]  # begins anywhere
+        for i, x in enumerate(a, 1):
+            rows.append(_step(rows[-1], i, x, b))
+        best = min(rows[-1])
+        got, begin, end = decontaminate.edit_distance(np.array(a), np.array(b, np.int64), len(a))
+        assert got == best and rows[-1][end] == best and rows[-1].index(best) == end
+        row = list(range(end - begin + 1))
+        for i, x in enumerate(a, 1):
+            row = _step(row, i, x, b[begin:end])
+        assert row[-1] == best
+        assert decontaminate.edit_distance(np.array(a), np.array(b, np.int64), best - 1)[0] == best
+
+
 def test_decontamination_of_short_items_against_brute_force(monkeypatch):
     monkeypatch.setattr(decontaminate, "PLACES", 50)
     rng = random.Random(4)
