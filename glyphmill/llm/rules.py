@@ -2,13 +2,14 @@
 
 `statistics` measures every whole text; two fixed rules reject outright; for the rest an isolation
 forest gives the expected path length over random splits, and texts whose anomaly score is above a
-threshold are rejected too. The forest is grown on at most FIT_ROWS labelled rows of quality 1 and the
-threshold is set on at most FIT_ROWS labelled rows: those with the smallest hash of the id. Everything
-else covers every row.
+threshold are rejected too. The forest is grown on labelled rows of quality 1 among at most FIT_ROWS labelled rows,
+those with the smallest hash of the id. The threshold is set on the scores of all labelled rows: counts of good and
+bad ones in SCORE_BINS bins of the score, so much and no more comes to the driver. Everything else covers every row.
 
 Cases: null and empty texts have no words and are rejected by the rules; rows with a null id are
-judged like others; repeated rows give one result each; with fewer than MIN_LABELS labelled rows of
-either kind the forest rejects nothing; an empty table gives an empty result; only the named columns
+judged like others; repeated rows give one result each, and count once as labelled rows, by their least score; ids
+that aren't whole numbers have no labels; with fewer than MIN_LABELS labelled rows of
+either kind in the sample the forest rejects nothing; an empty table gives an empty result; only the named columns
 are read, so others may have any name.
 """
 
@@ -20,10 +21,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Words, batches, inside_doc, keep_rows, read_table, span_hashes, window_hashes, word_hashes, words
+from .common import Scratch, Words, batches, inside_doc, keep_rows, read_table, span_hashes, window_hashes, word_hashes, words
 
 WINDOW = 5
 MIN_WORDS = 10
@@ -31,6 +32,7 @@ REPEAT_SHARE = 0.20
 FIT_ROWS = 4096
 MIN_LABELS = 20
 TREES, SUBSAMPLE, SEED = 120, 256, 11
+SCORE_BINS = 1 << 14
 #: Share of the labelled good rows that the threshold may reject.
 GOOD_LOSS = 0.005
 
@@ -210,18 +212,21 @@ def grow(x: np.ndarray, trees: int = TREES, sample: int = SUBSAMPLE, seed: int =
     return out
 
 
-def calibrate(forest: Forest, x: np.ndarray, good: np.ndarray) -> None:
-    """The cut that parts bad from good rows best (share of bad rows found less share of good rows lost)
-    while it loses at most GOOD_LOSS of the good; of equal cuts the middle of the widest gap."""
-    s = forest.score(x)
-    ours, bad = np.sort(s[good]), np.sort(s[~good])
-    limit = ours[len(ours) - 1 - int(GOOD_LOSS * len(ours))]
-    at = np.unique(np.concatenate([s[s >= limit], [s.max() + 1e-6]]))
-    low, high = at[:-1], at[1:]
-    lost = 1 - np.searchsorted(ours, low, "right") / len(ours)
-    found = 1 - np.searchsorted(bad, low, "right") / max(len(bad), 1)
-    best = np.lexsort((high - low, np.round(found - lost, 9)))[-1]
-    forest.threshold = float((low[best] + high[best]) / 2)
+def score_bin(score: np.ndarray) -> np.ndarray:
+    """Scores of bin b are over b / SCORE_BINS and at most (b + 1) / SCORE_BINS."""
+    return np.clip(np.ceil(score * SCORE_BINS) - 1, 0, SCORE_BINS - 1).astype(np.int64)
+
+
+def calibrate(forest: Forest, good: np.ndarray, bad: np.ndarray) -> None:
+    """From counts by bin, the cut that parts bad from good rows best (share of bad rows found less share of good rows
+    lost) while it loses at most GOOD_LOSS of the good; of equal cuts the middle of the widest gap."""
+    lost, found = (1 - np.cumsum(x) / max(int(x.sum()), 1) for x in (good, bad))
+    last = int(np.flatnonzero(good + bad)[-1])  # a cut beyond all rows is like one at the last
+    worth = np.where(lost <= GOOD_LOSS, np.round(found - lost, 9), -np.inf)[: last + 1]
+    best = np.flatnonzero(worth == worth.max())
+    runs = np.split(best, np.flatnonzero(np.diff(best) > 1) + 1)
+    widest = max(runs, key=len)
+    forest.threshold = float((widest[len(widest) // 2] + 1) / SCORE_BINS)
 
 
 # ---------------------------------------------------------------- over tables
@@ -245,18 +250,14 @@ def measure(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fea
     return docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).mapInArrow(run, schema)
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", rows: int = FIT_ROWS) -> Forest | None:
-    """A forest of at most `rows` labelled good texts with its threshold; None with too few labels."""
-    picked = (
-        labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull())
-        .groupBy("doc_id").agg(F.min("quality").alias("quality"))
-        .orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
-    )
-    chosen = picked.collect()  # bounded by `rows`
+def grown(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", rows: int = FIT_ROWS) -> Forest | None:
+    """A forest of the good texts among at most `rows` labelled ones; None with too few labels."""
+    chosen = quality_of(labels).orderBy(F.xxhash64("_label"), "_label").limit(rows).collect()  # bounded by `rows`
     if not chosen:
         return None
     small = docs.sparkSession.createDataFrame([(int(r[0]), int(r[1])) for r in chosen], "_label long, quality int")
-    both = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(F.broadcast(small), F.col("_id") == F.col("_label"), "left_semi")
+    own = docs.select(F.col(id_col).try_cast("long").alias("_id"), F.col(text_col).alias("_text"))
+    both = own.join(F.broadcast(small), F.col("_id") == F.col("_label"), "left_semi")
     # A document may be there in many copies: one row of each id is enough, and bounds what comes back.
     stats = measure(both, "_id", "_text").groupBy("_id").agg(F.min(F.struct(*BASE, "features")).alias("x"))
     got = stats.orderBy("_id").collect()
@@ -266,17 +267,44 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     good = np.array([good_by_id[int(r._id)] == 1 for r in got], bool)
     if good.sum() < MIN_LABELS or (~good).sum() < MIN_LABELS:
         return None
-    forest = grow(x[good])
-    calibrate(forest, x, good)
+    return grow(x[good])
+
+
+def quality_of(labels: DataFrame) -> DataFrame:
+    """(_label, quality): one row of each labelled id, bad if any of its labels is."""
+    rows = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull())
+    return rows.groupBy(F.col("doc_id").alias("_label")).agg(F.min("quality").alias("quality"))
+
+
+def set_threshold(forest: Forest, scored: DataFrame, labels: DataFrame) -> Forest:
+    """The forest with its threshold, from the scores (`scored` of all texts) of all labelled rows."""
+    rows = scored.where(~base_failed()).groupBy(F.col("_id").try_cast("long").alias("_label")).agg(F.min("anomaly").alias("anomaly"))
+    bins = F.least(F.greatest(F.ceil(F.col("anomaly") * SCORE_BINS) - 1, F.lit(0)), F.lit(SCORE_BINS - 1)).alias("bin")
+    kinds = [F.count_if(F.col("quality") == 1).alias("good"), F.count_if(F.col("quality") != 1).alias("bad")]
+    counts = rows.join(quality_of(labels), "_label").groupBy(bins).agg(*kinds).collect()  # a row a bin
+    good, bad = np.zeros(SCORE_BINS, np.int64), np.zeros(SCORE_BINS, np.int64)
+    for r in counts:
+        good[r.bin], bad[r.bin] = r.good, r.bad
+    calibrate(forest, good, bad)
     return forest
 
 
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", rows: int = FIT_ROWS) -> Forest | None:
+    """A forest with its threshold; None with too few labels."""
+    forest = grown(docs, labels, id_col, text_col, rows)
+    return forest and set_threshold(forest, scored(docs, forest, id_col, text_col), labels)
+
+
 def base_fails(n_words: int, n_repeat_words: int) -> bool:
     return n_words < MIN_WORDS or 100 * n_repeat_words > 100 * REPEAT_SHARE * n_words
 
 
-def judge(docs: DataFrame, forest: Forest | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, the counts, base_failed, anomaly and kept of every text."""
+def base_failed() -> Column:
+    return (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > int(100 * REPEAT_SHARE) * F.col("n_words"))
+
+
+def scored(docs: DataFrame, forest: Forest | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """_id, the counts and anomaly of every text; without a forest no text is an anomaly."""
     stats = measure(docs, id_col, text_col)
     kind = docs.schema[id_col].dataType.simpleString()
 
@@ -286,15 +314,19 @@ def judge(docs: DataFrame, forest: Forest | None, id_col: str = "doc_id", text_c
             yield pa.RecordBatch.from_arrays([*batch.columns[:6], pa.array(forest.score(x))], ["_id", *BASE, "anomaly"])
 
     if forest is None:
-        scored = stats.drop("features").withColumn("anomaly", F.lit(0.0))
-        limit = math.inf
-    else:
-        scored = stats.mapInArrow(run, f"_id {kind}, " + ", ".join(f"{c} bigint" for c in BASE) + ", anomaly double")
-        limit = forest.threshold
-    failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > int(100 * REPEAT_SHARE) * F.col("n_words"))
-    return scored.select(
-        F.col("_id").alias(id_col), *BASE, failed.alias("base_failed"), "anomaly", (~failed & (F.col("anomaly") <= F.lit(limit))).alias("kept")
-    )
+        return stats.drop("features").withColumn("anomaly", F.lit(0.0))
+    return stats.mapInArrow(run, f"_id {kind}, " + ", ".join(f"{c} bigint" for c in BASE) + ", anomaly double")
+
+
+def verdict(rows: DataFrame, forest: Forest | None, id_col: str = "doc_id") -> DataFrame:
+    """id, the counts, base_failed, anomaly and kept of scored rows."""
+    limit = F.lit(math.inf if forest is None else forest.threshold)
+    return rows.select(F.col("_id").alias(id_col), *BASE, base_failed().alias("base_failed"), "anomaly", (~base_failed() & (F.col("anomaly") <= limit)).alias("kept"))
+
+
+def judge(docs: DataFrame, forest: Forest | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """id, the counts, base_failed, anomaly and kept of every text."""
+    return verdict(scored(docs, forest, id_col, text_col), forest, id_col)
 
 
 def keep_good(docs: DataFrame, forest: Forest | None, text_col: str = "text") -> DataFrame:
@@ -313,4 +345,7 @@ def keep_good(docs: DataFrame, forest: Forest | None, text_col: str = "text") ->
 
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels")
-    return judge(docs, fit(docs, labels))
+    forest = grown(docs, labels)
+    # each text is measured once: its score serves the threshold and the verdict
+    rows = Scratch(spark).put(scored(docs, forest), "scored")
+    return verdict(rows, forest and set_threshold(forest, rows, labels))

@@ -759,6 +759,35 @@ def test_rules_against_brute_force_and_forest(spark):
     assert rules.judge(empty(spark), None).count() == 0
 
 
+@pytest.mark.parametrize("gap", [0, 5])
+def test_threshold_against_brute_force(gap):
+    rng = np.random.default_rng(13 + gap)
+    good, bad = rng.normal(0.45, 0.03, 3000), rng.normal(0.58 + gap / 50, 0.04, 300)
+    forest = rules.Forest(*(np.zeros((1, 1)) for _ in range(5)), norm=1.0)
+    count = lambda x: np.bincount(rules.score_bin(x), minlength=rules.SCORE_BINS)
+    rules.calibrate(forest, count(good), count(bad))
+    worth = lambda t: (bad > t).mean() - (good > t).mean()
+    best = max(worth(t) for t in np.concatenate([good, bad]) if (good > t).mean() <= rules.GOOD_LOSS)
+    assert (good > forest.threshold).mean() <= rules.GOOD_LOSS and worth(forest.threshold) >= best - 0.005
+
+
+def test_all_labels_set_the_threshold_and_the_query_judges_alike(spark, tmp_path):
+    rng = random.Random(19)
+    texts = [prose(rng, rng.randrange(20, 300)) + "." for _ in range(260)] + [" ".join(w.upper() + "!" * rng.randrange(4) for w in prose(rng, 100).split(" ")) for _ in range(60)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    labels = spark.createDataFrame([(k, int(k < 260), 0) for k in range(0, 320, 2)], "doc_id long, quality int, toxic int")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    labels.write.parquet(f"{tmp_path}/labels.parquet")
+    forest = rules.fit(docs, labels)
+    assert {tuple(r) for r in rules.op9_quality(spark, str(tmp_path)).collect()} == {tuple(r) for r in rules.judge(docs, forest).collect()}
+    few = rules.fit(docs, labels, rows=100)  # a smaller sample for the forest, the same rows for the threshold
+    scores = {r.doc_id: r for r in rules.judge(docs, few).collect()}
+    own = [scores[k] for k in range(0, 260, 2) if not scores[k].base_failed]
+    assert sum(not r.kept for r in own) <= rules.GOOD_LOSS * len(own)
+    text_ids = docs.select(F.concat(F.lit("d"), "doc_id").alias("doc_id"), "text")
+    assert rules.fit(text_ids, labels) is None and rules.judge(text_ids, forest).count() == 320
+
+
 # ------------------------------------------------------------- 10
 
 
