@@ -3,12 +3,12 @@
 Every assistant turn becomes an example of its own: all turns before it are context, and only its
 reply is trainable. A conversation whose last turn is no assistant's gets one more example, without a
 trainable part, so that no turn is lost. A turn is written as ``[INST role]text[/INST]</s>``, after a
-leading ``<s>`` for the conversation. Inside roles and texts ``&``, ``<`` and ``[`` are written as
-``&amp;``, ``&lt;`` and ``&#91;``: then no text can hold a control string, and undoing it is exact.
+leading ``<s>`` for the conversation. Inside roles and texts ``&``, ``<``, ``[`` and ``]`` are written
+as ``&amp;``, ``&lt;``, ``&#91;`` and ``&#93;``: then no text can hold a control string, and undoing it is exact.
 
 Cases: null text or role counts as empty; turns in order of (turn, role, text), null turns first, and
-repeated rows are turns of their own; rows with a null conversation id form one conversation; an empty
-table gives an empty result; further columns are ignored.
+repeated rows are turns of their own; rows with a null conversation id form one conversation, which one task
+writes, as it does any conversation; an empty table gives an empty result; further columns are ignored.
 """
 
 from __future__ import annotations

@@ -22,7 +22,7 @@ the blocks. Files are written to the shared folder under a temporary name and th
 runs twice leaves one whole file.
 
 Cases: null and empty texts have the end id alone; null document ids come first; rows of one document id
-are documents each, in order of a hash of their text; an empty table gives no documents; further columns
+are documents each, in order of a hash of their text; ids that aren't whole numbers raise an error; an empty table gives no documents; further columns
 are not read. A damaged block or head is reported by number, never decoded.
 """
 

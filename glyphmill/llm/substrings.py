@@ -17,7 +17,7 @@ expected to be equal by chance: 10**-8 pairs at 10**8 windows, 400 at the 3 * 10
 
 Cases: a null or empty text has no words, no intervals and an empty kept text; a text with a null id
 is returned whole and takes nothing from others; rows of one id don't take from each other; shorter
-texts than a window are kept; an empty table gives an empty result; other columns are not read.
+texts than a window are kept; ids that aren't whole numbers raise an error; an empty table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations

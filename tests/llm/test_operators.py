@@ -871,6 +871,19 @@ def test_damage_is_found():
             idfiles.IdFile(bytes(bad)).read()
 
 
+def test_ids_that_are_no_whole_numbers(spark, tmp_path):
+    df = spark.createDataFrame([("a", "one two"), ("b", None)], "doc_id string, text string")
+    bench = spark.createDataFrame([(0, "one two")], "item_id long, text string")
+    # operators that keep ids as they are
+    assert [r.doc_id for r in decontaminate.find_leaks(df, bench).collect()] == ["a"]
+    assert {r.doc_id for r in privacy.pseudonymise(df).collect()} == {"a", "b"} == {r.doc_id for r in rules.judge(df, None).collect()}
+    assert licences.find_licences(df).count() == 0
+    # and those that order or count by them
+    for run in (substrings.dedup_substrings, neardup.near_duplicates, brown.score_texts, lambda d: idfiles.read_ids(spark, f"file://{tmp_path}/x", idfiles.write_ids(d, f"file://{tmp_path}/x"))):
+        with pytest.raises(Exception, match="CAST_INVALID_INPUT"):
+            run(df).count()
+
+
 # ------------------------------------------------------------- tasks without a word
 
 

@@ -88,3 +88,7 @@ def test_null_ids_and_texts(spark, corpus):
     kept = corpus_pipeline.minhash_near_dedup(spark, docs, path)
     assert kept.count() == 3 and kept.columns == docs.columns
     assert corpus_pipeline.quality_rules(spark, docs, path).count() == 2
+    for stage in (corpus_pipeline.benchmark_decontamination, corpus_pipeline.personal_data):
+        out = stage(spark, docs, path)
+        assert out.columns == docs.columns and sorted(str(r.doc_id) for r in out.collect()) == ["1", "None", "None"]
+    assert {r.doc_id for r in corpus_pipeline.sentencepiece_segmentations(spark, docs, path).collect()} == {None, 1}
