@@ -6,7 +6,7 @@ differ in at most 2 * CHUNKS - 1 = 15 of these, some chunk differs in at most on
 so enumerating the allowed chunk errors - no lane or any one lane of a chunk left out - gives keys of
 which such a pair shares one at least. A pair that shares a key is a candidate if it differs in at most THRESHOLD of
 all lanes. At similarity 0.85 a pair shares no key with probability 2e-8, at 0.8 with 1e-6, and is beyond the
-threshold with 3e-8 and 1e-5; at 0.3 it is within it with 8e-6, so texts that share no more than some boilerplate
+threshold with 8e-9 and 4e-6; at 0.3 it is within it with 1e-5, so texts that share no more than some boilerplate
 don't chain up.
 
 How it runs. Texts of equal sets (128-bit digests) are one class, represented by its smallest id. The
