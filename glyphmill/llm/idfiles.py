@@ -114,81 +114,90 @@ class Order0:
 # ---------------------------------------------------------------- the model, for all blocks at once
 
 
-#: Weights to begin with, of order 2 and order 1, by the states of order 2 and of order 1 and whether they agree.
+#: Weights to begin with, by the states of order 2 and of order 1 and whether they agree.
 _ALONE = np.array([0, 10, 34, 54]) / 64
 _FIRST2 = np.concatenate([np.repeat(_ALONE, 4), np.repeat(_ALONE, 4) ** 0.5])
 _FIRST1 = np.concatenate([((1 - _ALONE)[:, None] * _ALONE).ravel(), np.zeros(16)])
-_FIRST = [np.round(x * 65535).astype(np.int32) for x in (_FIRST2, _FIRST1)]
+_FIRST = [np.round(x * 65535).astype(np.int32) for x in (_FIRST1, _FIRST2)]
+
+
+def contexts(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The slots of order 1 and order 2, within a block's, of the two numbers (uint32) before: a, then b."""
+    out = np.empty((2, *a.shape), np.uint32)
+    np.multiply(b, np.uint32(40503), out=out[0])
+    np.multiply(a, np.uint32(2654435761), out=out[1])
+    out[1] += out[0]
+    out[0] >>= np.uint32(4)
+    out[0] &= np.uint32(SLOTS1 - 1)
+    out[1] >>= np.uint32(7)
+    out[1] &= np.uint32(SLOTS2 - 1)
+    return out
 
 
 class Model:
-    """What `lanes` blocks have learnt so far. Ids are numbers of Order0. A slot of order 1 or 2 holds four
-    times the predicted number, and its state; `weight` the weights of order 2 and order 1, of 2**16, by joint state."""
+    """What `lanes` blocks have learnt so far. Ids are numbers of Order0. A slot of `table` holds four times the predicted
+    number, and its state; `weight` the weights by joint state, of 2**16. Both have order 1's part first, then order 2's,
+    as rows of two have: order 1, order 2."""
 
     def __init__(self, lanes: int):
-        self.tables = [np.zeros(lanes * n, np.int32) for n in (SLOTS1, SLOTS2)]
-        self.weight = [np.tile(x, lanes) for x in _FIRST]
-        self.bins = np.full(lanes * BINS, 4, np.int32)
-        self.upto = np.zeros((lanes, BINS + 1), np.int32)
-        self.a, self.b = np.zeros(lanes, np.uint32), np.zeros(lanes, np.uint32)
-        self.steps = 0
-        # bins of the ids since they were last counted; nothing of blocks that have ended is left in it
-        self.came = np.zeros((RENEW, lanes), np.int64)
+        self.whole = lanes
+        self.table = np.zeros(lanes * (SLOTS1 + SLOTS2), np.int32)
+        self.weight = np.concatenate([np.tile(x, lanes) for x in _FIRST])
+        self.bins = np.full((BINS, lanes), 4, np.int32)
+        self.upto = np.zeros((BINS + 1, lanes), np.int32)
         self._lanes(lanes)
 
     def _lanes(self, n: int) -> None:
-        lane = np.arange(n)
-        self.lane1, self.lane2, self.lane_state, self.lane_bin, self.lane_upto = lane * SLOTS1, lane * SLOTS2, lane * _JOINT, lane * BINS, lane * (BINS + 1)
+        self.lane = lane = np.arange(n)
+        self.slots = np.stack([lane * SLOTS1, lane * SLOTS2 + self.whole * SLOTS1])
+        self.states = np.stack([lane, lane + self.whole]) * _JOINT
+        self.flat = self.upto.ravel()
 
     def shrink(self, n: int) -> None:
         """Only the first n blocks go on."""
-        self.upto = self.upto[:n].copy()
-        self.a, self.b = self.a[:n], self.b[:n]
+        self.bins, self.upto = self.bins[:, :n].copy(), self.upto[:, :n].copy()
         self._lanes(n)
 
-    def predict(self) -> bool:
-        """Sets the predicted numbers (p1, p2), and the widths of order 2, order 1 and order 0 (w2, w1, w0); whether
-        the bins' frequencies are new."""
-        n = len(self.a)
-        new = self.steps % RENEW == 0
-        if new:
-            if self.steps:
-                self.bins[: n * BINS] += (8 * np.bincount(self.came[:, :n].ravel(), minlength=n * BINS)[: n * BINS]).astype(np.int32)
-            count = self.bins[: n * BINS].reshape(n, BINS)
-            np.cumsum(count * (_FINE - BINS) // count.sum(1, keepdims=True) + 1, 1, out=self.upto[:, 1:])
-            self.upto[:, BINS] = _FINE
-            self.flat = self.upto.ravel()
-        self.at1 = self.lane1 + (((self.b * np.uint32(40503)) >> np.uint32(4)) & np.uint32(SLOTS1 - 1))
-        self.at2 = self.lane2 + (((self.a * np.uint32(2654435761) + self.b * np.uint32(40503)) >> np.uint32(7)) & np.uint32(SLOTS2 - 1))
-        self.v1, self.v2 = self.tables[0].take(self.at1), self.tables[1].take(self.at2)
-        self.p1, self.p2 = self.v1 >> 2, self.v2 >> 2
-        joint = (self.v2 & 3) << 2
-        joint |= self.v1 & 3
-        joint += (self.p1 == self.p2) * np.int32(16)
-        self.joint = joint = joint + self.lane_state
-        self.r2, self.r1 = self.weight[0].take(joint), self.weight[1].take(joint)
+    def renew(self, came: np.ndarray | None) -> None:
+        """New frequencies of the bins; came: the bins of the RENEW steps before."""
+        n = len(self.lane)
+        if came is not None:
+            self.bins += (8 * np.bincount((came * n + self.lane).ravel(), minlength=BINS * n)).reshape(BINS, n)
+        share = self.bins * float(_FINE - BINS)
+        share /= self.bins.sum(0)  # of whole numbers this small: never rounded up to the next
+        np.cumsum(share.astype(np.int32) + np.int32(1), 0, out=self.upto[1:])
+        self.upto[BINS] = _FINE
+
+    def predict(self, at: np.ndarray) -> None:
+        """From the slots of both orders: sets the predicted numbers p, and the widths w, both together w12, and
+        order 0's w0."""
+        self.at, self.v = at, self.table.take(at)
+        self.p, self.state = self.v >> 2, self.v & 3
+        joint = (self.p[0] == self.p[1]) * np.int32(16)
+        joint += self.state[1] << 2
+        joint += self.state[0]
+        self.joint = joint + self.states
+        self.r = self.weight.take(self.joint)
         # at most 7/8 both together: the averages of one joint state add up to 2**16 at most
-        self.w2, self.w1 = (self.r2 * 7) >> 3, (self.r1 * 7) >> 3
-        self.w0 = _TOTAL - self.w2 - self.w1
-        return new
-
-    def learn(self, x: np.ndarray, bin_of: np.ndarray) -> None:
-        """x: the numbers (int32) that came, and their bins."""
-        hit2, hit1 = self.p2 == x, self.p1 == x
-        for k, r, hit in ((0, self.r2, hit2), (1, self.r1, hit1 > hit2)):
-            r -= r >> _RATE
-            r += hit * np.int32(65535 >> _RATE)
-            self.weight[k][self.joint] = r
-        for k, at, v, hit in ((0, self.at1, self.v1, hit1), (1, self.at2, self.v2, hit2)):
-            # right: surer by one. Wrong: less sure by one, or the new number where it had not been right.
-            state = v & 3
-            fresh = np.flatnonzero((state < 2) > hit)
-            v += np.where(hit, state < 3, -1)
-            v[fresh] = (x[fresh] << 2) + 1
-            self.tables[k][at] = v
-        np.add(self.lane_bin, bin_of, out=self.came[self.steps % RENEW, : len(x)])
-        self.a, self.b = self.b, x.astype(np.uint32)
-        self.steps += 1
+        self.w = self.r * 7
+        self.w >>= 3
+        self.w12 = self.w[0] + self.w[1]
+        self.w0 = _TOTAL - self.w12
+
+    def learn(self, x: np.ndarray, hit: np.ndarray) -> None:
+        """x: the numbers (int32) that came, and whether each order predicted them."""
+        first = x << 2
+        first += 1
+        # right: surer by one. Wrong: less sure by one, or the new number where it had not been right.
+        fresh = (self.state < 2) > hit
+        surer = hit & (self.state < 3)
+        self.v += surer.view(np.int8) - (~hit).view(np.int8)
+        np.copyto(self.v, first, where=fresh)
+        self.table[self.at] = self.v
+        hit[0] &= ~hit[1]
+        self.r -= self.r >> _RATE
+        self.r += hit * np.int32(65535 >> _RATE)
+        self.weight[self.joint] = self.r
 
 
 class Coder:
@@ -235,8 +244,9 @@ class Encoder(Coder):
         tail = [(every, (self.low >> np.uint64(32)).astype("<u4")), (every, (self.low & _LOW).astype("<u4"))]
         lane = np.concatenate([x for x, _ in [*self.out, *tail]])
         word = np.concatenate([x for _, x in [*self.out, *tail]])
-        order = np.argsort(lane, kind="stable")
-        cut = np.searchsorted(lane[order], np.arange(lanes + 1))
+        # 16-bit numbers are sorted in linear time
+        order = np.argsort(lane.astype(np.uint16) if lanes <= 1 << 16 else lane, kind="stable")
+        cut = np.concatenate([[0], np.cumsum(np.bincount(lane, minlength=lanes))])
         raw = word[order].astype("<u4").tobytes()
         return [raw[4 * a : 4 * b] for a, b in zip(cut[:-1], cut[1:], strict=True)]
 
@@ -272,68 +282,96 @@ def encode_blocks(numbers: np.ndarray, o: Order0) -> list[bytes]:
         return []
     grid = np.zeros(lanes * BLOCK, np.int32)
     grid[:n] = numbers
-    # a step's ids side by side; the last block may be shorter
-    grid = np.ascontiguousarray(grid.reshape(lanes, BLOCK).T)
+    # a step's ids side by side, below two rows of zeros; the last block may be shorter
+    grid = np.concatenate([np.zeros((2, lanes), np.int32), grid.reshape(lanes, BLOCK).T])
     last = n - (lanes - 1) * BLOCK
-    m, coder = Model(lanes), Encoder(lanes)
+    m, coder, bins = Model(lanes), Encoder(lanes), None
     for t in range(min(BLOCK, n)):
         if t == last:
             lanes -= 1
             m.shrink(lanes)
-        x = grid[t, :lanes]
-        m.predict()
-        if t % RENEW == 0:
-            bins, begins, sizes = (a.take(grid[t : t + RENEW]) for a in (o.bin, o.begin, o.size))
-        b = bins[t % RENEW, :lanes]
-        at = m.lane_upto + b
-        lo = (m.w0 * m.flat.take(at)) >> 12
-        begin, size = m.w2 + m.w1 + lo, ((m.w0 * m.flat.take(at + 1)) >> 12) - lo
-        begin, size = begin.astype(np.int64), size.astype(np.int64)
-        inner, wide = begins[t % RENEW, :lanes], sizes[t % RENEW, :lanes]
-        for hit, at_, w in ((np.flatnonzero((x == m.p1) & (m.w1 > 0)), m.w2, m.w1), (np.flatnonzero((x == m.p2) & (m.w2 > 0)), None, m.w2)):
-            begin[hit] = 0 if at_ is None else at_[hit]
-            size[hit], inner[hit], wide[hit] = w[hit], 0, _TOTAL
-        coder.put(begin, size)
-        coder.put(inner, wide)
-        m.learn(x, b)
+        k = t % RENEW
+        if k == 0:
+            # what the next steps have from the ids alone
+            m.renew(None if bins is None else bins[:, :lanes])
+            rows = grid[t : t + RENEW + 2, :lanes]
+            slots = contexts(rows[:-2].view(np.uint32), rows[1:-1].view(np.uint32)) + m.slots[:, None]
+            bins, inside, wide = (a.take(rows[2:]) for a in (o.bin, o.begin, o.size))
+            place = bins * lanes + m.lane
+            edge = m.flat.take(np.stack([place, place + lanes]))
+        x = grid[t + 2, :lanes]
+        m.predict(slots[:, k, :lanes])
+        begin, size = span = m.w0 * edge[:, k, :lanes]
+        span >>= 12
+        size -= begin
+        begin += m.w12
+        hit = m.p == x
+        one, two = sure = hit & (m.w > 0)
+        narrow(m, begin, size, one, two)
+        coder.put(begin.astype(np.int64), size.astype(np.int64))
+        alone, width = inside[k, :lanes], wide[k, :lanes]
+        one |= two
+        np.copyto(alone, 0, where=one)
+        np.copyto(width, _TOTAL, where=one)
+        coder.put(alone, width)
+        m.learn(x, hit)
     return coder.finish()
 
 
+def narrow(m: Model, begin: np.ndarray, size: np.ndarray, one: np.ndarray, two: np.ndarray) -> None:
+    """Instead of order 0's, the ranges of order 1 (one) and of order 2 (two, which goes first)."""
+    np.copyto(begin, m.w[1], where=one)
+    np.copyto(size, m.w[0], where=one)
+    np.copyto(begin, 0, where=two)
+    np.copyto(size, m.w[1], where=two)
+
+
 def decode_blocks(blocks: list[bytes], lengths: np.ndarray, o: Order0) -> np.ndarray:
     """The id numbers of blocks; only the last may be shorter than BLOCK."""
     lanes = len(blocks)
     if not lanes:
         return np.zeros(0, np.int64)
-    grid = np.zeros((BLOCK, lanes), np.int32)
+    grid = np.zeros((BLOCK + 2, lanes), np.int32)
     total, last = lanes, int(lengths[-1])
-    m, coder, by_value = Model(lanes), Decoder(blocks), o.by_value()
+    m, coder, by_value, bins = Model(lanes), Decoder(blocks), o.by_value(), np.zeros((RENEW, lanes), np.int64)
     for t in range(int(lengths.max())):
         if t == last:
             lanes -= 1
             m.shrink(lanes)
-        if m.predict() or t == last:
-            edges = np.ascontiguousarray(m.upto[:, 1:BINS].T.astype(np.uint16))
+        if t % RENEW == 0:
+            m.renew(bins[:, :lanes] if t else None)
+        if t % RENEW == 0 or t == last:
+            edges = m.upto[1:BINS].astype(np.uint16)
+        m.predict(contexts(*grid[t : t + 2, :lanes].view(np.uint32)) + m.slots)
         v = coder.value(lanes)
-        y = v - m.w2 - m.w1
+        y = v - m.w12
         # w0 * edge >> 12 <= y as a test of the edge
-        most = np.clip(((y + 1) * _FINE - 1) // m.w0, -1, _FINE)
-        b = (edges <= np.maximum(most, 0).astype(np.uint16)).sum(0, dtype=np.uint8).astype(np.int64)
-        at = m.lane_upto + b
-        lo = (m.w0 * m.flat.take(at)) >> 12
-        begin, size = (m.w2 + m.w1 + lo).astype(np.int64), (((m.w0 * m.flat.take(at + 1)) >> 12) - lo).astype(np.int64)
-        one, two = np.flatnonzero(y < 0), np.flatnonzero(v < m.w2)
-        begin[one], size[one] = m.w2[one], m.w1[one]
-        begin[two], size[two] = 0, m.w2[two]
-        coder.take(begin, size)
+        most = (y + 1) * float(_FINE)
+        most -= 1
+        most /= m.w0  # of whole numbers this small: never rounded up to the next
+        np.clip(most, 0, _FINE, out=most)
+        b = (edges <= most.astype(np.uint16)).view(np.uint8).sum(0, dtype=np.uint8).astype(np.int64)
+        place = b * lanes + m.lane
+        begin, size = span = m.w0 * m.flat.take(np.stack([place, place + lanes]))
+        span >>= 12
+        size -= begin
+        begin += m.w12
+        one, two = y < 0, v < m.w[1]
+        narrow(m, begin, size, one, two)
+        coder.take(begin.astype(np.int64), size.astype(np.int64))
         u = coder.value(lanes)
-        k = by_value.take(b * _TOTAL + u).astype(np.int32)
-        inner, wide = o.begin.take(k, mode="clip"), o.size.take(k, mode="clip")
-        k[one], k[two] = m.p1[one], m.p2[two]
-        inner[one], wide[one] = 0, _TOTAL
-        coder.take(inner, wide)
-        grid[t, :lanes] = k
-        m.learn(k, o.bin.take(k, mode="clip"))
-    out = grid.T.reshape(-1)
+        u += b << 16
+        k = by_value.take(u).astype(np.int32)
+        inside, wide = o.begin.take(k, mode="clip"), o.size.take(k, mode="clip")
+        np.copyto(k, m.p[0], where=one)
+        np.copyto(k, m.p[1], where=two)
+        np.copyto(inside, 0, where=one)
+        np.copyto(wide, _TOTAL, where=one)
+        coder.take(inside, wide)
+        grid[t + 2, :lanes] = k
+        bins[t % RENEW, :lanes] = o.bin.take(k, mode="clip")
+        m.learn(k, m.p == k)
+    out = grid[2:].T.reshape(-1)
     return out[: (total - 1) * BLOCK + last].astype(np.int64)
 
 
@@ -410,12 +448,21 @@ def default_tokenizer() -> str:
 
 _SEEN = np.zeros(256, bool)
 _SEEN[[*range(33, 127), 0xC3]] = True
+#: Kinds of ASCII characters that the tokenizer's pattern never has in one token: letters, digits, signs.
+_KIND = np.zeros(256, np.uint8)
+_KIND[33:127] = 3
+_KIND[[*range(65, 91), *range(97, 123)]] = 1
+_KIND[48:58] = 2
+#: Bits of a hash that choose its place in the table of parts last met.
+_NEAR = 19
 
 
 class Tokens:
-    """Ids of whole texts. The tokenizer's pattern always parts a text before a single space between two
-    other characters, so the parts between are encoded on their own, each distinct one once, and remembered. A text
-    that holds an added token is encoded as a whole: the tokenizer cuts at these first."""
+    """Ids of whole texts. The pattern of byte-level tokenizers always parts a text before a single space between two
+    other characters, and between a letter, digit or sign and an ASCII one of another kind (but for an apostrophe and a letter, which
+    may be a contraction), so the parts between are encoded on their own, each distinct one once, and remembered. A text
+    that holds an added token is encoded as a whole: the tokenizer cuts at these first. Texts of tokenizers
+    with another pattern, or that normalise, are all encoded as a whole."""
 
     HELD = 1 << 21
 
@@ -425,6 +472,9 @@ class Tokens:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.added = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values() if t.content]
+        how = json.loads(self.tokenizer.to_str())
+        pattern = how["pre_tokenizer"] or {}
+        self.parted = how["normalizer"] is None and pattern.get("type") == "ByteLevel" and pattern["use_regex"] and not pattern["add_prefix_space"]
         # a byte-level piece has a character for each of its bytes
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=False)
         self.length = np.zeros(max(vocabulary.values(), default=0) + 1, np.int64)
@@ -435,6 +485,8 @@ class Tokens:
     def clear(self) -> None:
         self.hash, self.slot = np.zeros(0, np.uint64), np.zeros(0, np.int64)
         self.ids, self.begin = np.zeros(0, np.int32), np.zeros(1, np.int64)
+        self.near_hash, self.near_slot = np.zeros(1 << _NEAR, np.uint64), np.zeros(1 << _NEAR, np.int64)
+        self.near_hash[0] = 2**64 - 1  # a hash whose place is another
 
     def _added_at(self, data: np.ndarray) -> np.ndarray:
         """Where added tokens begin, in order."""
@@ -452,19 +504,8 @@ class Tokens:
         if len(self.hash) > self.HELD:
             self.clear()
         if len(data):
-            # cut only between printable ASCII and letters U+00C0 to U+00FF: other bytes may be of blanks
-            begin = data == 0x20
-            begin[0] = False
-            before = data[:-2]
-            first_ok, tail = _SEEN[data], np.zeros(len(data), bool)
-            tail[1:] = data[:-1] == 0xC3
-            mid = begin[1:-1]
-            mid &= (((before > 32) & (before < 127)) | tail[:-2]) & first_ok[2:]
-            if len(begin) > 1:
-                begin[-1] = False
             added = self._added_at(data)
-            for t in np.unique(np.searchsorted(off, added, "right") - 1).tolist():
-                begin[off[t] : off[t + 1]] = False
+            begin = self._cuts(data, off, added) if self.parted else np.zeros(len(data), bool)
             begin[off[:-1][np.diff(off) > 0]] = True
             s = np.flatnonzero(begin)
             e = np.append(s[1:], len(data))
@@ -482,16 +523,39 @@ class Tokens:
         out[np.repeat(place, times) + inside] = self.ids[np.repeat(self.begin[slot], times) + inside]
         return out, count
 
+    def _cuts(self, data: np.ndarray, off: np.ndarray, added: np.ndarray) -> np.ndarray:
+        """For each byte, whether a part of a text begins at it, but for texts' first bytes."""
+        # cut only between printable ASCII and letters U+00C0 to U+00FF: other bytes may be of blanks
+        begin = data == 0x20
+        begin[0] = False
+        before = data[:-2]
+        first_ok, tail = _SEEN[data], np.zeros(len(data), bool)
+        tail[1:] = data[:-1] == 0xC3
+        mid = begin[1:-1]
+        mid &= (((before > 32) & (before < 127)) | tail[:-2]) & first_ok[2:]
+        if len(begin) > 1:
+            begin[-1] = False
+        kind = _KIND[data]
+        # letters U+00C0 to U+00FF; two signs are among them
+        kind[tail & (data != 0x97) & (data != 0xB7)] = 1
+        own, last = kind[1:], kind[:-1]
+        between = (own != last) & (own != 0) & (last != 0)
+        between &= ~((data[:-1] == 0x27) & (own == 1))
+        begin[1:] |= between
+        for t in np.unique(np.searchsorted(off, added, "right") - 1).tolist():
+            begin[off[t] : off[t + 1]] = False
+        return begin
+
     def _encode(self, data: np.ndarray, s: np.ndarray, e: np.ndarray, added: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of distinct parts, and how many each has. Parts that begin with their space are encoded
+        """The ids of distinct parts, and how many each has. Parts that begin with a space or line feed are encoded
         many at once, one after the other - the tokenizer parts them - and their ids told apart by bytes. Parts
         that hold an added token are encoded each alone, since such a token may not have the bytes it stands for."""
         raw = data.tobytes()
         own = e - s
-        led = (data[s] == 0x20) & (own > 1)
+        led = ((data[s] == 0x20) | (data[s] == 0x0A)) & (own > 1)
         led[led] &= _SEEN[data[s[led] + 1]] & (data[e[led] - 1] > 32) & (data[e[led] - 1] != 0x7F)
         led[led] &= (data[e[led] - 1] < 0x80) | (data[np.maximum(e[led] - 2, 0)] == 0xC3)
-        alone = np.searchsorted(added, e) > np.searchsorted(added, s)
+        alone = np.searchsorted(added, e) > np.searchsorted(added, s) if self.parted else np.ones(len(s), bool)
         led &= ~alone
         order = np.concatenate([np.flatnonzero(led), np.flatnonzero(~led & ~alone), np.flatnonzero(alone)])
         n = int(led.sum())
@@ -516,19 +580,34 @@ class Tokens:
         return flat[at], count
 
     def _slots(self, data: np.ndarray, s: np.ndarray, e: np.ndarray, added: np.ndarray) -> np.ndarray:
-        own, first, place = np.unique(span_hashes(data, s, e), return_index=True, return_inverse=True)
+        """Numbers of the parts. Most are in the table of parts last met; only the others are sorted and looked up."""
+        h = span_hashes(data, s, e)
+        place = (h >> np.uint64(64 - _NEAR)).view(np.int64)
+        out = self.near_slot.take(place)
+        miss = np.flatnonzero(self.near_hash.take(place) != h)
+        if len(miss):
+            own, first, back = np.unique(h[miss], return_index=True, return_inverse=True)
+            first = miss[first]
+            slot = self._stored(own, data, s[first], e[first], added)
+            out[miss] = slot[back]
+            self.near_hash[place[first]], self.near_slot[place[first]] = own, slot
+        return out
+
+    def _stored(self, own: np.ndarray, data: np.ndarray, s: np.ndarray, e: np.ndarray, added: np.ndarray) -> np.ndarray:
+        """Numbers of distinct parts by their hashes, in order; parts not met before are encoded."""
         at = np.minimum(np.searchsorted(self.hash, own), max(len(self.hash) - 1, 0))
         known = self.hash[at] == own if len(self.hash) else np.zeros(len(own), bool)
         new = np.flatnonzero(~known)
-        if len(new):
-            flat, size = self._encode(data, s[first[new]], e[first[new]], added)
-            slots = np.arange(len(new)) + len(self.begin) - 1
-            self.ids = np.concatenate([self.ids, flat])
-            self.begin = np.concatenate([self.begin, self.begin[-1] + np.cumsum(size)])
-            self.hash, self.slot = np.concatenate([self.hash, own[new]]), np.concatenate([self.slot, slots])
-            order = np.argsort(self.hash, kind="stable")
-            self.hash, self.slot = self.hash[order], self.slot[order]
-        return self.slot[np.searchsorted(self.hash, own)][place]
+        if not len(new):
+            return self.slot[at]
+        flat, size = self._encode(data, s[new], e[new], added)
+        slots = np.arange(len(new)) + len(self.begin) - 1
+        self.ids = np.concatenate([self.ids, flat])
+        self.begin = np.concatenate([self.begin, self.begin[-1] + np.cumsum(size)])
+        self.hash, self.slot = np.concatenate([self.hash, own[new]]), np.concatenate([self.slot, slots])
+        order = np.argsort(self.hash, kind="stable")
+        self.hash, self.slot = self.hash[order], self.slot[order]
+        return self.slot[np.searchsorted(self.hash, own)]
 
 
 @functools.lru_cache(1)

@@ -827,6 +827,33 @@ def test_ids_are_the_library_s_with_added_tokens():
     assert 50256 in fresh.encode(texts[0], add_special_tokens=False).ids
 
 
+def whole_texts(tokens, fresh, texts):
+    ids, count = tokens.encode(*text_bytes(pa.array(texts, pa.large_string())), 0)
+    want = [fresh.encode(t or "", add_special_tokens=False).ids + [0] for t in texts]
+    assert count.tolist() == [len(x) for x in want] and ids.tolist() == sum(want, [])
+
+
+def test_ids_are_the_library_s_wherever_texts_are_cut():
+    from tokenizers import Tokenizer
+
+    path = idfiles.default_tokenizer()
+    tokens, fresh, rng = idfiles.Tokens(path), Tokenizer.from_file(path), random.Random(3)
+    bits = ["a", "b", "It", "é", "ß", "×", "÷", "'", "'s", "'ll", "'re", "n't", "'S", "’", "5", "12", "½", "²", "ª", ".", ",", "!!", "_", "-", " ", "  ", "\n", "\n\n", "\t", "\r", "\xa0", "\u3000", "\x85", "\x00", "\x7f", "漢", "Ж", "\u0301", "\u200b", "😀", "<|endoftext|>", "<|"]
+    for _ in range(40):  # later rounds find parts of earlier ones
+        whole_texts(tokens, fresh, ["".join(rng.choices(bits, k=rng.choice([1, 2, 3, 5, 9, 30]))) for _ in range(200)] + ["", None])
+
+
+def test_ids_of_a_tokenizer_that_normalises():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    texts = ["Plain  Words, here", "", None, "e\u0301 It's 12", "Plain  Words, here"]
+    tokens, fresh = idfiles.Tokens(path), Tokenizer.from_file(path)
+    whole_texts(tokens, fresh, texts)
+    whole_texts(tokens, fresh, texts[::-1])
+
+
 @pytest.mark.parametrize("n", [0, 1, 2, idfiles.BLOCK - 1, idfiles.BLOCK, idfiles.BLOCK + 1, 3 * idfiles.BLOCK + 7])
 @pytest.mark.parametrize("kinds", [1, 3, 50_000])
 def test_blocks(n, kinds):
