@@ -267,15 +267,16 @@ def batches(it: Iterator[pa.RecordBatch], column: str = "text", limit: int = PIE
     give_back()
 
 
-def keep_rows(docs: DataFrame, text_col: str, make) -> DataFrame:
+def keep_rows(docs: DataFrame, text_col: str, make, limit: int = PIECE_BYTES) -> DataFrame:
     """The rows of a table whose text is to stay, with all their columns, in one pass without a shuffle.
-    make(): called once a task; gives a function of (texts, bytes, offsets) to a boolean per text."""
+    make(): called once a task; gives a function of (texts, bytes, offsets), at most `limit` bytes of them, to a boolean
+    per text."""
     numbered = docs.toDF(*(f"_{k}" for k in range(len(docs.columns))))
     at = f"_{docs.columns.index(text_col)}"
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keep = make()
-        for batch, data, off in batches(it, at):
+        for batch, data, off in batches(it, at, limit):
             yield batch.filter(pa.array(keep(batch.column(batch.schema.get_field_index(at)), data, off)))
 
     return numbered.mapInArrow(run, numbered.schema).toDF(*docs.columns)

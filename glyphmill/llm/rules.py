@@ -33,6 +33,8 @@ FIT_ROWS = 4096
 MIN_LABELS = 20
 TREES, SUBSAMPLE, SEED = 120, 256, 11
 SCORE_BINS = 1 << 14
+#: Bytes of text measured at once; the arrays over them take some forty times as much.
+AT_ONCE = 2 << 20
 #: Share of the labelled good rows that the threshold may reject.
 GOOD_LOSS = 0.005
 
@@ -232,21 +234,19 @@ def calibrate(forest: Forest, good: np.ndarray, bad: np.ndarray) -> None:
 # ---------------------------------------------------------------- over tables
 
 
-def measure(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", features: bool = True) -> DataFrame:
-    """id, the counts of the rules and (if asked for) the array of features, of every text."""
+def measure(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", forest: Forest | None = None) -> DataFrame:
+    """id, the counts of the rules and the array of features (with a forest: their anomaly) of every text."""
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, data, off in batches(it, "_text"):
+        for batch, data, off in batches(it, "_text", AT_ONCE):
             base, x = statistics(data, off)
             cols = [batch.column(0), *(pa.array(base[c].astype(np.int64)) for c in BASE)]
-            names = ["_id", *BASE]
-            if features:
-                cols.append(pa.ListArray.from_arrays(np.arange(len(x) + 1, dtype=np.int32) * x.shape[1], x.ravel()))
-                names.append("features")
-            yield pa.RecordBatch.from_arrays(cols, names)
+            last = pa.array(forest.score(x)) if forest else pa.ListArray.from_arrays(np.arange(len(x) + 1, dtype=np.int32) * x.shape[1], x.ravel())
+            yield pa.RecordBatch.from_arrays([*cols, last], ["_id", *BASE, name])
 
-    schema = f"_id {kind}, " + ", ".join(f"{c} bigint" for c in BASE) + (", features array<double>" if features else "")
+    name = "anomaly" if forest else "features"
+    schema = f"_id {kind}, " + ", ".join(f"{c} bigint" for c in BASE) + f", {name} {'double' if forest else 'array<double>'}"
     return docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).mapInArrow(run, schema)
 
 
@@ -305,17 +305,8 @@ def base_failed() -> Column:
 
 def scored(docs: DataFrame, forest: Forest | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """_id, the counts and anomaly of every text; without a forest no text is an anomaly."""
-    stats = measure(docs, id_col, text_col)
-    kind = docs.schema[id_col].dataType.simpleString()
-
-    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in it:
-            x = np.asarray(batch.column(6).flatten()).reshape(batch.num_rows, len(FEATURES))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:6], pa.array(forest.score(x))], ["_id", *BASE, "anomaly"])
-
-    if forest is None:
-        return stats.drop("features").withColumn("anomaly", F.lit(0.0))
-    return stats.mapInArrow(run, f"_id {kind}, " + ", ".join(f"{c} bigint" for c in BASE) + ", anomaly double")
+    stats = measure(docs, id_col, text_col, forest)
+    return stats if forest else stats.drop("features").withColumn("anomaly", F.lit(0.0))
 
 
 def verdict(rows: DataFrame, forest: Forest | None, id_col: str = "doc_id") -> DataFrame:
@@ -340,7 +331,7 @@ def keep_good(docs: DataFrame, forest: Forest | None, text_col: str = "text") ->
 
         return keep
 
-    return keep_rows(docs, text_col, make)
+    return keep_rows(docs, text_col, make, AT_ONCE)
 
 
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
