@@ -13,6 +13,7 @@ from .decontaminate import op1_decontaminate
 from .chat import OP3_SQL, op3_chat_format
 from .idfiles import op10_ids
 from .licences import op6_licences
+from .lines import OP12_SQL, op12_lines
 from .neardup import OP4_SQL, op4_neardup
 from .pieces import op8_sentencepiece
 from .privacy import op5_pii
@@ -31,10 +32,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_sentencepiece": op8_sentencepiece,
     "op9_quality": op9_quality,
     "op10_ids": op10_ids,
+    "op12_lines": op12_lines,
 }
 
 ORACLES: dict[str, str] = {
     "op2_substrings": OP2_SQL,
     "op3_chat_format": OP3_SQL,
     "op4_neardup": OP4_SQL,
+    "op12_lines": OP12_SQL,
 }
