@@ -14,8 +14,9 @@ from ..operators import derived as D
 from ..operators import documents as docs
 from ..operators import graph
 from ..operators import structures as S
+from ..operators import trees as trees_op
 from ..operators.properties import Field, Registry, listed, page, union_keys
-from ..sources import files
+from ..sources import files, html
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -390,6 +391,79 @@ def structure_search(spark, sf_dir):
     return out
 
 
+# ------------------------------------------------------------- pages
+
+
+def page_trees(spark, sf_dir) -> DataFrame:
+    return html.page_trees(table(spark, sf_dir, "pages"))
+
+
+_PLAIN = "replace(replace(replace({0}, '&copy;', '©'), '&middot;', '·'), '&amp;', '&')"
+
+
+@query(f"SELECT page_id, CAST(k - 1 AS INTEGER) AS k, {_PLAIN.format('href')} AS href, {_PLAIN.format('text')} AS text FROM (SELECT page_id, unnest(regexp_extract_all(html, '<a href=\"([^\"]*)\">([^<]*)<', 1)) AS href, unnest(regexp_extract_all(html, '<a href=\"([^\"]*)\">([^<]*)<', 2)) AS text, unnest(range(1, len(regexp_extract_all(html, '<a href=')) + 1)) AS k FROM pages)")
+def html_links(spark, sf_dir):
+    return html.links(page_trees(spark, sf_dir))
+
+
+@query(f"SELECT page_id, {_PLAIN.format(chr(34) + 't' + chr(34))} AS title FROM (SELECT page_id, regexp_extract(html, '<title>(.*?)</title>', 1) AS t FROM pages)")
+def html_titles(spark, sf_dir):
+    return html.titles(page_trees(spark, sf_dir))
+
+
+_LAST = "coalesce(len(stack) - nullif(list_position(list_reverse(stack), '{0}'), 0) + 1, 0)"
+_BLOCKS = ", ".join(f"'{b}'" for b in sorted(html.BLOCKS))
+_VOID = ", ".join(f"'{b}'" for b in sorted(html.VOID))
+#: The pages' nodes: a fold over their tags, all pages at once, with the stack of open elements.
+_NODES = rf"""WITH RECURSIVE tags AS (
+  SELECT page_id, regexp_extract_all(lower(regexp_replace(regexp_replace(regexp_replace(html, '<!--.*?-->', '', 'gs'), '(<script[^>]*>).*?</script>', '\1</script>', 'gs'), '(<style[^>]*>).*?</style>', '\1</style>', 'gs')), '</?[a-z][a-z0-9]*') AS tags FROM pages
+), fold AS (
+  SELECT page_id, tags, 0 AS k, CAST([] AS VARCHAR[]) AS stack, CAST(NULL AS VARCHAR) AS label, 0 AS depth FROM tags
+  UNION ALL
+  SELECT page_id, tags, k + 1,
+    CASE WHEN closing THEN CASE WHEN own > 0 THEN stack[:own - 1] ELSE stack END WHEN name IN ({_VOID}) THEN left_ ELSE list_append(left_, name) END,
+    CASE WHEN NOT closing THEN name END, len(left_)
+  FROM (
+    SELECT *, coalesce(len(stack) - nullif(list_position(list_reverse(stack), name), 0) + 1, 0) AS own,
+      CASE WHEN name = 'li' AND {_LAST.format("li")} > greatest({_LAST.format("ul")}, {_LAST.format("ol")}) THEN stack[:{_LAST.format("li")} - 1]
+        WHEN name IN ({_BLOCKS}) AND {_LAST.format("p")} > 0 THEN stack[:{_LAST.format("p")} - 1] ELSE stack END AS left_
+    FROM (SELECT page_id, tags, k, stack, tags[k + 1] LIKE '</%' AS closing, ltrim(tags[k + 1], '</') AS name FROM fold WHERE k < len(tags))
+  )
+), pre AS (
+  SELECT page_id, row_number() OVER (PARTITION BY page_id ORDER BY k) - 1 AS pre, label, depth, count(*) OVER (PARTITION BY page_id) AS n FROM fold WHERE label IS NOT NULL
+), node AS (
+  SELECT *, coalesce((SELECT min(b.pre) FROM pre b WHERE b.page_id = a.page_id AND b.pre > a.pre AND b.depth <= a.depth), n) AS e FROM pre a
+), signed AS (
+  SELECT a.page_id, a.pre, a.e, a.n, a.label, string_agg((b.depth - a.depth) || b.label, ' ' ORDER BY b.pre) AS sig
+  FROM node a JOIN node b ON a.page_id = b.page_id AND b.pre >= a.pre AND b.pre < a.e GROUP BY ALL
+)"""
+_PATTERNS = {"left open": "p b br", "twins": "ｘ ｘ", "begin": "§ html ？ body ？ ？ article h1 ｘ ｘ", "end": "footer §", "five": "ul ？ ？ ？ ？ ？ div"}
+
+
+def _then(k: int, label: str | None, after: str, extra: str = "") -> str:
+    """A join of one more node of a pattern in SQL."""
+    return f" JOIN signed s{k} ON s{k}.page_id = s0.page_id AND s{k}.pre = {after}" + (f" AND s{k}.label = '{label}'" if label else "") + extra
+
+
+@query(
+    _NODES + ", found AS (SELECT s0.page_id, 'left open' AS pattern FROM signed s0" + _then(1, "b", "s0.pre + 1") + _then(2, "br", "s1.pre + 1") + " WHERE s0.label = 'p'"
+    + " UNION ALL SELECT s0.page_id, 'twins' FROM signed s0" + _then(1, None, "s0.e", " AND s1.sig = s0.sig")
+    + " UNION ALL SELECT s0.page_id, 'begin' FROM signed s0" + _then(1, None, "s0.pre + 1") + _then(2, "body", "s1.e") + _then(3, None, "s2.pre + 1") + _then(4, None, "s3.e") + _then(5, "article", "s4.e") + _then(6, "h1", "s5.pre + 1") + _then(7, None, "s6.pre + 1") + _then(8, None, "s7.e", " AND s8.sig = s7.sig") + " WHERE s0.label = 'html' AND s0.pre = 0"
+    + " UNION ALL SELECT s0.page_id, 'end' FROM signed s0 WHERE s0.label = 'footer' AND s0.pre + 1 = s0.n"
+    + " UNION ALL SELECT s0.page_id, 'five' FROM signed s0" + "".join(_then(k, None, "s0.pre + 1" if k == 1 else f"s{k - 1}.e") for k in range(1, 6)) + _then(6, "div", "s5.e") + " WHERE s0.label = 'ul'"
+    + ") SELECT page_id, pattern, count(*) AS n FROM found GROUP BY ALL"
+)
+def tree_match(spark, sf_dir):
+    """Patterns with labels, wildcards, variables and anchors, over the trees of all pages."""
+    return trees_op.tree_match(page_trees(spark, sf_dir), {n: p.split(" ") for n, p in _PATTERNS.items()}, "page_id")
+
+
+@query(_NODES + " SELECT CAST(size AS BIGINT) AS size, n, trees, count(*) AS kinds FROM (SELECT sig, any_value(e - pre) AS size, count(*) AS n, count(DISTINCT page_id) AS trees FROM signed GROUP BY sig) GROUP BY ALL")
+def shared_subtrees(spark, sf_dir):
+    """The distinct subtrees of all pages, by size and how often they are there."""
+    return trees_op.shared_subtrees(page_trees(spark, sf_dir), "page_id").groupBy("size", "n", "trees").agg(F.count("*").alias("kinds"))
+
+
 # ------------------------------------------------------------- graph
 
 _RELS = "SELECT p_partkey AS c1, (p_partkey * 7 + p_size) % 2000 AS c2, p_type AS r FROM part"
