@@ -146,7 +146,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         new = np.ones(len(h), bool)
         new[1:] = h[1:] != h[:-1]
         first = np.flatnonzero(new)
-        last = np.append(first[1:], len(h)) - 1
+        last = np.append(first[1:], len(h))[: len(first)] - 1
         at = (h[first] >> np.uint64(32)).astype(np.int64) * ranges >> 32
         block = table.column("_block")[0].as_py()
         return pa.table({"_range": pa.array(at, pa.int32()), "_block": pa.array(np.full(len(first), block), pa.int32()), "h": h[first].view(np.int64), "again": doc[first] != doc[last]})

@@ -211,17 +211,15 @@ def near_in_groups(group: np.ndarray, chars: np.ndarray, first: np.ndarray) -> t
     return tuple(np.concatenate([f[k] for f in found]) if found else none[k] for k in range(3))
 
 
-def _halves(c: str = "") -> list:
-    """The two parts that a word goes into, between what its part shares in front (lo) and behind (hi)."""
-    m, lo, hi = (F.col(c + x) for x in ("m", "lo", "hi"))
-    mid = F.floor((lo + m - hi) / 2).cast("int")
-    return [F.struct(m.alias("m"), lo.alias("lo"), (m - mid).alias("hi")), F.struct(m.alias("m"), mid.alias("lo"), hi.alias("hi"))]
-
-
 def _parts(rows: DataFrame) -> DataFrame:
-    """Rows (word, n, m, lo, hi) halved, with the texts that their words share."""
-    halves = rows.select("word", "n", F.explode(F.array(*_halves())).alias("x")).select("word", "n", "x.*")
-    return halves.select("*", F.expr("left(word, lo)").alias("front"), F.expr("right(word, hi)").alias("back"))
+    """Rows (word, n, m, lo, hi), each halved between what its part shares in front (lo) and behind (hi) unless but one place
+    is left for the edit, with the texts that the new parts share."""
+    m, lo, hi = (F.col(c) for c in ("m", "lo", "hi"))
+    mid = F.floor((lo + m - hi) / 2).cast("int")
+    part = lambda a, b: F.struct(m.alias("m"), a.alias("lo"), b.alias("hi"))
+    halves = F.when(m - lo - hi > 1, F.array(part(lo, m - mid), part(mid, hi))).otherwise(F.array(part(lo, hi)))
+    out = rows.select("word", "n", F.explode(halves).alias("x")).select("word", "n", "x.*")
+    return out.select("*", F.expr("left(word, lo)").alias("front"), F.expr("right(word, hi)").alias("back"))
 
 
 def near_words(words: DataFrame, scratch: Scratch, part_words: int = PART_WORDS, task_words: int = TASK_WORDS) -> DataFrame:
