@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.shared import cut
+from .bitmaps import dense_numbers
 
 # Relations along which a search does not go on.
 WEAK = (
@@ -79,6 +80,45 @@ def variants(rels: DataFrame, seeds: DataFrame | Sequence, weak: Column | None =
     return a.unionByName(b).join(pairs, ["c1", "c2"]).select("c1", "c2", "r", "f")
 
 
+#: Seeds in a word of bits; the sign bit is left alone.
+SEED_BITS = 63
+
+
+def strong_ends(rels: DataFrame, weak: Column | None = None) -> DataFrame:
+    """(c, to): both ways round, the pairs with a strong relation."""
+    strong = ~weak if weak is not None else is_strong(F.col("r"))
+    pairs = rels.where(strong).select(F.col("c1").alias("c"), F.col("c2").alias("to"))
+    return pairs.union(pairs.select("to", "c")).where("c <> to").distinct()
+
+
+def reach(rels: DataFrame, seeds: DataFrame, weak: Column | None = None) -> DataFrame:
+    """(seed, c): for each of many seeds, all that it reaches through strong pairs, itself included.
+
+    Seeds are bits: a row (c, word, bits) says which of a word's SEED_BITS seeds have reached c, so a round moves all seeds at once. A round
+    joins the bits that are new to the pairs and merges what meets by `bit_or`, in each task before anything is moved; only bits
+    that an end didn't have yet go on. Rounds are as many as the longest of the shortest ways."""
+    numbered = dense_numbers(seeds.toDF("r")).select(F.col("r").alias("seed"), "id")
+    bits = reach_bits(rels, numbered, weak)
+    each = bits.select("c", "word", F.explode(F.expr(f"filter(sequence(0, {SEED_BITS - 1}), k -> (shiftright(bits, k) & 1L) = 1L)")).alias("k"))
+    return each.join(numbered, F.col("word") * SEED_BITS + F.col("k") == F.col("id")).select("seed", "c")
+
+
+def reach_bits(rels: DataFrame, numbered: DataFrame, weak: Column | None = None) -> DataFrame:
+    """(c, word, bits) of seeds with dense numbers (seed, id)."""
+    ends = cut(strong_ends(rels, weak))
+    bit = F.expr(f"shiftleft(1L, cast(id % {SEED_BITS} as int))")
+    front = cut(numbered.groupBy(F.col("seed").alias("c"), F.call_function("div", F.col("id"), F.lit(SEED_BITS)).alias("word")).agg(F.bit_or(bit).alias("bits")))
+    seen = front
+    while True:
+        met = front.join(ends, "c").groupBy(F.col("to").alias("c"), "word").agg(F.bit_or("bits").alias("bits"))
+        old = seen.withColumnRenamed("bits", "old")
+        new = met.join(old, ["c", "word"], "left").select("c", "word", F.col("bits").bitwiseAND(F.bitwise_not(F.coalesce("old", F.lit(0).cast("long")))).alias("bits"))
+        front = cut(new.where("bits <> 0"))
+        if front.isEmpty():
+            return seen
+        seen = cut(seen.union(front).groupBy("c", "word").agg(F.bit_or("bits").alias("bits")))
+
+
 def mermaid(rows: Sequence[tuple[str, str, str, int]], seeds: Sequence[str] = ()) -> str:
     """A flow chart of variant rows: each pair once whichever way round, weak relations dashed."""
     lines, named, drawn = ["graph LR"], {}, set()

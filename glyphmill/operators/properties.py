@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import exprs as X
+from . import bitmaps
 
 Catalog = Mapping[str, DataFrame]
 RANGES: dict[str, Callable[[Column, Column], Column]] = {
@@ -71,8 +72,9 @@ class Field:
         df = tables[self.table]
         return df.where(self.only()) if self.only else df
 
-    def test(self, op: str, q: str) -> Column:
-        v = F.col(self.value)
+    def test(self, op: str, q: str, v: Column | None = None) -> Column:
+        """Whether a value (else that of the field's column) meets the operation."""
+        v = F.col(self.value) if v is None else v
         if op == "has":
             return v.isNotNull() if self.kind != "category" else F.lit(True)
         if op == "glob":
@@ -106,6 +108,7 @@ class Registry:
 
     def __init__(self, fields: Sequence[Field], universe: tuple[str, str] = ("ids", "UCS"), unions: Mapping[str, tuple[str, str]] | None = None, code_key: str | None = "UCS"):
         self.keys: dict[str, Callable[[Catalog, str], DataFrame]] = {}
+        self.fields = {f.name: f for f in fields}
         self.universe_at = universe
         if code_key:
             self.keys[code_key] = self._code
@@ -152,6 +155,28 @@ class Registry:
             out = out.join(s, "r", "left_semi")
         return out.orderBy("r")
 
+    def bitmaps(self, tables: Catalog) -> tuple[DataFrame, DataFrame]:
+        """The universe's dense numbers, and the bitmaps of all fields' values, for `search_bitmaps`."""
+        numbers = bitmaps.dense_numbers(self.universe(tables))
+        return numbers, bitmaps.bitmaps(numbers, {n: f.rows(tables).select(F.col(f.char).alias("r"), F.col(f.value).alias("value")) for n, f in self.fields.items()})
+
+    def condition(self, key: str, q: str) -> bitmaps.Condition:
+        """A key's field, the test of its values as text, and whether the complement is asked for."""
+        no = next(((end, base) for end, base in (("notHas", "has"), ("notGlob", "glob"), ("ne", "")) if key.endswith(f".{end}")), None)
+        bare = key[: -len(no[0]) - 1] + (no[1] and f".{no[1]}") if no else key
+        bare = bare[:-3] if bare.endswith(".eq") and bare[:-3] in self.keys else bare
+        name, _, op = (bare, "", "") if bare in self.fields else bare.rpartition(".")
+        if name not in self.fields or (op and op not in self.fields[name].ops):
+            raise UnknownKey(f"Unknown query key: {key}")
+        f = self.fields[name]
+        return name, lambda v: f.test(op, q, v.try_cast("double") if f.kind == "number" else v), no is not None
+
+    def search_bitmaps(self, numbers: DataFrame, maps: DataFrame, keys: Sequence[str], values: Sequence[str]) -> DataFrame:
+        """As `search`, of the universe's members, from bitmaps: one read of the keys' bitmaps, whatever their number."""
+        if not keys or len(keys) != len(values):
+            raise ValueError("as many values as keys, one at least, are needed")
+        return bitmaps.members(numbers, bitmaps.combine(maps, [self.condition(k, q) for k, q in zip(keys, values, strict=True)])).orderBy("r")
+
     def filter_chars(self, chars: DataFrame, tables: Catalog, keys: Sequence[str], values: Sequence[str]) -> DataFrame:
         """Rows of (pos, r) for which all keys hold; order and repeats stay."""
         for k, q in zip(keys, values, strict=True):

@@ -10,13 +10,14 @@ from pyspark.sql import functions as F
 
 from ..functions import exprs as X
 from ..functions.shared import cut, shared_folder
+from ..operators import bitmaps
 from ..operators import derived as D
 from ..operators import documents as docs
-from ..operators import graph
+from ..operators import grams, graph, phrases
 from ..operators import structures as S
 from ..operators import trees as trees_op
 from ..operators.properties import Field, Registry, listed, page, union_keys
-from ..sources import files, html
+from ..sources import files, html, ranges
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -391,6 +392,125 @@ def structure_search(spark, sf_dir):
     return out
 
 
+# ------------------------------------------------------------- stored indexes of words, grams and values, stores in ranges
+
+_stored: dict[tuple[str, str, str], object] = {}
+
+
+def stored(spark: SparkSession, sf_dir: str, name: str, make: Callable[[str], object]):
+    """What is made in a folder at its first use in a session, as an index is."""
+    key = spark.sparkContext.applicationId, sf_dir, name
+    if key not in _stored:
+        _stored[key] = make(f"{shared_folder(spark)}/glyphmill-{name}-{uuid.uuid4().hex}")
+    return _stored[key]
+
+
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+_WORDS = rf"regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\x20\x09-\x0D]+')"
+_PHRASES = ["of the", "the ？ of", "and the of", "de la", "the the", "in ？ ？ the", "der", "no such phrase"]
+
+
+def word_places(spark, sf_dir) -> DataFrame:
+    docs_ = table(spark, sf_dir, "documents")
+    return stored(spark, sf_dir, "places", lambda folder: phrases.write_blocks(phrases.place_blocks(docs_, phrases.words_of(F.col("text"))), folder))
+
+
+def _phrase_sql(p: str) -> str:
+    tests = [f"{'word' if k == 0 else f'w{k}'} = '{w}'" for k, w in enumerate(p.split(" ")) if w != "？"]
+    return f"SELECT '{p}' AS phrase, doc_id, count(*) AS n FROM n WHERE {' AND '.join(tests)} GROUP BY doc_id"
+
+
+@query(f"WITH k AS (SELECT doc_id, unnest({_WORDS}) AS word, unnest(range(len({_WORDS}))) AS k FROM documents), n AS (SELECT doc_id, word, {', '.join(f'lead(word, {k}) OVER o AS w{k}' for k in (1, 2, 3))} FROM k WINDOW o AS (PARTITION BY doc_id ORDER BY k)) " + " UNION ALL ".join(_phrase_sql(p) for p in _PHRASES))
+def phrase_documents(spark, sf_dir):
+    """Phrases of the words of all documents, from the stored places alone."""
+    return phrases.phrase_documents(word_places(spark, sf_dir), [p.split(" ") for p in _PHRASES])
+
+
+@query(
+    f"WITH k AS (SELECT DISTINCT doc_id, unnest({_WORDS}) AS word FROM documents), b AS (SELECT DISTINCT word, CAST(floor(doc_id / {phrases.RANGE_DOCS}.0) AS BIGINT) AS range FROM k), p AS (SELECT * FROM (VALUES "
+    + ", ".join(f"('{p}', '{w}')" for p in _PHRASES for w in sorted({*p.split(' ')} - {'？'}))
+    + ") AS v(phrase, word)), m AS (SELECT phrase, count(*) AS words FROM p GROUP BY phrase), o AS (SELECT phrase, count(range) AS opened FROM p LEFT JOIN b USING (word) GROUP BY phrase), "
+    "r AS (SELECT phrase, range, count(*) AS c FROM p JOIN b USING (word) GROUP BY phrase, range) "
+    "SELECT phrase, opened, CAST(coalesce((SELECT sum(c) FROM r WHERE r.phrase = m.phrase AND c = words), 0) AS BIGINT) AS met, (SELECT count(*) FROM b) AS blocks FROM m JOIN o USING (phrase)"
+)
+def phrase_blocks_read(spark, sf_dir):
+    """How many blocks each phrase opens, of how many."""
+    return phrases.blocks_read(word_places(spark, sf_dir), [p.split(" ") for p in _PHRASES])
+
+
+def _distinct_words(docs_: DataFrame) -> DataFrame:
+    return docs_.select(F.explode(phrases.words_of(F.col("text"))).alias("value"))
+
+
+_WORD_GLOBS = {"*th?r*": "th.r", "an*ing": "^an.*ing$", "*[xyz]e?": "[xyz]e.$", "*qu*s": "qu.*s$", "t?e": "^t.e$", "[^a-z]*[0-9]": "^[^a-z].*[0-9]$", "*": "", "*x?yz*": "x.yz"}
+_URL_GLOBS = {"*/e?/*7*": "/e./.*7", "http://*.example.net/*": "^http://.*\\.example\\.net/", "*[?]ref=x": "[?]ref=x$", "*x?yz*": "x.yz", "*m?l*m*": "m.l.*m"}
+
+
+def _globs(spark, sf_dir, name: str, values: Callable[[], DataFrame], patterns) -> DataFrame:
+    index = stored(spark, sf_dir, name, lambda folder: grams.write_grams(grams.gram_rows(values()), folder))
+    out = None
+    for p in patterns:
+        own = grams.glob_values(index, p).select(F.lit(p).alias("pattern"), "value")
+        out = own if out is None else out.unionByName(own)
+    return out
+
+
+@query(f"WITH v AS (SELECT DISTINCT unnest({_WORDS}) AS value FROM documents) " + " UNION ALL ".join(f"SELECT '{p}' AS pattern, value FROM v WHERE regexp_matches(value, '{r}', 's')" for p, r in _WORD_GLOBS.items()))
+def glob_words(spark, sf_dir):
+    """Shell patterns over the distinct words of all documents, by their grams."""
+    return _globs(spark, sf_dir, "word-grams", lambda: _distinct_words(table(spark, sf_dir, "documents")), _WORD_GLOBS)
+
+
+@query("WITH v AS (SELECT DISTINCT url AS value FROM pages) " + " UNION ALL ".join(f"SELECT '{p}' AS pattern, value FROM v WHERE regexp_matches(value, '{r}', 's')" for p, r in _URL_GLOBS.items()))
+def glob_urls(spark, sf_dir):
+    """Shell patterns over the addresses of all pages, by their grams."""
+    return _globs(spark, sf_dir, "url-grams", lambda: table(spark, sf_dir, "pages").select(F.col("url").alias("value")), _URL_GLOBS)
+
+
+def part_bitmaps(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    def make(folder: str):
+        numbers, maps = PARTS.bitmaps(tables(spark, sf_dir, "part"))
+        return numbers, bitmaps.write_bitmaps(maps, folder)
+
+    return stored(spark, sf_dir, "part-bitmaps", make)
+
+
+@query("SELECT p_partkey AS r FROM part WHERE p_size >= 25 AND p_type <> 'SMALL' AND list_contains(string_split(p_name, ' '), 'ring')")
+def search_bitmaps(spark, sf_dir):
+    """The same search as search_mixed, by bit operations."""
+    return PARTS.search_bitmaps(*part_bitmaps(spark, sf_dir), ["size.ge", "type.ne", "name"], ["25", "SMALL", "ring"])
+
+
+@query("SELECT CAST(count(*) AS BIGINT) AS n FROM part WHERE NOT p_size < 10 AND NOT regexp_matches(p_brand, '^Brand#[12].$') AND p_name IS NOT NULL")
+def count_bitmaps(spark, sf_dir):
+    """How many members complements and others meet, without naming any."""
+    _, maps = part_bitmaps(spark, sf_dir)
+    asked = [PARTS.condition(k, q) for k, q in (("size.lt.ne", "10"), ("brand.notGlob", "Brand#[12]?"), ("name.has", ""))]
+    return bitmaps.count(bitmaps.combine(maps, asked))
+
+
+#: Rows in a range here, so that small tables have many ranges, too.
+_RANGE_ROWS = 2000
+
+
+@query("SELECT l_orderkey, l_linenumber, l_partkey, l_quantity FROM lineitem ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey LIMIT 40 OFFSET 54321")
+def page_by_rank(spark, sf_dir):
+    """A page far into a table, from the range that holds it."""
+    key = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
+    store = stored(spark, sf_dir, "lineitem", lambda folder: ranges.build_ranges(table(spark, sf_dir, "lineitem"), key, folder, _RANGE_ROWS))
+    return store.page(54_321, 40).select("l_orderkey", "l_linenumber", "l_partkey", "l_quantity")
+
+
+@query("SELECT doc_id, sha256(CASE WHEN doc_id % 100 = 7 THEN coalesce(text, '') || ' changed' ELSE text END) AS sha256 FROM documents")
+def updated_ranges(spark, sf_dir):
+    """A store of all documents after one in a hundred changed: only their ranges are written again."""
+    d = table(spark, sf_dir, "documents").select("doc_id", "text")
+    first = stored(spark, sf_dir, "documents", lambda folder: ranges.build_ranges(d, ["doc_id"], folder, 50))
+    changed = d.withColumn("text", F.when(F.col("doc_id") % 100 == 7, F.concat(F.coalesce("text", F.lit("")), F.lit(" changed"))).otherwise(F.col("text")))
+    store = stored(spark, sf_dir, "documents-2", lambda _: ranges.update_ranges(first, changed)[0])
+    return store.read().select("doc_id", F.sha2("text", 256).alias("sha256"))
+
+
 # ------------------------------------------------------------- pages
 
 
@@ -479,6 +599,18 @@ def variants_bfs(spark, sf_dir):
     return graph.variants(rels, spark.range(1, 21), weak=F.col("r") == "ECONOMY")
 
 
+@query(
+    f"WITH RECURSIVE e AS ({_RELS}), s AS (SELECT c1 AS a, c2 AS b FROM e WHERE r <> 'ECONOMY' UNION SELECT c2, c1 FROM e WHERE r <> 'ECONOMY'), "
+    "g(seed, n) AS (SELECT p_partkey, p_partkey FROM part UNION SELECT g.seed, s.b FROM g JOIN s ON s.a = g.n) "
+    "SELECT seed, count(*) AS n, CAST(sum(n) AS BIGINT) AS total FROM g GROUP BY seed"
+)
+def reach_of_each(spark, sf_dir):
+    """What each part reaches, all at once: how many, and their sum."""
+    rels = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("c1"), ((F.col("p_partkey") * 7 + F.col("p_size")) % 2000).alias("c2"), F.col("p_type").alias("r"))
+    found = graph.reach(rels, table(spark, sf_dir, "part").select("p_partkey"), weak=F.col("r") == "ECONOMY")
+    return found.groupBy("seed").agg(F.count("*").alias("n"), F.sum("c").alias("total"))
+
+
 @query("SELECT * FROM (VALUES ('A', 'B', 'strong-ab', 1), ('A', 'X', 'cjkvi/non-cognate', 0), ('B', 'C', 'strong-bc', 1), ('C', 'Y', 'kStrange_I', 0)) AS v(c1, c2, r, f)")
 def variants_labels(spark, sf_dir):
     e = spark.createDataFrame([("A", "B", "strong-ab"), ("A", "X", "cjkvi/non-cognate"), ("B", "C", "strong-bc"), ("C", "Y", "kStrange_I"), ("Y", "Z", "strong"), ("A", None, "dropped")], "c1 string, c2 string, r string")
