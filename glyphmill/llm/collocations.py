@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .brown import squeeze, unsqueeze
-from .common import LOWER, Scratch, batches, give_back, giving_back, mix, read_table, shares
+from .common import LOWER, Scratch, batches, give_back, giving_back, mix, read_table, shares, spread
 from .exchange import Exchange, at_least, combined, messages, replies_to, unmix, unpack_numbers, unpack_sorted
 
 LEAST, TOP, MILLION = 10, 2000, 1_000_000
@@ -43,6 +43,8 @@ LEAST, TOP, MILLION = 10, 2000, 1_000_000
 COVERED = 50
 #: Bytes of text coded together; and for each bucket of phrases, and each stored part of the pieces.
 PIECE_BYTES, BUCKET_BYTES, PART_BYTES = 8 << 20, 16 << 20, 32 << 20
+#: Parts of a language's candidates.
+SALTS = 64
 #: Bytes of text whose words are found together.
 TOKEN_BYTES = 2 << 20
 _MARK = np.zeros(256, bool)
@@ -244,11 +246,12 @@ def collocations(docs: DataFrame, lang_col: str = "lang", text_col: str = "text"
 
     asked = pieces.groupBy("piece").cogroup(replies.groupBy("_unit")).applyInArrow(ask_triples, "_bucket int, _unit bigint, keys binary, low binary, vals binary")
     _, longer = exchange.run(asked, scratch, "triples", bits=False, totals=True)
-    return ranked(scratch.put(unpacked(found, 2), "found-2"), scratch.put(unpacked(longer, 3), "found-3"), words, sizes, top)
+    scored = candidates(scratch.put(unpacked(found, 2), "found-2"), scratch.put(unpacked(longer, 3), "found-3"), words)
+    return ranked(scratch.put(scored, "scored"), sizes, top)
 
 
-def ranked(pairs: DataFrame, triples: DataFrame, words: DataFrame, sizes: DataFrame, top: int) -> DataFrame:
-    """The best of the frequent pairs (w0, w1, f) and triples (w0, w1, w2, f)."""
+def candidates(pairs: DataFrame, triples: DataFrame, words: DataFrame) -> DataFrame:
+    """lang, phrase, a, l, r, score of the frequent pairs (w0, w1, f) and triples (w0, w1, w2, f) that no longer one covers."""
     word = {k: words.select(F.col("id").alias(f"w{k}"), F.col("word").alias(f"word{k}"), F.col("n").alias(f"n{k}"), F.col("lang").alias(f"lang{k}")) for k in range(3)}
     f = F.col("f")
     # of the triples that hold a pair, the most frequent
@@ -265,9 +268,21 @@ def ranked(pairs: DataFrame, triples: DataFrame, words: DataFrame, sizes: DataFr
     one, other = _score(f, F.col("n0"), F.col("f12")), _score(f, F.col("f01"), F.col("n2"))
     cut = F.when(other < one, F.struct(F.col("f01").alias("l"), F.col("n2").alias("r"), other.alias("score"))).otherwise(F.struct(F.col("n0").alias("l"), F.col("f12").alias("r"), one.alias("score")))
     three = cuts.select(F.col("lang0").alias("lang"), F.concat_ws(" ", "word0", "word1", "word2").alias("phrase"), f.alias("a"), cut.alias("x")).select("lang", "phrase", "a", "x.l", "x.r", "x.score")
+    return two.unionByName(three)
+
+
+def ranked(scored: DataFrame, sizes: DataFrame, top: int) -> DataFrame:
+    """Each language's `top` best. Counts by the score's power of two tell first from where on scores matter, so that
+    no task gets more of a language than that; each language's row is there once a salt, so its candidates meet it in many tasks."""
+    level = F.floor(F.log2(F.col("score") + 1) * 8).cast("int")
+    counts = scored.groupBy("lang", level.alias("level")).agg(F.count("*").alias("m"))
+    above = F.sum("m").over(Window.partitionBy("lang").orderBy(F.desc("level"))) - F.col("m")
+    least = counts.withColumn("above", above).where(F.col("above") < top).groupBy("lang").agg(F.min("level").alias("least"))
+    least = least.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    near = scored.withColumn("salt", spread(SALTS, "phrase")).join(least, ["lang", "salt"]).where(level >= F.col("least"))
     order = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
-    best = two.unionByName(three).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
-    return best.join(F.broadcast(sizes), "lang").select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score")
+    best = near.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
+    return best.join(sizes, "lang").select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score")
 
 
 def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
