@@ -4,13 +4,14 @@
 forest gives the expected path length over random splits, and texts whose anomaly score is above a
 threshold are rejected too. The forest is grown on labelled rows of quality 1 among at most FIT_ROWS labelled rows,
 those with the smallest hash of the id. The threshold is set on the scores of all labelled rows: counts of good and
-bad ones in SCORE_BINS bins of the score, so much and no more comes to the driver. Everything else covers every row.
+bad ones in SCORE_BINS bins of the score, so much and no more comes to the driver. With fewer than FEW_BAD bad rows the good
+ones alone tell where GOOD_LOSS of them are beyond, also, by their tail, when they are too few for one to be; bad rows may
+only lower that, within the same loss. Everything else covers every row.
 
 Cases: null and empty texts have no words and are rejected by the rules; rows with a null id are
 judged like others; repeated rows give one result each, and count once as labelled rows, by their least score; ids
-that aren't whole numbers have no labels; with fewer than MIN_LABELS labelled rows of
-either kind in the sample the forest rejects nothing; an empty table gives an empty result; only the named columns
-are read, so others may have any name.
+that aren't whole numbers have no labels; with fewer than two good labelled rows there is nothing to grow a forest on, and
+the rules alone judge; an empty table gives an empty result; only the named columns are read, so others may have any name.
 """
 
 from __future__ import annotations
@@ -30,7 +31,8 @@ WINDOW = 5
 MIN_WORDS = 10
 REPEAT_SHARE = 0.20
 FIT_ROWS = 4096
-MIN_LABELS = 20
+#: Bad rows from which on they have a say in the threshold.
+FEW_BAD = 20
 TREES, SUBSAMPLE, SEED = 120, 256, 11
 SCORE_BINS = 1 << 14
 #: Bytes of text measured at once; the arrays over them take some forty times as much.
@@ -219,16 +221,33 @@ def score_bin(score: np.ndarray) -> np.ndarray:
     return np.clip(np.ceil(score * SCORE_BINS) - 1, 0, SCORE_BINS - 1).astype(np.int64)
 
 
+def tail_cut(good: np.ndarray) -> float:
+    """The score that GOOD_LOSS of the good rows are beyond, from counts by bin. Rows too few for that give the median and how far the scores
+    above it are over it on average (at least what so few rows leave open), and an exponential tail of that mean the rest."""
+    n, top = int(good.sum()), (np.arange(SCORE_BINS) + 1) / SCORE_BINS
+    beyond = n - np.cumsum(good)
+    if GOOD_LOSS * n >= 1:
+        return float(top[np.flatnonzero(beyond <= GOOD_LOSS * n)[0]])
+    middle = top[np.flatnonzero(2 * beyond <= n)[0]]
+    over = np.where(top > middle, good, 0)
+    mean = float((over * (top - middle)).sum() / max(int(over.sum()), 1))
+    return float(middle + max(mean, (1 - middle) / (n + 1)) * math.log(0.5 / GOOD_LOSS))
+
+
 def calibrate(forest: Forest, good: np.ndarray, bad: np.ndarray) -> None:
     """From counts by bin, the cut that parts bad from good rows best (share of bad rows found less share of good rows
-    lost) while it loses at most GOOD_LOSS of the good; of equal cuts the middle of the widest gap."""
+    lost) while it loses at most GOOD_LOSS of the good; of equal cuts the middle of the widest gap. Few bad rows can only lower the
+    cut that the good ones' tail gives."""
+    forest.threshold = tail_cut(good) if bad.sum() < FEW_BAD and good.any() else math.inf
+    if not bad.any():
+        return
     lost, found = (1 - np.cumsum(x) / max(int(x.sum()), 1) for x in (good, bad))
     last = int(np.flatnonzero(good + bad)[-1])  # a cut beyond all rows is like one at the last
     worth = np.where(lost <= GOOD_LOSS, np.round(found - lost, 9), -np.inf)[: last + 1]
     best = np.flatnonzero(worth == worth.max())
     runs = np.split(best, np.flatnonzero(np.diff(best) > 1) + 1)
     widest = max(runs, key=len)
-    forest.threshold = float((widest[len(widest) // 2] + 1) / SCORE_BINS)
+    forest.threshold = min(forest.threshold, float((widest[len(widest) // 2] + 1) / SCORE_BINS))
 
 
 # ---------------------------------------------------------------- over tables
@@ -251,7 +270,7 @@ def measure(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", for
 
 
 def grown(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", rows: int = FIT_ROWS) -> Forest | None:
-    """A forest of the good texts among at most `rows` labelled ones; None with too few labels."""
+    """A forest of the good texts among at most `rows` labelled ones; None with fewer than two."""
     chosen = quality_of(labels).orderBy(F.xxhash64("_label"), "_label").limit(rows).collect()  # bounded by `rows`
     if not chosen:
         return None
@@ -265,9 +284,7 @@ def grown(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     got = [r for r in got if not base_fails(r.x.n_words, r.x.n_repeat_words)]
     x = np.array([r.x.features for r in got], float).reshape(len(got), len(FEATURES))
     good = np.array([good_by_id[int(r._id)] == 1 for r in got], bool)
-    if good.sum() < MIN_LABELS or (~good).sum() < MIN_LABELS:
-        return None
-    return grow(x[good])
+    return grow(x[good]) if good.sum() >= 2 else None
 
 
 def quality_of(labels: DataFrame) -> DataFrame:
@@ -290,7 +307,7 @@ def set_threshold(forest: Forest, scored: DataFrame, labels: DataFrame) -> Fores
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", rows: int = FIT_ROWS) -> Forest | None:
-    """A forest with its threshold; None with too few labels."""
+    """A forest with its threshold; None with fewer than two good labelled rows."""
     forest = grown(docs, labels, id_col, text_col, rows)
     return forest and set_threshold(forest, scored(docs, forest, id_col, text_col), labels)
 
