@@ -2,7 +2,7 @@
 
 P(word | before) = P(class of word | class before) * P(word | class of word). The classes come from the
 exchange algorithm: a word moves to the class that raises the training likelihood most. All words of the training
-texts take part, and exchange goes on until a sweep over all of them gains less than SETTLED nats a token:
+texts take part, and exchange goes on until no word moves or a sweep over all of them gains nothing:
 
 1. The HEAD most frequent words (a parameter) are first exchanged among themselves on the driver, one after the other and until
    none moves, from their bigram counts over the whole training corpus; all other words stand as one.
@@ -10,7 +10,8 @@ texts take part, and exchange goes on until a sweep over all of them gains less
    its places, and the bigrams of classes. Head words are exchanged as before, now with all neighbours by class (HEAD x 2
    CLASSES counts come to the driver); the others in buckets, each by its own counts against the class counts of the
    round. Words that move at once don't see each other, so a round after the first moves the words of every other bucket
-   only, and two rounds make a sweep.
+   only, and two rounds make a sweep. Moves that were gains alone may be a loss together; so the classes of the round of greatest likelihood
+   are kept, not those of the last.
 
 The gain of a move is exact for head words. For the others the best class is chosen by first order: x more bigrams on
 top of m raise m log m by some x log(m + x/e) + x, which is exact at m = 0; for a class's totals this is taken, for
@@ -37,6 +38,7 @@ text at all every score is the base score; an empty table gives an empty result;
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -50,8 +52,6 @@ from .substrings import bucket_starts, bytes_apart, bytes_together, pack_hashes,
 
 HEAD, CLASSES = 1024, 64
 DISCOUNT, SMOOTH = 0.5, 40.0
-#: Exchange ends when a sweep gains less than this, in nats for each training token.
-SETTLED = 0.01
 END = np.uint64(0x5EED0F7E87000001)
 #: Class of the end token; class of all words outside the head to begin with.
 END_CLASS, REST = 0, 1
@@ -515,9 +515,20 @@ def move_words(messages: DataFrame, state: DataFrame, m: np.ndarray) -> DataFram
     return messages.groupBy("_bucket").cogroup(state.groupBy("_bucket")).applyInArrow(run, _MOVED)
 
 
+@dataclass
+class Round:
+    """Classes of all words: their likelihood, the head's, the other words' by parity of their buckets, and how many training
+    tokens belong to words that the two rounds before moved."""
+
+    likelihood: float
+    head: np.ndarray
+    states: list[DataFrame]
+    moved: int
+
+
 def cluster(coded: DataFrame, state: DataFrame, head: Head, n: int, buckets: int, scratch: Scratch) -> tuple[DataFrame, int]:
-    """Exchange until a sweep gains little: the buckets with their words' classes (the head's are in `head`), and
-    how many training tokens belong to words that the last sweep moved."""
+    """Exchange until a sweep gains nothing: the buckets with their words' best classes (the head's are in `head`), and
+    how many training tokens belong to words that the sweep before moved."""
     grams, fixed = head_bigrams(coded, head), {0: END_CLASS, len(head.w): REST}
     of = spread_out(len(grams), grams.sum(0) + grams.sum(1), fixed)
     head.of = exchange(grams, of, set(fixed), *by_class(grams, of))[0][:-1]
@@ -525,14 +536,17 @@ def cluster(coded: DataFrame, state: DataFrame, head: Head, n: int, buckets: int
     columns = ("_bucket", "words", "n", "cls")
     states: list[DataFrame] = [state.where(F.col("_bucket") % 2 == k).select(*columns) for k in (0, 1)]
     answers: list[DataFrame] = []
-    said, moved, turn = [], [0, 0], 0
+    rounds: list[Round] = []
+    moved = [0, 0]
     while True:
+        turn = len(rounds)
         parity = turn % 2 if turn else None
         told = scratch.put(look_around(coded, answers[0].unionByName(answers[1]) if answers else None, head, buckets, parity), f"around-{turn}")
         cells = summed(told.select("cells", "times"), len(head.w) * 2 * CLASSES + CLASSES * CLASSES)
         around, m = cells[: len(head.w) * 2 * CLASSES].reshape(-1, 2, CLASSES), cells[len(head.w) * 2 * CLASSES :].reshape(CLASSES, CLASSES)
-        said.append(likelihood(m))
-        if turn >= 3 and said[-1] - said[-3] < SETTLED * n:
+        rounds.append(Round(likelihood(m), head.of, list(states), sum(moved)))
+        # turn 1 is the first that all words have classes in, so a sweep's gain is known from turn 3 on
+        if turn >= 3 and (rounds[-1].likelihood <= rounds[-3].likelihood or not rounds[-1].moved):
             break
         new, m = exchange(grams, head.of, {0}, m, around[:, 1], around[:, 0])
         shifted = int(around[new != head.of, 0].sum())
@@ -540,18 +554,17 @@ def cluster(coded: DataFrame, state: DataFrame, head: Head, n: int, buckets: int
         own = states[0].unionByName(states[1]) if parity is None else states[parity]
         done = scratch.put(move_words(told.where("_bucket is not null").select("_bucket", "piece", "hashes", "around"), own, m), f"moved-{turn}")
         scratch.drop(f"around-{turn}")
+        if not answers:
+            answers = [done] * 2
         for k in (0, 1) if parity is None else (parity,):
             part = done.where(F.col("_bucket") % 2 == k)
-            if answers and len(answers) == 2:
-                answers[k], states[k] = part.where("piece is not null").select("_bucket", "piece", "cls"), part.where("piece is null").select(*columns)
-            else:
-                answers.append(part.where("piece is not null").select("_bucket", "piece", "cls"))
-                states[k] = part.where("piece is null").select(*columns)
-        if turn >= 3:  # that round's buckets are now those of this one
-            scratch.drop(f"moved-{turn - 2}")
+            answers[k], states[k] = part.where("piece is not null").select("_bucket", "piece", "cls"), part.where("piece is null").select(*columns)
+        if turn >= 4:  # the last three rounds' buckets may be the best ones
+            scratch.drop(f"moved-{turn - 4}")
         moved[turn % 2] = int(done.agg(F.sum("moved")).first()[0] or 0) + shifted
-        turn += 1
-    return states[0].unionByName(states[1]), sum(moved)
+    best = max(rounds[-3:], key=lambda r: r.likelihood)
+    head.of = best.head
+    return best.states[0].unionByName(best.states[1]), best.moved
 
 
 # ---------------------------------------------------------------- scores
@@ -659,7 +672,7 @@ def smoothed(t: np.ndarray, size: np.ndarray, types: np.ndarray) -> tuple[np.nda
 
 def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", head_words: int = HEAD) -> DataFrame:
     """id, held_out, n_tokens, n_known, train_tokens, base_score, score, classes (number in use) and moving_tokens
-    (training tokens of words that the last sweep of exchange still moved)."""
+    (training tokens of words that the last sweep before the best classes moved)."""
     spark = docs.sparkSession
     scratch = Scratch(spark)
     own = docs.select(F.col(id_col).cast("long").alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"), held_out(id_col).alias("held"))

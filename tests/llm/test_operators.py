@@ -604,6 +604,50 @@ def test_brown_words_outside_the_head_are_exchanged(spark, head_words):
     assert 0 <= some[2] <= some[3]
 
 
+def test_exchange_of_all_words_against_a_naive_one(spark):
+    """More words than the head's: what one word after the other, each tried in each class, still gains on the result, and how that
+    compares with such exchange from the beginning."""
+    rng = random.Random(28)
+    groups = [[f"{g}{k}" for k in range(25)] for g in "abcdefghijklmnop"]
+    follow = [[rng.randrange(16) for _ in range(3)] for _ in groups]
+    texts = []
+    for _ in range(1500):
+        g, ws = rng.randrange(16), []
+        for _ in range(rng.randrange(5, 40)):
+            g = rng.choice(follow[g]) if rng.random() < 0.9 else rng.randrange(16)
+            ws.append(groups[g][min(int(rng.expovariate(0.12)), 24)])
+        texts.append(" ".join(ws))
+    own = table(spark, texts, extra=False).select(F.col("doc_id").alias("_id"), F.col("text").alias("_text"), brown.held_out("doc_id").alias("held"))
+    scratch = Scratch(spark)
+    coded = scratch.put_bucketed(brown.code_texts(own), "pieces", "piece", 4)
+    state = scratch.put(brown.tally(brown.ask_counts(coded, 8), 100), "words")
+    n = state.agg(F.sum("tokens")).first()[0]
+    end = int(brown.END.view(np.int64))
+    top = state.select(F.explode("top").alias("x")).select("x.*").where(F.col("w") != end).orderBy(F.desc("n"), "w").limit(99).collect()
+    head = brown.Head(np.array([end, *(r.w for r in top)], np.int64).view(np.uint64))
+    done, moving = brown.cluster(coded, state, head, n, 8, scratch)
+    of = dict(zip(head.w.tolist(), head.of.tolist(), strict=True))
+    for r in done.collect():
+        w, cls = brown.unsqueeze(r.words, "<u8"), brown.unsqueeze(r.cls, "u1")
+        of |= {a: int(b) for a, b in zip(w.tolist(), cls.tolist(), strict=True) if a not in of}
+    train = [t for k, t in enumerate(texts) if zlib.crc32(str(k).encode()) % 5 != 1]
+    h, first = brown.tokens(*text_bytes(pa.array(train)))
+    names, code = np.unique(h, return_inverse=True)
+    before = brown.history(code, first, int(np.searchsorted(names, brown.END)))
+    grams = np.zeros((len(names), len(names)))
+    np.add.at(grams, (before, code), 1)
+    fixed = {int(np.searchsorted(names, brown.END))}
+    ours = np.array([of[x] for x in names.tolist()])
+    value = lambda o: brown.likelihood(brown.by_class(grams, o)[0])
+    naive = brown.spread_out(len(names), grams.sum(0), {k: brown.END_CLASS for k in fixed})
+    start = value(naive)
+    naive = brown.exchange(grams, naive, fixed, *brown.by_class(grams, naive))[0]
+    more = brown.exchange(grams, ours, fixed, *brown.by_class(grams, ours))[0]
+    # exchange one by one finds no state better by much, neither from ours nor from the beginning
+    assert value(ours) - start > 0.97 * (max(value(naive), value(more)) - start) > 0
+    assert 0 <= moving <= n
+
+
 def test_brown_without_training_texts(spark):
     ids = [d for d in range(40) if zlib.crc32(str(d).encode()) % 5 == 1]
     got = brown.score_texts(table(spark, ["one two"] * len(ids), ids)).collect()
@@ -788,6 +832,63 @@ def test_all_labels_set_the_threshold_and_the_query_judges_alike(spark, tmp_path
     assert rules.fit(text_ids, labels) is None and rules.judge(text_ids, forest).count() == 320
 
 
+@pytest.mark.parametrize("n_bad", [0, 5, 19, 20])
+def test_the_forest_judges_whatever_the_bad_labels(spark, n_bad):
+    rng = random.Random(n_bad)
+    texts = [prose(rng, rng.randrange(20, 300)) + "." for _ in range(200)] + [" ".join(w.upper() + "!!" * 3 for w in prose(rng, 100).split(" ")) for _ in range(60)]
+    docs = spark.createDataFrame(list(enumerate(texts)) + [(None, texts[0]), (3, texts[3])], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, 1, 0) for k in range(100)] + [(200 + k, 0, 0) for k in range(n_bad)], "doc_id long, quality int, toxic int")
+    got = rules.judge(docs, rules.fit(docs, labels)).collect()
+    kept = {r.doc_id: r.kept for r in got}
+    assert len(got) == 262 and kept[None] == kept[0] and sum(r.doc_id == 3 for r in got) == 2  # null ids are judged, repeated rows each
+    assert not any(kept[k] for k in range(200, 260)) and sum(kept[k] for k in range(200)) >= 194
+
+
+def test_few_good_rows_reject_little():
+    """The fewer rows there are, the less they reject; with many it is GOOD_LOSS."""
+    rng = np.random.default_rng(3)
+    fresh = rng.normal(0.45, 0.03, 20_000)
+    for n, most in ((2, 0.0), (10, 0.02), (50, 0.03), (5000, 0.01)):
+        lost = [(fresh > rules.tail_cut(np.bincount(rules.score_bin(rng.normal(0.45, 0.03, n)), minlength=rules.SCORE_BINS))).mean() for _ in range(20)]
+        assert np.mean(lost) <= most
+
+
+def test_path_lengths_against_walking(spark):
+    """A forest grown on all rows: every leaf's rows are found by walking, and scores by the definition."""
+    rng = np.random.default_rng(4)
+    x = np.concatenate([rng.normal(size=(90, 4)), np.repeat(rng.normal(size=(1, 4)), 6, 0)])  # equal rows share a leaf
+    forest = rules.grow(x, trees=20, sample=len(x))
+
+    def walk(t, row):
+        node, deep = 0, 0
+        while forest.feature[t, node] >= 0:
+            node, deep = (forest.left if row[forest.feature[t, node]] < forest.cut[t, node] else forest.right)[t, node], deep + 1
+        return node, deep
+
+    def mean_depth(n):  # of a search in a random tree of n rows
+        return 0.0 if n <= 1 else 1.0 if n == 2 else 2 * (math.log(n - 1) + 0.5772156649) - 2 * (n - 1) / n
+
+    probe = np.concatenate([x, rng.normal(size=(40, 4)) * 3])
+    held = [Counter(walk(t, row)[0] for row in x) for t in range(20)]
+    want = []
+    for row in probe:
+        lengths = []
+        for t in range(20):
+            node, deep = walk(t, row)
+            lengths.append(deep + mean_depth(held[t][node]))
+        want.append(2 ** (-np.mean(lengths) / mean_depth(len(x))))
+    assert np.allclose(forest.score(probe), want)
+    forest.threshold = float(np.median(want))
+    texts = [prose(random.Random(k), 20 + k) for k in range(40)] + ["!! " * 40, None, "short"]
+    features = [rules.statistics(*text_bytes(pa.array([t], pa.string())))[1] for t in texts]
+    whole = rules.grow(np.concatenate(features[:40]), trees=15)
+    whole.threshold = float(np.quantile(whole.score(np.concatenate(features[:40])), 0.8))
+    got = {r.doc_id: r.kept for r in rules.judge(table(spark, texts), whole).collect()}
+    for k, t in enumerate(texts):
+        n, *_, repeats = brute_rules(t)
+        assert got[k] == (n >= 10 and 100 * repeats <= 20 * n and bool(whole.score(features[k])[0] <= whole.threshold))
+
+
 # ------------------------------------------------------------- 10
 
 
