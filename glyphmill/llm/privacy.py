@@ -17,7 +17,8 @@ number without a calling code is not linked with the one that has it.
 
 Found: e-mail addresses; card numbers of 13-19 digits that pass the Luhn check, and any other run of
 13-19 digits; phone numbers with + or with an area code in brackets or separators; IPv4 addresses with
-octets up to 255; social security numbers (3-2-4 digits); IBANs with right check digits; dates (ISO,
+octets up to 255; social security numbers (3-2-4 digits with hyphens; with spaces if the number can be one; nine digits in a row
+only behind `SSN` or `security number`, as any nine digits would do otherwise, and stay); IBANs in either case, with right check digits; dates (ISO,
 and day/month/year or month/day/year with one separator); and secrets: hexadecimal strings of 32 or
 more characters and known key prefixes, and values after token, key, secret or password with = or :.
 
@@ -39,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read_table
+from .common import batches, read_table
 
 #: Public example key; a deployment passes its own.
 KEY = b"example key, to be replaced"
@@ -160,6 +161,11 @@ def iban_ok(text: str) -> bool:
     return 15 <= len(plain) <= 34 and int("".join(str(int(c, 36)) for c in plain[4:] + plain[:4])) % 97 == 1
 
 
+def ssn_ok(digits: str) -> bool:
+    """Whether nine digits can be a social security number."""
+    return digits[:3] not in ("000", "666") and digits[0] != "9" and digits[3:5] != "00" and digits[5:] != "0000"
+
+
 #: Characters of a country's IBANs.
 _IBAN_LONG = {
     country: n
@@ -176,7 +182,7 @@ def iban_end(text: str) -> int:
     """Where the IBAN ends that `text` begins with, which may have more words behind it; 0 without one. The
     country's length comes first, then the others from the longest on."""
     ends = [k for k in range(len(text), 14, -1) if k == len(text) or text[k] == " "]
-    ends.sort(key=lambda k: len(text[:k].replace(" ", "")) != _IBAN_LONG.get(text[:2]))
+    ends.sort(key=lambda k: len(text[:k].replace(" ", "")) != _IBAN_LONG.get(text[:2].upper()))
     return next((k for k in ends if iban_ok(text[:k])), 0)
 
 
@@ -195,10 +201,10 @@ PATTERNS: Sequence[tuple[str, str]] = (
     ("email", r"(?<![A-Za-z0-9._%+\-])[A-Za-z0-9._%+\-]+@[A-Za-z0-9](?:[A-Za-z0-9.\-]*[A-Za-z0-9])?\.[A-Za-z]{2,}"),
     ("secret", r"\b(?:(?:AKIA|ASIA)[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36,}|sk-[A-Za-z0-9_\-]{20,}|xox[abprs]-[A-Za-z0-9\-]{10,}|AIza[A-Za-z0-9_\-]{35}|(?=[0-9a-fA-F]*[0-9])(?:[0-9a-f]{32,}|[0-9A-F]{32,}))(?![A-Za-z0-9])"),
     ("quoted", r"(?i:token|secret|password|passwd|pwd|api[_\-]?key|access[_\-]?key)[\"']?\s*[:=]\s*[\"']?([^\"'\s,;]{8,})"),
-    ("iban", r"\b[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,4})?\b"),
+    ("iban", r"\b[A-Za-z]{2}[0-9]{2}(?: ?[A-Za-z0-9]{4}){2,7}(?: ?[A-Za-z0-9]{1,4})?\b"),
     ("date", r"(?<![\d./\-])(?:(?:19|20)\d\d([\-/.])\d{1,2}\1\d{1,2}|\d{1,2}([\-/.])\d{1,2}\2(?:19|20)\d\d)(?![\d]|[./\-]\d)"),
     ("ip", r"(?<![\d.])(?:\d{1,3}\.){3}\d{1,3}(?![\d]|\.\d)"),
-    ("ssn", r"(?<![\d\-])\d{3}-\d{2}-\d{4}(?![\d\-])"),
+    ("ssn", r"(?<![\d\-])\d{3}-\d{2}-\d{4}(?![\d\-])|(?<![\d\-])(?<!\d )\d{3} \d{2} \d{4}(?! ?\d)|(?i:(?<=\bssn )|(?<=\bssn:)|(?<=\bssn: )|(?<=\bssn=)|(?<=\bssn #)|(?<=security number )|(?<=security number: ))\d{9}(?!\d)"),
     ("card", r"(?<![\d.])(?:\d{13,19}|\d{4}(?:[ \-]\d{4}){3}|\d{4}[ \-]\d{6}[ \-]\d{5})(?!\d|\.\d)"),
     ("phone", r"(?<![\w+])(?:\+\d{1,3}[ .\-]?(?:\(\d{1,4}\)[ .\-]?)?\d(?:[ .\-]?\d){5,12}|\(\d{3}\)[ .\-]?\d{3}[ .\-]\d{4}|\d{3}[.\-]\d{3}[.\-]\d{4})(?![\d])"),
 )
@@ -248,13 +254,14 @@ def replace_ip(text: str, permuter: Permuter, back: bool = False) -> str:
 
 
 def replace_iban(text: str, permuter: Permuter, back: bool = False) -> str:
-    plain = text.replace(" ", "")
+    plain = text.replace(" ", "").upper()
     if not iban_ok(plain):
         return text
     body = permuter.string(plain[4:], f"iban|{plain[:2]}", back, hexadecimal=False)
     check = 98 - int("".join(str(int(c, 36)) for c in body + plain[:2] + "00")) % 97
     new = iter(f"{plain[:2]}{check:02d}{body}")
-    return "".join(c if c == " " else next(new) for c in text)
+    # letters stay at their places, and so does their case
+    return "".join(c if c == " " else next(new).lower() if c.islower() else next(new) for c in text)
 
 
 #: The two-digit calling codes of E.164; 1 and 7 have one digit, all others three.
@@ -286,7 +293,8 @@ def pseudonym(kind: str, text: str, permuter: Permuter, back: bool = False) -> s
         right = luhn(plain)
         return permuter.digits(text, f"card|{right}", lambda d: luhn(d) == right, back)
     if kind == "ssn":
-        return permuter.digits(text, "ssn", lambda d: d[:3] not in ("000", "666") and d[0] != "9" and d[3:5] != "00" and d[5:] != "0000", back) if text[:3] not in ("000", "666") and text[0] != "9" and text[4:6] != "00" and text[7:] != "0000" else permuter.digits(text, "ssn0", lambda d: d[:3] in ("000", "666") or d[0] == "9" or d[3:5] == "00" or d[5:] == "0000", back)
+        own = ssn_ok(re.sub(r"\D", "", text))
+        return permuter.digits(text, "ssn" if own else "ssn0", lambda d: ssn_ok(d) == own, back)
     if kind == "phone":
         return permuter.digits(text, "phone", back=back, keep=calling_code(re.sub(r"\D", "", text)) if text[0] == "+" else 0)
     fixed = _PREFIX.match(text)
@@ -300,6 +308,8 @@ def valid_end(kind: str, text: str) -> int:
         return iban_end(text)
     if kind == "ip":
         return len(text) * all(int(x) <= 255 for x in text.split("."))
+    if kind == "ssn" and " " in text:
+        return len(text) * ssn_ok(re.sub(r"\D", "", "".join(str(int(c)) if c.isdecimal() else c for c in text)))
     if kind == "date":
         a, b, c = re.split(r"[\-/.]", text)
         return len(text) * any(_as_date(*ymd) is not None for ymd in ([(a, b, c)] if len(a) == 4 else [(c, b, a), (c, a, b)]))
@@ -348,7 +358,7 @@ def pseudonymise(docs: DataFrame, text_col: str = "text", key: bytes = KEY) -> D
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         permuter = Permuter(key)
-        for batch in it:
+        for batch, _, _ in batches(it, "_text"):
             texts, finds = [], []
             for t in batch.column(batch.num_columns - 1):
                 t = t.as_py()
