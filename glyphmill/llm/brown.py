@@ -48,7 +48,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import LOWER, Scratch, batches, give_back, giving_back, read_table, shares, word_hashes, words
-from .substrings import bucket_starts, bytes_apart, bytes_together, pack_hashes, unpack_hashes
+from .messages import bucket_starts, bytes_apart, bytes_together, pack_hashes, unpack_hashes
 
 HEAD, CLASSES = 1024, 64
 DISCOUNT, SMOOTH = 0.5, 40.0

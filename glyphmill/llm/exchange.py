@@ -25,26 +25,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import _K2, _K3, Scratch, giving_back, spread
-from .substrings import bucket_starts, bytes_apart, bytes_together
+from .messages import bucket_starts, bytes_apart, bytes_together, pack_ids, unpack_ids
 
 #: Buckets that pieces write to themselves; pieces to a relay.
 FAN = 2048
 #: The unit of rows that hold a bucket's totals.
 TOTALS = -1
 _MESSAGE = "_bucket int, _unit bigint, keys binary, low binary, vals binary"
-_U1, _U4 = 1 << 8, 1 << 32
-
-
-@dataclass(frozen=True)
-class Rule:
-    """combine: what the values of equal keys become. holds(total, own): the bit; what holds among some pieces must hold among all."""
-
-    combine: np.ufunc
-    holds: Callable[[np.ndarray, np.ndarray], np.ndarray]
-
-
-def at_least(n: int) -> Rule:
-    return Rule(np.add, lambda total, own: total >= n)
 
 
 def _inverse(k: np.uint64) -> np.uint64:
@@ -68,15 +55,18 @@ def unmix(h: np.ndarray) -> np.ndarray:
 
 
 def pack_numbers(x: np.ndarray) -> bytes:
-    """Numbers of at least 0, as narrow as they allow."""
-    top = int(x.max()) if len(x) else 0
-    kind = "<u1" if top < _U1 else "<u4" if top < _U4 else "<u8"
-    return kind[-1:].encode() + zstandard.ZstdCompressor(level=1).compress(bytes_apart(np.ascontiguousarray(x.astype(kind))))
+    """Numbers as distances from the least, as narrow as these allow."""
+    least = int(x.min()) if len(x) else 0
+    top = int(x.max()) - least if len(x) else 0
+    kind = next(k for k in ("u1", "u2", "u4", "u8") if top < 1 << 8 * int(k[1]))
+    apart = (x - x.dtype.type(least)).astype(f"<{kind}") if x.dtype != np.int64 else (x.view(np.uint64) - np.uint64(least % (1 << 64))).astype(f"<{kind}")
+    return kind[1:].encode() + (least % (1 << 64)).to_bytes(8, "little") + zstandard.ZstdCompressor(level=1).compress(bytes_apart(np.ascontiguousarray(apart)))
 
 
 def unpack_numbers(blob: bytes) -> np.ndarray:
-    raw = zstandard.ZstdDecompressor().decompress(blob[1:])
-    return bytes_together(np.frombuffer(raw, np.uint8), f"<u{blob[:1].decode()}")
+    """The numbers modulo 2**64."""
+    raw = zstandard.ZstdDecompressor().decompress(blob[9:])
+    return bytes_together(np.frombuffer(raw, np.uint8), f"<u{blob[:1].decode()}").astype(np.uint64) + np.uint64(int.from_bytes(blob[1:9], "little"))
 
 
 def pack_sorted(x: np.ndarray) -> bytes:
@@ -84,7 +74,7 @@ def pack_sorted(x: np.ndarray) -> bytes:
 
 
 def unpack_sorted(blob: bytes) -> np.ndarray:
-    return np.cumsum(unpack_numbers(blob).astype(np.uint64), dtype=np.uint64)
+    return np.cumsum(unpack_numbers(blob), dtype=np.uint64)
 
 
 def pack_bits(mask: np.ndarray) -> bytes:
@@ -95,6 +85,26 @@ def unpack_bits(blob: bytes, n: int) -> np.ndarray:
     return np.unpackbits(np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), np.uint8), count=n).astype(bool)
 
 
+@dataclass(frozen=True)
+class Rule:
+    """combine: what the values of equal keys become. holds(total, own): the bit; what holds among some pieces must hold among all."""
+
+    combine: np.ufunc
+    holds: Callable[[np.ndarray, np.ndarray], np.ndarray]
+    pack: Callable[[np.ndarray], bytes] = pack_numbers
+    unpack: Callable[[bytes], np.ndarray] = unpack_numbers
+
+
+def at_least(n: int) -> Rule:
+    """Sums of n and more."""
+    return Rule(np.add, lambda total, own: total >= n)
+
+
+def earlier() -> Rule:
+    """Is there a smaller value elsewhere?"""
+    return Rule(np.minimum, lambda total, own: total < own, pack_ids, unpack_ids)
+
+
 def combined(h: np.ndarray, low: np.ndarray | None, vals: np.ndarray, combine: np.ufunc) -> tuple[np.ndarray, np.ndarray | None, np.ndarray, np.ndarray]:
     """Distinct keys in order with their combined values, and the number of each row's key."""
     order = np.argsort(h, kind="stable") if low is None else np.lexsort((low, h))
@@ -110,20 +120,20 @@ def combined(h: np.ndarray, low: np.ndarray | None, vals: np.ndarray, combine: n
     return h[first], None if low is None else low[first], combine.reduceat(vals, first) if len(first) else vals, number
 
 
-def messages(unit: int, h: np.ndarray, low: np.ndarray | None, vals: np.ndarray, buckets: int) -> pa.Table:
+def messages(unit: int, h: np.ndarray, low: np.ndarray | None, vals: np.ndarray, buckets: int, pack: Callable[[np.ndarray], bytes] = pack_numbers) -> pa.Table:
     """A unit's distinct keys, in order, as a message for each bucket that they meet."""
     at = bucket_starts(h, buckets)
     some = np.flatnonzero(np.diff(at)).tolist()
     cut = [slice(at[k], at[k + 1]) for k in some]
-    blob = lambda pack, x: pa.array([pack(x[c]) if x is not None else None for c in cut], pa.binary())
-    return pa.table({"_bucket": pa.array(some, pa.int32()), "_unit": pa.array([unit] * len(some), pa.int64()), "keys": blob(pack_sorted, h), "low": blob(pack_numbers, low), "vals": blob(pack_numbers, vals)})
+    blob = lambda how, x: pa.array([how(x[c]) if x is not None else None for c in cut], pa.binary())
+    return pa.table({"_bucket": pa.array(some, pa.int32()), "_unit": pa.array([unit] * len(some), pa.int64()), "keys": blob(pack_sorted, h), "low": blob(pack_numbers, low), "vals": blob(pack, vals)})
 
 
 def merged(table: pa.Table, rule: Rule) -> tuple[np.ndarray, np.ndarray | None, np.ndarray, list[tuple[slice, np.ndarray]], np.ndarray]:
     """Of messages: the distinct keys, their low parts and combined values, each message's place among all rows with its own
     values, and each row's key."""
     keys = [unpack_sorted(x.as_py()) for x in table.column("keys")]
-    vals = [unpack_numbers(x.as_py()).astype(np.int64) for x in table.column("vals")]
+    vals = [rule.unpack(x.as_py()).astype(np.int64) for x in table.column("vals")]
     low = [unpack_numbers(x.as_py()).astype(np.uint32) for x in table.column("low")] if table.column("low").null_count == 0 else None
     h, lows, total, number = combined(np.concatenate(keys), np.concatenate(low) if low else None, np.concatenate(vals), rule.combine)
     ends = np.cumsum([len(k) for k in keys])
@@ -150,9 +160,9 @@ class Exchange:
         #: What pieces give `messages` and `replies_to`.
         self.targets = fan if self.relays else buckets
 
-    def run(self, asked: DataFrame, scratch: Scratch, name: str, bits: bool = True, totals: bool = False) -> tuple[DataFrame, DataFrame]:
+    def run(self, asked: DataFrame, scratch: Scratch | None = None, name: str = "", bits: bool = True, totals: bool = False) -> tuple[DataFrame, DataFrame]:
         """The bits for each message: rows (_unit, _bucket, bits); and for each bucket a row (keys, low, vals) of the keys that
-        hold with their combined values. Both are stored."""
+        hold with their combined values. Both are stored, if there is a scratch folder, and else part of the plan."""
         rule, buckets, relays = self.rule, self.buckets, self.relays
 
         @giving_back
@@ -174,7 +184,7 @@ class Exchange:
         @giving_back
         def relay(table: pa.Table) -> pa.Table:
             h, low, total, _, _ = merged(table, rule)
-            return messages(table.column("_relay")[0].as_py(), h, low, total, buckets)
+            return messages(table.column("_relay")[0].as_py(), h, low, total, buckets, rule.pack)
 
         @giving_back
         def part(table: pa.Table, replies: pa.Table) -> pa.Table:
@@ -185,21 +195,22 @@ class Exchange:
 
         sent = asked.withColumn("_relay", F.col("_bucket").cast("long") * relays + spread(relays, "_unit")) if relays else asked
         reached = sent.groupBy("_relay").applyInArrow(relay, _MESSAGE) if relays else asked
-        answered = scratch.put(reached.groupBy("_bucket").applyInArrow(answer, kind), name)
+        put = scratch.put if scratch else lambda df, _: df
+        answered = put(reached.groupBy("_bucket").applyInArrow(answer, kind), name)
         replies = answered.where(F.col("_unit") != TOTALS).select("_unit", "_bucket", "bits")
         if relays and bits:
             back = replies.withColumnRenamed("_unit", "_relay")
-            replies = scratch.put(sent.groupBy("_relay").cogroup(back.groupBy("_relay")).applyInArrow(part, "_unit bigint, _bucket int, bits binary"), f"{name}-parts")
+            replies = put(sent.groupBy("_relay").cogroup(back.groupBy("_relay")).applyInArrow(part, "_unit bigint, _bucket int, bits binary"), f"{name}-parts")
         return replies, answered.where(F.col("_unit") == TOTALS).select("keys", "low", "vals")
 
     def ask(self, pieces: DataFrame, keys_of) -> DataFrame:
         """Messages of stored pieces. keys_of(row): the unit's number, its distinct keys in order, low parts (or None) and values."""
-        targets = self.targets
+        targets, pack = self.targets, self.rule.pack
 
         def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in it:
                 for k in range(batch.num_rows):
-                    yield from messages(*keys_of(batch.slice(k, 1).to_pylist()[0]), targets).to_batches()
+                    yield from messages(*keys_of(batch.slice(k, 1).to_pylist()[0]), targets, pack).to_batches()
 
         return pieces.mapInArrow(run, _MESSAGE)
 

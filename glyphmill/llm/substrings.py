@@ -10,7 +10,8 @@ all blocks and answers every block with one bit per hash: is there a smaller id
 hashes its texts again and merges the windows that go. So a passage that a third of all texts share
 arrives at its bucket once per block, not once per text, the text is moved once, and neither step
 holds more than a block or a bucket. Both are counted by bytes of text, one for each BLOCK_BYTES, so neither grows
-with the corpus. A block sends a bucket nothing if it has none of its hashes, so messages are never more than windows.
+with the corpus. Where there are so many buckets that a message would hold few hashes, they go by relays (see `exchange`), and a passage
+in all blocks arrives at its bucket once a relay.
 
 A hash has 80 bits: 64 of one polynomial and 16 of another. Of n windows some n**2 / 2**81 pairs are
 expected to be equal by chance: 10**-8 pairs at 10**8 windows, 400 at the 3 * 10**13 of 100 TB.
@@ -26,11 +27,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import Words, giving_back, inside_doc, mix, pieces, read_table, shares, spread, text_bytes, window_hashes, word_hashes, words
+from .exchange import FAN, Exchange, earlier, messages, replies_to
 
 WINDOW = 13
 #: Bytes of text in a block, and for each bucket.
@@ -39,68 +40,6 @@ _NONE = np.iinfo(np.int64).max
 _OTHER = np.uint64(0xA0761D6478BD642F)
 
 
-def pack_hashes(h: np.ndarray, buckets: int) -> tuple[np.ndarray, list[int], list[bytes]]:
-    """Sorted distinct hashes cut into buckets: where each begins, which have any, and for each of these the low 48
-    bits as six bytes each, after a compressed count for each value of the top 16 bits."""
-    at = bucket_starts(h, buckets)
-    some, out = np.flatnonzero(np.diff(at)).tolist(), []
-    press = zstandard.ZstdCompressor(level=1)
-    for k in some:
-        part = h[at[k] : at[k + 1]]
-        top = (part >> np.uint64(48)).astype(np.int64)
-        counts = np.bincount(top - top[0]).astype("<u4")
-        head = press.compress(np.concatenate([[top[0]], counts]).astype("<u4").tobytes())
-        low = np.ascontiguousarray(part).view(np.uint8).reshape(-1, 8)[:, :6]
-        out.append(len(head).to_bytes(4, "little") + head + low.tobytes())
-    return at, some, out
-
-
-def unpack_hashes(blob: bytes) -> np.ndarray:
-    n = int.from_bytes(blob[:4], "little")
-    head = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob[4 : 4 + n]), "<u4").astype(np.int64)
-    low = np.frombuffer(blob, np.uint8, offset=4 + n).reshape(-1, 6)
-    out = np.zeros((len(low), 8), np.uint8)
-    out[:, :6] = low
-    top = np.repeat(np.arange(len(head) - 1) + head[0], head[1:]).astype(np.uint64)
-    return out.view("<u8").ravel() | (top << np.uint64(48))
-
-
-def bucket_starts(h: np.ndarray, buckets: int) -> np.ndarray:
-    # by the leading 24 bits, so that SQL can tell a hash's bucket too
-    edges = (-(-np.arange(1, buckets, dtype=np.int64) * 2**24 // buckets)).astype(np.uint64) << np.uint64(40)
-    return np.concatenate([[0], np.searchsorted(h, edges), [len(h)]])
-
-
-def pack_ids(ids: np.ndarray) -> bytes:
-    """Ids of few distinct values: the sorted values' differences and each id's place, compressed."""
-    values, place = np.unique(ids, return_inverse=True)
-    steps = np.diff(values, prepend=values[:1]).view(np.uint64)
-    wide = np.uint32 if len(steps) == 0 or steps.max() < 2**32 else np.uint64
-    small = np.uint16 if len(values) <= 65536 else np.uint32
-    raw = b"".join(bytes_apart(x) for x in (steps.astype(wide), place.astype(small)))
-    head = np.array([len(values), len(ids), wide().itemsize, small().itemsize], "<i8").tobytes() + values[:1].astype("<i8").tobytes()
-    return zstandard.ZstdCompressor(level=1).compress(head + raw)
-
-
-def bytes_apart(x: np.ndarray) -> bytes:
-    """All first bytes, then all second ones...: compresses better."""
-    return x.view(np.uint8).reshape(-1, x.itemsize).T.tobytes()
-
-
-def bytes_together(raw: np.ndarray, kind: str) -> np.ndarray:
-    """What bytes_apart took apart."""
-    return np.ascontiguousarray(raw.reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
-
-
-def unpack_ids(blob: bytes) -> np.ndarray:
-    raw = zstandard.ZstdDecompressor().decompress(blob)
-    nv, n, wide, small = np.frombuffer(raw, "<i8", 4)
-    first = np.frombuffer(raw, "<i8", 1, 32)[0]
-    steps = bytes_together(np.frombuffer(raw, np.uint8, nv * wide, 40), f"<u{wide}")
-    place = bytes_together(np.frombuffer(raw, np.uint8, n * small, 40 + nv * wide), f"<u{small}")
-    return (np.cumsum(steps.astype(np.uint64)).view(np.int64) + first)[place]
-
-
 def block_windows(table: pa.Table, window: int) -> Iterator[tuple[Words, int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """Per piece of a block: its words, its first row, the starts of its windows, their hashes (64 and 16
     bits) and ids (the largest number for a null id)."""
@@ -175,60 +114,33 @@ def intervals(w: Words, gone: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.searchsorted(begin, w.first).astype(np.int32)), pairs)
 
 
-def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, blocks: int | None = None, buckets: int | None = None) -> DataFrame:
+def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, blocks: int | None = None, buckets: int | None = None, fan: int = FAN) -> DataFrame:
     """id, n_words, n_removed, kept_text and removed (maximal intervals of word numbers) of every text."""
     if not (blocks and buckets):
         n = shares(docs, text_col, BLOCK_BYTES)
         blocks, buckets = blocks or n, buckets or n
+    exchange = Exchange(earlier(), buckets, blocks, fan)
+    targets = exchange.targets
     # the id and the text both count: copies of an id spread too
     own = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text")).withColumn("_block", spread(blocks, "_id", "_text"))
 
     @giving_back
     def ask(table: pa.Table) -> pa.Table:
         h, check, ids, _ = block_hashes(list(block_windows(table, window)))
-        block = table.column("_block")[0].as_py()
-        at, some, packed = pack_hashes(h, buckets)
-        return pa.table(
-            {
-                "_bucket": pa.array(some, pa.int32()),
-                "_block": pa.array([block] * len(some), pa.int32()),
-                "hashes": pa.array(packed, pa.binary()),
-                "checks": pa.array([check[at[k] : at[k + 1]].tobytes() for k in some], pa.binary()),
-                "ids": pa.array([pack_ids(ids[at[k] : at[k + 1]]) for k in some], pa.binary()),
-            }
-        )
-
-    @giving_back
-    def answer(table: pa.Table) -> pa.Table:
-        each = [[f(x.as_py()) for x in table.column(c)] for c, f in (("hashes", unpack_hashes), ("checks", lambda b: np.frombuffer(b, np.uint16)), ("ids", unpack_ids))]
-        h, check, ids = (np.concatenate(x) for x in each)
-        _, _, least, number = distinct(h, check, ids)
-        earlier, cut = least[number] < ids, np.concatenate([[0], np.cumsum([len(x) for x in each[0]])])
-        press = zstandard.ZstdCompressor(level=1)
-        return pa.table(
-            {
-                "_block": table.column("_block").cast(pa.int32()),
-                "_bucket": table.column("_bucket").cast(pa.int32()),
-                "bits": pa.array([press.compress(np.packbits(earlier[a:b]).tobytes()) for a, b in zip(cut[:-1], cut[1:], strict=True)], pa.binary()),
-            }
-        )
+        return messages(table.column("_block")[0].as_py(), h, check.astype(np.uint32), ids, targets, exchange.rule.pack)
 
     @giving_back
     def settle(table: pa.Table, replies: pa.Table) -> pa.Table:
         parts = list(block_windows(table, window))
         h, _, least, number = block_hashes(parts)
-        at = bucket_starts(h, buckets)
-        earlier = np.zeros(len(h), bool)
-        for k, bits in zip(replies.column("_bucket").to_pylist(), replies.column("bits"), strict=True):
-            size = at[k + 1] - at[k]
-            earlier[at[k] : at[k + 1]] = np.unpackbits(np.frombuffer(zstandard.ZstdDecompressor().decompress(bits.as_py()), np.uint8), count=int(size)).astype(bool)
+        before = replies_to(h, targets, replies)
         out, done = [], 0
         for w, lo, starts, _, _, ids in parts:
             real = ids != _NONE
             k = number[done : done + int(real.sum())]
             done += len(k)
             goes = np.zeros(len(ids), bool)
-            goes[real] = earlier[k] | (least[k] < ids[real])
+            goes[real] = before[k] | (least[k] < ids[real])
             edge = np.zeros(len(w.s) + 1, np.int64)
             edge[starts[goes]] += 1
             edge[starts[goes] + window] -= 1
@@ -248,9 +160,9 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
             )
         return pa.concat_tables(out) if out else pa.table({"_id": pa.array([], pa.int64()), "n_words": pa.array([], pa.int64()), "n_removed": pa.array([], pa.int64()), "kept_text": pa.array([], pa.string()), "removed": pa.array([], pa.list_(pa.struct([("first", pa.int64()), ("end", pa.int64())])))})
 
-    asked = own.groupBy("_block").applyInArrow(ask, "_bucket int, _block int, hashes binary, checks binary, ids binary")
-    answered = asked.groupBy("_bucket").applyInArrow(answer, "_block int, _bucket int, bits binary")
-    done = own.groupBy("_block").cogroup(answered.groupBy("_block")).applyInArrow(
+    asked = own.groupBy("_block").applyInArrow(ask, "_bucket int, _unit bigint, keys binary, low binary, vals binary")
+    answered, _ = exchange.run(asked)
+    done = own.groupBy("_block").cogroup(answered.groupBy(F.col("_unit").cast("int"))).applyInArrow(
         settle, "_id bigint, n_words bigint, n_removed bigint, kept_text string, removed array<struct<first:bigint,end:bigint>>"
     )
     return done.withColumnRenamed("_id", id_col)

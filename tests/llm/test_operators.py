@@ -12,7 +12,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from glyphmill.llm import brown, chat, decontaminate, idfiles, licences, neardup, pieces, privacy, rules, substrings
+from glyphmill.llm import brown, chat, decontaminate, exchange, idfiles, licences, neardup, pieces, privacy, rules, substrings
 from glyphmill.llm.common import Scratch, mix, text_bytes
 from glyphmill.llm.graph import components
 
@@ -190,12 +190,35 @@ def test_substrings_against_brute_force(spark):
     ids = [*range(len(texts) - 3), None, 7, 7]
     got = substrings.dedup_substrings(table(spark, texts, ids), blocks=3, buckets=5).collect()
     assert sorted(((r.doc_id, r.n_words, r.n_removed, r.kept_text) for r in got), key=str) == brute_substrings(list(zip(ids, texts, strict=True)))
+    again = substrings.dedup_substrings(table(spark, texts, ids), blocks=9, buckets=40, fan=4).collect()  # by relays
+    assert sorted(map(str, again)) == sorted(map(str, got))
     for r in got:
         assert sum(x.end - x.first for x in r.removed) == r.n_removed
         assert all(a.end < b.first for a, b in zip(r.removed, r.removed[1:], strict=False))
     assert substrings.dedup_substrings(empty(spark)).count() == 0
 
 
+def test_a_window_in_every_block(spark):
+    """Straight, the passage's bucket gets a message of each block; by relays, one of each relay. Messages hold many hashes."""
+    rng = random.Random(22)
+    shared = prose(rng, 14, 10**6)
+    docs = spark.createDataFrame([(k, f"{prose(rng, 40, 10**6)} {shared}") for k in range(300)], "doc_id long, text string")
+    got = {r.doc_id: r.n_removed for r in substrings.dedup_substrings(docs, blocks=64, buckets=64, fan=8).collect()}
+    assert got == {k: 14 * (k > 0) for k in range(300)}
+    rows = [(u, sorted({5 << 40, *(rng.randrange(1 << 62) for _ in range(40))}), u) for u in range(64)]
+    df = spark.createDataFrame(rows, "unit long, h array<long>, low long")
+    ask = lambda r: (r["unit"], np.array(r["h"], np.int64).view(np.uint64), None, np.full(len(r["h"]), r["unit"], np.int64))
+    counts = {}
+    for fan in (8, 2048):
+        ex = exchange.Exchange(exchange.earlier(), 64, 64, fan=fan)
+        sent = ex.ask(df, ask)
+        replies, _ = ex.run(sent)
+        hot = {r._unit: exchange.unpack_bits(r.bits, 99)[0] for r in replies.collect() if r._bucket == 0}
+        assert all(hot[u] == (u > 0) for u in range(64))
+        counts[fan] = sent.count()
+    assert counts[8] <= 64 * 8 < counts[2048]
+
+
 # ------------------------------------------------------------- 3
 
 

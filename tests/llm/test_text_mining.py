@@ -221,11 +221,11 @@ def test_mixing_is_undone():
     assert (exchange.unmix(mix(x.copy())) == x).all()
 
 
-@pytest.mark.parametrize("kind", [np.uint8, np.uint32, np.uint64])
+@pytest.mark.parametrize("kind", [np.uint8, np.uint32, np.uint64, np.int64])
 def test_numbers_are_packed(kind):
     for n in (0, 1, 1000):
-        x = np.random.default_rng(n).integers(0, np.iinfo(kind).max, n, kind)
-        assert (exchange.unpack_numbers(exchange.pack_numbers(x)) == x).all() and (exchange.unpack_sorted(exchange.pack_sorted(np.sort(x.astype(np.uint64)))) == np.sort(x)).all()
+        x = np.random.default_rng(n).integers(np.iinfo(kind).min, np.iinfo(kind).max, n, kind)
+        assert (exchange.unpack_numbers(exchange.pack_numbers(x)).astype(kind) == x).all() and (exchange.unpack_sorted(exchange.pack_sorted(np.sort(x.astype(np.uint64)))) == np.sort(x.astype(np.uint64))).all()
 
 
 @pytest.mark.parametrize("fan", [1 << 11, 3])
