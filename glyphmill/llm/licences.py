@@ -171,13 +171,19 @@ class Templates:
         own = self.shingles[i]
         k = np.minimum(np.searchsorted(own, win[lo:hi]), len(own) - 1)
         held = np.flatnonzero(own[k] == win[lo:hi])
-        # the stretch of m shingles with most distinct ones of the template
-        share, where = 0.0, lo
-        for a in held.tolist():
-            some = held[(held >= a) & (held < a + m)]
-            c = len(np.unique(k[some])) / len(own)
-            if c > share:
-                share, where = c, lo + a
+        if not len(held):
+            return
+        # how many distinct shingles of the template the stretch of m from each place on has: a held one counts for the
+        # places from behind its last occurrence before (or m - 1 back) up to itself
+        code = k[held]
+        order = np.argsort(code, kind="stable")
+        before = np.full(len(held), -1)
+        same = code[order[1:]] == code[order[:-1]]
+        before[order[1:][same]] = held[order[:-1][same]]
+        edge = np.bincount(np.maximum(before + 1, np.maximum(held - m + 1, 0)), minlength=hi - lo + 1)
+        counts = np.cumsum(edge - np.bincount(held + 1, minlength=hi - lo + 1))[held]
+        top = int(np.argmax(counts))
+        share, where = float(counts[top] / len(own)), lo + int(held[top])
         if share >= CONTAINED:
             found = (share, where - int(w.first[t]))
             old = best.get((t, i), (0.0, 0))

@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -557,6 +558,43 @@ def test_licence_templates_as_a_table(spark, monkeypatch):
         licences.find_licences(docs, templates=own)
 
 
+def test_whole_licences_as_templates_take_linear_time():
+    rng = random.Random(61)
+    took = {}
+    for n in (750, 6000):
+        template = prose(rng, n, 900)
+        known = licences.Templates.of([("long", template)])
+        ws = template.split(" ")
+        for p in rng.sample(range(n), n // 60):
+            ws[p] = "edited"
+        text = f"{prose(rng, 500)} {' '.join(ws)} {prose(rng, 500)}"
+        w, h = licences.normal_words(pa.array([text, prose(rng, 5000, 900)], pa.large_string()))
+        began = time.perf_counter()
+        found = known.find(w, h)
+        took[n] = time.perf_counter() - began
+        assert [f[:2] for f in found] == [(0, 0)] and 0.85 < found[0][2] < 1 and abs(found[0][3] - 500) < 10
+    assert took[6000] < 16 * took[750] + 0.5 and took[6000] < 3
+
+
+def test_stretches_against_counting(monkeypatch):
+    """The containment and place of the best stretch, as counted place by place, also with repeated shingles."""
+    rng = random.Random(62)
+    template = "a b c a b c d e f a b c d " * 3
+    known = licences.Templates.of([("t", template)])
+    q, m = int(known.width[0]), int(known.sizes[0])
+    for _ in range(60):
+        ws = [rng.choice("abcdefz") for _ in range(rng.randrange(20))] + template.split()[rng.randrange(9) :] + [rng.choice("abcdefz") for _ in range(rng.randrange(20))]
+        w, h = licences.normal_words(pa.array([" ".join(ws)], pa.large_string()))
+        win = licences.window_hashes(h, q)
+        best: dict = {}
+        monkeypatch.setattr(licences, "CONTAINED", 0.1)
+        known._confirm(best, w, win, 0, 0, 0, m, q)
+        hi = min(len(win), 2 * m)
+        own = set(known.shingles[0].tolist())
+        counts = [len(own & set(win[a : min(a + m, hi)].tolist())) / len(own) for a in range(hi)]
+        assert best[0, 0][0] == max(counts)
+
+
 # ------------------------------------------------------------- 7
 
 
