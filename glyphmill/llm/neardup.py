@@ -1,12 +1,12 @@
 """Near-duplicates by a multi-index Hamming join of MinHash signatures, confirmed on full shingle sets.
 
 A text's signature has LANES minima of its shingle set, BITS bits of each. Two sets of similarity J
-differ in a lane with probability 1 - J. The first INDEXED lanes are split into CHUNKS chunks; if two signatures
-differ in at most 2 * CHUNKS - 1 = 15 of these, some chunk differs in at most one lane (pigeonhole),
+differ in a lane with probability 1 - J. The lanes are split into CHUNKS chunks; if two signatures
+differ in at most 2 * CHUNKS - 1 = 31 lanes, some chunk differs in at most one lane (pigeonhole),
 so enumerating the allowed chunk errors - no lane or any one lane of a chunk left out - gives keys of
-which such a pair shares one at least. A pair that shares a key is a candidate if it differs in at most THRESHOLD of
-all lanes. At similarity 0.85 a pair shares no key with probability 2e-8, at 0.8 with 1e-6, and is beyond the
-threshold with 8e-9 and 4e-6; at 0.3 it is within it with 1e-5, so texts that share no more than some boilerplate
+which such a pair shares one at least. A pair is a candidate if it differs in at most THRESHOLD = 28 lanes, so every pair
+within the threshold shares a key. At similarity 0.85 a pair is beyond the
+threshold with probability 8e-9, at 0.8 with 4e-6; at 0.3 it is within it with 1e-5, so texts that share no more than some boilerplate
 don't chain up.
 
 How it runs. Texts of equal sets (128-bit digests) are one class, represented by its smallest id. The
@@ -39,18 +39,18 @@ from pyspark.sql import functions as F
 from .common import LEAST_SHARES, LOWER, Scratch, batches, giving_back, inside_doc, mix, pieces, read_table, spread, text_bytes, window_hashes, word_hashes, words
 from .graph import components
 
-LANES, INDEXED, CHUNKS, BITS, THRESHOLD = 64, 32, 8, 16, 28
-WIDE = INDEXED // CHUNKS
-#: Within a tile, pairs that differ in more of the indexed lanes are not tried: at similarity 0.8 that has probability
+LANES, CHUNKS, BITS, THRESHOLD = 64, 16, 16, 28
+WIDE = LANES // CHUNKS
+#: Within a tile, pairs that differ in more than TRY of TRIED lanes are not tried: at similarity 0.8 that has probability
 #: 1e-9. In tiles of up to SMALL texts all pairs are.
-TRY, SMALL = 22, 8
+TRIED, TRY, SMALL = 32, 22, 8
 #: A tile holds two parts of a component; a part has PART rows, more where there would be over MAX_PARTS, and some
 #: PART_BYTES of text.
 PART, MAX_PARTS, MAX_PART, PART_BYTES = 128, 16, 2048, 8 << 20
 #: Rows of a key in a part of its tiles; bytes of text of the tiles that a task's function takes at once.
 KEY_PART, BIN_BYTES = 2048, 8 << 20
-#: A signature as numbers of 64 bits, a chunk each; the first CHUNKS are indexed.
-SIG = [f"s{c}" for c in range(LANES // WIDE)]
+#: A signature as numbers of 64 bits, a chunk each.
+SIG = [f"s{c}" for c in range(CHUNKS)]
 
 _rng = np.random.default_rng(20240501)
 _LANE_MUL = _rng.integers(1, 2**63, LANES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -206,7 +206,7 @@ class _Sets:
 def confirm(ids: np.ndarray, part: np.ndarray, cross: bool, v: np.ndarray, at: np.ndarray, percent: int) -> list[tuple[int, int]]:
     """A spanning forest of the links among a tile's texts (of different parts only, if cross)."""
     n, size = len(ids), np.diff(at)
-    sig = signatures(v, at, INDEXED) if n > SMALL else np.zeros((n, 0), np.uint16)
+    sig = signatures(v, at, TRIED) if n > SMALL else np.zeros((n, 0), np.uint16)
     sets, links = _Sets(n), []
     # distances a row at a time keep memory at n * LANES
     a, b, far = [], [], []
