@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.shared import cut
+from ..functions.shared import cut, shared_folder
 from .bitmaps import dense_numbers
 
 # Relations along which a search does not go on.
@@ -52,32 +53,70 @@ def edges(tables: Mapping[str, DataFrame]) -> DataFrame:
     return out.dropna()
 
 
-def variants(rels: DataFrame, seeds: DataFrame | Sequence, weak: Column | None = None) -> DataFrame:
+#: So many characters may a search name to its rounds; beyond, its fronts are tables.
+FEW = 20_000
+
+
+def variants(rels: DataFrame, seeds: DataFrame | Sequence, weak: Column | None = None, few: int = FEW) -> DataFrame:
     """Edges (c1, c2, r, f) that touch what the seeds reach, either way round, along pairs with a strong
     relation. f is 1 if any relation of the directed pair is strong. seeds: values or a one-column table.
 
-    Each round joins the round's new characters, and written to the checkpoint folder they cut the plan;
-    a character joins once and is written once, so the work is that of the edges reached."""
+    The strong pairs are stored once, both ways round, in order of their ends. A round reads the row groups that its new characters are
+    in, as a filter on that order, and is one job; up to `few` characters in all. A search that reaches more goes on with tables: a round joins the
+    new characters, and written to the checkpoint folder they cut the plan."""
     spark = rels.sparkSession
     kind = rels.schema["c1"].dataType.simpleString()
     if not isinstance(seeds, DataFrame):
         seeds = spark.createDataFrame([(s,) for s in seeds], f"c {kind}")
     strong = ~weak if weak is not None else is_strong(F.col("r"))
-    pairs = rels.groupBy("c1", "c2").agg(F.max(strong.cast("int")).alias("f"))
-    ends = pairs.where("f = 1").select(F.col("c1").alias("c"), F.col("c2").alias("to"))
-    ends = ends.union(ends.select("to", "c")).where("c <> to").distinct()
-    ends = cut(ends)
-    seen = front = cut(seeds.toDF("c").dropna().distinct())
-    while True:
-        front = cut(ends.join(front, "c", "left_semi").select(F.col("to").alias("c")).distinct().join(seen, "c", "left_anti"))
-        if front.isEmpty():
-            break
-        seen = seen.union(front)  # of checkpoints: none is written again
-    seen = cut(seen)
+    ends = _stored_ends(rels, weak)
+    begin = seeds.toDF("c").dropna().distinct()
+    known = _values(begin, few)
+    front = known
+    while known is not None and front:
+        new = _values(ends.where(_is_one_of("c", front, kind)).select(F.col("to").alias("c")).distinct(), few)
+        front = None if new is None else new - known
+        known = None if front is None or len(known) + len(front) > few else known | front
+    seen = _reached(ends, begin) if known is None else spark.createDataFrame([(k,) for k in sorted(known)], f"c {kind}")
     # two equi-joins instead of one on either end, which would compare all pairs
     a = rels.join(seen, rels["c1"] == seen["c"], "left_semi")
     b = rels.join(seen, rels["c2"] == seen["c"], "left_semi").join(seen, F.col("c1") == seen["c"], "left_anti")
-    return a.unionByName(b).join(pairs, ["c1", "c2"]).select("c1", "c2", "r", "f")
+    met = a.unionByName(b)
+    pairs = met.groupBy("c1", "c2").agg(F.max(strong.cast("int")).alias("f"))  # all rows of a pair are met, or none
+    return met.join(pairs, ["c1", "c2"]).select("c1", "c2", "r", "f")
+
+
+def _stored_ends(rels: DataFrame, weak: Column | None) -> DataFrame:
+    folder = f"{shared_folder(rels.sparkSession)}/glyphmill-ends-{uuid.uuid4().hex}"
+    ends = strong_ends(rels, weak)
+    ends.sortWithinPartitions("c").write.parquet(folder)  # dealt by both columns: a front's rows are spread
+    return rels.sparkSession.read.schema(ends.schema).parquet(folder)
+
+
+def _values(table: DataFrame, few: int) -> set | None:
+    """The values of a column, if they are few."""
+    rows = table.limit(few + 1).collect()
+    return None if len(rows) > few else {r[0] for r in rows}
+
+
+def _is_one_of(name: str, values: set, kind: str) -> Column:
+    """As text, since a call for each literal takes longer than the scan."""
+    if kind == "string":
+        quoted = ["'" + v.replace("\\", "\\\\").replace("'", "\\'") + "'" for v in values]
+    elif kind in ("int", "bigint"):
+        quoted = [f"{v}L" if kind == "bigint" else str(v) for v in values]
+    else:
+        return F.col(name).isin(*values)
+    return F.expr(f"{name} IN ({', '.join(quoted)})")
+
+
+def _reached(ends: DataFrame, begin: DataFrame) -> DataFrame:
+    """What is reached from many characters, by rounds of tables."""
+    seen = front = cut(begin)
+    while not front.isEmpty():
+        front = cut(ends.join(front, "c", "left_semi").select(F.col("to").alias("c")).distinct().join(seen, "c", "left_anti"))
+        seen = seen.union(front)  # of checkpoints: none is written again
+    return cut(seen)
 
 
 #: Seeds in a word of bits; the sign bit is left alone.

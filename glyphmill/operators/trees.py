@@ -49,65 +49,61 @@ def prefix_ends(labels: Column, arity: Mapping[str, int]) -> Column:
     return F.when(F.arrays_overlap(labels, F.array(*(F.lit(x) for x in sorted(arity)))), F.transform(sizes, lambda x, i: x + i)).otherwise(flat)
 
 
-def match_places(labels: Column, ends: Column, pattern: Sequence[str], own: Mapping[str, Sequence[Sequence[str]]] | None = None, shape: Column | None = None, variable: Callable[[str], bool] = is_variable) -> Column:
-    """The places where a pattern matches (with an anchor first: the first place at most). own: for some labels, runs of labels in place of
-    which they stand; the first that fits counts. shape: depths, where labels alone don't tell a subtree."""
-    n = F.size(labels)
-    known, names = own or {}, sorted({t for t in pattern if variable(t)})
+def _text(x: str) -> str:
+    return "'" + x.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
-    def node(at: Column, end: Column) -> Column:
+
+def places_sql(labels: str, ends: str, pattern: Sequence[str], own: Mapping[str, Sequence[Sequence[str]]] | None = None, shape: str | None = None, variable: Callable[[str], bool] = is_variable) -> str:
+    """The places where a pattern matches (with an anchor first: the first place at most), as SQL over the SQL of a tree's arrays. own: for some
+    labels, runs of labels in place of which they stand; the first that fits counts. shape: depths, where labels alone don't tell a subtree.
+    Text, since a call for each part of it takes longer than the search."""
+    n, known, names = f"size({labels})", own or {}, sorted({t for t in pattern if variable(t)})
+    field = {v: f"v{k}" for k, v in enumerate(names)}
+
+    def node(at: str) -> str:
         """What makes a node equal to another."""
-        own_labels = F.slice(labels, at + 1, end - at)
+        size = f"get({ends}, {at}) - {at}"
         if shape is None:
-            return own_labels
-        return F.zip_with(own_labels, F.slice(shape, at + 1, end - at), lambda x, d: F.concat_ws(" ", (d - F.get(shape, at)).cast("string"), x))
-
-    def run(at: Column, labels_: Sequence[str]) -> Column:
-        return F.slice(labels, at + 1, len(labels_)) == F.array(*(F.lit(x) for x in labels_))
-
-    def step(token: str, first: bool) -> Callable[[Column], Column]:
-        def go(s: Column) -> Column:
-            at = s["at"]
-            bound = {v: s[v] for v in names}
-            end = F.get(ends, at)
-            if token == ANCHOR:
-                to = F.when((at == 0) | (at == n), at)
-            elif token == WILD:
-                to = end
-            elif variable(token):
-                # the first place binds, and the others compare
-                here = F.when(end.isNotNull(), node(at, end))
-                if first:
-                    to, bound[token] = end, here
-                else:
-                    to = F.when(here == bound[token], end)
-            else:
-                to = None
-                for other in reversed(known.get(token) or [[token]]):
-                    to = F.when(run(at, other), at + len(other)).otherwise(to if to is not None else F.lit(None).cast("int"))
-            return F.struct(to.cast("int").alias("at"), *(bound[v].alias(v) for v in names))
-
-        return go
-
-    def ends_at(place: Column) -> Column:
-        state, seen = F.array(F.struct(place.cast("int").alias("at"), *(F.lit(None).cast("array<string>").alias(v) for v in names))), set()
-        for t in pattern:
-            # a transform binds the state, so that each step is evaluated once
-            state = F.filter(F.transform(state, step(t, t not in seen)), lambda s: s["at"].isNotNull())
-            seen.add(t)
-        return F.size(state) > 0
-
-    places = F.when(n > 0, F.array(F.lit(0)) if pattern[:1] == [ANCHOR] or pattern[:1] == (ANCHOR,) else F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
-    if pattern and not (pattern[0] in (ANCHOR, WILD) or pattern[0] in known or variable(pattern[0])):
-        places = F.filter(places, lambda k: F.get(labels, k) == pattern[0])
-    return F.filter(places, ends_at)
+            return f"slice({labels}, {at} + 1, {size})"
+        return f"zip_with(slice({labels}, {at} + 1, {size}), slice({shape}, {at} + 1, {size}), (x, d) -> concat_ws(' ', d - get({shape}, {at}), x))"
+
+    def step(s: str, token: str, first: bool) -> str:
+        at, bound = f"{s}.at", {v: f"{s}.{field[v]}" for v in names}
+        if token == ANCHOR:
+            to = f"if({at} = 0 OR {at} = {n}, {at}, NULL)"
+        elif token == WILD:
+            to = f"get({ends}, {at})"
+        elif variable(token):
+            # the first place binds, and the others compare
+            to = f"get({ends}, {at})" if first else f"if({node(at)} = {bound[token]}, get({ends}, {at}), NULL)"
+            if first:
+                bound[token] = node(at)
+        else:
+            fits = [f"WHEN slice({labels}, {at} + 1, {len(x)}) = array({', '.join(map(_text, x))}) THEN {at} + {len(x)}" for x in known.get(token) or [[token]]]
+            to = f"CASE {' '.join(fits)} END" if token in known else f"if(get({labels}, {at}) = {_text(token)}, {at} + 1, NULL)"
+        return f"named_struct('at', CAST({to} AS INT)" + "".join(f", '{field[v]}', {bound[v]}" for v in names) + ")"
+
+    state, seen = "array(named_struct('at', place" + "".join(f", '{field[v]}', CAST(NULL AS ARRAY<STRING>)" for v in names) + "))", set()
+    for k, t in enumerate(pattern):
+        # a transform binds the state, so that each step is evaluated once
+        state = f"filter(transform({state}, s{k} -> {step(f's{k}', t, t not in seen)}), f{k} -> f{k}.at IS NOT NULL)"
+        seen.add(t)
+    every = "array(0)" if pattern[0] == ANCHOR else f"sequence(0, {n} - 1)"
+    if not (pattern[0] in (ANCHOR, WILD) or pattern[0] in known or variable(pattern[0])):
+        every = f"filter({every}, k -> get({labels}, k) = {_text(pattern[0])})"
+    return f"filter(if({n} > 0, {every}, array()), place -> size({state}) > 0)"
+
+
+def match_places(labels: str, ends: str, pattern: Sequence[str], own: Mapping[str, Sequence[Sequence[str]]] | None = None, shape: str | None = None, variable: Callable[[str], bool] = is_variable) -> Column:
+    """As `places_sql`, of columns."""
+    return F.expr(places_sql(labels, ends, pattern, own, shape, variable))
 
 
 def tree_match(trees: DataFrame, patterns: Mapping[str, Sequence[str]], id_col: str) -> DataFrame:
     """id, pattern (its name) and n, in how many places it matches, if any, of trees (id, labels, ends, depths), one pass for all
     patterns. Variables are wide letters."""
     counts = [
-        F.struct(F.lit(name).alias("pattern"), F.size(match_places(F.col("labels"), F.col("ends"), tuple(p), shape=F.col("depths"), variable=is_wide)).cast("long").alias("n")) for name, p in patterns.items()
+        F.struct(F.lit(name).alias("pattern"), F.size(match_places("labels", "ends", tuple(p), shape="depths", variable=is_wide)).cast("long").alias("n")) for name, p in patterns.items()
     ]
     return trees.select(id_col, F.explode(F.array(*counts)).alias("x")).where("x.n > 0").select(id_col, "x.pattern", "x.n")
 

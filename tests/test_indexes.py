@@ -158,3 +158,25 @@ def test_reach_of_many_seeds_against_walking(spark):
     got = graph.reach(spark.createDataFrame(edges, "c1 long, c2 long, r string"), spark.createDataFrame([(s,) for s in seeds], "s long")).collect()
     assert len(got) == len(want) and {(r.seed, r.c) for r in got} == want
     assert graph.reach(spark.createDataFrame([], "c1 long, c2 long, r string"), spark.createDataFrame([(4,)], "s long")).collect() == [(4, 4)]
+
+
+@pytest.mark.parametrize("few", [10**4, 5, 0])
+def test_variants_by_named_fronts_and_by_tables(spark, few):
+    rng = random.Random(9)
+    names = [f"n{k}" for k in range(60)] + ["it's", "a\\b", "漢", 'q"']
+    edges = [(rng.choice(names), rng.choice(names), rng.choice(["strong", "other", "cjkvi/non-cognate", "kStrange_I"])) for _ in range(70)]
+    near, f = defaultdict(set), set()
+    for a, b, r in edges:
+        if r in ("strong", "other"):
+            near[a].add(b)
+            near[b].add(a)
+            f.add((a, b))
+    for seeds in (["it's", "n3"], ["a\\b"], ["unknown"], []):
+        seen, todo = set(seeds), list(seeds)
+        while todo:
+            for x in near[todo.pop()] - seen:
+                seen.add(x)
+                todo.append(x)
+        want = sorted((a, b, r, int((a, b) in f)) for a, b, r in edges if a in seen or b in seen)
+        got = graph.variants(spark.createDataFrame(edges, "c1 string, c2 string, r string"), seeds, few=few)
+        assert sorted(tuple(r) for r in got.collect()) == want

@@ -20,6 +20,16 @@ def random_tree(rng, deep=4):
     return [t] + [x for _ in range(S.ARITY.get(t, 0)) for x in random_tree(rng, deep - 1)]
 
 
+def test_both_tokenizers_agree(spark):
+    rng = random.Random(8)
+    bits = ["⿰", "木", "𠮷", "〆\ufe00", "葛\U000e0101", "\ufe00", "⿱\ufe00", "&U1;", "&x", ";", "{12}", "{", "}", "@l", "@R", "@x", "@", "↔", "⊖", " ", "\u3000", "\u00a0", "\t", "a", "？", "々", "⺡", "1"]
+    texts = ["".join(rng.choice(bits) for _ in range(rng.randrange(12))) for _ in range(500)]
+    got = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, t string").select("k", S.tokens_column("t").alias("x")).collect()
+    for k, x in got:
+        assert x == " ".join(S.tokenize(texts[k]).tokens), texts[k]
+    assert S.tokenize("〆\ufe00木").tokens == ("〆\ufe00", "木") and S.tokenize("&U1;@l{3}").tokens == ("&U1;", "@L", "{3}")
+
+
 def test_ends_of_prefix_trees(spark):
     rng = random.Random(1)
     trees = [random_tree(rng) for _ in range(60)]
@@ -37,7 +47,7 @@ def test_places_against_matching_step_by_step(spark):
     patterns = ["A", "⿰ ？ A", "§ ⿱ x x §", "⿰ x ⿱ x y", "x x", "§ x", "？", "C C", "⿰ C ？", "⿲ x ？ x", "A §", "§ A §", "x y x", "B C", "§ ？ §"]
     df = spark.createDataFrame([(k, t) for k, t in enumerate(trees)], "k int, t array<string>").withColumn("e", T.prefix_ends(F.col("t"), S.ARITY)).persist()
     for known in ({}, own):
-        cols = [F.size(T.match_places(F.col("t"), F.col("e"), tuple(p.split(" ")), known)).alias(str(i)) for i, p in enumerate(patterns)]
+        cols = [F.size(T.match_places("t", "e", tuple(p.split(" ")), known)).alias(str(i)) for i, p in enumerate(patterns)]
         for row in df.select("k", *cols).collect():
             for i, p in enumerate(patterns):
                 assert row[i + 1] == naive.matches(trees[row.k], S.Pattern(tuple(p.split(" "))), known), (trees[row.k], p)
