@@ -155,11 +155,6 @@ def split_rejoin(spark, sf_dir):
     return D.join_rows(D.split_rows(table(spark, sf_dir, "part").select("p_partkey", "p_name"), "p_name", " ", "value", "i"), "p_partkey")
 
 
-@query("SELECT CAST(i AS INTEGER) AS i, value FROM (SELECT unnest(['a', '漢', '𠮷', 'é']) AS value, unnest(range(1, 5)) AS i)")
-def split_characters(spark, sf_dir):
-    return D.split_rows(spark.range(1).select(F.lit("a漢𠮷é").alias("t")), "t", "", "value", "i")
-
-
 @query(
     "SELECT l_orderkey, l_linenumber, l_returnflag AS flag, l_linestatus AS status FROM lineitem UNION ALL "
     "SELECT l_orderkey, l_linenumber, l_linestatus, l_returnflag FROM lineitem WHERE l_quantity > 25"
@@ -245,44 +240,6 @@ def han(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(_HAN, "UCS string, property string, value string")
 
 
-@query(
-    "SELECT * FROM (VALUES ('线', 'kTraditionalVariant', '線', NULL), ('说', 'kSemanticVariant', '說', 'kMatthews'), ('说', 'kSemanticVariant', '説', 'kFenn:T'), "
-    "('乗', 'kJoyoKanji', '乗', NULL), ('亘', 'kJinmeiyoKanji', '亙', NULL)) AS v(UCS, property, value, additional_data)"
-)
-def variant_view(spark, sf_dir):
-    return D.unihan_variant(han(spark))
-
-
-@query("SELECT * FROM (VALUES ('丂', 'A', NULL), ('丂', 'B', '一'), ('丂', 'B', '𠀀'), ('丂', 'I', NULL)) AS v(UCS, category, value)")
-def strange_view(spark, sf_dir):
-    return D.unihan_strange(han(spark))
-
-
-@query("SELECT '一' AS UCS, 'G' AS source, 'G0-523B' AS value")
-def source_view(spark, sf_dir):
-    return D.unihan_source(han(spark))
-
-
-@query(
-    "SELECT * FROM (VALUES ('線', '线', 'kTraditionalVariant'), ('說', '说', 'kSemanticVariant'), ('説', '说', 'kSemanticVariant'), ('乗', '乗', 'kJoyoKanji'), ('亙', '亘', 'kJinmeiyoKanji'), "
-    "('一', '丂', 'kStrange'), ('𠀀', '丂', 'kStrange'), ('壱', '一', 'kDefinition')) AS v(ref, UCS, property)"
-)
-def reverse_references(spark, sf_dir):
-    return D.unihan_value_ref(han(spark)).select("ref", "UCS", "property")
-
-
-@query("SELECT u, CAST(n AS BIGINT) AS n, CAST(p AS BIGINT) AS p FROM (VALUES ('12 11', 12, 12), ('', 0, NULL), ('abc', 0, NULL), ('-2x', -2, -2), (' 5', 5, 5), ('0x1F', 0, 0)) AS v(u, n, p)")
-def integer_prefix(spark, sf_dir):
-    t = spark.createDataFrame([(x,) for x in ("12 11", "", "abc", "-2x", " 5", "0x1F")], "u string")
-    return t.select("u", X.leading_int("u").alias("n"), X.parse_int("u").alias("p"))
-
-
-@query("SELECT * FROM (VALUES ('4E00_E0100', '一󠄀', 'U+4E00', '4E00 E0100')) AS v(code, chars, first, name)")
-def code_points(spark, sf_dir):
-    t = spark.range(1).select(F.lit("4E00_E0100").alias("code")).withColumn("chars", X.sequence_char("code"))
-    return t.select("code", "chars", X.u_plus("chars").alias("first"), X.sequence_name("chars", " ").alias("name"))
-
-
 @query("SELECT p_partkey, a || '/' || b AS parts FROM (SELECT p_partkey, regexp_extract(p_brand, '([A-Z])([a-z]+)', 1) AS a, regexp_extract(p_brand, '([A-Z])([a-z]+)', 2) AS b FROM part)")
 def regexp_groups(spark, sf_dir):
     m = F.get(X.regexp_all("p_brand", "([A-Z])([a-z]+)", 2), F.lit(0))
@@ -371,27 +328,6 @@ _FULL = {
 }
 
 
-@query("SELECT * FROM (VALUES " + ", ".join(f"('{c}', '{t}')" for c, t in _FULL.items()) + ') AS v("UCS", "IDS_tokens")')
-def full_decomposition(spark, sf_dir):
-    return S.decompose_table(trees(spark))
-
-
-#: Patterns and what they find.
-_CASES = {
-    "⿰火土": "灶", "§？§": "XU信囚工明林森武江灶申萌蒜", "§⿰？土§": "灶", "？": "", "⿻丨日": "申", "⿻日丨": "申", "§⿱x⿰xx§": "森", "木*2": "林森", "木*3": "森", "§⿱艹⿰日月§": "萌", "日": "明申萌", "工": "工江", "火": "X灶",
-}
-
-
-@query("SELECT * FROM (VALUES " + ", ".join(f"('{p}', '{c if c != 'U' else '&U1;'}')" for p, cs in _CASES.items() for c in cs) + ') AS v(pattern, "UCS")')
-def structure_search(spark, sf_dir):
-    structures = S.decompose_table(trees(spark)).persist()
-    found = [S.search(structures, [p]).select(F.lit(p).alias("pattern"), "UCS") for p in _CASES]
-    out = found[0]
-    for f in found[1:]:
-        out = out.unionByName(f)
-    return out
-
-
 # ------------------------------------------------------------- stored indexes of words, grams and values, stores in ranges
 
 _stored: dict[tuple[str, str, str], object] = {}
@@ -584,6 +520,259 @@ def shared_subtrees(spark, sf_dir):
     return trees_op.shared_subtrees(page_trees(spark, sf_dir), "page_id").groupBy("size", "n", "trees").agg(F.count("*").alias("kinds"))
 
 
+# ------------------------------------------------------------- a character catalog derived from the parts
+
+#: The k-th part's character, in both languages: the ideographs from U+4E00 on.
+_FIRST, _CHARS = 0x4E00, 20_000
+
+
+def _at(k: str) -> str:
+    return f"({_FIRST} + ({k}) % {_CHARS})"
+
+
+def _char(k: str) -> str:
+    return f"chr(CAST({_at(k)} AS INTEGER))"
+
+
+def _code(k: str) -> str:
+    return f"printf('U+%04X', {_at(k)})"
+
+
+def part_properties(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(UCS, property, value) as the property files have them: strokes, variants with notes, strange categories, sources, texts with references."""
+    at = lambda n: F.lit(_FIRST) + (F.col("p_partkey") * n) % _CHARS
+    code, char, size = (lambda n: F.format_string("U+%04X", at(n))), (lambda n: X.char_of(at(n))), F.col("p_size")
+    rows = {
+        "kTotalStrokes": F.concat_ws(" ", size, size % 7 + 1),
+        "kTraditionalVariant": code(7),
+        "kSemanticVariant": F.when(size > 10, F.concat(code(3), F.lit("<kMatthews "), code(5))),
+        "kJoyoKanji": F.when(size % 2 == 0, "2010").otherwise(code(1)),
+        "kJinmeiyoKanji": F.when(size % 3 == 0, F.concat(F.lit("2010:"), code(11))).otherwise("2010"),
+        "kStrange": F.concat(F.lit("A B:"), code(13), F.lit(":"), code(17), F.lit(" I")),
+        "kIRG_GSource": F.col("p_brand"),
+        "kIRG_JSource": F.col("p_type"),
+        "kDefinition": F.concat("p_name", F.lit("; "), char(19), F.lit(" "), code(23), F.lit(" U+00E9 é")),
+        "kMorohashi": F.col("p_partkey").cast("string"),
+    }
+    each = F.explode(F.array(*(F.struct(F.lit(p).alias("property"), v.alias("value")) for p, v in rows.items()))).alias("x")
+    return table(spark, sf_dir, "part").select(char(1).alias("UCS"), each).select("UCS", "x.*").where("value is not null")
+
+
+def part_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(UCS, source, IDS): each part's character is made of that of a tenth of its number and a tree."""
+    k = F.col("p_partkey")
+    at = lambda n: X.char_of(F.lit(_FIRST) + n % _CHARS)
+    ids = F.concat(F.when(k % 3 == 1, "⿱").otherwise("⿰"), at(F.floor(k / 10)), F.lit("木"))
+    return table(spark, sf_dir, "part").where("p_partkey >= 10").select(at(k).alias("UCS"), F.lit("G").alias("source"), ids.alias("IDS"))
+
+
+_PARTS = f'SELECT p_partkey AS k, {_char("p_partkey")} AS "UCS", * FROM part'
+#: The full decomposition of every character that has a tree, and the others' own.
+_DECOMPOSED = (
+    f"WITH RECURSIVE d AS (SELECT p_partkey AS k, p_partkey AS n, '' AS pre, '' AS post FROM part WHERE p_partkey >= 10 UNION ALL "
+    "SELECT k, n // 10, pre || CASE WHEN n % 3 = 1 THEN '⿱ ' ELSE '⿰ ' END, ' 木' || post FROM d WHERE n >= 10), "
+    f't AS (SELECT k, {_char("k")} AS "UCS", pre || {_char("n")} || post AS tree FROM d WHERE n < 10) '
+)
+
+
+@query(
+    f'WITH p AS ({_PARTS}) SELECT "UCS", \'kTraditionalVariant\' AS property, {_char("k * 7")} AS value, NULL AS additional_data FROM p '
+    f"UNION ALL SELECT \"UCS\", 'kSemanticVariant', {_char('k * 3')}, 'kMatthews' FROM p WHERE p_size > 10 UNION ALL SELECT \"UCS\", 'kSemanticVariant', {_char('k * 5')}, NULL FROM p WHERE p_size > 10 "
+    f"UNION ALL SELECT \"UCS\", 'kJoyoKanji', \"UCS\", NULL FROM p WHERE p_size % 2 = 1 UNION ALL SELECT \"UCS\", 'kJinmeiyoKanji', {_char('k * 11')}, NULL FROM p WHERE p_size % 3 = 0"
+)
+def variant_view(spark, sf_dir):
+    return D.unihan_variant(part_properties(spark, sf_dir))
+
+
+@query(f'WITH p AS ({_PARTS}) SELECT "UCS", \'A\' AS category, NULL AS value FROM p UNION ALL SELECT "UCS", \'B\', {_char("k * 13")} FROM p UNION ALL SELECT "UCS", \'B\', {_char("k * 17")} FROM p UNION ALL SELECT "UCS", \'I\', NULL FROM p')
+def strange_view(spark, sf_dir):
+    return D.unihan_strange(part_properties(spark, sf_dir))
+
+
+@query(f"WITH p AS ({_PARTS}) SELECT \"UCS\", 'G' AS source, p_brand AS value FROM p UNION ALL SELECT \"UCS\", 'J', p_type FROM p")
+def source_view(spark, sf_dir):
+    return D.unihan_source(part_properties(spark, sf_dir))
+
+
+_REFERENCES = {"kTraditionalVariant": ((7,), "true"), "kSemanticVariant": ((3, 5), "p_size > 10"), "kJoyoKanji": ((1,), "p_size % 2 = 1"), "kJinmeiyoKanji": ((11,), "p_size % 3 = 0"), "kStrange": ((13, 17), "true"), "kDefinition": ((19, 23), "true")}
+
+
+@query(f"WITH p AS ({_PARTS}) " + " UNION ".join(f"SELECT {_char(f'k * {n}')} AS ref, \"UCS\", '{p}' AS property FROM p WHERE {test}" for p, (ns, test) in _REFERENCES.items() for n in ns))
+def reverse_references(spark, sf_dir):
+    return D.unihan_value_ref(part_properties(spark, sf_dir)).select("ref", "UCS", "property")
+
+
+@query(f"WITH p AS ({_PARTS}) SELECT \"UCS\", 'kTotalStrokes' AS property, 1 AS i, CAST(p_size AS VARCHAR) AS value FROM p UNION ALL SELECT \"UCS\", 'kTotalStrokes', 2, CAST(p_size % 7 + 1 AS VARCHAR) FROM p")
+def property_parts(spark, sf_dir):
+    return D.unihan_each(part_properties(spark, sf_dir), ["kTotalStrokes"])
+
+
+@query("SELECT p_partkey, CAST(i AS INTEGER) AS i, value FROM (SELECT p_partkey, unnest(string_split(p_name || '漢𠮷', '')) AS value, unnest(range(1, length(p_name) + 3)) AS i FROM part)")
+def split_characters(spark, sf_dir):
+    return D.split_rows(table(spark, sf_dir, "part").select("p_partkey", F.concat("p_name", F.lit("漢𠮷")).alias("t")), "t", "", "value", "i")
+
+
+@query("SELECT p_partkey, 1 AS way, CAST(p_size - 25 AS BIGINT) AS n, CAST(p_size - 25 AS BIGINT) AS p FROM part UNION ALL SELECT p_partkey, 2, 0, NULL FROM part UNION ALL SELECT p_partkey, 3, p_size, p_size FROM part UNION ALL SELECT p_partkey, 4, 0, 0 FROM part")
+def integer_prefix(spark, sf_dir):
+    """Numbers at the beginning of texts: signed and followed by words, none, after a plus sign, and before an x."""
+    size = F.col("p_size").cast("string")
+    texts = [F.concat(F.lit(" "), (F.col("p_size") - 25).cast("string"), F.lit(" "), F.col("p_name")), F.col("p_name"), F.concat(F.lit("+"), size, F.lit("."), size), F.concat(F.lit("0x"), size)]
+    each = F.explode(F.array(*(F.struct(F.lit(k).alias("way"), t.alias("t")) for k, t in enumerate(texts, 1)))).alias("x")
+    return table(spark, sf_dir, "part").select("p_partkey", each).select("p_partkey", "x.way", X.leading_int("x.t").alias("n"), X.parse_int("x.t").alias("p"))
+
+
+@query(f"SELECT printf('%04X_%05X', {_at('p_partkey')}, 917760 + p_partkey % 200) AS code, {_char('p_partkey')} || chr(CAST(917760 + p_partkey % 200 AS INTEGER)) AS chars, {_code('p_partkey')} AS first, printf('%04X %05X', {_at('p_partkey')}, 917760 + p_partkey % 200) AS name FROM part")
+def code_points(spark, sf_dir):
+    k = F.col("p_partkey")
+    t = table(spark, sf_dir, "part").select(F.format_string("%04X_%05X", F.lit(_FIRST) + k % _CHARS, F.lit(0xE0100) + k % 200).alias("code")).withColumn("chars", X.sequence_char("code"))
+    return t.select("code", "chars", X.u_plus("chars").alias("first"), X.sequence_name("chars", " ").alias("name"))
+
+
+_LABELS = f"SELECT {_char('p_partkey')} AS c1, {_char('p_partkey * 7 % 1009')} AS c2, CASE p_type WHEN 'ECONOMY' THEN 'cjkvi/non-cognate' WHEN 'SMALL' THEN 'kStrange_I' ELSE p_type END AS r FROM part"
+
+
+@query(
+    f"WITH RECURSIVE e AS ({_LABELS}), q AS (SELECT * FROM e WHERE r NOT IN ('cjkvi/non-cognate', 'kStrange_I')), s AS (SELECT c1 AS a, c2 AS b FROM q UNION SELECT c2, c1 FROM q), "
+    f"g(n) AS (SELECT {_char('i')} FROM range(1, 6) AS t(i) UNION SELECT s.b FROM g JOIN s ON s.a = g.n) "
+    "SELECT c1, c2, r, CAST(max(CASE WHEN r NOT IN ('cjkvi/non-cognate', 'kStrange_I') THEN 1 ELSE 0 END) OVER (PARTITION BY c1, c2) AS INTEGER) AS f FROM e WHERE c1 IN (SELECT n FROM g) OR c2 IN (SELECT n FROM g)"
+)
+def variants_labels(spark, sf_dir):
+    """Expansion by the labels that are weak of themselves."""
+    k, kind = F.col("p_partkey"), F.col("p_type")
+    label = F.when(kind == "ECONOMY", "cjkvi/non-cognate").when(kind == "SMALL", "kStrange_I").otherwise(kind)
+    e = table(spark, sf_dir, "part").select(X.char_of(F.lit(_FIRST) + k % _CHARS).alias("c1"), X.char_of(F.lit(_FIRST) + k * 7 % 1009).alias("c2"), label.alias("r"))
+    return graph.variants(e, [chr(_FIRST + i) for i in range(1, 6)])
+
+
+@query(_DECOMPOSED + 'SELECT "UCS", tree AS "IDS_tokens" FROM t')
+def full_decomposition(spark, sf_dir):
+    return S.decompose_table(part_trees(spark, sf_dir))
+
+
+def part_structures(spark, sf_dir) -> DataFrame:
+    return stored(spark, sf_dir, "structures", lambda folder: files.write_tables({"s": S.decompose_table(part_trees(spark, sf_dir))}, folder) and spark.read.parquet(f"{folder}/s"))
+
+
+#: Patterns over all characters' trees, and what finds them in the text of a tree.
+_CASES = {
+    "§⿰？木§": "tree LIKE '⿰ %'", "木*3": "k >= 1000", "⿱⿰": "contains(tree, '⿱ ⿰ ')", "§⿰⿰？木木§": "tree LIKE '⿰ ⿰ %'", "⿰x⿰x木": "false", f"{chr(_FIRST + 12)}木": "k >= 100 AND left(CAST(k AS VARCHAR), 2) IN ('11', '12', '14', '15', '17', '18')",  # these have one tree
+    f"⿱{chr(_FIRST + 3)}木": f"contains(tree, '⿱ {chr(_FIRST + 3)} 木')", "？": "false", "木木§": "k >= 100",
+}
+
+
+@query(_DECOMPOSED + " UNION ALL ".join(f"SELECT '{p}' AS pattern, \"UCS\" FROM t WHERE {test}" for p, test in _CASES.items()))
+def structure_search(spark, sf_dir):
+    """Searches with wildcards, variables, anchors, multiplicity and characters that stand for their trees."""
+    structures, out = part_structures(spark, sf_dir), None
+    for p in _CASES:
+        own = S.search(structures, [p]).select(F.lit(p).alias("pattern"), "UCS")
+        out = own if out is None else out.unionByName(own)
+    return out
+
+
+def part_catalog(spark, sf_dir) -> dict[str, DataFrame]:
+    return {"unihan": part_properties(spark, sf_dir), "ids": part_trees(spark, sf_dir), "structures": part_structures(spark, sf_dir)}
+
+
+@query(f"SELECT DISTINCT {_char('p_partkey')} AS r FROM part WHERE p_size >= 20 AND contains(p_name, 'ring') AND p_partkey >= 10 AND p_size <> 30")
+def character_search(spark, sf_dir):
+    """A search of the character registry: strokes, a text, a variant property, and a complement over all characters with a tree."""
+    from ..operators.properties import character_registry
+
+    t = D.with_views(part_catalog(spark, sf_dir))
+    keys = {"unihan.kTotalStrokes.ge": "20", "unihan.kDefinition.glob": "*ring*", "unihan.kTraditionalVariant.has": "", "unihan.kTotalStrokes.ne": "30"}
+    return character_registry().search(t, list(keys), list(keys.values()))
+
+
+_KEYS = {
+    ("unihan.kTotalStrokes", "14"): "p_size = 14", ("unihan.kTotalStrokes.lt", "5"): "p_size < 5", ("unihan.kTotalStrokes.ge.ne", "40"): "p_size < 40 AND p_partkey >= 10",
+    ("unihan.kTraditionalVariant", "U+4E46"): "p_partkey * 7 % 20000 = 70", ("unihan.kTraditionalVariant", chr(_FIRST + 77)): "p_partkey * 7 % 20000 = 77",
+    ("unihan.kStrange.B", chr(_FIRST + 130)): "p_partkey * 13 % 20000 = 130 OR p_partkey * 17 % 20000 = 130", ("unihan.kStrange.A.has", ""): "true", ("unihan.kMorohashi", "18"): "p_partkey = 18",
+    ("unihan.kDefinition.glob", "[a-m]*"): "p_name < 'n' AND p_name >= 'a'", ("unihan.kSemanticVariant.has", ""): "p_size > 10",
+}
+
+
+@query(" UNION ALL ".join(f"SELECT DISTINCT '{k}' AS key, '{q}' AS q, {_char('p_partkey')} AS r FROM part WHERE {test}" for (k, q), test in _KEYS.items()))
+def character_keys(spark, sf_dir):
+    """Keys of each kind of the character registry."""
+    from ..operators.properties import character_registry
+
+    t, out = D.with_views(part_catalog(spark, sf_dir)), None
+    for k, v in _KEYS:
+        own = character_registry().find(t, k, v).select(F.lit(k).alias("key"), F.lit(v).alias("q"), "r").distinct()
+        out = own if out is None else out.unionByName(own)
+    return out
+
+
+@query(
+    f"""SELECT {_char("k")} AS char, '{{"char":"' || {_char("k")} || '","UCS":"' || {_code("k")} || '","ids":' || CASE WHEN k >= 10 THEN '[{{"IDS":"' || CASE WHEN k % 3 = 1 THEN '⿱' ELSE '⿰' END || {_char("k // 10")} || '木","source":"G"}}]' ELSE '[]' END || '}}' AS document FROM (SELECT p_partkey AS k FROM part)"""
+)
+def character_document(spark, sf_dir):
+    """The documents of all characters, of three fields."""
+    chars = table(spark, sf_dir, "part").select(X.char_of(F.lit(_FIRST) + F.col("p_partkey") % _CHARS).alias("char"))
+    return docs.character_documents(part_catalog(spark, sf_dir), chars, ["UCS", "char", "ids"])
+
+
+@query("SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 THEN p_brand ELSE p_type END AS projected FROM part")
+def projections(spark, sf_dir):
+    """Left and right arguments, one inside the other, of a tree of each part."""
+    side = F.when(F.col("p_partkey") % 2 == 0, "@L").otherwise("@R")
+    t = table(spark, sf_dir, "part").select("p_partkey", F.concat_ws(" ", side, F.lit("@M ⿳ a ⿰"), "p_brand", "p_type", F.lit("b")).alias("tree"))
+    return S.project_table(t, "tree", "projected").select("p_partkey", "projected")
+
+
+_PAGES = {
+    "木*3": ({"ids": ["木*3"]}, "k >= 1000", ""),
+    "25 from 10 on": ({"ids": ["§⿰？木§"], "limit": "25 rows", "offset": 10}, "k >= 10 AND k % 3 <> 1", "LIMIT 25 OFFSET 10"),
+    "whole": ({"whole": ["⿱？木"]}, "k >= 10 AND k % 3 = 1", ""),
+    "strokes": ({"ids": ["§⿱？木§"], "p": ["unihan.kTotalStrokes.ge"], "q": ["30"]}, "k >= 10 AND k % 3 = 1 AND p_size >= 30", ""),
+    "strokes alone": ({"p": ["unihan.kTotalStrokes", "unihan.kIRG_GSource.notGlob"], "q": ["8", "Brand#1*"]}, "k >= 10 AND p_size = 8 AND p_brand NOT LIKE 'Brand#1%'", ""),
+    "two": ({"ids": ["⿱⿰", "木*3"], "limit": 7}, "contains(tree, '⿱ ⿰ ') AND k >= 1000", "LIMIT 7"),
+}
+_PAGES_SQL = _DECOMPOSED + ", p AS (SELECT * FROM t JOIN part ON p_partkey = k) " + " UNION ALL ".join(f"SELECT * FROM (SELECT '{n}' AS page, \"UCS\" AS r FROM p WHERE {test} ORDER BY r {cut_})" for n, (_, test, cut_) in _PAGES.items())
+
+
+def _pages(engine) -> DataFrame:
+    out = None
+    for name, (args, _, _) in _PAGES.items():
+        own = engine.find(**args)["results"].select(F.lit(name).alias("page"), "r")
+        out = own if out is None else out.unionByName(own)
+    return out
+
+
+@query(_PAGES_SQL)
+def idsfind_page(spark, sf_dir):
+    """Searches by structure, property and both, whole and paged."""
+    from .engine import Engine
+
+    return _pages(Engine(spark, part_catalog(spark, sf_dir)))
+
+
+@query(_PAGES_SQL)
+def build_catalog(spark, sf_dir):
+    """The same searches over a catalog that was built and stored, by its index."""
+    from .engine import Engine, build
+
+    own = {n: t for n, t in part_catalog(spark, sf_dir).items() if n in ("ids", "unihan")}
+    return _pages(Engine(spark, stored(spark, sf_dir, "catalog", lambda folder: build(own, folder))))
+
+
+@query(_DECOMPOSED + "SELECT CAST(NULL AS VARCHAR) AS source, replace(tree, ' ', '') AS ids FROM t WHERE k = 123")
+def decompose_one(spark, sf_dir):
+    from .engine import decompose_text
+
+    return decompose_text(part_trees(spark, sf_dir), chr(_FIRST + 123))
+
+
+@query(f"SELECT {_char('7')} || chr(CAST(917760 + p_partkey // 20 AS INTEGER)) AS \"IVS\", '4E07 ' || printf('%05X', 917760 + p_partkey // 20) AS unicode, p_brand AS collection, 'CID+' || p_partkey AS code FROM part WHERE p_partkey % 20 = 7 AND p_partkey < 4800")
+def sequence_list(spark, sf_dir):
+    """The variation sequences of a character, of as many as there are selectors for."""
+    k = F.col("p_partkey")
+    pair = F.concat(X.char_of(F.lit(_FIRST) + k % 20), X.char_of(F.lit(0xE0100) + F.floor(k / 20)))
+    ivs = table(spark, sf_dir, "part").where("p_partkey < 4800").select(pair.alias("IVS"), F.col("p_brand").alias("collection"), F.concat(F.lit("CID+"), k).alias("code"))
+    return docs.sequence_list(ivs, chr(_FIRST + 7))
+
+
 # ------------------------------------------------------------- graph
 
 _RELS = "SELECT p_partkey AS c1, (p_partkey * 7 + p_size) % 2000 AS c2, p_type AS r FROM part"
@@ -611,12 +800,6 @@ def reach_of_each(spark, sf_dir):
     return found.groupBy("seed").agg(F.count("*").alias("n"), F.sum("c").alias("total"))
 
 
-@query("SELECT * FROM (VALUES ('A', 'B', 'strong-ab', 1), ('A', 'X', 'cjkvi/non-cognate', 0), ('B', 'C', 'strong-bc', 1), ('C', 'Y', 'kStrange_I', 0)) AS v(c1, c2, r, f)")
-def variants_labels(spark, sf_dir):
-    e = spark.createDataFrame([("A", "B", "strong-ab"), ("A", "X", "cjkvi/non-cognate"), ("B", "C", "strong-bc"), ("C", "Y", "kStrange_I"), ("Y", "Z", "strong"), ("A", None, "dropped")], "c1 string, c2 string, r string")
-    return graph.variants(e.dropna(), ["A"])
-
-
 # ------------------------------------------------------------- joins, aggregates, documents
 
 
@@ -773,71 +956,6 @@ def variant_map_rows(spark, sf_dir):
     return spark.createDataFrame(rows, "c2 string, c1 string, r string")
 
 
-@query("SELECT * FROM (VALUES ('漢', 'kTotalStrokes', 1, '14'), ('漢', 'kTotalStrokes', 2, '13'), ('一', 'kTotalStrokes', 1, '1')) AS v(\"UCS\", property, i, value)")
-def property_parts(spark, sf_dir):
-    return D.unihan_each(han(spark), ["kTotalStrokes"])
-
-
-@query("SELECT '漢' AS r")
-def character_search(spark, sf_dir):
-    """A search of the character registry: strokes of either source, and a dictionary entry."""
-    from ..operators.properties import character_registry
-
-    t = full_catalog(spark)
-    return character_registry().search(t, ["totalStrokes.ge", "unihan.kMorohashi.has", "mji.読み.prefix"], ["13", "", "カ"])
-
-
-@query("SELECT * FROM (VALUES ('UCS', 'U+6F22', '漢'), ('totalStrokes', '14', '漢'), ('totalStrokes.lt', '2', '一'), ('unihan.kAccountingNumeric.ge', '2', '弐'), ('unihan.kPrimaryNumeric', '5', '五'), ('unihan.kTraditionalVariant', '線', '线'), ('unihan.kTraditionalVariant', 'U+7DDA', '线'), ('unihan.kStrange', '一', '丂'), ('unihan.kStrange.B', '一', '丂'), ('unihan.kStrange.A.has', '', '丂')) AS v(key, q, r)")
-def character_keys(spark, sf_dir):
-    """Keys of each kind of the character registry, over real values."""
-    from ..operators.properties import character_registry
-
-    more = [("弐", "kAccountingNumeric", "2"), ("五", "kPrimaryNumeric", "5"), ("一", "kPrimaryNumeric", "1")]
-    t = full_catalog(spark)
-    t = D.with_views({n: x for n, x in t.items() if not n.startswith("unihan")} | {"unihan": t["unihan"].union(spark.createDataFrame(more, "UCS string, property string, value string"))})
-    out = None
-    asked = [("UCS", "U+6F22"), ("totalStrokes", "14"), ("totalStrokes.lt", "2"), ("unihan.kAccountingNumeric.ge", "2"), ("unihan.kPrimaryNumeric", "5"), ("unihan.kTraditionalVariant", "線"), ("unihan.kTraditionalVariant", "U+7DDA"), ("unihan.kStrange", "一"), ("unihan.kStrange.B", "一"), ("unihan.kStrange.A.has", "")]
-    for k, v in asked:
-        own = character_registry().find(t, k, v).select(F.lit(k).alias("key"), F.lit(v).alias("q"), "r").distinct()
-        out = own if out is None else out.unionByName(own)
-    return out
-
-
-def searchable(spark: SparkSession) -> dict[str, DataFrame]:
-    """The inline catalog with its trees, and a character of theirs with a property."""
-    t = dict(full_catalog(spark))
-    t["unihan"] = t["unihan"].union(spark.createDataFrame([("明", "kTotalStrokes", "8"), ("萌", "kTotalStrokes", "11")], "UCS string, property string, value string"))
-    return t | {"ids": trees(spark), "structures": S.decompose_table(trees(spark))}
-
-
-_PAGES = [("日", {"ids": ["日"]}, "明申萌"), ("日 2 1", {"ids": ["日"], "limit": "2", "offset": 1}, "申萌"), ("⿰日月", {"whole": ["⿰日月"]}, "明"), ("日 strokes", {"ids": ["日"], "p": ["unihan.kTotalStrokes.ge"], "q": ["9"]}, "萌"), ("strokes", {"p": ["unihan.kTotalStrokes"], "q": ["8"]}, "明"), ("any 2", {"ids": ["§？§"], "limit": 2}, "X信"), ("any 2, all", {"ids": ["§？§"], "limit": 2, "all_results": True}, "UX"), ("overlay", {"ids": ["⿻丨日"]}, "申"), ("two", {"ids": ["日", "月"]}, "明萌")]
-
-
-@query("SELECT * FROM (VALUES " + ", ".join(f"('{n}', '{c if c != 'U' else '&U1;'}')" for n, _, cs in _PAGES for c in cs) + ") AS v(page, r)")
-def idsfind_page(spark, sf_dir):
-    """Searches by structure, property and both, whole and paged, with and without characters that have no code point."""
-    from .engine import Engine
-
-    engine, out = Engine(spark, {n: cut(t) if n == "structures" else t for n, t in searchable(spark).items()}), None
-    for name, args, _ in _PAGES:
-        own = engine.find(**args)["results"].select(F.lit(name).alias("page"), "r")
-        out = own if out is None else out.unionByName(own)
-    return out
-
-
-@query("SELECT * FROM (VALUES " + ", ".join(f"('{n}', '{c if c != 'U' else '&U1;'}')" for n, _, cs in _PAGES for c in cs) + ") AS v(page, r)")
-def build_catalog(spark, sf_dir):
-    """The same searches over a catalog that was built and stored, by its index."""
-    from .engine import Engine, build
-
-    folder = f"{shared_folder(spark)}/glyphmill-catalog-{uuid.uuid4().hex}"
-    engine, out = Engine(spark, build({n: t for n, t in searchable(spark).items() if n in ("ids", "unihan")}, folder)), None
-    for name, args, _ in _PAGES:
-        own = engine.find(**args)["results"].select(F.lit(name).alias("page"), "r")
-        out = own if out is None else out.unionByName(own)
-    return out
-
-
 _REFERRED = {
     ("一", "unihan_fts"): '[["U+4E02","丂","kStrange","A B:U+4E00:U+20000 I"]]',
     ("一", "ivs_duplicate"): '[["4E00_E0100","一\U000e0100","4E00_E0101","一\U000e0101","ExampleCollection","CID+1200"],["4E00_E0101","一\U000e0101","4E00_E0100","一\U000e0100","ExampleCollection","CID+1200"]]',
@@ -874,20 +992,6 @@ def document_mji_keys(spark, sf_dir):
     return d.select(F.posexplode(keys).alias("place", "key"))
 
 
-@query("SELECT * FROM (VALUES ('@R ⿲ a b c', 'c'), ('@T ⿱ ⿰ x y z', '⿰ x y'), ('@I ⿴ 囗 人', '人'), ('@L @R ⿰ a ⿲ b c d', 'b')) AS v(tree, projected)")
-def projections(spark, sf_dir):
-    done = F.udf(lambda t: " ".join(S.project(t.split(" "))))
-    t = spark.createDataFrame([("@R ⿲ a b c",), ("@T ⿱ ⿰ x y z",), ("@I ⿴ 囗 人",), ("@L @R ⿰ a ⿲ b c d",)], "tree string")
-    return t.select("tree", done("tree").alias("projected"))
-
-
-@query("SELECT * FROM (VALUES (NULL, '⿰氵⿱一⿱丨一')) AS v(source, ids)")
-def decompose_one(spark, sf_dir):
-    from .engine import decompose_text
-
-    return decompose_text(trees(spark), "江")
-
-
 @query("SELECT lines, CAST(lines AS BIGINT) AS statements, true AS summed FROM (SELECT count(*) AS lines FROM nation)")
 def sql_export(spark, sf_dir):
     """A table as INSERT statements with the checksums of its files."""
@@ -897,23 +1001,8 @@ def sql_export(spark, sf_dir):
     return lines.join(sums.agg((F.min(F.length("sha256")) == 64).alias("summed")))
 
 
-_DOCUMENTS = {
-    "漢": '{"char":"漢","UCS":"U+6F22","ids":[{"IDS":"⿰氵𦰩","source":"G"}],"ids_comment":["x"],"ivs":[],"joyo_kangxi":[],"kdpv":{},"unihan_rs":{"kRSAdobe_Japan1_6":[[85,10,"水",3,"CID+1533"]],"kRSUnicode":[[85,11,"水","85"]]}}',
-    "一": '{"char":"一","UCS":"U+4E00","ids":[],"ids_comment":[],"ivs":[{"char":"一󠄀","IVS":"4E00_E0100","collection":"ExampleCollection","code":"CID+1200"},{"char":"一󠄁","IVS":"4E00_E0101","collection":"ExampleCollection","code":"CID+1200"}],"joyo_kangxi":[],"kdpv":{"cjkvi/duplicate":["壱"],"jp/new-style":["弌"]},"unihan_rs":{"kRSAdobe_Japan1_6":null,"kRSUnicode":null}}',
-}
-
-
-@query("SELECT * FROM (VALUES " + ", ".join(f"('{c}', '{d}')" for c, d in _DOCUMENTS.items()) + ") AS v(char, document)")
-def character_document(spark, sf_dir):
-    chars = spark.createDataFrame([(c,) for c in _DOCUMENTS], "char string")
-    return docs.character_documents(catalog(spark), chars, ["UCS", "char", "ids", "ids_comment", "ivs", "kdpv", "joyo_kangxi", "unihan_rs"])
-
-
 @query("SELECT '卍' AS char, '{\"ids_similar\":[{\"UCS\":\"卐\",\"IDS\":\"⿾卍\",\"source\":\"GT\"}]}' AS document")
 def similar_characters(spark, sf_dir):
     return docs.character_documents(catalog(spark), spark.createDataFrame([("卍",)], "char string"), ["ids_similar"])
 
 
-@query("SELECT * FROM (VALUES ('一󠄀', '4E00 E0100', 'ExampleCollection', 'CID+1200'), ('一󠄁', '4E00 E0101', 'ExampleCollection', 'CID+1200')) AS v(\"IVS\", unicode, collection, code)")
-def sequence_list(spark, sf_dir):
-    return docs.sequence_list(catalog(spark)["ivs"], "一")

@@ -8,6 +8,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.shared import cut
 from ..operators import documents, graph, structures
 from ..operators.derived import with_views
 from ..operators.properties import Registry, character_registry, page
@@ -65,6 +66,8 @@ class Engine:
                 found = found.join(self.registry.find(self.tables, k, v), "r", "left_semi")
         else:
             found = self.registry.search(self.tables, p, q)
+        if limit or not offset:
+            found = cut(found)  # searched once: for the rows, and for how many there are or whether more
         rows, paged = page(found, limit, offset)
         size = page(found, limit)[0] if limit else None
         out: dict = {"results": rows}
