@@ -523,7 +523,7 @@ def shared_subtrees(spark, sf_dir):
 # ------------------------------------------------------------- a character catalog derived from the parts
 
 #: The k-th part's character, in both languages: the ideographs from U+4E00 on.
-_FIRST, _CHARS = 0x4E00, 20_000
+_FIRST, _CHARS = 0x4E00, 20_900
 
 
 def _at(k: str) -> str:
@@ -686,8 +686,8 @@ def character_search(spark, sf_dir):
 
 _KEYS = {
     ("unihan.kTotalStrokes", "14"): "p_size = 14", ("unihan.kTotalStrokes.lt", "5"): "p_size < 5", ("unihan.kTotalStrokes.ge.ne", "40"): "p_size < 40 AND p_partkey >= 10",
-    ("unihan.kTraditionalVariant", "U+4E46"): "p_partkey * 7 % 20000 = 70", ("unihan.kTraditionalVariant", chr(_FIRST + 77)): "p_partkey * 7 % 20000 = 77",
-    ("unihan.kStrange.B", chr(_FIRST + 130)): "p_partkey * 13 % 20000 = 130 OR p_partkey * 17 % 20000 = 130", ("unihan.kStrange.A.has", ""): "true", ("unihan.kMorohashi", "18"): "p_partkey = 18",
+    ("unihan.kTraditionalVariant", "U+4E46"): f"p_partkey * 7 % {_CHARS} = 70", ("unihan.kTraditionalVariant", chr(_FIRST + 77)): f"p_partkey * 7 % {_CHARS} = 77",
+    ("unihan.kStrange.B", chr(_FIRST + 130)): f"p_partkey * 13 % {_CHARS} = 130 OR p_partkey * 17 % {_CHARS} = 130", ("unihan.kStrange.A.has", ""): "true", ("unihan.kMorohashi", "18"): "p_partkey = 18",
     ("unihan.kDefinition.glob", "[a-m]*"): "p_name < 'n' AND p_name >= 'a'", ("unihan.kSemanticVariant.has", ""): "p_size > 10",
 }
 
@@ -773,6 +773,67 @@ def sequence_list(spark, sf_dir):
     return docs.sequence_list(ivs, chr(_FIRST + 7))
 
 
+def part_relations(spark, sf_dir) -> dict[str, DataFrame]:
+    """Relations of a row a part: comments, sequences, older forms, similar trees, standard sequences."""
+    k = F.col("p_partkey")
+    at = lambda n: X.char_of(F.lit(_FIRST) + n % _CHARS)
+    p = table(spark, sf_dir, "part")
+    return {
+        "unihan": part_properties(spark, sf_dir),
+        "ids": p.select(at(k).alias("UCS"), F.lit("G").alias("source"), F.concat(F.lit("⿾"), at(k + 3)).alias("IDS")),
+        "ids_comment": p.select(at(k).alias("UCS"), F.col("p_name").alias("comment")),
+        "ivs": p.select(F.concat(at(k), F.lit("\U000e0100")).alias("IVS"), F.col("p_brand").alias("collection"), F.concat(F.lit("CID+"), k).alias("code")),
+        "joyo_kangxi": p.select(at(k).alias("漢字"), at(k + 1).alias("康熙字典体")),
+        "svs_cjkci": p.select(F.concat(at(k), F.lit("\ufe00")).alias("SVS"), X.char_of(F.lit(0xF900) + k % 200).alias("CJKCI")),
+    }
+
+
+_HEX = f"printf('%04X', {_at('k')})"
+#: JSON of the fields of the k-th part's character.
+_FIELDS_SQL = {
+    "ids_similar": f"""CASE WHEN k >= 3 THEN '[{{"UCS":"' || {_char("k - 3")} || '","IDS":"⿾' || {_char("k")} || '","source":"G"}}]' ELSE '[]' END""",
+    "ids_comment": """'["' || p_name || '"]'""",
+    "ivs": f"""'[{{"char":"' || {_char("k")} || chr(917760) || '","IVS":"' || {_HEX} || '_E0100","collection":"' || p_brand || '","code":"CID+' || k || '"}}]'""",
+    "joyo_kangxi": f"""'["' || {_char("k + 1")} || '"]'""",
+    "joyo_kangxi_inverse": f"""CASE WHEN k >= 1 THEN '["' || {_char("k - 1")} || '"]' ELSE '[]' END""",
+    "svs_cjkci": f"""'[{{"SVS_char":"' || {_char("k")} || chr(65024) || '","SVS":"' || {_HEX} || '_FE00","CJKCI_char":"' || chr(CAST(63744 + k % 200 AS INTEGER)) || '","CJKCI":"' || printf('U+%04X', 63744 + k % 200) || '"}}]'""",
+    "unihan": f"""'{{"kDefinition":"' || p_name || '; ' || {_char("k * 19")} || ' ' || {_code("k * 23")} || ' U+00E9 é","kIRG_GSource":"' || p_brand || '","kIRG_JSource":"' || p_type || '","kJinmeiyoKanji":"2010' || CASE WHEN p_size % 3 = 0 THEN ':' || {_code("k * 11")} ELSE '' END || '","kJoyoKanji":"' || CASE WHEN p_size % 2 = 0 THEN '2010' ELSE {_code("k")} END || '","kMorohashi":"' || k || CASE WHEN p_size > 10 THEN '","kSemanticVariant":"' || {_code("k * 3")} || '<kMatthews ' || {_code("k * 5")} ELSE '' END || '","kStrange":"A B:' || {_code("k * 13")} || ':' || {_code("k * 17")} || ' I","kTotalStrokes":"' || p_size || ' ' || (p_size % 7 + 1) || '","kTraditionalVariant":"' || {_code("k * 7")} || '"}}'""",
+}
+
+
+@query(" UNION ALL ".join(f"SELECT {_char('k')} AS char, '{f}' AS field, {sql} AS value FROM (SELECT p_partkey AS k, * FROM part)" for f, sql in _FIELDS_SQL.items()))
+def document_fields(spark, sf_dir):
+    """Fields of the documents of all characters, one a row."""
+    t, out = part_relations(spark, sf_dir), None
+    chars = table(spark, sf_dir, "part").select(X.char_of(F.lit(_FIRST) + F.col("p_partkey") % _CHARS).alias("char"))
+    for name in _FIELDS_SQL:
+        d = docs.character_documents(t, chars, [name])
+        row = d.select("char", F.lit(name).alias("field"), F.regexp_replace("document", rf'^\{{"{name}":(.*)\}}$', "$1").alias("value"))
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
+@query(f"SELECT {_char('k')} AS char, '{{\"ids_similar\":' || {_FIELDS_SQL['ids_similar']} || '}}' AS document FROM (SELECT p_partkey AS k FROM part)")
+def similar_characters(spark, sf_dir):
+    chars = table(spark, sf_dir, "part").select(X.char_of(F.lit(_FIRST) + F.col("p_partkey") % _CHARS).alias("char"))
+    return docs.character_documents(part_relations(spark, sf_dir), chars, ["ids_similar"])
+
+
+@query(
+    f"SELECT {_char('k * 7')} AS c2, {_char('k')} AS c1, 'kept' AS r FROM (SELECT p_partkey AS k FROM part) WHERE k % 2 = 0 AND k * 6 % {_CHARS} <> 0 "
+    f"UNION ALL SELECT {_char('k * 3')}, {_char('k')}, 'kept' FROM (SELECT p_partkey AS k, p_size FROM part) WHERE k % 2 = 1 AND p_size % 4 <> 0 AND k * 2 % {_CHARS} <> 0 AND {_char('k')} NOT IN ('王', '耂', '肀')"
+)
+def variant_map_rows(spark, sf_dir):
+    """The decomposition's map of radical forms and z-variants, as rows."""
+    k = F.col("p_partkey")
+    at = lambda n: X.char_of(F.lit(_FIRST) + n % _CHARS)
+    p = table(spark, sf_dir, "part")
+    unihan = p.where(k % 2 == 0).select(at(k).alias("UCS"), F.lit("kZVariant").alias("property"), F.format_string("U+%04X", F.lit(_FIRST) + k * 7 % _CHARS).alias("value"))
+    kdpv = p.where(k % 2 == 1).select(at(k * 3).alias("subject"), F.lit("cjkvi/radical-variant").alias("rel"), at(k).alias("object"), F.when(F.col("p_size") % 4 == 0, "partial").alias("comment"))
+    rows = [(v, c, "kept") for c, vs in S.variant_map(unihan, kdpv).items() for v in vs if v != c]
+    return spark.createDataFrame(rows, "c2 string, c1 string, r string")
+
+
 # ------------------------------------------------------------- graph
 
 _RELS = "SELECT p_partkey AS c1, (p_partkey * 7 + p_size) % 2000 AS c2, p_type AS r FROM part"
@@ -906,18 +967,6 @@ _FIELDS = {
 }
 
 
-@query("SELECT * FROM (VALUES " + ", ".join(f"('{f}', '{v}')" for f, v in _FIELDS.items()) + ") AS v(field, value)")
-def document_fields(spark, sf_dir):
-    """One field of the document a row."""
-    t, chars = full_catalog(spark), spark.createDataFrame([("漢",)], "char string")
-    out = None
-    for name in _FIELDS:
-        d = docs.character_documents(t, chars, [name])
-        row = d.select(F.lit(name).alias("field"), F.regexp_replace("document", rf'^\{{"{name}":(.*)\}}$', "$1").alias("value"))
-        out = row if out is None else out.unionByName(row)
-    return out
-
-
 _INVERSE = '[{"表":"辞書類等による関連字","文字":"漢","MJ文字図形名":"MJ1","対応するUCS":"U+6F22","実装したUCS":"U+6F22","実装したMoji_JohoコレクションIVS":null,"実装したSVS":null}]'
 
 
@@ -947,15 +996,6 @@ def variant_edges(spark, sf_dir):
     return graph.edges(full_catalog(spark))
 
 
-@query("SELECT '汉' AS c2, '漢' AS c1, 'kept' AS r UNION ALL SELECT '水', '氵', 'kept'")
-def variant_map_rows(spark, sf_dir):
-    """The decomposition's map of radical forms and z-variants, as rows."""
-    unihan = spark.createDataFrame([("漢", "kZVariant", "U+6C49")], "UCS string, property string, value string")
-    kdpv = spark.createDataFrame([("王", "cjkvi/radical-variant", "王", None), ("水", "cjkvi/radical-variant", "氵", None), ("火", "cjkvi/radical-variant", "灬", "partial")], "subject string, rel string, object string, comment string")
-    rows = [(v, k, "kept") for k, vs in S.variant_map(unihan, kdpv).items() for v in vs if v != k]
-    return spark.createDataFrame(rows, "c2 string, c1 string, r string")
-
-
 _REFERRED = {
     ("一", "unihan_fts"): '[["U+4E02","丂","kStrange","A B:U+4E00:U+20000 I"]]',
     ("一", "ivs_duplicate"): '[["4E00_E0100","一\U000e0100","4E00_E0101","一\U000e0101","ExampleCollection","CID+1200"],["4E00_E0101","一\U000e0101","4E00_E0100","一\U000e0100","ExampleCollection","CID+1200"]]',
@@ -1001,8 +1041,3 @@ def sql_export(spark, sf_dir):
     return lines.join(sums.agg((F.min(F.length("sha256")) == 64).alias("summed")))
 
 
-@query("SELECT '卍' AS char, '{\"ids_similar\":[{\"UCS\":\"卐\",\"IDS\":\"⿾卍\",\"source\":\"GT\"}]}' AS document")
-def similar_characters(spark, sf_dir):
-    return docs.character_documents(catalog(spark), spark.createDataFrame([("卍",)], "char string"), ["ids_similar"])
-
-

@@ -109,3 +109,20 @@ def test_pages_of_loaded_and_stored_catalogs(spark, structures, tmp_path):
             found = engine.find(**args)
             assert [r.r for r in found["results"].collect()] == ["&U1;" if c == "U" else c for c in want], args
             assert found.get("total", len(want)) == len(want) and ("done" in found) == ("limit" in args)
+
+
+@pytest.mark.parametrize("name", bindings._FIELDS)
+def test_document_fields(spark, name):
+    d = documents.character_documents(bindings.full_catalog(spark), spark.createDataFrame([("漢",)], "char string"), [name])
+    assert [r.document for r in d.collect()] == [f'{{"{name}":{bindings._FIELDS[name]}}}']
+
+
+def test_similar_characters(spark):
+    d = documents.character_documents(bindings.catalog(spark), spark.createDataFrame([("卍",)], "char string"), ["ids_similar"])
+    assert [r.document for r in d.collect()] == ['{"ids_similar":[{"UCS":"卐","IDS":"⿾卍","source":"GT"}]}']
+
+
+def test_variant_map(spark):
+    unihan = spark.createDataFrame([("漢", "kZVariant", "U+6C49")], "UCS string, property string, value string")
+    kdpv = spark.createDataFrame([("王", "cjkvi/radical-variant", "王", None), ("水", "cjkvi/radical-variant", "氵", None), ("火", "cjkvi/radical-variant", "灬", "partial")], "subject string, rel string, object string, comment string")
+    assert S.variant_map(unihan, kdpv) == {"漢": ["漢", "汉"], "氵": ["水"]}
