@@ -75,9 +75,14 @@ def first_value(rows: DataFrame, keys: Sequence[str], value: str, order: Sequenc
     return rows.groupBy(*keys).agg(F.min_by(value, F.struct(*order)).alias(name or value))
 
 
+#: Parts of equal width that a band of values is counted in before what is left is sorted.
+BAND_PARTS = 4096
+
+
 def nearest_ranks(rows: DataFrame, key: str, value: str, shares: Mapping[str, float], accuracy: int = 1000) -> DataFrame:
     """Per key, the exact value of nearest rank for each named share, and n (values that aren't null). An approximate
-    percentile bounds a band around each rank; only the values in a band are sorted, the others are counted."""
+    percentile bounds a band around each rank; the band is counted in parts of equal width, and only the values of the part that holds
+    the rank are sorted, the others are counted. So of a key with very many values one task sorts those of a part of a band."""
     names = list(shares)
     rows = rows.where(F.col(value).isNotNull()).select(key, value)
     ends = [min(max(s + d, 0.0), 1.0) for s in shares.values() for d in (-2.0 / accuracy, 2.0 / accuracy)]
@@ -85,12 +90,17 @@ def nearest_ranks(rows: DataFrame, key: str, value: str, shares: Mapping[str, fl
     bands = F.array(*(F.struct(F.lit(name).alias("name"), F.get("_ends", F.lit(2 * k)).alias("lo"), F.get("_ends", F.lit(2 * k + 1)).alias("hi"), F.greatest(F.ceil(F.lit(s) * F.col("n")), F.lit(1)).alias("rank")) for k, (name, s) in enumerate(shares.items())))
     about = about.select(key, "n", F.explode(bands).alias("_b")).select(key, "n", "_b.*")
     met = rows.join(about, key).where(F.col(value) <= F.col("hi"))
-    # values below the band count as one
-    counted = met.groupBy(key, "name", F.when(F.col(value) >= F.col("lo"), F.col(value)).alias("v")).agg(F.count("*").alias("c"), F.first("rank").alias("rank"), F.first("n").alias("n"))
-    upto = F.sum("c").over(Window.partitionBy(key, "name").orderBy(F.col("v").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0))
-    found = counted.withColumn("_upto", upto).where("_upto >= rank and v is not null")
-    out = found.groupBy(key).agg(*(F.min(F.when(F.col("name") == name, F.col("v"))).alias(name) for name in names), F.max("n").alias("n"))
-    return out
+    # rises with the value, and is one number where the ends give no width
+    at = (F.col(value).cast("double") - F.col("lo").cast("double")) / F.nullif(F.col("hi").cast("double") - F.col("lo").cast("double"), F.lit(0.0))
+    part = F.when(F.col(value) < F.col("lo"), -1).otherwise(F.floor(F.greatest(F.least(F.nanvl(F.coalesce(at, F.lit(0.0)), F.lit(1.0)), F.lit(1.0)), F.lit(0.0)) * BAND_PARTS))
+    counted = met.groupBy(key, "name", part.cast("int").alias("_part")).agg(F.count("*").alias("c"), F.min(value).alias("lo"), F.max(value).alias("hi"), F.first("rank").alias("rank"), F.first("n").alias("n"))
+    upto = lambda by: F.sum("c").over(Window.partitionBy(key, "name").orderBy(by).rowsBetween(Window.unboundedPreceding, 0))
+    held = counted.withColumn("_upto", upto("_part")).where("_upto >= rank and _upto - c < rank")
+    held = held.select(key, "name", "lo", "hi", (F.col("rank") - F.col("_upto") + F.col("c")).alias("rank"), "n")
+    inside = rows.join(held, key).where(F.col(value).between(F.col("lo"), F.col("hi")))
+    each = inside.groupBy(key, "name", F.col(value).alias("v")).agg(F.count("*").alias("c"), F.first("rank").alias("rank"), F.first("n").alias("n"))
+    found = each.withColumn("_upto", upto("v")).where("_upto >= rank")
+    return found.groupBy(key).agg(*(F.min(F.when(F.col("name") == name, F.col("v"))).alias(name) for name in names), F.max("n").alias("n"))
 
 
 def pairs_of(rows: DataFrame, keys: Sequence[str], value: str, names: tuple[str, str] = ("a", "b")) -> DataFrame:

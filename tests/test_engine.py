@@ -343,3 +343,8 @@ def test_nearest_ranks_against_sorting(spark):
         v = sorted(x for j, x in data if j == k and x is not None)
         assert got[k] == (*(v[max(math.ceil(s * len(v)), 1) - 1] for s in (0, 0.5, 0.99)), len(v))
     assert set(got) == {0, 1, 2, 3}
+    wide = [(0, x) for x in [float("inf"), float("-inf"), *(rng.gauss(0, 1) * 10 ** rng.randrange(-200, 200) for _ in range(900)), *[5.0] * 50]]
+    names = {f"p{k}": k / 20 for k in range(21)}
+    r = D.nearest_ranks(spark.createDataFrame(wide, "k int, v double"), "k", "v", names).first()
+    v = sorted(x for _, x in wide)
+    assert {n: r[n] for n in names} == {n: v[max(math.ceil(s * len(v)), 1) - 1] for n, s in names.items()}
