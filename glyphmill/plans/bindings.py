@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import exprs as X
-from ..functions.shared import cut, shared_folder
+from ..functions.shared import shared_folder
 from ..operators import bitmaps
 from ..operators import derived as D
 from ..operators import documents as docs
@@ -575,11 +575,14 @@ _DECOMPOSED = (
 )
 
 
-@query(
+_VARIANT_VIEW = (
     f'WITH p AS ({_PARTS}) SELECT "UCS", \'kTraditionalVariant\' AS property, {_char("k * 7")} AS value, NULL AS additional_data FROM p '
     f"UNION ALL SELECT \"UCS\", 'kSemanticVariant', {_char('k * 3')}, 'kMatthews' FROM p WHERE p_size > 10 UNION ALL SELECT \"UCS\", 'kSemanticVariant', {_char('k * 5')}, NULL FROM p WHERE p_size > 10 "
     f"UNION ALL SELECT \"UCS\", 'kJoyoKanji', \"UCS\", NULL FROM p WHERE p_size % 2 = 1 UNION ALL SELECT \"UCS\", 'kJinmeiyoKanji', {_char('k * 11')}, NULL FROM p WHERE p_size % 3 = 0"
 )
+
+
+@query(_VARIANT_VIEW)
 def variant_view(spark, sf_dir):
     return D.unihan_variant(part_properties(spark, sf_dir))
 
@@ -834,6 +837,39 @@ def variant_map_rows(spark, sf_dir):
     return spark.createDataFrame(rows, "c2 string, c1 string, r string")
 
 
+def part_edges(spark, sf_dir) -> dict[str, DataFrame]:
+    """The tables that edges come from, a row a part in each."""
+    k, size = F.col("p_partkey"), F.col("p_size")
+    at = lambda n: X.char_of(F.lit(_FIRST) + n % _CHARS)
+    name, p = F.concat(F.lit("MJ"), k), table(spark, sf_dir, "part")
+    t = {
+        "unihan": part_properties(spark, sf_dir),
+        "kdpv": p.select(at(k).alias("subject"), F.when(size % 3 == 0, "cjkvi/duplicate").when(size % 3 == 1, "jisx0212/variant").otherwise("jp/old-style").alias("rel"), at(k * 2).alias("object")),
+        "mji": p.select(name.alias("MJ文字図形名"), at(k).alias("対応するUCS"), F.when(k % 2 == 0, at(k + 2)).alias("実装したUCS")),
+        "mjsm": p.select(name.alias("MJ文字図形名"), at(k * 3).alias("縮退UCS"), F.when(size % 2 == 0, "辞書類等による関連字").otherwise("法務省告示582号別表第四_一").alias("表"), F.nullif((k % 3).cast("int"), F.lit(0)).alias("ホップ数")),
+        "nyukan": p.select(at(k).alias("簡体字等のUCS"), at(k * 5).alias("正字のUCS"), F.lit("類字").alias("正字の種類"), size.alias("順位")),
+        "doon": p.select(at(k % 50).alias("書きかえる漢字"), at(k % 50 * 7).alias("書きかえた漢字"), F.col("p_name").alias("書きかえる漢語")),
+        "joyo_kangxi": p.select(at(k).alias("漢字"), at(k + 1).alias("康熙字典体")),
+        "tghb_variants": p.select(F.when(size % 2 == 0, at(k * 11)).otherwise(F.concat(at(k), at(k))).alias("异体字"), at(k).alias("繁体字"), at(k * 13).alias("规范字")),
+    }
+    return D.with_views(t)
+
+
+@query(
+    f"SELECT \"UCS\" AS c1, value AS c2, property AS r FROM ({_VARIANT_VIEW}) UNION ALL "
+    f"SELECT {_char('k')}, {_char('k * 2')}, CASE WHEN p_size % 3 = 0 THEN 'cjkvi/duplicate' ELSE 'jisx0212/variant' END FROM ({_PARTS}) WHERE p_size % 3 < 2 UNION ALL "
+    f"SELECT CASE WHEN k % 2 = 0 THEN {_char('k + 2')} ELSE {_char('k')} END, {_char('k * 3')}, '辞書類等による関連字' FROM ({_PARTS}) WHERE p_size % 2 = 0 AND k % 3 < 2 UNION ALL "
+    f"SELECT {_char('k')}, {_char('k * 5')}, '入管正字_類字_第' || p_size || '順位' FROM ({_PARTS}) UNION ALL "
+    f"SELECT DISTINCT {_char('k % 50')}, {_char('k % 50 * 7')}, '同音の漢字による書きかえ' FROM ({_PARTS}) UNION ALL "
+    f"SELECT {_char('k + 1')}, {_char('k')}, '常用漢字表_新字体' FROM ({_PARTS}) UNION ALL "
+    f"SELECT {_char('k * 11')}, {_char('k')}, 'tghb_异体字' FROM ({_PARTS}) WHERE p_size % 2 = 0 AND k * 10 % {_CHARS} <> 0 UNION ALL "
+    f"SELECT {_char('k')}, {_char('k * 13')}, 'tghb_规范字' FROM ({_PARTS})"
+)
+def variant_edges(spark, sf_dir):
+    """Edges of every kind of relation."""
+    return graph.edges(part_edges(spark, sf_dir))
+
+
 # ------------------------------------------------------------- graph
 
 _RELS = "SELECT p_partkey AS c1, (p_partkey * 7 + p_size) % 2000 AS c2, p_type AS r FROM part"
@@ -984,18 +1020,6 @@ def document_mji(spark, sf_dir):
     return d.select(pairs).select("p.k", "p.v")
 
 
-_EDGES = [
-    ("线", "線", "kTraditionalVariant"), ("说", "說", "kSemanticVariant"), ("说", "説", "kSemanticVariant"), ("乗", "乗", "kJoyoKanji"), ("亘", "亙", "kJinmeiyoKanji"), ("漢", "汉", "辞書類等による関連字"),
-    ("漢", "汉", "入管正字_類字_第1順位"), ("漢", "汗", "同音の漢字による書きかえ"), ("乘", "乗", "常用漢字表_新字体"), ("\ufa47", "漢", "常用漢字表_新字体"), ("一", "壱", "cjkvi/duplicate"),
-    ("熯", "漢", "tghb_异体字"), ("漢", "汉", "tghb_规范字"), ("漢", "汉", "tghb_规范字"),
-]
-
-
-@query("SELECT * FROM (VALUES " + ", ".join(f"('{a}', '{b}', '{r}')" for a, b, r in _EDGES) + ") AS v(c1, c2, r) UNION ALL SELECT '丂', 'x', 'kStrange_I' WHERE false")
-def variant_edges(spark, sf_dir):
-    return graph.edges(full_catalog(spark))
-
-
 _REFERRED = {
     ("一", "unihan_fts"): '[["U+4E02","丂","kStrange","A B:U+4E00:U+20000 I"]]',
     ("一", "ivs_duplicate"): '[["4E00_E0100","一\U000e0100","4E00_E0101","一\U000e0101","ExampleCollection","CID+1200"],["4E00_E0101","一\U000e0101","4E00_E0100","一\U000e0100","ExampleCollection","CID+1200"]]',

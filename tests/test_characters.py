@@ -126,3 +126,16 @@ def test_variant_map(spark):
     unihan = spark.createDataFrame([("漢", "kZVariant", "U+6C49")], "UCS string, property string, value string")
     kdpv = spark.createDataFrame([("王", "cjkvi/radical-variant", "王", None), ("水", "cjkvi/radical-variant", "氵", None), ("火", "cjkvi/radical-variant", "灬", "partial")], "subject string, rel string, object string, comment string")
     assert S.variant_map(unihan, kdpv) == {"漢": ["漢", "汉"], "氵": ["水"]}
+
+
+# fmt: off
+EDGES = [
+    ("线", "線", "kTraditionalVariant"), ("说", "說", "kSemanticVariant"), ("说", "説", "kSemanticVariant"), ("乗", "乗", "kJoyoKanji"), ("亘", "亙", "kJinmeiyoKanji"), ("漢", "汉", "辞書類等による関連字"),
+    ("漢", "汉", "入管正字_類字_第1順位"), ("漢", "汗", "同音の漢字による書きかえ"), ("乘", "乗", "常用漢字表_新字体"), ("\ufa47", "漢", "常用漢字表_新字体"), ("一", "壱", "cjkvi/duplicate"),
+    ("熯", "漢", "tghb_异体字"), ("漢", "汉", "tghb_规范字"), ("漢", "汉", "tghb_规范字"),
+]
+# fmt: on
+
+
+def test_edges(spark):
+    assert rows(graph.edges(bindings.full_catalog(spark))) == sorted(EDGES, key=str)
