@@ -117,7 +117,7 @@ def joined_trees(ids: DataFrame, char: str) -> str:
 def decompose_text(ids: DataFrame, char: str, show_source: bool = False, quote: bool = False) -> DataFrame:
     """(source, ids) of a character's full trees for every source letter, projections carried out; trees
     that can't be are skipped; without sources each tree once. Only the rows that the character can reach are read."""
-    full = structures.trees_of(ids).where("source is not null")
+    full = cut(structures.trees_of(ids).where("source is not null"))
     letters = "B G H J K M P S T U V X Z UCS2003".split()
     table: dict[str, dict[str, list[str]]] = {}
     begin = ids.sparkSession.createDataFrame([(char, char)], "root string, at string")
