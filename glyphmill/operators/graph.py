@@ -9,7 +9,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.shared import cut, shared_folder
-from .bitmaps import dense_numbers
 
 # Relations along which a search does not go on.
 WEAK = (
@@ -119,10 +118,6 @@ def _reached(ends: DataFrame, begin: DataFrame) -> DataFrame:
     return cut(seen)
 
 
-#: Seeds in a word of bits; the sign bit is left alone.
-SEED_BITS = 63
-
-
 def strong_ends(rels: DataFrame, weak: Column | None = None) -> DataFrame:
     """(c, to): both ways round, the pairs with a strong relation."""
     strong = ~weak if weak is not None else is_strong(F.col("r"))
@@ -130,32 +125,42 @@ def strong_ends(rels: DataFrame, weak: Column | None = None) -> DataFrame:
     return pairs.union(pairs.select("to", "c")).where("c <> to").distinct()
 
 
-def reach(rels: DataFrame, seeds: DataFrame, weak: Column | None = None) -> DataFrame:
-    """(seed, c): for each of many seeds, all that it reaches through strong pairs, itself included.
-
-    Seeds are bits: a row (c, word, bits) says which of a word's SEED_BITS seeds have reached c, so a round moves all seeds at once. A round
-    joins the bits that are new to the pairs and merges what meets by `bit_or`, in each task before anything is moved; only bits
-    that an end didn't have yet go on. Rounds are as many as the longest of the shortest ways."""
-    numbered = dense_numbers(seeds.toDF("r")).select(F.col("r").alias("seed"), "id")
-    bits = reach_bits(rels, numbered, weak)
-    each = bits.select("c", "word", F.explode(F.expr(f"filter(sequence(0, {SEED_BITS - 1}), k -> (shiftright(bits, k) & 1L) = 1L)")).alias("k"))
-    return each.join(numbered, F.col("word") * SEED_BITS + F.col("k") == F.col("id")).select("seed", "c")
-
-
-def reach_bits(rels: DataFrame, numbered: DataFrame, weak: Column | None = None) -> DataFrame:
-    """(c, word, bits) of seeds with dense numbers (seed, id)."""
-    ends = cut(strong_ends(rels, weak))
-    bit = F.expr(f"shiftleft(1L, cast(id % {SEED_BITS} as int))")
-    front = cut(numbered.groupBy(F.col("seed").alias("c"), F.call_function("div", F.col("id"), F.lit(SEED_BITS)).alias("word")).agg(F.bit_or(bit).alias("bits")))
-    seen = front
+def components(pairs: DataFrame) -> DataFrame:
+    """(c, component) of every end of pairs (c, to) of unlike ends: component is the smallest end that it is linked to, through any others.
+
+    Large and small stars in turn: each end's larger neighbours are linked to its smallest one, then all its smaller ones to the smallest of them,
+    until every end's one link is to an end without a link. A round holds as many rows as there were pairs at most, and rounds are about the
+    logarithm of the ends."""
+    now = cut(pairs.select(F.greatest("c", "to").alias("a"), F.least("c", "to").alias("b")).distinct())
     while True:
-        met = front.join(ends, "c").groupBy(F.col("to").alias("c"), "word").agg(F.bit_or("bits").alias("bits"))
-        old = seen.withColumnRenamed("bits", "old")
-        new = met.join(old, ["c", "word"], "left").select("c", "word", F.col("bits").bitwiseAND(F.bitwise_not(F.coalesce("old", F.lit(0).cast("long")))).alias("bits"))
-        front = cut(new.where("bits <> 0"))
-        if front.isEmpty():
-            return seen
-        seen = cut(seen.union(front).groupBy("c", "word").agg(F.bit_or("bits").alias("bits")))
+        least = now.groupBy("a").agg(F.min("b").alias("m"))
+        large = now.join(least.toDF("b", "m"), "b", "left").select("a", F.coalesce("m", "b").alias("b")).distinct()
+        large = cut(large)
+        near = large.groupBy("a").agg(F.min("b").alias("m"))
+        small = large.join(near, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        now = cut(small.union(near.select("a", F.col("m").alias("b"))).distinct())
+        links, nodes = now.agg(F.count("*"), F.count_distinct("a")).first()
+        if links == nodes and now.join(now.select(F.col("a").alias("b")), "b", "left_semi").isEmpty():
+            break
+    roots = now.select(F.col("b").alias("c"), F.col("b").alias("component")).distinct()
+    return now.select(F.col("a").alias("c"), F.col("b").alias("component")).union(roots)
+
+
+def reach_components(rels: DataFrame, seeds: DataFrame, weak: Column | None = None) -> tuple[DataFrame, DataFrame]:
+    """What each of many seeds reaches through strong pairs, which hold either way round: (seed, component), a row a seed, and (component, c), all
+    members once, the seed itself included. Neither grows with how much the seeds reach together."""
+    members = cut(components(strong_ends(rels, weak)))
+    seeds = cut(seeds.toDF("seed").dropna().distinct())
+    own = seeds.join(members.withColumnRenamed("c", "seed"), "seed", "left").select("seed", F.coalesce("component", "seed").alias("component"))
+    alone = seeds.join(members.withColumnRenamed("c", "seed"), "seed", "left_anti").select(F.col("seed").alias("component"), F.col("seed").alias("c"))
+    return own, members.select("component", "c").union(alone)
+
+
+def reach(rels: DataFrame, seeds: DataFrame, weak: Column | None = None) -> DataFrame:
+    """(seed, c): for each of many seeds, all that it reaches through strong pairs, itself included. As many rows as that is: sums over what seeds reach
+    are taken by component (`reach_components`)."""
+    own, members = reach_components(rels, seeds, weak)
+    return own.join(members, "component").select("seed", "c")
 
 
 def mermaid(rows: Sequence[tuple[str, str, str, int]], seeds: Sequence[str] = ()) -> str:
