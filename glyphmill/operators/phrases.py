@@ -12,8 +12,11 @@ Ids are whole numbers, also below 0. Null texts and ids have no places. Rows of
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -30,12 +33,44 @@ def words_of(text: Column) -> Column:
 
 
 def place_blocks(docs: DataFrame, words: Column, id_col: str = "doc_id", range_docs: int = RANGE_DOCS) -> DataFrame:
-    """word, range, n, places of every word and range of ids."""
-    each = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.posexplode(words).alias("pos", "word"))
-    within = F.pmod(F.col("id"), F.lit(range_docs).cast("long"))
-    at = F.call_function("div", F.col("id") - within, F.lit(range_docs).cast("long"))
-    place = F.shiftleft(within, POSITION_BITS) + F.col("pos")
-    return each.groupBy("word", at.alias("range")).agg(F.count("*").alias("n"), F.array_sort(F.collect_list(place)).alias("places"))
+    """word, range, n, places of every word and range of ids. Texts move once, to their range; a range at a time is grouped, so no word is moved
+    alone or sorted with those of other ranges."""
+    id_ = F.col(id_col).cast("long")
+    within = F.pmod(id_, F.lit(range_docs).cast("long"))
+    at = F.call_function("div", id_ - within, F.lit(range_docs).cast("long"))
+    dealt = docs.where(F.col(id_col).isNotNull()).withColumns({"_range": at, "_within": within}).repartition("_range").sortWithinPartitions("_range")
+    return dealt.select("_range", "_within", words.alias("words")).where("words is not null").mapInArrow(_grouped, "word string, range long, n long, places array<long>")
+
+
+def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The blocks of documents (range, distance from its begin, words) in order of ranges."""
+    held: list[pa.RecordBatch] = []  # what there is of the last range
+    for b in batches:
+        ranges = b.column(0).to_numpy()
+        ends = [*(np.flatnonzero(ranges[1:] != ranges[:-1]) + 1).tolist(), len(ranges)] if len(ranges) else []
+        for begin, end in zip([0, *ends], ends):
+            if held and held[-1].column(0)[0] != b.column(0)[begin]:
+                yield _blocks(held)
+                held = []
+            held.append(b.slice(begin, end - begin))
+    if held:
+        yield _blocks(held)
+
+
+def _blocks(own: Sequence[pa.RecordBatch]) -> pa.RecordBatch:
+    """The blocks of a range."""
+    lists = pa.concat_arrays([b.column(2) for b in own])
+    within = np.concatenate([b.column(1).to_numpy() for b in own])
+    sizes = pc.list_value_length(lists).to_numpy()
+    begins = np.cumsum(sizes) - sizes
+    places = np.repeat(within.astype(np.int64) << POSITION_BITS, sizes) + np.arange(sizes.sum(), dtype=np.int64) - np.repeat(begins, sizes)
+    coded = lists.flatten().dictionary_encode()
+    codes = coded.indices.to_numpy()
+    n = np.bincount(codes, minlength=len(coded.dictionary))
+    ends = np.concatenate([[0], np.cumsum(n)]).astype(np.int32)
+    lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(places[np.lexsort((places, codes))]))
+    made = [coded.dictionary, pa.array(np.full(len(n), own[0].column(0)[0].as_py(), dtype=np.int64)), pa.array(n.astype(np.int64)), lists]
+    return pa.RecordBatch.from_arrays(made, names=["word", "range", "n", "places"])
 
 
 def write_blocks(blocks: DataFrame, folder: str) -> DataFrame:

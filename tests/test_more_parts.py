@@ -60,6 +60,27 @@ def test_reach_by_components(spark):
     assert sorted(members.collect()) == sorted([(1, 1), (1, 2), (1, 3), (4, 4), (5, 5)] + [(100, 100 + k) for k in range(41)])
 
 
+def test_blocks_of_a_range_over_several_batches(spark):
+    from pyspark.sql import functions as F
+
+    from glyphmill.operators import phrases
+
+    docs = spark.createDataFrame([(k, None if k == 3 else f"a b{k % 4} A") for k in range(-9, 40)], "doc_id long, text string")
+    blocks = phrases.place_blocks(docs, phrases.words_of(F.col("text")), range_docs=16)
+    # texts move, words don't: there is no sort or aggregate of a row for each word
+    assert "Generate" not in blocks._jdf.queryExecution().toString()
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "5")
+    try:
+        got = {(r.word, r.range): (r.n, r.places) for r in blocks.collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    want = {}
+    for k in range(-9, 40):
+        for pos, w in enumerate([] if k == 3 else ["a", f"b{k % 4}", "a"]):
+            want.setdefault((w, k // 16), []).append((k % 16 << phrases.POSITION_BITS) + pos)
+    assert got == {key: (len(v), v) for key, v in want.items()}
+
+
 def test_titles_with_entities_that_the_sql_leaves(spark, tmp_path):
     page = "<html><title>a &quot;b&quot; &amp;copy; &copy; &amp</title><a href=\"x?a&lt;b&amp;c\">&middot;&gt;</a></html>"
     spark.createDataFrame([(1, "u", page)], "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
