@@ -135,6 +135,25 @@ def test_pages_and_updates_of_a_store(spark):
     assert nothing.read().count() == 0 and ranges.update_ranges(nothing, df)[0].read().count() == 2000
 
 
+def test_files_of_a_store_hold_many_ranges(spark, monkeypatch):
+    # keys that go on over one or several marks, nulls, and few keys
+    rows = [(k // 7 if k % 90 else None, k) for k in range(1500)] + [(500 + k // 45, k) for k in range(200)]
+    df = spark.createDataFrame(rows, "a int, b int").repartition(3)
+    store = ranges.build_ranges(df, ["a"], folder(spark, "many"), 10)
+    entries = store.entries()
+    assert len(entries) > 100 and len(store.read().inputFiles()) <= 8
+    held = [{r.a for r in store.read([e]).collect()} for e in entries[::9]]
+    assert all(not a & b for a, b in zip(held, held[1:], strict=False))
+    for e in entries[::9]:
+        assert e.rows == store.read([e]).count() and (e.range == 0 or store.read([e]).agg(F.expr("min(struct(a))")).collect()[0][0] == e.lo)
+    # rows of half of the ranges change: more runs than a filter names
+    monkeypatch.setattr(ranges, "_NAMED", 20)
+    update, written = ranges.update_ranges(store, df.withColumn("b", F.when(F.col("a") % 4 < 2, F.col("b")).otherwise(F.col("b") + 1)))
+    assert len(entries) > len(written) > 50
+    assert sorted(tuple(r) for r in update.read().where("a is not null").collect()) == sorted((a, b if a % 4 < 2 else b + 1) for a, b in rows if a is not None)
+    assert update.read().count() == len(rows)
+
+
 # ------------------------------------------------------------- many seeds
 
 
