@@ -89,6 +89,12 @@ def history(seq: np.ndarray, first: np.ndarray, before) -> np.ndarray:
     return out
 
 
+def in_order(words_: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of 32-bit numbers, sorted as one number each."""
+    both = np.sort((words_ << np.uint64(32)) | places)
+    return (both >> np.uint64(32)).astype(np.int64), (both & np.uint64(0xFFFFFFFF)).astype(np.int64)
+
+
 def squeeze(x: np.ndarray) -> bytes:
     return zstandard.ZstdCompressor(level=1).compress(bytes_apart(x))
 
@@ -405,8 +411,9 @@ def look_around(coded: DataFrame, answers: DataFrame | None, head: Head, buckets
         ask = asked_words(p, head)
         edges = bucket_starts(p.words[ask], buckets)
         cls = classes_in(p, head, ask, edges, replies)
-        code, before, after = p.training()
-        l, r = cls[before], cls[after]
+        # classes are a byte each: they are shifted and cut, not the words
+        own, end, keep = cls[p.codes], cls[np.searchsorted(p.words, END)], np.repeat(~p.held, np.diff(p.first))
+        code, mid, l, r = p.codes[keep], own[keep], history(own, p.first, end)[keep], np.append(own[1:], end)[keep]
         number, at = head.places(p)
         of = np.full(len(p.words), -1)
         of[at] = number
@@ -414,7 +421,7 @@ def look_around(coded: DataFrame, answers: DataFrame | None, head: Head, buckets
         some = np.flatnonzero(mine >= 0)
         base = mine[some] * 2 * CLASSES
         cells = np.bincount(np.concatenate([base + l[some], base + CLASSES + r[some]]), minlength=len(head.w) * 2 * CLASSES)
-        cells = np.concatenate([cells, np.bincount(l.astype(np.int64) * CLASSES + cls[code], minlength=CLASSES * CLASSES)])
+        cells = np.concatenate([cells, np.bincount(l.astype(np.int64) * CLASSES + mid, minlength=CLASSES * CLASSES)])
         full = np.flatnonzero(cells)
         # the other words' places, word by word
         turn = np.full(len(p.words), -1)
@@ -423,8 +430,7 @@ def look_around(coded: DataFrame, answers: DataFrame | None, head: Head, buckets
         turn[ask[go]] = np.arange(int(go.sum()))
         who = turn[code]
         some = np.flatnonzero(who >= 0)
-        order = np.sort((who[some].astype(np.uint64) << np.uint64(32)) | some.astype(np.uint64))
-        who, some = (order >> np.uint64(32)).astype(np.int64), (order & np.uint64(0xFFFFFFFF)).astype(np.int64)
+        who, some = in_order(who[some].astype(np.uint64), some.astype(np.uint64))
         l, r = l[some], r[some]
         times = np.bincount(who, minlength=int(go.sum()))
         often = np.flatnonzero(times > OFTEN)
@@ -496,8 +502,9 @@ def move_words(messages: DataFrame, state: DataFrame, m: np.ndarray) -> DataFram
                 vectors[i] = vectors[i] + v if i in vectors else v.astype(np.float32)
         new = cls.astype(np.int64)
         if at:
-            order = np.argsort(np.concatenate(words_), kind="stable")
-            word, l, r = (np.concatenate(x)[order].astype(np.int64) for x in (words_, ls, rs))
+            word = np.concatenate(words_).astype(np.uint64)
+            word, order = in_order(word, np.arange(len(word), dtype=np.uint64))
+            l, r = (np.concatenate(x)[order].astype(np.int64) for x in (ls, rs))
             new = better_class(m, n, new, l, r, word, vectors)
         number, k = own.column("_bucket")[0].as_py(), len(at)
         pieces = asked.column("piece").to_pylist()
