@@ -117,12 +117,16 @@ def joined_trees(ids: DataFrame, char: str) -> str:
 def decompose_text(ids: DataFrame, char: str, show_source: bool = False, quote: bool = False) -> DataFrame:
     """(source, ids) of a character's full trees for every source letter, projections carried out; trees
     that can't be are skipped; without sources each tree once. Only the rows that the character can reach are read."""
-    full = cut(structures.trees_of(ids).where("source is not null"))
+    trees = cut(structures.trees_of(ids))  # read once a level
     letters = "B G H J K M P S T U V X Z UCS2003".split()
     table: dict[str, dict[str, list[str]]] = {}
-    begin = ids.sparkSession.createDataFrame([(char, char)], "root string, at string")
-    for r in structures.reachable(begin, full).orderBy("UCS", "source", "tokens").collect():
-        table.setdefault(r.UCS, {}).setdefault(r.source, []).append(r.tokens)
+    met = front = {char}
+    while front:
+        found = sorted(tuple(r) for r in trees.where(F.col("UCS").isin(sorted(front))).collect())
+        for u, s, t in found:
+            table.setdefault(u, {}).setdefault(s, []).append(t)
+        front = {x for _, _, t in found for x in t.split(" ")} - structures.ARITY.keys() - met
+        met = met | front
     d, rows, seen = structures.Decomposer(table), [], set()
     for s in letters:
         for tree in d.decompose(char, s):

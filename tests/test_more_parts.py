@@ -82,6 +82,21 @@ def test_decompose_one_that_is_no_part(spark, tmp_path):
     compare(spark, with_parts(tmp_path, "select 12 as k"), "decompose_one")
 
 
+def test_decompose_one_joins_no_trees(spark, few, monkeypatch):
+    from glyphmill.operators import structures
+
+    monkeypatch.setattr(structures, "reachable", None)
+    compare(spark, few, "decompose_one")
+
+
+def test_decompose_text_of_rings_and_several_sources(spark):
+    from glyphmill.plans.engine import decompose_text
+
+    ids = spark.createDataFrame([("a", "G", "⿰bc"), ("a", "J", "⿱bd"), ("b", "GT", "⿰zx"), ("c", "J", "⿱d⿰yd"), ("d", "U", "⿻zw"), ("e", "G", "⿰aa"), ("z", "G", "⿰za")], "UCS string, source string, IDS string")
+    assert [r.ids for r in decompose_text(ids, "z").collect()] == ["⿰z⿰⿰zx⿱&OL3;&ol-d-1;zw⿰y&OL3;&ol-d-1;zw", "⿰z⿱⿰zx&OL3;&ol-d-1;zw"]
+    assert decompose_text(ids, "x").collect() == decompose_text(ids.limit(0), "x").collect()
+
+
 @pytest.mark.parametrize("name", ["reverse_references", "variant_map_rows"])
 def test_references_and_variants(spark, few, name):
     compare(spark, few, name)
